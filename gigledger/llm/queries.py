@@ -4,14 +4,50 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .packing import pack_documents
 from .simhash import simhash_groups
+from .substring import remove_repeated_windows
 from .util import table
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the words of repeated 35-word windows."""
+    return remove_repeated_windows(table(spark, sf_dir, "documents"))
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 1024 tokens."""
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash components of all documents."""
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op8_simhash_near_dedup": op8_simhash_near_dedup}
-ORACLE: dict[str, str] = {}
+QUERIES = {
+    "op4_substring_dedup": op4_substring_dedup,
+    "op5_best_fit_packing": op5_best_fit_packing,
+    "op8_simhash_near_dedup": op8_simhash_near_dedup,
+}
+
+ORACLE: dict[str, str] = {
+    "op4_substring_dedup": r"""
+with flat as (
+  select row_number() over () as r, doc_id,
+         trim(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') as t
+  from documents),
+words as (select r, doc_id, case when t = '' then []::varchar[] else string_split(t, ' ') end as ws from flat),
+wins as (
+  select r, s, array_to_string(ws[s:s + 34], ' ') as t
+  from (select r, ws, unnest(range(1, len(ws) - 33)) as s from words)),
+hits as (select r, s from wins where t in (select t from wins group by t having count(*) > 1)),
+gone as (select distinct r, p from (select r, unnest(range(s, s + 35)) as p from hits)),
+placed as (select r, unnest(ws) as w, unnest(range(1, len(ws) + 1)) as p from words),
+kept as (
+  select placed.r, string_agg(w, ' ' order by placed.p) as t, count(*) as n
+  from placed left join gone on placed.r = gone.r and placed.p = gone.p where gone.r is null group by placed.r)
+select doc_id, len(ws)::bigint as n_words, (len(ws) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from words left join kept on words.r = kept.r
+""",
+}
