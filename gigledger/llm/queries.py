@@ -4,12 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import contaminated
+from .html_text import extract_pages
+from .licenses import PHRASES, TEMPLATES, scan_licenses
 from .packing import pack_documents
+from .quality import subword_scores
 from .simhash import simhash_groups
 from .substring import remove_repeated_windows
+from .token_counts import derived_edits, edited_token_counts
+from .topk import top_products
+from .toxicity import nearest_label_scores
 from .util import table
 
 
+def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best products of every fiftieth vector with all others."""
+    return top_products(table(spark, sf_dir, "embeddings"))
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents before and after three edits each, which follow from the documents."""
+    docs = table(spark, sf_dir, "documents")
+    return edited_token_counts(docs.withColumn("edits", derived_edits("text", "doc_id")))
+
+
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents that repeat a benchmark item, re-parameterised ones included."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the words of repeated 35-word windows."""
     return remove_repeated_windows(table(spark, sf_dir, "documents"))
@@ -20,18 +43,93 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates in all documents."""
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
+    return subword_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash components of all documents."""
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents."""
+    return nearest_label_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text of all pages."""
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op1_exact_topk": op1_exact_topk,
+    "op2_token_counts": op2_token_counts,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_license_scan": op6_license_scan,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_toxicity": op9_toxicity,
+    "op10_html_extraction": op10_html_extraction,
 }
 
+
+def _values(pairs) -> str:
+    return ", ".join(f"({i}, '{label}', '{text}')" for i, (label, text) in enumerate(pairs))
+
+
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLE: dict[str, str] = {
+    "op1_exact_topk": """
+with parts as (
+  select vec_id, unnest(range(1, len(embedding) + 1)) as i, unnest(embedding)::double as x from embeddings),
+good as (select vec_id from parts group by vec_id having count(*) = count(x) and bool_and(isfinite(x))),
+v as (select vec_id, i, floor(256 * x)::bigint as x from parts where vec_id in (select vec_id from good)),
+s as (
+  select q.vec_id as query_id, p.vec_id, sum(q.x * p.x)::bigint as score
+  from v q join v p on q.i = p.i and q.vec_id <> p.vec_id where q.vec_id % 50 = 0 group by all)
+select query_id, rank::int as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 5
+""",
+    "op6_license_scan": f"""
+with d as (select row_number() over () as r, doc_id, {_LOWER} as t from documents),
+w as (select r, doc_id, regexp_extract_all(t, '{_WORD}') as ws, t from d),
+phrases(i, label, p) as (values {_values([(label, p) for p, label in PHRASES])}),
+spots as (select r, ws, unnest(range(1, len(ws) + 1)) as s from w),
+places as (
+  select r, s - 1 as s, label from spots join phrases
+  on array_to_string(ws[s:s + len(string_split(p, ' ')) - 1], ' ') = p),
+base as (
+  select r, count(*) as n, min(s) as lo, max(s) as hi, string_agg(distinct label, ',' order by label) as labels
+  from places group by r),
+templates(i, label, t) as (values {_values(TEMPLATES)}),
+tw as (select i, label, unnest(list_distinct(string_split(t, ' '))) as word from templates),
+size as (select i, count(*) as n from tw group by i),
+lines as (select r, unnest(range(1, len(string_split(t, chr(10))) + 1)) as l, unnest(string_split(t, chr(10))) as t from w),
+lw as (select distinct r, l, unnest(regexp_extract_all(t, '{_WORD}')) as word from lines),
+held as (
+  select r, tw.label, count(*)::double / any_value(size.n) as share
+  from lw join tw using (word) join size on size.i = tw.i
+  group by r, l, tw.i, tw.label having count(*) >= ceil(0.8 * any_value(size.n) - 1e-9)),
+best as (select r, max(share) as share from held group by r),
+every as (
+  select r, string_agg(distinct label, ',' order by label) as labels
+  from (select r, label from held union select r, label from places) group by r)
+select doc_id, len(ws)::bigint as n_words, coalesce(n, 0)::bigint as n_base, lo::bigint as first_word, hi::bigint as last_word,
+       coalesce(base.labels, '') as base_labels, coalesce(every.labels, '') as labels,
+       greatest(case when n > 0 then 1.0 else 0.0 end, coalesce(share, 0.0))::double as score
+from w left join base using (r) left join every using (r) left join best using (r)
+""",
     "op4_substring_dedup": r"""
 with flat as (
   select row_number() over () as r, doc_id,
