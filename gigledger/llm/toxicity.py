@@ -1,7 +1,8 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Terms are words and the five-character grams of words that tell the labels apart in a bounded
-sample of labelled documents; their document frequencies are counted over all documents. Every
+sample of labelled documents; a repeated term that makes up a hundredth of a document's words also counts
+under a mark of its own. Document frequencies of terms are counted over all documents. Every
 document becomes a short TF-IDF vector. The sample's vectors form an inverted index in blocks of
 examples with each term's largest weight per block: a block whose bound cannot reach the k-th
 similarity so far is never opened, and what is opened is scored exactly.
@@ -23,6 +24,7 @@ from .util import crc32_of_id, cut
 WORDS = re.compile(r"[^\W\d_]+")
 REMEMBERED = 400_000  # words whose terms a worker holds; then it starts anew
 BLOCK = 64  # examples of one block
+DENSE = 0.01  # share of a document's words from which a term that occurs at least twice counts as dense
 
 
 def word_terms(word: str) -> set[str]:
@@ -32,29 +34,37 @@ def word_terms(word: str) -> set[str]:
 
 
 class TermCounter:
-    """Counts of the chosen terms in whole texts; a word's terms are looked up once."""
+    """Counts of the chosen terms in whole texts; a word's terms are looked up once. Dense terms end in @."""
 
     def __init__(self, terms: list[str]):
         self.ids, self.known = {t: i for i, t in enumerate(terms)}, {}
+        self.bare = {t.rstrip("@") for t in terms}
 
-    def _of(self, word: str) -> tuple[int, ...]:
+    def _of(self, word: str) -> tuple[str, ...]:
         if len(self.known) >= REMEMBERED:
             self.known.clear()
-        found = tuple(sorted(self.ids[t] for t in word_terms(word) if t in self.ids))
+        found = tuple(sorted(word_terms(word) & self.bare))
         self.known[word] = found
         return found
 
     def counts(self, text: str | None) -> tuple[list[int], list[int]]:
         total: Counter = Counter()
         known, slow = self.known, self._of
-        for word in WORDS.findall((text or "").lower()):
+        words = WORDS.findall((text or "").lower())
+        for word in words:
             found = known.get(word)
             if found is None:
                 found = slow(word)
             if found:
                 total.update(found)
-        terms = sorted(total)
-        return terms, [total[t] for t in terms]
+        out = {}
+        for term, n in total.items():
+            if term in self.ids:
+                out[self.ids[term]] = n
+            if term + "@" in self.ids and n >= max(2, DENSE * len(words)):
+                out[self.ids[term + "@"]] = 1
+        terms = sorted(out)
+        return terms, [out[t] for t in terms]
 
 
 def labelled_sample(labels: DataFrame, id_col: str, label_col: str, rows: int) -> DataFrame:
@@ -83,9 +93,16 @@ def choose_terms(sample: DataFrame, limit: int, least_rows: int, least_chi2: flo
         for batch in batches:
             for text, label in zip(batch.column(0), batch.column(1).to_pylist()):
                 totals[label] += 1
-                words = set(WORDS.findall((text.as_py() or "").lower()))
-                for term in set().union(*map(word_terms, words)) if words else ():
+                total: Counter = Counter()
+                words = Counter(WORDS.findall((text.as_py() or "").lower()))
+                for word, n in words.items():
+                    for term in word_terms(word):
+                        total[term] += n
+                dense = max(2, DENSE * words.total())
+                for term, n in total.items():
                     seen.setdefault(term, [0, 0])[label] += 1
+                    if n >= dense:
+                        seen.setdefault(term + "@", [0, 0])[label] += 1
         seen[""] = totals  # no term is empty
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([c[0] for c in seen.values()], pa.int64()), pa.array([c[1] for c in seen.values()], pa.int64())], ["term", "n0", "n1"])
 
@@ -159,15 +176,16 @@ def nearest_label_scores(
     k: int = 15,
     prior_votes: float = 0.2,
     least_rows: int = 3,
-    least_chi2: float = 25.0,
-    least_odds: float = 1.5,
+    least_chi2: float = 40.0,
+    least_odds: float = 1.2,
 ) -> DataFrame:
     """Per input row: doc_id, held_out, score (0 to 1), predicted, neighbours (ids), similarities, evidence (matched terms).
 
     Labels are learnt only where crc32(doc_id) mod held_out_mod is not held_out_is, from at most
     sample_rows of them (the documented bound; index and term list are bounded by it). The k nearest
-    examples vote with their cosine times the weight of their class, joined by prior_votes at the
-    rate of label 1 among documents without any chosen term; a row's own example never votes.
+    examples vote with the weight of their class over their distance (1.05 - cosine), joined by
+    prior_votes at the rate of label 1 among documents without any chosen term; a row's own example
+    never votes.
     Documents without a chosen term, null and empty texts get that rate alone. Without labels of
     both classes every score is 0. Repeated rows each give a row; null ids are held out by the
     crc32 of the empty text like any id; other columns are ignored.
@@ -204,7 +222,7 @@ def nearest_label_scores(
             scores, near, similar, evidence = [], [], [], []
             for doc, ts, cs in zip(*(batch.column(c).to_pylist() for c in range(3))):
                 best = index.nearest(ts, tf_idf(ts, cs, idf), k, doc) if ts else []
-                votes = [(s * weight[at], label[at]) for at, s in best]
+                votes = [(weight[at] / (1.05 - s), label[at]) for at, s in best]
                 scores.append(min(1.0, (sum(v * y for v, y in votes) + prior_votes * prior) / (sum(v for v, _ in votes) + prior_votes)))
                 near.append([int(index.ids[at]) for at, _ in best])
                 similar.append([s for _, s in best])

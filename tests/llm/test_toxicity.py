@@ -29,6 +29,9 @@ def test_terms():
     assert word_terms("scumbag") == {"=scumbag", "^scum", "scumb", "cumba", "umbag"}
     counter = TermCounter(["=scum", "^scum"])
     assert counter.counts("Scum, scumbag SCUM x") == ([0, 1], [2, 3]) and counter.counts(None) == ([], [])
+    dense = TermCounter(["=scum@"])
+    assert dense.counts("scum") == ([], [])
+    assert dense.counts("scum scum " + "x " * 198) == ([0], [1]) and dense.counts("scum scum " + "x " * 199) == ([], [])
 
 
 def corpus(n=600, seed=2):
