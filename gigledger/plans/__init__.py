@@ -1,4 +1,4 @@
 """Queries over the driver's tables; importing this package registers them."""
 
-from . import q_columns, q_scores  # noqa: F401
+from . import q_columns, q_matching, q_rollups, q_scores  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
