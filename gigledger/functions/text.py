@@ -198,24 +198,17 @@ def number(c) -> Column:
 
 def free_date(c) -> Column:
     """First of ISO, m/d/yyyy, 'Month d, yyyy' and 'd Month yyyy' found in a text, with its time if any."""
-    text = F.coalesce(c, F.lit(""))
-    clock = r"(?:,?\s*(?:at\s+)?(\d{1,2})(?::(\d{2}))?\s*([AaPp])\.?[Mm]\.?)?"
-    months = "(January|February|March|April|May|June|July|August|September|October|November|December)"
-
-    def stamp(pattern: str, date: Column, first: int) -> Column:
-        got = lambda i: F.regexp_extract(text, pattern + clock, i)
-        hour = got(first).try_cast("int") % 12 + F.when(F.lower(got(first + 2)) == "p", 12).otherwise(0)
-        at = F.format_string("%02d:%02d:00", F.coalesce(hour, F.lit(0)), F.coalesce(got(first + 1).try_cast("int"), F.lit(0)))
-        return F.when(text.rlike(pattern), F.try_to_timestamp(F.concat_ws(" ", date, at), F.lit("yyyy-M-d HH:mm:ss")))
-
-    got = lambda p, i: F.regexp_extract(text, p, i)
-    month = lambda c: F.date_format(F.try_to_timestamp(F.concat(F.lit("2000 "), F.initcap(c), F.lit(" 1")), F.lit("yyyy MMMM d")), "M")
-    iso, slash = r"(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}:\d{2}(?::\d{2})?))?", r"\b(\d{1,2})/(\d{1,2})/(\d{4})"
-    named, day_first = r"(?i)\b" + months + r"\s+(\d{1,2}),?\s+(\d{4})", r"(?i)\b(\d{1,2})\s+" + months + r"\s+(\d{4})"
-    time = F.when(F.length(got(iso, 2)) == 5, F.concat(got(iso, 2), F.lit(":00"))).when(got(iso, 2) != "", got(iso, 2)).otherwise("00:00:00")
-    return F.coalesce(
-        F.when(text.rlike(iso), F.try_to_timestamp(F.concat_ws(" ", got(iso, 1), time), F.lit("yyyy-MM-dd HH:mm:ss"))),
-        stamp(slash, F.concat_ws("-", got(slash, 3), got(slash, 1), got(slash, 2)), 4),
-        stamp(named, F.concat_ws("-", got(named, 3), month(got(named, 1)), got(named, 2)), 4),
-        stamp(day_first, F.concat_ws("-", got(day_first, 3), month(got(day_first, 2)), got(day_first, 1)), 4),
+    text = F.coalesce(c if isinstance(c, Column) else F.col(c), F.lit(""))
+    months = "(?:January|February|March|April|May|June|July|August|September|October|November|December)"
+    found = lambda pattern, i=0: F.nullif(F.regexp_extract(text, pattern, i), F.lit(""))
+    named = lambda pattern, form: F.date_format(F.try_to_timestamp(F.initcap(F.regexp_replace(found(pattern), r"[,\s]+", " ")), F.lit(form)), "yyyy-MM-dd")
+    slash = r"\b(\d{1,2})/(\d{1,2})/(\d{4})"
+    date = F.coalesce(
+        found(r"\d{4}-\d{2}-\d{2}"),
+        F.regexp_replace(found(slash), slash, "$3-$1-$2"),
+        named(rf"(?i)\b{months}\s+\d{{1,2}},?\s+\d{{4}}", "MMMM d yyyy"),
+        named(rf"(?i)\b\d{{1,2}}\s+{months}\s+\d{{4}}", "d MMMM yyyy"),
     )
+    spoken = F.upper(F.regexp_replace(found(r"(?i)\d{4},?\s*(?:at\s+)?(\d{1,2}(?::\d{2})?\s*[ap]\.?m)", 1), r"[\s.]", ""))
+    time = F.coalesce(found(r"\d{4}-\d{2}-\d{2}[T ](\d{2}:\d{2}(?::\d{2})?)", 1), F.date_format(F.try_to_timestamp(spoken, F.lit("h[:mm]a")), "HH:mm"), F.lit("00:00"))
+    return F.try_to_timestamp(F.concat(date, F.lit(" "), time), F.lit("yyyy-M-d HH:mm[:ss]"))

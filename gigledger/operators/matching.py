@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..functions.text import clean, dedupe_text, place_name, region_key
+from ..functions.text import clean, dedupe_text, place_name, region_key, url_host
 
 
 def keyed(rows: DataFrame, id_col: str, keys: list[tuple[str, Column]]) -> DataFrame:
@@ -173,3 +173,17 @@ def listed(rows: DataFrame, entries: DataFrame, id_col: str, email: str = "email
         F.struct(F.lit("domain").alias("kind"), F.lower(domain).alias("value")),
     )
     return rows.select(id_col, F.explode(values).alias("x")).select(id_col, "x.kind", "x.value").join(entries, ["kind", "value"], "left_semi").select(id_col).distinct()
+
+
+def path_matches(submitted: DataFrame, known: DataFrame, id_col: str, url_col: str) -> DataFrame:
+    """(id, known_id): for each submitted URL the smallest known one of its host at the same path or above it.
+
+    A path meets its own ancestors by equality, so a host with many URLs costs each of them its
+    depth only.
+    """
+    url = lambda d: d.select(F.col(id_col).alias("id"), url_host(url_col).alias("host"), F.regexp_replace(F.regexp_extract(url_col, r"^[A-Za-z]+://[^/?#]*([^?#]*)", 1), "/+$", "").alias("path"))
+    index = url(known).groupBy("host", "path").agg(F.min("id").alias("known_id"))
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    met = url(submitted).select("id", "host", F.explode(above).alias("path")).join(index, ["host", "path"])
+    return met.groupBy("id").agg(F.min("known_id").alias("known_id")).withColumnRenamed("id", id_col)
