@@ -209,13 +209,15 @@ def top_products(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     reach = [-longest for longest, _ in parts]
     ranked = buckets.withColumn("part", F.element_at(F.create_map(*[F.lit(x) for kv in rank_of.items() for x in kv]), F.col("part")))
 
-    # the bound: each query against the longest bucket
-    top = ranked.where("part = 0").orderBy(F.col("longest").desc(), "block").limit(1)
+    # the bound: each query against the longest bucket, one block of at most BUCKET vectors
+    top = buckets.where(F.col("part") == parts[0][1]).orderBy(F.col("longest").desc(), "block").first()
+    shared = vectors.sparkSession.sparkContext.broadcast((bytes(top.ids), top.n, top.width, bytes(top.vectors)))
 
     def bound(batches):
+        top_ids, n, width, data = shared.value
+        bucket = Bucket(np.frombuffer(top_ids, "<i8"), _matrix(n, width, data))
         for batch in batches:
             for r in batch.to_pylist():
-                bucket = Bucket(np.frombuffer(r["b_ids"], "<i8"), _matrix(r["b_n"], r["b_width"], r["b_vectors"]))
                 ids, matrix = np.frombuffer(r["ids"], "<i8"), _matrix(r["n"], r["width"], r["vectors"])
                 found = search(bucket, ids, matrix, np.full(len(ids), -np.inf), k)
                 scores: dict[int, list[int]] = {}
@@ -228,9 +230,8 @@ def top_products(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                 last = max([0] + [i for i, x in enumerate(reach) if x >= least])
                 yield pa.RecordBatch.from_arrays([pa.array([r["block"]]), pa.array([bounds.astype("<f8").tobytes()], pa.binary()), pa.array([last], pa.int32())], ["block", "bounds", "last"])
 
-    named = [F.col(c).alias(f"b_{c}") for c in ("n", "width", "ids", "vectors", "longest")]
-    first = queries.withColumn("part", F.lit(0)).join(F.broadcast(top.select("part", *named)), "part")  # one bucket of at most BUCKET vectors
-    bounds = cut(first.select("block", "n", "width", "ids", "vectors", "b_n", "b_width", "b_ids", "b_vectors").mapInArrow(bound, "block string, bounds binary, last int"))
+    named = [F.col(c).alias(f"b_{c}") for c in ("n", "width", "ids", "vectors")]
+    bounds = cut(queries.select("block", "n", "width", "ids", "vectors").mapInArrow(bound, "block string, bounds binary, last int"))
 
     def verify(batches):
         held = None
