@@ -96,7 +96,12 @@ def images(rows: DataFrame, status: str | None = None, role: str | None = None,
 
 def crawl_gate(status: Column, review: Column) -> Column:
     """Why a source is not crawled, null where it is."""
-    return F.when(status == "paused", "paused").when(status == "blocked", "blocked").when(~review.isin("approved", "trusted"), "not_reviewed")
+    return (
+        F.when((status == "blocked") | (review == "blocked"), "blocked")
+        .when(review == "quarantined", "quarantined")
+        .when(F.coalesce(status != "approved", F.lit(True)), F.concat(F.lit("status="), F.coalesce(status, F.lit(""))))
+        .when(F.coalesce(review != "approved", F.lit(True)), F.concat(F.lit("review_status="), F.coalesce(review, F.lit(""))))
+    )
 
 
 def suspicious(rows: DataFrame, level: str = "risk_level", status: str = "status") -> DataFrame:

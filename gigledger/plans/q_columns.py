@@ -106,8 +106,8 @@ register("c06_preview_radius", lambda v: filters.within(v("v_venue"), 12.0, 16.0
 register("c08_poi_buckets", lambda v: filters.poi_buckets(v("v_poi")).select("poi_id", "missing_geo", "missing_name", "missing_image", "missing_contact", "possible_duplicate", "concert_category"),
          "select poi_id, lat is null or lng is null as missing_geo, trim(name) = '' as missing_name, coalesce(trim(image_url), '') = '' as missing_image, website is null and phone is null as missing_contact, contains(lower(coalesce(quality_control, '')), 'duplicate') as possible_duplicate, lower(category) = 'concert' as concert_category from {v_poi}")
 register("c09_image_filter", lambda v: filters.images(v("v_image"), status="accepted", role="event", min_width=800, blocked=False).select("image_id", "width"), "select image_id, width from {v_image} where status = 'accepted' and role = 'event' and width >= 800 and clearance <> 'blocked'")
-register("c13_crawl_gate", lambda v: v("v_event").select("event_id", filters.crawl_gate(F.when(F.col("event_id") % 5 == 0, "paused").when(F.col("event_id") % 7 == 0, "blocked").otherwise("active"), F.when(F.col("event_id") % 3 == 0, "pending").otherwise("approved")).alias("reason")),
-         "select event_id, case when event_id % 5 = 0 then 'paused' when event_id % 7 = 0 then 'blocked' when event_id % 3 = 0 then 'not_reviewed' end as reason from {v_event}")
+register("c13_crawl_gate", lambda v: v("v_event").select("event_id", filters.crawl_gate(F.when(F.col("event_id") % 5 == 0, "paused").when(F.col("event_id") % 7 == 0, "blocked").otherwise("approved"), F.when(F.col("event_id") % 3 == 0, "pending").when(F.col("event_id") % 11 == 0, "quarantined").otherwise("approved")).alias("reason")),
+         "select event_id, case when event_id % 5 > 0 and event_id % 7 = 0 then 'blocked' when event_id % 3 > 0 and event_id % 11 = 0 then 'quarantined' when event_id % 5 = 0 then 'status=paused' when event_id % 3 = 0 then 'review_status=pending' end as reason from {v_event}")
 register("c14_url_safety", lambda v: v("pages").select("page_id", F.array_join(text.url_flags(F.when(F.col("page_id") % 5 == 0, F.lit("ftp://10.0.0.1/x")).when(F.col("page_id") % 5 == 1, F.lit("http://172.20.1.1:80/")).otherwise(F.col("url"))), ",").alias("flags")),
          "select page_id, case page_id % 5 when 0 then 'invalid_url_scheme,dangerous_url' when 1 then 'dangerous_url' else '' end as flags from {pages}")
 register("c15_like_filter", lambda v: filters.like(v("v_venue"), city="city 1", state=" nation_1 ", country="").select("venue_id", "city"), "select venue_id, city from {v_venue} where lower(city) like '%city 1%' and lower(state) like '%nation_1%'".replace("'%nation_1%'", "'%nation\\_1%' escape '\\'"))

@@ -86,8 +86,8 @@ register("i07_record_completeness", lambda v: v("v_claim").select("claim_id", su
          "select claim_id, round(n / 4, 4) as completeness, case when n = 4 then 'normalized' when provider_event_id is not null then 'partial' else 'failed' end as status from (select *, 2 + (provider_event_id is not null)::int + (record_id is not null)::int as n from {v_claim})")
 register("i12_page_fallback", lambda v: with_venue(v).select("event_id", F.when(F.col("image_status") == "accepted", "has_image").when(text.is_blank("tickets_link"), "no_ticket_page").when(~tickets.assess(F.col("tickets_link")).getField("usable"), "ticket_page_not_usable").when(F.col("image_clearance") == "blocked", "blocked").otherwise("fetch").alias("decision")),
          "select event_id, case when image_status = 'accepted' then 'has_image' when coalesce(trim(tickets_link), '') = '' then 'no_ticket_page' when tickets_link like '%facebook%' then 'ticket_page_not_usable' when image_clearance = 'blocked' then 'blocked' else 'fetch' end as decision from {v_event}")
-register("i19_source_rows", lambda v: v("v_attempt").select("attempt_id", F.when(F.col("attempt_id") % 4 > 0, "Org").alias("o"), F.when(F.col("attempt_id") % 3 > 0, F.concat(F.lit("https://"), "domain")).otherwise("ftp://x").alias("u"), F.when(F.col("attempt_id") % 5 > 0, F.col("email")).otherwise("nobody").alias("e"), F.when(F.col("attempt_id") % 2 > 0, "Yes").otherwise("no").alias("c")).select("attempt_id", F.array_join(sheets.source_sheet_errors("o", "u", "e", "c"), ",").alias("errors")),
-         "select attempt_id, " + sql_flags(("attempt_id % 4 = 0", "missing_organization"), ("attempt_id % 3 = 0", "invalid_calendar_url"), ("attempt_id % 5 = 0", "invalid_contact_email"), ("attempt_id % 2 = 0", "authorization_not_confirmed"), sort=True) + " as errors from {v_attempt}")
+register("i19_source_rows", lambda v: v("v_attempt").select("attempt_id", F.when(F.col("attempt_id") % 4 > 0, "Org").alias("organization"), F.when(F.col("attempt_id") % 3 > 0, F.concat(F.lit("https://"), "domain")).otherwise(" ").alias("url"), F.when(F.col("attempt_id") % 5 > 0, F.col("email")).alias("email"), F.when(F.col("attempt_id") % 2 > 0, "Yes").otherwise("no").alias("confirmed"), F.when(F.col("attempt_id") % 7 == 0, "Sports").alias("category")).select("attempt_id", F.array_join(sheets.source_sheet_errors(category="category"), ",").alias("errors")),
+         "select attempt_id, " + sql_flags(("attempt_id % 4 = 0", "organization_name_missing"), ("attempt_id % 3 = 0", "calendar_url_missing"), ("attempt_id % 5 = 0", "contact_email_missing"), ("attempt_id % 2 = 0", "authorization_missing"), ("attempt_id % 7 = 0", "expected_category_not_concert"), sort=True) + " as errors from {v_attempt}")
 register("i21_preflight", lambda v: v("v_crawl").select("crawl_id", F.when(F.col("error").contains("timeout"), "timeout").when(F.col("status") == "failed", "unreachable").when(F.col("status") == "unsupported", "wrong_type").otherwise("ok").alias("preflight")), "select crawl_id, case when contains(error, 'timeout') then 'timeout' when status = 'failed' then 'unreachable' when status = 'unsupported' then 'wrong_type' else 'ok' end as preflight from {v_crawl}")
 register("l01_rate_windows", lambda v: jobs.rate_counts(v("v_attempt").withColumn("created_at", F.col("created_at").cast("timestamp")), "ip_hash", slide="1 hour").select("ip_hash", F.unix_timestamp("window_start").alias("window_start"), "n"), "select ip_hash, (epoch(date_trunc('hour', created_at)))::bigint as window_start, count(*) as n from {v_attempt} group by 1, 2")
 register("l04_running_health", lambda v: jobs.source_health_batch(v("v_crawl")), "select source_id, crawl_id, count(*) over w as runs, (count_if(status = 'success') over w)::bigint as ok, (sum(candidates) over w)::bigint as candidates, candidates = 0 and coalesce(sum(candidates) over (partition by source_id order by crawl_id rows between unbounded preceding and 1 preceding), 0) > 0 as dropped from {v_crawl} window w as (partition by source_id order by crawl_id)")

@@ -114,16 +114,21 @@ def _vendor(v):
 
 register("a04_vendor_json", lambda v: bodies.json_records(_vendor(v)).select("key", F.col("position").cast("long").alias("position"), F.try_variant_get("record", "$.id", "bigint").alias("id"), F.try_variant_get("record", "$.name", "string").alias("name"), F.try_variant_get("record", "$.price.minPrice", "double").alias("price")),
          "select event_id as key, p as position, event_id as id, title as name, price from {v_event} cross join (values (0::bigint), (1::bigint)) t(p) where event_id % 101 > 0 and (p = 0 or event_id % 4 = 0)")
-_SHEET = ["event_name", "headliner", "start_date", "venue_name", "address", "lat", "lng", "image", "category"]
+_SHEET = list(sheets.EVENT_FIELDS)
 
 
 def _sheet(v):
-    line = F.to_csv(F.struct("title", "headliner", F.coalesce(F.date_format("start_ts", "yyyy-MM-dd"), F.lit("n/a")), "location_text", F.when(F.col("event_id") % 5 > 0, " 1 Way ").otherwise(""), F.lit(None).cast("string"), F.lit("1,5"), F.when(F.col("event_id") % 7 == 0, "https://www.facebook.com/p.jpg"), F.when(F.col("event_id") % 11 == 0, "Sports")))
+    n = F.col("event_id")
+    line = F.to_csv(F.struct(
+        F.when(n % 11 == 0, "Sports").alias("c0"), "title", "headliner", F.date_format("start_ts", "yyyy-MM-dd").alias("c3"), F.lit("UTC").alias("c4"), "location_text", F.lit("Town").alias("c6"), F.when(n % 13 > 0, "TN").alias("c7"),
+        F.when(n % 2 == 0, "calendar.example.com").alias("c8"), "tickets_link", F.when(n % 5 > 0, " 1 Way ").otherwise("").alias("c10"), F.lit("1,5").alias("c11"), F.lit(None).cast("string").alias("c12"),
+        F.when(n % 7 == 0, "https://www.facebook.com/p.jpg").when(n % 7 == 1, "https://x.example.com/p.html").alias("c13"), F.when(n % 17 == 0, "https://a.example.com/1.png$https://www.instagram.com/p").alias("c14"),
+    ), {"escape": '"'})
     return sheets.parse_lines(v("v_event").select("event_id", line.alias("line")), "line", _SHEET)
 
 
-register("a01_event_sheet", lambda v: _sheet(v).select("event_id", F.array_join(sheets.event_sheet_errors(image="image"), ",").alias("errors")),
-         "select event_id, " + sql_flags(("trim(title) = ''", "missing_event_name"), ("headliner is null", "missing_headliner"), ("start_ts is null", "invalid_start_date"), ("event_id % 5 = 0", "missing_address_or_coordinates"), ("event_id % 11 = 0", "unsupported_category"), ("event_id % 7 = 0", "social_image_url"), sort=True) + " as errors from {v_event}")
+register("a01_event_sheet", lambda v: _sheet(v).select("event_id", F.array_join(sheets.event_sheet_errors(), ",").alias("errors")),
+         "select event_id, " + sql_flags(("event_id % 11 = 0", "non_concert_category"), ("trim(title) = ''", "event_name_missing"), ("headliner is null", "headliner_missing"), ("start_ts is null", "start_date_missing"), ("event_id % 13 = 0", "state_missing"), ("event_id % 2 > 0 and coalesce(tickets_link, '') = ''", "event_or_ticket_url_missing"), ("event_id % 5 = 0", "venue_address_or_coordinates_missing"), ("event_id % 2 = 0", "event_url_not_full_url"), ("event_id % 7 = 0", "main_image_social_media_url"), ("event_id % 7 = 1", "main_image_not_direct_public_image"), ("event_id % 17 = 0", "additional_image_social_media_url"), sort=True) + " as errors from {v_event}")
 register("a13_feed_export", lambda v: sinks.feed_records(v("v_poi").where("publish_status = 'published'"), "poi", "poi_id", ["poi_id", "name", "city"]), """select 'poi' as kind, poi_id::varchar as id, '{"poi_id":' || poi_id::varchar || ',"name":"' || name || '","city":"' || city || '"}' as payload from {v_poi} where publish_status = 'published'""")
 register("a14_manifest", lambda v: sinks.manifest(sinks.feed_records(v("v_poi"), "poi", "poi_id", ["poi_id", "city"]).unionByName(sinks.feed_records(v("v_venue"), "venue", "venue_id", ["venue_id", "city"]))).select("kind", "records", "bytes"),
          """select kind, count(*) as records, sum(strlen(p))::bigint as bytes from (select 'poi' as kind, '{"poi_id":' || poi_id::varchar || ',"city":"' || city || '"}' as p from {v_poi} union all select 'venue', '{"venue_id":' || venue_id::varchar || ',"city":"' || city || '"}' from {v_venue}) group by 1""")

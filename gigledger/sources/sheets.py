@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import clean, is_blank, number, sorted_flags, truth
+from ..functions.text import clean, is_blank, sorted_flags, truth
 
 # Columns a sheet must have.
 EVENT_SHEET = ("Category", "Event Name", "Headliner", "Start Date", "Timezone", "Venue Name", "City", "State")
@@ -48,24 +48,50 @@ def localised(rows: DataFrame, name: str) -> Column:
     return F.coalesce(*[clean(c) for c in found], F.lit(None).cast("string"))
 
 
-def event_sheet_errors(name="event_name", headliner="headliner", start="start_date", venue="venue_name", address="address", lat="lat", lng="lng", image="image_url", category="category") -> Column:
-    """Sorted rule names an event row breaks; a blank category is a concert."""
-    place = ~is_blank(address) | (number(F.col(lat)).isNotNull() & number(F.col(lng)).isNotNull())
+#: Sheet column by the name that rules use.
+EVENT_FIELDS = {
+    "category": "Category", "event_name": "Event Name", "headliner": "Headliner", "start_date": "Start Date", "timezone": "Timezone", "venue_name": "Venue Name",
+    "city": "City", "state": "State", "event_url": "Event URL", "tickets_link": "Tickets Link", "address": "Venue Address", "lat": "Latitude", "lng": "Longitude",
+    "main_image": "Main Image URL", "images": "Additional Image URL(s)",
+}
+_SOCIAL = r"(?i)//([^/]*\.)?(facebook|instagram|twitter|tiktok|x|youtube)\.com"
+_IMAGE = r"(?i)^https?://[^?#]+\.(jpe?g|png|webp|gif)([?#].*)?$"
+
+
+def event_sheet_errors(**columns: str) -> Column:
+    """Sorted rule names that an event row breaks; a blank category is Concert. Arguments map names of EVENT_FIELDS to columns."""
+    c = lambda name: F.col(columns.get(name, name))
+    gone = lambda name: is_blank(c(name))
+    extra = F.filter(F.transform(F.split(F.coalesce(c("images"), F.lit("")), r"\$"), lambda x: F.trim(x)), lambda x: x != "")
+    bare_url = lambda name: ~gone(name) & ~F.trim(c(name)).rlike("(?i)^https?://[^/]+")
+    required = ("event_name", "headliner", "start_date", "timezone", "venue_name", "city", "state")
     return sorted_flags(
-        (is_blank(name), "missing_event_name"),
-        (is_blank(headliner), "missing_headliner"),
-        (F.try_to_timestamp(F.col(start), F.lit("yyyy-MM-dd")).isNull(), "invalid_start_date"),
-        (is_blank(venue), "missing_venue_name"),
-        (~F.coalesce(place, F.lit(False)), "missing_address_or_coordinates"),
-        (F.lower(F.coalesce(clean(category), F.lit("concert"))) != "concert", "unsupported_category"),
-        (F.lower(F.coalesce(image, F.lit(""))).rlike(r"//([^/]*\.)?(facebook|instagram|twitter|tiktok|x)\.com"), "social_image_url"),
+        (F.coalesce(clean(c("category")), F.lit("Concert")) != "Concert", "non_concert_category"),
+        *[(gone(name), f"{name}_missing") for name in required],
+        (gone("event_url") & gone("tickets_link"), "event_or_ticket_url_missing"),
+        (gone("address") & (gone("lat") | gone("lng")), "venue_address_or_coordinates_missing"),
+        *[(bare_url(name), f"{name}_not_full_url") for name in ("event_url", "tickets_link")],
+        (c("main_image").rlike(_SOCIAL), "main_image_social_media_url"),
+        (~gone("main_image") & ~c("main_image").rlike(_SOCIAL) & ~F.trim(c("main_image")).rlike(_IMAGE), "main_image_not_direct_public_image"),
+        (F.exists(extra, lambda x: x.rlike(_SOCIAL)), "additional_image_social_media_url"),
+        (F.exists(extra, lambda x: ~x.rlike(_SOCIAL) & ~x.rlike(_IMAGE)), "additional_image_not_direct_public_image"),
     )
 
 
-def source_sheet_errors(organization="organization", url="url", email="email", confirmed="confirmed") -> Column:
+def source_sheet_errors(organization: str = "organization", url: str = "url", email: str = "email", confirmed: str = "confirmed", category: str | None = None) -> Column:
+    """Sorted rule names that a calendar-source row breaks."""
+    expected = F.lit(None).cast("string") if category is None else F.col(category)
     return sorted_flags(
-        (is_blank(organization), "missing_organization"),
-        (~F.coalesce(F.lower(url).rlike("^https?://"), F.lit(False)), "invalid_calendar_url"),
-        (~F.coalesce(F.trim(email).rlike(r"^[^@\s]+@[^@\s]+\.[^@\s]+$"), F.lit(False)), "invalid_contact_email"),
-        (~F.coalesce(truth(confirmed), F.lit(False)), "authorization_not_confirmed"),
+        (is_blank(organization), "organization_name_missing"),
+        (is_blank(url), "calendar_url_missing"),
+        (is_blank(email), "contact_email_missing"),
+        (~F.coalesce(truth(F.col(confirmed)), F.lit(False)), "authorization_missing"),
+        (F.coalesce(clean(expected), F.lit("Concert")) != "Concert", "expected_category_not_concert"),
     )
+
+
+def upload_status(rows: DataFrame, key: str, id_col: str, known: DataFrame) -> DataFrame:
+    """new, duplicate_within_file (an earlier row has the key) or duplicate_existing; rows without a key are new."""
+    first = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(id_col).alias("first_id"))
+    out = rows.join(first, key, "left").join(known.select(key).distinct().withColumn("known", F.lit(True)), key, "left")
+    return out.select(id_col, F.when(F.col(id_col) != F.col("first_id"), "duplicate_within_file").when(F.col("known"), "duplicate_existing").otherwise("new").alias("status"))
