@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text
-from ..operators import places, rollups, scores
+from ..functions import geo, text
+from ..operators import filters, genres, matching, places, rollups, routes, scores, search, windows
 from ..sources import sheets
-from .q_columns import sql_flags
+from .q_columns import sql_flags, sql_haversine
 from .q_scores import METRICS, with_venue
+from .q_search import HITS, INDEX, _UP, index
 from .registry import register
 from .views import AS_OF
 
@@ -45,7 +46,7 @@ register("e17_upload_status", lambda v: sheets.upload_status(v("v_event").select
          "select case when event_id <> first_id then 'duplicate_within_file' when source_url in (select source_url from {v_event} where event_id % 97 = 0) then 'duplicate_existing' else 'new' end as status, count(*) as n from (select *, min(event_id) over (partition by source_url) as first_id from {v_event}) group by 1")
 register("f09_source_dashboard", lambda v: scores.trust(rollups.source_metrics(v("v_claim")), _NOW()).agg(F.count(F.lit(1)).alias("sources"), F.count_if(F.col("failure_count") > 0).alias("failed"), F.count_if(F.col("missing_ticket_count") > 0).alias("missing_ticket"), F.count_if(F.col("missing_image_count") > 0).alias("bad_image"), F.count_if(F.col("trust_grade").isin("poor", "blocked")).alias("poor")),
          "select count(*) as sources, count_if(failure_count > 0)::bigint as failed, count_if(missing_ticket_count > 0)::bigint as missing_ticket, count_if(missing_image_count > 0)::bigint as bad_image, 0::bigint as poor from {m}", m=METRICS)
-register("c11_source_filter", lambda v: rollups.source_metrics(v("v_claim")).where((F.col("duplicate_rate") >= 0.08) & (F.col("rejected_count") > 0)).select("source_id"), "select source_id from {m} where duplicate_rate >= 0.08 and rejected_count > 0", m=METRICS)
+register("c11_source_filter", lambda v: rollups.source_metrics(v("v_claim")).where((F.col("missing_image_count") >= 50) & (F.col("success_count") > 0)).select("source_id"), "select source_id from {m} where missing_image_count >= 50 and success_count > 0", m=METRICS)
 register("c12_marker_filter", lambda v: v("v_poi").where("lat between 5 and 20 and lng is not null and category in ('Lodging', 'Cultural')").select("poi_id", "category"), "select poi_id, category from {v_poi} where lat between 5 and 20 and lng is not null and category in ('Lodging', 'Cultural')")
 register("a02_source_sheet", lambda v: sheets.parse_lines(v("v_attempt").select("attempt_id", F.to_csv(F.struct(F.concat(F.lit(' "Org", '), "ip_hash").alias("o"), "domain", "email", F.when(F.col("was_invalid"), "no").otherwise("TRUE").alias("c")), {"escape": '"'}).alias("line")), "line", ["organization", "url", "email", "confirmed"]).select("attempt_id", "organization", "email", text.truth(F.col("confirmed")).alias("confirmed")),
          "select attempt_id, '\"Org\", ' || ip_hash as organization, email, not was_invalid as confirmed from {v_attempt}")
@@ -55,3 +56,32 @@ register("a05_registry_jsonl", lambda v: v("v_poi").select(F.to_json(F.struct("p
 register("a15_source_registry", lambda v: scores.trust(rollups.source_metrics(v("v_claim")), _NOW()).where("failure_count > 0").select("source_id", F.to_json(F.struct("source_id", "event_count")).alias("payload")), """select source_id, '{"source_id":' || source_id::varchar || ',"event_count":' || event_count::varchar || '}' as payload from {m} where failure_count > 0""", m=METRICS)
 register("h05_unique_arrays", lambda v: v("v_event").select("event_id", F.array_join(F.array_distinct(F.concat(text.people("supporting_artists"), text.people("headliner"), F.array(F.lit("Ann")))), "|").alias("people")),
          "select event_id, case event_id % 3 when 0 then concat_ws('|', headliner, 'Ann') when 1 then concat_ws('|', 'Ann', 'Ben', 'Cy', 'Dee', headliner) else concat_ws('|', 'Guests', 'Eve', headliner, 'Ann') end as people from {v_event}")
+
+
+def _routes(v):
+    n = F.col("source_id")
+    r = v("v_claim").select("source_id").distinct().select(n.alias("route_id"), F.when(n % 9 > 0, "Tour").alias("title"), F.when(n % 4 == 0, "draft").otherwise("published").alias("status"), F.when(n % 5 == 0, "https://x.example.com/logo.png").when(n % 5 > 1, "https://x.example.com/h.jpg").alias("hero_image_url"), F.when(n % 3 == 0, "regional").otherwise("artist_tour").alias("route_type"), F.when(n % 2 == 0, n).alias("region_id"), F.when(n % 7 > 0, n).alias("artist_id"))
+    stops = v("v_claim").where("claim_id % 97 = 0").select(n.alias("route_id"), (F.col("artist_id") % 50).alias("poi_id"), (F.col("claim_id") % 13 > 0).alias("located"), F.when(F.col("claim_id") % 5 > 0, "https://x.example.com/s.jpg").alias("image_url"), (F.col("claim_id") % 11 == 0).alias("event_excluded"))
+    return r, stops
+
+
+register("i20_route_quality", lambda v: routes.route_quality(*_routes(v)).select("route_id", "quality", F.array_join("route_flags", ",").alias("flags"), "feed_ready"),
+         """select route_id, q as quality, f as flags, route_id % 4 > 0 and q >= 70 as feed_ready from (select route_id, greatest(0, least(100, 100 - case when route_id % 9 = 0 then 25 else 0 end - case when coalesce(n, 0) < 2 then 25 else 0 end - case when route_id % 4 = 0 then 10 else 0 end - case when route_id % 5 = 1 then 8 when route_id % 5 = 0 then 40 else 0 end
+ - case when n > places then 12 else 0 end - case when route_id % 3 = 0 and route_id % 2 > 0 then 12 else 0 end - case when route_id % 3 > 0 and route_id % 7 = 0 then 12 else 0 end - coalesce(cost, 0)))::bigint as q, """
+         + sql_flags(("route_id % 9 = 0", "missing_title"), ("coalesce(n, 0) < 2", "too_few_stops"), ("route_id % 4 = 0", "not_approved_or_published"), ("route_id % 5 = 1", "missing_hero_image"), ("route_id % 5 = 0", "logo_asset_image"), ("n > places", "duplicate_poi_stops"), ("route_id % 3 = 0 and route_id % 2 > 0", "missing_region"), ("route_id % 3 > 0 and route_id % 7 = 0", "missing_artist"))
+         + " as f from (select distinct source_id as route_id from {v_claim}) left join (select source_id as route_id, count(*) as n, count(distinct artist_id % 50) as places, sum(case when claim_id % 13 = 0 then 8 else 0 end + case when claim_id % 5 = 0 then 3 else 0 end + case when claim_id % 11 = 0 then 20 else 0 end) as cost from {v_claim} where claim_id % 97 = 0 group by 1) using (route_id))")
+register("g03_weakest_per_provider", lambda v: windows.top(v("v_claim").groupBy("provider", "source_id").agg(F.count(F.lit(1)).alias("n")), ["provider"], [F.col("n"), F.col("source_id")], 5).select("provider", "rank", "source_id"),
+         "select provider, rank, source_id from (select provider, source_id, row_number() over (partition by provider order by count(*), source_id)::int as rank from {v_claim} group by 1, 2) where rank <= 5")
+register("g12_ranked_results", lambda v: search.search(index(v), ["nation 1"], 1000).select("rank", "entity_type", "entity_id"), "select row_number() over (order by score desc, entity_type, lower(name), entity_id)::int as rank, entity_type, entity_id from {hits} order by rank limit 1000", up=_UP, idx=INDEX, hits=HITS.replace(HITS[HITS.index("(values ") : HITS.index(") q(n")], "(values (0, 'nation 1')"))
+register("h03_index_union", lambda v: index(v).groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"), F.count_if("upcoming").alias("upcoming")), "select entity_type, count(*) as n, count_if(up)::bigint as upcoming from {idx} group by 1", up=_UP, idx=INDEX)
+register("j02_text_scores", lambda v: index(v).select("entity_type", "entity_id", search.text_score(F.col("normalized_name"), F.col("search_text"), F.lit("hall stage no 3")).alias("score")).where("score > 0"), "select entity_type, entity_id, s as score from {hits}", up=_UP, idx=INDEX, hits=HITS.replace(HITS[HITS.index("(values ") : HITS.index(") q(n")], "(values (0, 'hall stage no 3')"))
+register("j03_rank_scores", lambda v: search.search(index(v), [""], 100000).select("entity_type", "entity_id", "score"), "select entity_type, entity_id, score from {hits}", up=_UP, idx=INDEX, hits=HITS.replace(HITS[HITS.index("(values ") : HITS.index(") q(n")], "(values (0, '')"))
+register("k02_radius_with_distance", lambda v: filters.within(v("v_poi"), 15.0, 20.0, 25.0).select("poi_id", F.round("distance", 6).alias("distance")), f"select poi_id, round(d, 6) as distance from (select poi_id, {sql_haversine('15.0', '20.0', 'lat', 'lng', geo.MILES)} as d from {{v_poi}}) where d <= 25")
+register("k03_nearest_venue", lambda v: matching.nearest(v("v_poi"), v("v_venue"), 2000.0, "poi_id", "venue_id").select("poi_id", "venue_id", F.round("distance", 3).alias("distance")),
+         f"select poi_id, venue_id, round(d, 3) as distance from (select poi_id, venue_id, {sql_haversine('p.lat', 'p.lng', 'v.lat', 'v.lng', geo.METRES)} as d from {{v_poi}} p join {{v_venue}} v on abs(p.lat - v.lat) < 0.05) where d <= 2000 qualify row_number() over (partition by poi_id order by d, venue_id) = 1")
+register("k04_pairs_in_block", lambda v: matching.poi_pairs(v("v_poi"), 30.0, 60.0).groupBy("confidence").agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("first_a")),
+         f"select confidence, count(*) as n, min(a) as first_a from (select a, case when d <= 30 then 'medium' when d <= 60 and (w1 = w2 or p1 = p2) then 'weak' end as confidence from (select x.poi_id as a, {sql_haversine('x.lat', 'x.lng', 'y.lat', 'y.lng', geo.METRES)} as d, x.website as w1, y.website as w2, x.phone as p1, y.phone as p2 from {{k}} x join {{k}} y on x.n = y.n and x.city = y.city and x.state = y.state and x.poi_id < y.poi_id)) where confidence is not null group by 1", k="select *, trim(regexp_replace(replace(lower(name), 'é', 'e'), '\\b(llc)\\b|[^a-z0-9]+', ' ', 'g')) as n from {v_poi} where lat is not null and name <> ''")
+register("l02_first_seen", lambda v: v("v_attempt").dropDuplicates(["email", "kind"]).groupBy("kind").agg(F.count(F.lit(1)).alias("n")), "select kind, count(distinct email) as n from {v_attempt} group by 1")
+register("l03_batch_upsert", lambda v: windows.latest(v("v_claim"), ["event_id"], [F.col("seen_at").desc(), F.col("claim_id").desc(), F.col("source_type").desc()]).join(v("v_event").select("event_id", "title"), "event_id").select("event_id", "title", "claim_id", "source_type"),
+         "select event_id, title, claim_id, source_type from (select *, row_number() over (partition by event_id order by seen_at desc, claim_id desc, source_type desc) as n from {v_claim}) join {v_event} using (event_id) where n = 1".replace("select event_id, title, claim_id, source_type from (select *", "select c.event_id, title, claim_id, c.source_type from (select *").replace(") join {v_event} using (event_id)", ") c join {v_event} e on e.event_id = c.event_id"))
+register("m01_scalar_surface", lambda v: v("v_claim").select("claim_id", F.bround(F.col("amount") / 1000, 1).alias("half_even"), F.greatest("tax", "match_confidence").alias("most"), F.date_format("seen_at", "yyyy-MM-dd").alias("day"), genres.genre_confidence(F.lit("Jazz")).alias("sure")), "select claim_id, round_even(amount / 1000, 1) as half_even, greatest(tax, match_confidence) as most, strftime(seen_at, '%Y-%m-%d') as day, 0.9::double as sure from {v_claim}")

@@ -102,4 +102,4 @@ register("i17_platform_type", lambda v: v("pages").select("page_id", F.when(F.su
          "select page_id, case when contains(substr(html, 1, 50000), 'BEGIN:VCALENDAR') then 'ics' when contains(substr(html, 1, 50000), 'application/ld+json') then 'json_ld' when contains(lower(substr(html, 1, 50000)), '<table') then 'html_table' when contains(lower(substr(html, 1, 50000)), '<article') then 'html_article' else 'unsupported' end as platform from {pages}")
 register("i18_submission_risk", lambda v: scores.risk(v("v_attempt"), {"honeypot_filled": F.col("attempt_id") % 50 == 0, "submitted_too_fast": F.col("value") < 1, "authorization_missing": F.col("was_invalid"), "social_media_profile_url": F.col("kind") == "view", "trusted_submitter_or_domain": F.col("user_id") % 10 == 0}).select("attempt_id", "risk_score", "risk_level", F.array_join("risk_flags", ",").alias("risk_flags")),
          "select attempt_id, s as risk_score, case when s >= 80 then 'blocked' when s >= 50 then 'high' when s >= 20 then 'medium' else 'low' end as risk_level, f as risk_flags from (select attempt_id, greatest(0, case when attempt_id % 50 = 0 then 85 else 0 end + case when value < 1 then 50 else 0 end + case when was_invalid then 80 else 0 end + case when kind = 'view' then 35 else 0 end - case when user_id % 10 = 0 then 20 else 0 end)::bigint as s, " + sql_flags(("attempt_id % 50 = 0", "honeypot_filled"), ("value < 1", "submitted_too_fast"), ("was_invalid", "authorization_missing"), ("kind = 'view'", "social_media_profile_url"), ("user_id % 10 = 0", "trusted_submitter_or_domain"), sort=True) + " as f from {v_attempt})")
-register("i20_genre_share", lambda v: v("v_event").select(genres.genre("genre").alias("genre_name"), "relevance").groupBy("genre_name").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("relevance"), 3).alias("mean_relevance")), f"select {sql_genre('genre')} as genre_name, count(*) as n, round(avg(relevance), 3) as mean_relevance from {{v_event}} group by 1")
+register("f02_genre_share", lambda v: v("v_event").select(genres.genre("genre").alias("genre_name"), "relevance").groupBy("genre_name").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("relevance"), 3).alias("mean_relevance")), f"select {sql_genre('genre')} as genre_name, count(*) as n, round(avg(relevance), 3) as mean_relevance from {{v_event}} group by 1")
