@@ -190,7 +190,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = cut(fingerprints(docs, id_col, text_col, shingle, seed))
     reps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
     linked = components(fingerprint_links(reps, radius))
-    low = linked.join(reps, linked.node == reps.fp).groupBy("root").agg(F.min("low").alias("component_id"))
+    low = cut(linked.join(reps, linked.node == reps.fp).groupBy("root").agg(F.min("low").alias("component_id")))
     linked = linked.join(low, "root").select(F.col("node").alias("fp"), "component_id")
     found = cut(reps.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")))
     return rows.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_words")
