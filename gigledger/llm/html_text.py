@@ -18,6 +18,7 @@ _BLANK = re.compile(r"[ \t\n\r\f]+")
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+_RAW_END = {name: re.compile("</" + name + r"(?=[\s/>])", re.I) for name in RAW}
 UNSEEN = frozenset("head script style template title noscript iframe object svg math audio video canvas datalist noembed noframes select".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table ul".split())
 SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 hr ol p pre table ul".split())
@@ -91,7 +92,7 @@ class Renderer:
 
     def render(self, page: str | None) -> str:
         page = page or ""
-        low, at = page.lower(), 0
+        at = 0
         while at < len(page):
             match = _TOKEN.search(page, at)
             if match is None:
@@ -109,8 +110,8 @@ class Renderer:
                 continue
             self.start(name, match.group(3) or "")
             if name in RAW:
-                stop = low.find("</" + name, at)
-                stop = len(page) if stop < 0 else stop
+                closing = _RAW_END[name].search(page, at)
+                stop = closing.start() if closing else len(page)
                 if name in ("textarea", "xmp"):
                     self.characters(page[at:stop])
                 at = stop

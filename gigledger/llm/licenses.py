@@ -49,9 +49,11 @@ def phrase_places(words: list[bytes], phrases) -> list[tuple[int, str]]:
     out = []
     for phrase, label in phrases:
         sought = b" " + phrase.encode() + b" "
-        at = joined.find(sought)
+        at, seen, index = joined.find(sought), 0, 0
         while at >= 0:
-            out.append((joined.count(b" ", 0, at), label))
+            index += joined.count(b" ", seen, at)
+            seen = at
+            out.append((index, label))
             at = joined.find(sought, at + 1)
     return out
 

@@ -197,7 +197,10 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that represent their component: those whose id is its component_id."""
-    groups = simhash_groups(docs, id_col, text_col, **options)
-    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(keep, id_col, "left_semi")
+    """The documents that represent their component: those whose id is its component_id.
+
+    Rows without an id stay, as do all rows of an id of which one represents its component.
+    """
+    groups = simhash_groups(docs, id_col, text_col, **options).where("doc_id is not null")
+    others = groups.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("first")).where("not first")
+    return docs.join(others.select(F.col("doc_id").alias(id_col)), id_col, "left_anti")

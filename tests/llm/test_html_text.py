@@ -19,6 +19,9 @@ CASES = [
     ("", ""),
     (None, ""),
     ("<p", "<p"),
+    ("İİİ<script>İ</script>a", "İİİa"),
+    ("<script>x</scripty>y</SCRIPT >a", "a"),
+    ("<textarea>t <b>", "t <b>"),
 ]
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import xxhash
 
 from gigledger.llm.graph import components
-from gigledger.llm.simhash import fingerprint, near_pairs, simhash_groups
+from gigledger.llm.simhash import drop_near_duplicates, fingerprint, near_pairs, simhash_groups
 
 
 def plain_fingerprint(text):
@@ -68,6 +68,9 @@ def test_groups_equal_brute_force(spark):
     key = lambda x: (x[0][0], x[0][1] or 0, x[1], x[2] or 0)
     assert sorted(got, key=key) == sorted(brute(rows), key=key)
     assert simhash_groups(df.limit(0)).collect() == []
+    kept = sorted((x.doc_id is None, x.doc_id or 0) for x in drop_near_duplicates(df).collect())
+    first = {i for (_, i), _, low in brute(rows) if i is not None and i == low}
+    assert kept == sorted((i is None, i or 0) for i, _ in rows if i is None or i in first)
 
 
 def test_one_large_group_is_split_and_stays_whole(spark):
