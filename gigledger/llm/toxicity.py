@@ -84,8 +84,12 @@ def labelled_sample(labels: DataFrame, id_col: str, label_col: str, rows: int) -
     return parts[0].unionByName(parts[1])
 
 
-def choose_terms(sample: DataFrame, limit: int, least_rows: int, least_chi2: float, least_odds: float) -> list[str]:
-    """The terms whose presence tells the labels of the sample (text, label) apart most, by chi-square."""
+def choose_terms(sample: DataFrame, limit: int, least_rows: int, least_chi2: float, least_effect: float, least_odds: float) -> list[str]:
+    """The terms whose presence tells the labels of the sample (text, label) apart most, by chi-square.
+
+    least_effect bounds chi-square by the sample's size, so that words of a few copies of one text
+    do not count in a large sample.
+    """
 
     def run(batches):
         seen: dict[str, list[int]] = {}
@@ -114,7 +118,7 @@ def choose_terms(sample: DataFrame, limit: int, least_rows: int, least_chi2: flo
     a, b = F.col("n1"), F.col("n0")
     chi2 = (n0 + n1) * (a * (n0 - b) - b * (n1 - a)) ** 2 / (n0 * n1 * (a + b) * (n0 + n1 - a - b + 1e-9))
     odds = F.abs(F.log((a + 0.5) * (n0 + 1) / ((b + 0.5) * (n1 + 1))))
-    best = counts.where("term <> ''").where(a + b >= least_rows).where((chi2 >= least_chi2) & (odds >= least_odds))
+    best = counts.where("term <> ''").where(a + b >= least_rows).where((chi2 >= max(least_chi2, least_effect * (n0 + n1))) & (odds >= least_odds))
     return [r.term for r in best.orderBy(chi2.desc(), "term").limit(limit).select("term").collect()]
 
 
@@ -176,7 +180,8 @@ def nearest_label_scores(
     k: int = 15,
     prior_votes: float = 0.2,
     least_rows: int = 3,
-    least_chi2: float = 40.0,
+    least_chi2: float = 25.0,
+    least_effect: float = 0.015,
     least_odds: float = 1.2,
 ) -> DataFrame:
     """Per input row: doc_id, held_out, score (0 to 1), predicted, neighbours (ids), similarities, evidence (matched terms).
@@ -195,7 +200,7 @@ def nearest_label_scores(
     marked = labels.where(F.pmod(crc32_of_id(id_col), F.lit(held_out_mod)) != held_out_is)
     sample = cut(labelled_sample(marked, id_col, label_col, sample_rows))  # at most sample_rows short rows
     taken = rows.join(F.broadcast(sample), "doc_id")
-    chosen = choose_terms(taken, terms, least_rows, least_chi2, least_odds)
+    chosen = choose_terms(taken, terms, least_rows, least_chi2, least_effect, least_odds)
 
     def vectors(batches):
         counter = TermCounter(chosen)
