@@ -16,6 +16,11 @@ LEGAL_SUFFIX = r"\b(llc|inc|ltd|corp|co|company)\b"
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid")
 
 
+def bind(value: Column, body) -> Column:
+    """body(value) with the value computed once per row, however often body names it."""
+    return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
+
+
 def clean(c) -> Column:
     """Trimmed text, null where blank."""
     return F.nullif(F.trim(c), F.lit(""))
@@ -198,7 +203,10 @@ def number(c) -> Column:
 
 def free_date(c) -> Column:
     """First of ISO, m/d/yyyy, 'Month d, yyyy' and 'd Month yyyy' found in a text, with its time if any."""
-    text = F.coalesce(c if isinstance(c, Column) else F.col(c), F.lit(""))
+    return bind(F.coalesce(c if isinstance(c, Column) else F.col(c), F.lit("")), _free_date)
+
+
+def _free_date(text: Column) -> Column:
     months = "(?:January|February|March|April|May|June|July|August|September|October|November|December)"
     found = lambda pattern, i=0: F.nullif(F.regexp_extract(text, pattern, i), F.lit(""))
     named = lambda pattern, form: F.date_format(F.try_to_timestamp(F.initcap(F.regexp_replace(found(pattern), r"[,\s]+", " ")), F.lit(form)), "yyyy-MM-dd")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean, flags
+from ..functions.text import bind, clean, flags
 
 # Spellings and the genre they mean, in the order in which they are tried.
 ALIASES = (
@@ -22,7 +22,10 @@ UNKNOWN = "Other / Unknown"
 
 def genre(text) -> Column:
     """An alias that is the whole text, else the first alias within it, else unknown."""
-    low = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[_\-\s]+", " "))
+    return bind(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[_\-\s]+", " ")), _genre)
+
+
+def _genre(low: Column) -> Column:
     out = F.lit(UNKNOWN)
     for alias, name in reversed(ALIASES):
         out = F.when(low.contains(alias), name).otherwise(out)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import flags, url_host
+from ..functions.text import bind, flags, url_host
 
 # Hosts of ticket platforms, of link shorteners, and what path parts mean.
 PLATFORMS = (
@@ -27,18 +27,35 @@ def _any(c: Column, tokens) -> Column:
 def assess(c) -> Column:
     """Struct (category, usable, score, flags) of a link; tracking parameters cost 12 points of a link that is not refused."""
     url = F.trim(F.coalesce(c, F.lit("")))
-    low, host = F.lower(url), F.regexp_replace(url_host(url), r"^www\.", "")
-    path = F.regexp_extract(low, r"^[a-z]+://[^/?#]*([^?#]*)", 1)
-    query = F.regexp_extract(low, r"\?([^#]*)", 1)
+    low = F.lower(url)
+    parts = F.struct(
+        low.alias("low"),
+        F.regexp_replace(url_host(url), r"^www\.", "").alias("host"),
+        F.regexp_extract(low, r"^[a-z]+://[^/?#]*([^?#]*)", 1).alias("path"),
+        F.regexp_extract(low, r"\?([^#]*)", 1).alias("query"),
+    )
+    return bind(parts, lambda p: bind(_ladder(p["low"], p["host"], p["path"]), lambda found: _result(found["category"], found["score"], p["query"])))
+
+
+def _result(category: Column, score: Column, query: Column) -> Column:
     tracking = flags(
         (query.rlike("(^|&)utm_"), "tracking parameter"),
         (query.rlike("(^|&)(fbclid|gclid)="), "click tracking parameter"),
         (query.rlike("(^|&)(aff|affid|affiliate|intsrc|cid)="), "affiliate/tracking parameter"),
     )
-    cart = low.rlike("cart|session|queueittoken|checkout-external")
+    open_ = category.isin(*USABLE) | ((category == "unresolved") & (score == 42))
+    return F.struct(
+        category.alias("category"),
+        category.isin(*USABLE).alias("usable"),
+        (score - F.when(open_ & (query != "") & (F.size(tracking) > 0), 12).otherwise(0)).alias("score"),
+        F.array_sort(tracking).alias("flags"),
+    )
+
+
+def _ladder(low: Column, host: Column, path: Column) -> Column:
     on_platform = host.rlike(r"(^|\.)(" + "|".join(p.replace(".", r"\.") for p in PLATFORMS) + ")$")
     ladder = [
-        (url == "", "blank", 0),
+        (low == "", "blank", 0),
         (~low.rlike("^https?://[^/?#]+"), "suspicious", 5),
         (host.contains("eventbrite.") & path.contains("/checkout-external"), "platform_generic_or_app", 18),
         (host.rlike(r"(^|\.)link\.dice\.fm$"), "platform_generic_or_app", 18),
@@ -51,20 +68,15 @@ def assess(c) -> Column:
         (on_platform, "platform_generic_or_app", 24),
         ((host.isin(*SHORTENERS) | host.contains("redirect")) & low.rlike("ticket|tix"), "redirect_or_handoff", 68),
         (host.isin(*SHORTENERS) | host.contains("redirect"), "unresolved", 28),
-        (cart, "suspicious", 12),
+        (low.rlike("cart|session|queueittoken|checkout-external"), "suspicious", 12),
         (host.rlike("ticket|tix|boxoffice") | path.rlike("ticket|tix|buy"), "direct", 92),
         (low.rlike("calendar|homepage|about|venue"), "non_ticket", 30),
     ]
-    category, score = F.lit("unresolved"), F.lit(42)
+    made = lambda name, points: F.struct(F.lit(name).alias("category"), F.lit(points).alias("score"))
+    out = made("unresolved", 42)
     for condition, name, points in reversed(ladder):
-        category, score = F.when(condition, name).otherwise(category), F.when(condition, points).otherwise(score)
-    open_ = category.isin(*USABLE) | ((category == "unresolved") & (score == 42))
-    return F.struct(
-        category.alias("category"),
-        category.isin(*USABLE).alias("usable"),
-        (score - F.when(open_ & (F.size(tracking) > 0), 12).otherwise(0)).alias("score"),
-        F.array_sort(tracking).alias("flags"),
-    )
+        out = F.when(condition, made(name, points)).otherwise(out)
+    return out
 
 
 def best_links(links: DataFrame, key: str, url: str, priority: str) -> DataFrame:
