@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .substring import window_hashes
 from .util import cut
 
-REMEMBERED = 400_000  # words whose template a worker holds; then it starts anew
+REMEMBERED = 200_000  # words whose template a worker holds; then it starts anew
 CELL_BITS = 22  # the prefilter has 2**22 cells whatever the benchmark's size
 NUMBER, NAME, UNIT = "<num>", "<name>", "<unit>"
 # Units of measure that are replaced by a placeholder.

@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 
-REMEMBERED = 400_000  # encoded words a worker holds; then it starts anew
+REMEMBERED = 200_000  # encoded words a worker holds; then it starts anew
 # Fixed value: the pre-token pattern of this public vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _AFTER_SPACE = re.compile(r"\s ")

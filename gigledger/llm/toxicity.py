@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .util import crc32_of_id, cut
 
 WORDS = re.compile(r"[^\W\d_]+")
-REMEMBERED = 400_000  # words whose terms a worker holds; then it starts anew
+REMEMBERED = 200_000  # words whose terms a worker holds; then it starts anew
 BLOCK = 64  # examples of one block
 DENSE = 0.01  # share of a document's words from which a term that occurs at least twice counts as dense
 
