@@ -19,7 +19,11 @@ _BLANK = re.compile(r"[ \t\n\r\f]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 _RAW_END = {name: re.compile("</" + name + r"(?=[\s/>])", re.I) for name in RAW}
-UNSEEN = frozenset("head script style template title noscript iframe object svg math audio video canvas datalist noembed noframes select".split())
+UNSEEN = frozenset("head script style template title noscript iframe object audio video canvas datalist noembed noframes select".split())
+#: What may stand in an open head; anything else ends it.
+HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
+#: Unseen parts of svg and math elements.
+FOREIGN_UNSEEN = frozenset("desc defs annotation annotation-xml".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table ul".split())
 SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 hr ol p pre table ul".split())
 LISTS = frozenset(("ol", "ul", "menu", "dir"))
@@ -109,7 +113,7 @@ class Renderer:
                 self.end(name)
                 continue
             self.start(name, match.group(3) or "")
-            if name in RAW:
+            if name in RAW and self.stack and self.stack[-1]["name"] == name:
                 closing = _RAW_END[name].search(page, at)
                 stop = closing.start() if closing else len(page)
                 if name in ("textarea", "xmp"):
@@ -119,7 +123,14 @@ class Renderer:
             self.pop()
         return "\n".join(self.canvas.text()).strip("\n")
 
+    def end_head(self) -> None:
+        """Both </head> and <body> may be left out."""
+        if self.stack and self.stack[-1]["name"] == "head":
+            self.pop()
+
     def characters(self, text: str) -> None:
+        if text.strip(" \t\n\r\f"):
+            self.end_head()
         if self.hidden or not text:
             return
         text = html.unescape(text).replace("\x00", "")
@@ -129,6 +140,9 @@ class Renderer:
             self.canvas.write(text)
 
     def start(self, name: str, raw: str) -> None:
+        if name not in HEAD:
+            self.end_head()
+        foreign = self.open["svg"] or self.open["math"]
         found = CLOSES.get(name)
         if found:
             self.close_open(*found)
@@ -137,12 +151,14 @@ class Renderer:
             if name[0] == "h" and name[1:].isdigit():
                 self.close_open(("h1", "h2", "h3", "h4", "h5", "h6"), _SCOPE | BLOCKS - {"h1", "h2", "h3", "h4", "h5", "h6"})
         attrs = {m[0].lower(): html.unescape(m[1] or m[2] or m[3]) for m in _ATTR.findall(raw)} if raw.strip(" /\n\t\r") else {}
-        unseen = name in UNSEEN or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or bool(_HIDING.search(attrs.get("style", ""))) or name == "dialog" and "open" not in attrs
+        unseen = name in UNSEEN or foreign and name in FOREIGN_UNSEEN or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or bool(_HIDING.search(attrs.get("style", ""))) or name == "dialog" and "open" not in attrs
         if name in VOID:
             if not (self.hidden or unseen):
                 self.void(name, attrs)
             return
-        node = {"name": name, "unseen": unseen, "outer": None}
+        if foreign and raw.endswith("/"):
+            return
+        node = {"name": name, "unseen": bool(unseen), "outer": None}
         self.stack.append(node)
         self.open[name] += 1
         if unseen:

@@ -41,3 +41,15 @@ def test_table_form(spark):
     got = sorted(((r.page_id is None, r.page_id or 0), r.text, r.n_chars) for r in extract_pages(df).collect())
     assert got == sorted(((i is None, i or 0), page_text(p), len(page_text(p))) for i, p in rows)
     assert extract_pages(df.limit(0)).collect() == []
+
+
+def test_head_ends_without_its_end_tag_and_body():
+    assert page_text("<html><head><title>T</title><h1>Hello</h1><p>text") == "Hello\n\ntext"
+    assert page_text("<head>\n<meta x><style>p{}</style>\nplain <b>text</b></head> more") == "plain text more"
+    assert page_text("<head><noscript><img alt=no></noscript><title>T</title></head><body>b") == "b"
+
+
+def test_text_of_svg_and_math_is_visible():
+    assert page_text("a <svg><title>no</title><desc>no</desc><defs><text>no</text></defs><text>yes</text></svg> b") == "a yes b"
+    assert page_text("<svg><title/><defs/><path d='M0'/><text>yes</text></svg> b") == "yes b"
+    assert page_text("<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math>") == "x=1"
