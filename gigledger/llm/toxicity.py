@@ -1,21 +1,25 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and the five-character grams of words that tell the labels apart in a bounded
-sample of labelled documents; a repeated term that makes up a hundredth of a document's words also counts
-under a mark of its own. Document frequencies of terms are counted over all documents. Every
-document becomes a short TF-IDF vector. The sample's vectors form an inverted index in blocks of
-examples with each term's largest weight per block: a block whose bound cannot reach the k-th
-similarity so far is never opened, and what is opened is scored exactly.
+Terms of a text are all of its words, their stems (a start mark and four characters) and a mark of its own for every
+term that makes up a hundredth of the words. A term's weight is (1 + ln tf) times its inverse
+document frequency over all documents times its association with the label in the examples (the
+phi coefficient: near 0 for words that tell nothing, and small for words of a few copied texts).
+No term is left out: those of the examples have postings, all others count in a text's norm.
+The examples form an inverted index in blocks. Terms that few examples hold are added up from
+their postings; terms that many hold have a largest weight per block, and a block whose bound
+cannot reach the k-th similarity so far is never opened. What is opened is scored exactly.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,46 +29,74 @@ WORDS = re.compile(r"[^\W\d_]+")
 REMEMBERED = 200_000  # words whose terms a worker holds; then it starts anew
 BLOCK = 64  # examples of one block
 DENSE = 0.01  # share of a document's words from which a term that occurs at least twice counts as dense
+FREQUENT = 1 / 16  # share of the examples from which a term has block maxima instead of being added up
+SLICE = 4096  # terms whose counts travel in one packet
 
 
-def word_terms(word: str) -> set[str]:
-    """A word and its five-character grams, its start marked."""
-    marked = "^" + word
-    return {"=" + word} | {marked[i : i + 5] for i in range(len(marked) - 4)}
+def word_terms(word: str) -> tuple[str, ...]:
+    """A word and, from four characters on, its stem."""
+    return ("=" + word, "^" + word[:4]) if len(word) >= 4 else ("=" + word,)
 
 
-class TermCounter:
-    """Counts of the chosen terms in whole texts; a word's terms are looked up once. Dense terms end in @."""
+def text_terms(text: str | None) -> Counter:
+    """Counts of all terms of a whole text; marks of dense terms end in @ and count once."""
+    words = Counter(WORDS.findall((text or "").lower()))
+    out: Counter = Counter()
+    for word, n in words.items():
+        for term in word_terms(word):
+            out[term] += n
+    dense = max(2, DENSE * words.total())
+    for term in [t for t, n in out.items() if n >= dense]:
+        out[term + "@"] = 1
+    return out
 
-    def __init__(self, terms: list[str]):
-        self.ids, self.known = {t: i for i, t in enumerate(terms)}, {}
-        self.bare = {t.rstrip("@") for t in terms}
 
-    def _of(self, word: str) -> tuple[str, ...]:
+def term_hash(term: str) -> int:
+    return xxhash.xxh64_intdigest(term.encode("utf-8", "surrogatepass"))
+
+
+class Vocabulary:
+    """Numbers of the examples' terms, and whole texts as counts of them; a word's terms are looked up once."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.ids = dict(zip(hashes.tolist(), range(len(hashes))))
+        self.known: dict[str, tuple] = {}
+        self.marks: dict[str, object] = {}
+
+    def _key(self, term: str):
+        """A term's number, or the term itself where no example holds it."""
+        return self.ids.get(term_hash(term), term)
+
+    def _of(self, word: str) -> tuple:
         if len(self.known) >= REMEMBERED:
             self.known.clear()
-        found = tuple(sorted(word_terms(word) & self.bare))
-        self.known[word] = found
+        found = self.known[word] = tuple((self._key(t), t) for t in word_terms(word))
+        return found
+
+    def _mark(self, term: str):
+        if len(self.marks) >= REMEMBERED:
+            self.marks.clear()
+        found = self.marks[term] = self._key(term + "@")
         return found
 
-    def counts(self, text: str | None) -> tuple[list[int], list[int]]:
-        total: Counter = Counter()
+    def counts(self, text: str | None) -> tuple[dict[int, int], list[int], dict]:
+        """(number -> count of terms that examples hold, counts of all other terms, names of all)."""
+        words = Counter(WORDS.findall((text or "").lower()))
         known, slow = self.known, self._of
-        words = WORDS.findall((text or "").lower())
-        for word in words:
-            found = known.get(word)
-            if found is None:
-                found = slow(word)
-            if found:
-                total.update(found)
-        out = {}
-        for term, n in total.items():
-            if term in self.ids:
-                out[self.ids[term]] = n
-            if term + "@" in self.ids and n >= max(2, DENSE * len(words)):
-                out[self.ids[term + "@"]] = 1
-        terms = sorted(out)
-        return terms, [out[t] for t in terms]
+        total: dict = {}
+        names: dict = {}
+        for word, n in words.items():
+            for key, term in known.get(word) or slow(word):
+                total[key] = total.get(key, 0) + n
+                names[key] = term
+        dense = max(2, DENSE * words.total())
+        for key in [k for k, n in total.items() if n >= dense]:
+            term = names[key]
+            mark = self.marks.get(term)
+            if mark is None:
+                mark = self._mark(term)
+            total[mark], names[mark] = 1, term + "@"
+        return {k: n for k, n in total.items() if type(k) is int}, [n for k, n in total.items() if type(k) is str], names
 
 
 def labelled_sample(labels: DataFrame, id_col: str, label_col: str, rows: int) -> DataFrame:
@@ -84,87 +116,154 @@ def labelled_sample(labels: DataFrame, id_col: str, label_col: str, rows: int) -
     return parts[0].unionByName(parts[1])
 
 
-def choose_terms(sample: DataFrame, limit: int, least_rows: int, least_chi2: float, least_effect: float, least_odds: float) -> list[str]:
-    """The terms whose presence tells the labels of the sample (text, label) apart most, by chi-square.
-
-    least_effect bounds chi-square by the sample's size, so that words of a few copies of one text
-    do not count in a large sample.
-    """
-
-    def run(batches):
-        seen: dict[str, list[int]] = {}
-        totals = [0, 0]
-        for batch in batches:
-            for text, label in zip(batch.column(0), batch.column(1).to_pylist()):
-                totals[label] += 1
-                total: Counter = Counter()
-                words = Counter(WORDS.findall((text.as_py() or "").lower()))
-                for word, n in words.items():
-                    for term in word_terms(word):
-                        total[term] += n
-                dense = max(2, DENSE * words.total())
-                for term, n in total.items():
-                    seen.setdefault(term, [0, 0])[label] += 1
-                    if n >= dense:
-                        seen.setdefault(term + "@", [0, 0])[label] += 1
-        seen[""] = totals  # no term is empty
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([c[0] for c in seen.values()], pa.int64()), pa.array([c[1] for c in seen.values()], pa.int64())], ["term", "n0", "n1"])
-
-    counts = cut(sample.select("text", "label").mapInArrow(run, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
-    total = counts.where("term = ''").first()
-    if total is None or not total.n0 or not total.n1:
-        return []
-    n0, n1 = float(total.n0), float(total.n1)
-    a, b = F.col("n1"), F.col("n0")
-    chi2 = (n0 + n1) * (a * (n0 - b) - b * (n1 - a)) ** 2 / (n0 * n1 * (a + b) * (n0 + n1 - a - b + 1e-9))
-    odds = F.abs(F.log((a + 0.5) * (n0 + 1) / ((b + 0.5) * (n1 + 1))))
-    best = counts.where("term <> ''").where(a + b >= least_rows).where((chi2 >= max(least_chi2, least_effect * (n0 + n1))) & (odds >= least_odds))
-    return [r.term for r in best.orderBy(chi2.desc(), "term").limit(limit).select("term").collect()]
+class Examples:
+    """Labelled examples as counts of numbered terms, each term's association with the label among them."""
+
+    def __init__(self, rows: list[tuple[int, int, float, bytes, bytes]]):
+        rows = sorted(rows)
+        self.ids = np.array([r[0] for r in rows], np.int64)
+        self.labels = np.array([r[1] for r in rows], np.int64)
+        self.weights = np.array([r[2] for r in rows])
+        found = np.frombuffer(b"".join(r[3] for r in rows), "<u8")
+        self.counts = np.frombuffer(b"".join(r[4] for r in rows), "<i8")
+        self.hashes, self.terms = np.unique(found, return_inverse=True)
+        sizes = np.array([len(r[3]) // 8 for r in rows], np.int64)
+        self.owner = np.repeat(np.arange(len(rows)), sizes)
+        n1, n0 = float(self.labels.sum()), float(len(rows) - self.labels.sum())
+        toxic = self.labels[self.owner] == 1
+        a, b = (np.bincount(self.terms[m], minlength=len(self.hashes)).astype(float) for m in (toxic, ~toxic))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            phi2 = (a * (n0 - b) - b * (n1 - a)) ** 2 / (n0 * n1 * (a + b) * (n0 + n1 - a - b))
+        self.phi = np.sqrt(np.nan_to_num(phi2, nan=0.0, posinf=0.0))
+
+    def factors(self, frequency: np.ndarray, total: int) -> tuple[np.ndarray, float]:
+        """(idf times association of every numbered term, that of terms which no example holds).
+
+        A term that none of n examples holds is taken to be in one of n + 1 documents and to be
+        as loosely tied to the label as chance makes it, which is 1 / sqrt(n).
+        """
+        n = max(1, len(self.ids))
+        return (np.log((1 + total) / (1 + frequency)) + 1) * self.phi, (math.log((1 + total) / (1 + total / (n + 1))) + 1) / math.sqrt(n)
 
 
 class BlockMaxIndex:
-    """Sparse unit vectors in blocks, with per-term block maxima; exact k best by cosine."""
-
-    def __init__(self, ids: list[int], vectors: list[tuple[list[int], list[float]]], terms: int):
-        order = sorted(range(len(ids)), key=lambda i: (vectors[i][0][int(np.argmax(vectors[i][1]))] if vectors[i][0] else -1, ids[i]))
-        self.order = np.array(order, np.int64)
-        self.ids = np.array(ids, np.int64)[self.order] if ids else np.zeros(0, np.int64)
-        self.blocks = max(1, -(-len(order) // BLOCK))
-        self.highest = np.zeros((terms, self.blocks), np.float64)
-        postings: dict[tuple[int, int], tuple[list[int], list[float]]] = {}
-        for at, i in enumerate(order):
-            for t, w in zip(*vectors[i]):
-                self.highest[t, at // BLOCK] = max(self.highest[t, at // BLOCK], w)
-                slot, weight = postings.setdefault((t, at // BLOCK), ([], []))
-                slot.append(at % BLOCK)
-                weight.append(w)
-        self.postings = {k: (np.array(s, np.int64), np.array(w)) for k, (s, w) in postings.items()}
-
-    def nearest(self, terms: list[int], weights: list[float], k: int, without: int | None = None) -> list[tuple[int, float]]:
+    """Sparse unit vectors (owner, terms, weights) in blocks, with per-term block maxima; exact k best by cosine."""
+
+    def __init__(self, ids: np.ndarray, owner: np.ndarray, terms: np.ndarray, weights: np.ndarray, size: int):
+        n = len(ids)
+        heaviest = np.full(n, -1, np.int64)
+        by_weight = np.lexsort((terms, weights, owner))
+        heaviest[owner[by_weight]] = terms[by_weight]  # the last one written is the heaviest
+        self.order = np.lexsort((ids, heaviest))  # examples with the same heaviest term are neighbours
+        self.ids = ids[self.order]
+        self.blocks = max(1, -(-n // BLOCK))
+        place = np.empty(n, np.int64)
+        place[self.order] = np.arange(n)
+        held = np.bincount(terms, minlength=size)
+        frequent = np.nonzero(held >= max(BLOCK, n * FREQUENT))[0]
+        self.row = np.full(size, -1, np.int64)
+        self.row[frequent] = np.arange(len(frequent))
+        row = self.row[terms]
+        many = row >= 0
+        self.dense = np.zeros((self.blocks, len(frequent), BLOCK))
+        at = place[owner[many]]
+        self.dense[at // BLOCK, row[many], at % BLOCK] = weights[many]
+        self.highest = self.dense.max(axis=2)
+        few = np.nonzero(~many)[0]
+        few = few[np.argsort(terms[few], kind="stable")]
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(terms[few], minlength=size))])
+        self.place, self.weight = place[owner[few]].astype(np.int32), weights[few]
+        by_place = np.lexsort((terms, place[owner]))
+        self.vector = terms[by_place].astype(np.int32)
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(place[owner], minlength=n))])
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int | None = None) -> list[tuple[int, float]]:
         """[(position in the index, cosine)] of the k most similar with a cosine above 0; ties to the smaller id."""
-        bound = np.array(weights) @ self.highest[terms]
+        row = self.row[terms]
+        few, many = row < 0, row >= 0
+        begin = self.start[terms[few]]
+        size = self.start[terms[few] + 1] - begin
+        at = np.arange(size.sum()) + np.repeat(begin - np.cumsum(size) + size, size)
+        part = np.bincount(self.place[at], self.weight[at] * np.repeat(weights[few], size), self.blocks * BLOCK).reshape(self.blocks, BLOCK)
+        row, weights = row[many], weights[many]
+        bound = part.max(axis=1) + self.highest[:, row] @ weights
+        todo = np.argsort(-bound, kind="stable")
+        todo = todo[bound[todo] > 0]
         best: list[tuple[float, int, int]] = []
-        for block in np.argsort(-bound, kind="stable").tolist():
-            if bound[block] <= 0 or len(best) == k and bound[block] < -best[-1][0] - 1e-9:
-                break
-            scores = np.zeros(BLOCK)
-            for t, w in zip(terms, weights):
-                held = self.postings.get((t, block))
-                if held is not None:
-                    scores[held[0]] += w * held[1]
-            for slot in np.nonzero(scores)[0].tolist():
-                at = block * BLOCK + slot
-                if self.ids[at] != without:
-                    best.append((-round(float(scores[slot]), 12), int(self.ids[at]), at))
+        step = 4
+        while len(todo):
+            if len(best) == k:
+                todo = todo[bound[todo] >= -best[-1][0] - 1e-9]
+            opened, todo, step = todo[:step], todo[step:], 2 * step
+            scores = np.round(part[opened] + weights @ self.dense[np.ix_(opened, row)], 12)
+            floor = -best[-1][0] if len(best) == k else 0.0
+            if np.count_nonzero(scores > floor) > 2 * k:
+                floor = max(floor, np.partition(scores, scores.size - 2 * k, axis=None)[scores.size - 2 * k])
+            for b, slot in zip(*np.nonzero((scores >= floor) & (scores > 0))):
+                place = int(opened[b]) * BLOCK + int(slot)
+                if self.ids[place] != without:
+                    best.append((-float(scores[b, slot]), int(self.ids[place]), place))
             best = sorted(best)[:k]
-        return [(at, -s) for s, _, at in best]
+        return [(place, -s) for s, _, place in best]
 
+    def shared_terms(self, place: int, terms: np.ndarray, weights: np.ndarray, limit: int = 8) -> list[int]:
+        """The terms of a vector that add most to its product with the example at a place, most first."""
+        mine, at = self.vector[self.first[place] : self.first[place + 1]], np.argsort(-weights, kind="stable")[: 4 * limit]
+        common = [int(t) for t in terms[at] if mine[min(np.searchsorted(mine, t), len(mine) - 1)] == t]
+        return common[:limit]
 
-def tf_idf(terms: list[int], counts: list[int], idf: np.ndarray) -> list[float]:
-    """Unit vector of (1 + ln tf) idf."""
-    raw = [(1 + math.log(c)) * float(idf[t]) for t, c in zip(terms, counts)]
-    norm = math.sqrt(sum(x * x for x in raw)) or 1.0
-    return [x / norm for x in raw]
+
+def example_rows(taken: DataFrame) -> list[tuple]:
+    """The sampled examples (doc_id, label, weight, text) as (doc_id, label, weight, term hashes, counts) on the driver; bounded by the sample."""
+
+    def run(batches):
+        for batch in batches:
+            hashes, counts = [], []
+            for text in batch.column(3):
+                terms = text_terms(text.as_py())
+                hashes.append(np.array([term_hash(t) for t in terms], "<u8").tobytes())
+                counts.append(np.array(list(terms.values()), "<i8").tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(hashes, pa.binary()), pa.array(counts, pa.binary())], ["doc_id", "label", "weight", "hashes", "counts"])
+
+    found = taken.select("doc_id", "label", "weight", "text").mapInArrow(run, "doc_id long, label int, weight double, hashes binary, counts binary")
+    return [(r.doc_id, r.label, r.weight, bytes(r.hashes), bytes(r.counts)) for r in found.collect()]
+
+
+def document_frequencies(rows: DataFrame, shared, size: int) -> tuple[np.ndarray, int]:
+    """(in how many rows each numbered term occurs, number of rows), over all rows and whole texts.
+
+    Every task counts all it reads and sends its counts once, in packets of SLICE terms; packets of
+    one slice are summed as they stream in.
+    """
+
+    def count(batches):
+        vocabulary, counts = Vocabulary(shared.value), np.zeros(size + 1, np.int64)
+        for batch in batches:
+            for text in batch.column(0):
+                inside, _, _ = vocabulary.counts(text.as_py())
+                counts[np.fromiter(inside, np.int64, len(inside))] += 1
+            counts[size] += batch.num_rows
+        packets = [(i, counts[i * SLICE : (i + 1) * SLICE]) for i in range(size // SLICE + 1)]
+        packets = [(i, zlib.compress(p.astype("<i8").tobytes(), 1)) for i, p in packets if p.any()]
+        yield _packets(packets)
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                part = np.frombuffer(zlib.decompress(data), "<i8")
+                sums[i] = sums[i] + part if i in sums else part
+        yield _packets([(i, s.tobytes()) for i, s in sums.items()])
+
+    def _packets(pairs):
+        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int32()), pa.array([p[1] for p in pairs], pa.binary())], ["slice", "counts"])
+
+    schema = "slice int, counts binary"
+    out = np.zeros((size // SLICE + 1) * SLICE, np.int64)
+    for r in rows.select("text").mapInArrow(count, schema).repartition("slice").mapInArrow(add, schema).collect():  # one row per slice of the vocabulary
+        part = np.frombuffer(bytes(r.counts), "<i8")
+        out[r.slice * SLICE : r.slice * SLICE + len(part)] = part
+    return out[:size], int(out[size])
 
 
 def nearest_label_scores(
@@ -175,65 +274,73 @@ def nearest_label_scores(
     text_col: str = "text",
     held_out_mod: int = 5,
     held_out_is: int = 0,
-    sample_rows: int = 8000,
-    terms: int = 600,
+    sample_rows: int = 4000,
+    sample_bytes: int = 64_000_000,
     k: int = 15,
     prior_votes: float = 0.2,
-    least_rows: int = 3,
-    least_chi2: float = 25.0,
-    least_effect: float = 0.015,
-    least_odds: float = 1.2,
 ) -> DataFrame:
-    """Per input row: doc_id, held_out, score (0 to 1), predicted, neighbours (ids), similarities, evidence (matched terms).
+    """Per input row: doc_id, held_out, score (0 to 1), predicted, neighbours (ids), similarities, evidence.
 
     Labels are learnt only where crc32(doc_id) mod held_out_mod is not held_out_is, from at most
-    sample_rows of them (the documented bound; index and term list are bounded by it). The k nearest
-    examples vote with the weight of their class over their distance (1.05 - cosine), joined by
-    prior_votes at the rate of label 1 among documents without any chosen term; a row's own example
-    never votes.
-    Documents without a chosen term, null and empty texts get that rate alone. Without labels of
-    both classes every score is 0. Repeated rows each give a row; null ids are held out by the
-    crc32 of the empty text like any id; other columns are ignored.
+    sample_rows of them, half of each class at most, and at most sample_bytes of their texts (the
+    documented bound; index and vocabulary are bounded by it). Every term of a text takes part.
+    The k nearest examples vote with the weight of their class over their distance (1.05 - cosine),
+    joined by prior_votes at the rate of label 1; a row's own example never votes. evidence names
+    the weightiest terms (eight at most) that the text shares with the nearest example.
+    Null and empty texts, and texts that share no term with any example, get the rate of label 1.
+    Without labels of both classes every score is 0. Ties in similarity go to the smaller id; an
+    example id with several texts counts with the smallest. Repeated rows each give a row; null ids
+    are held out by the crc32 of the empty text like any id; other columns are ignored; an empty
+    table gives no rows.
     """
     held = (F.pmod(crc32_of_id("doc_id"), F.lit(held_out_mod)) == held_out_is).alias("held_out")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     marked = labels.where(F.pmod(crc32_of_id(id_col), F.lit(held_out_mod)) != held_out_is)
     sample = cut(labelled_sample(marked, id_col, label_col, sample_rows))  # at most sample_rows short rows
-    taken = rows.join(F.broadcast(sample), "doc_id")
-    chosen = choose_terms(taken, terms, least_rows, least_chi2, least_effect, least_odds)
-
-    def vectors(batches):
-        counter = TermCounter(chosen)
-        for batch in batches:
-            pairs = [counter.counts(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p[0] for p in pairs], pa.list_(pa.int32())), pa.array([p[1] for p in pairs], pa.list_(pa.int32()))], ["doc_id", "terms", "counts"])
-
-    found = cut(rows.mapInArrow(vectors, "doc_id long, terms array<int>, counts array<int>"))
-    total = found.count()
-    frequency = {r.term: r.n for r in found.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}
-    idf = np.array([math.log((1 + total) / (1 + frequency.get(t, 0))) + 1 for t in range(len(chosen))])
-    examples = found.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("terms", "counts", "label", "weight"), F.struct("terms", "counts")).alias("e")).select("doc_id", "e.*").collect()  # at most sample_rows
-    examples.sort(key=lambda r: r.doc_id)
-    blank = [(r.label, r.weight) for r in examples if not r.terms]
-    prior = (sum(y * w for y, w in blank) + 1e-3) / (sum(w for _, w in blank) + 1.0) if examples and chosen else 0.0
-    held_examples = [r for r in examples if r.terms]
-    index = BlockMaxIndex([r.doc_id for r in held_examples], [(r.terms, tf_idf(r.terms, r.counts, idf)) for r in held_examples], len(chosen))
-    label, weight = (np.array([getattr(held_examples[i], c) for i in index.order], float) for c in ("label", "weight"))
-    shared = docs.sparkSession.sparkContext.broadcast((index, idf, label, weight))  # bounded by sample_rows and terms
+    taken = cut(rows.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label", "weight").agg(F.coalesce(F.min("text"), F.lit("")).alias("text")))
+    sizes = taken.select("doc_id", "label", F.octet_length("text").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # at most sample_rows
+    fits, number = set(), {}
+    for label in (0, 1):
+        of_class = [r for r in sizes if r.label == label]
+        sums = np.cumsum([r.n for r in of_class])
+        kept = [r.doc_id for r, s in zip(of_class, sums) if s <= sample_bytes // 2]
+        fits.update(kept)
+        number[label] = len(of_class) / max(1, len(kept))
+    whole = len(fits) == len(sizes)
+    examples = Examples([(i, y, w * number[y], *rest) for i, y, w, *rest in example_rows(taken if whole else taken.where(F.col("doc_id").isin(list(fits))))])
+    context = docs.sparkSession.sparkContext
+    if len(set(examples.labels.tolist())) < 2:
+        nothing = [F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.array().cast("array<long>").alias("neighbours"), F.array().cast("array<double>").alias("similarities"), F.lit("").alias("evidence")]
+        return rows.select("doc_id", held, *nothing)
+    size = len(examples.hashes)
+    frequency, total = document_frequencies(rows, context.broadcast(examples.hashes), size)  # bounded by the sample's terms
+    factor, other = examples.factors(frequency, total)
+    raw = (1 + np.log(examples.counts)) * factor[examples.terms]
+    norm = np.sqrt(np.bincount(examples.owner, raw**2, len(examples.ids)))
+    weights = raw / np.where(norm > 0, norm, 1)[examples.owner]
+    prior = float((examples.labels * examples.weights).sum() / examples.weights.sum())
+    index = BlockMaxIndex(examples.ids, examples.owner, examples.terms, weights, size)
+    shared = context.broadcast((examples.hashes, factor, other, index, examples.labels[index.order].astype(float), examples.weights[index.order]))  # bounded by the sample
 
     def score(batches):
-        index, idf, label, weight = shared.value
+        hashes, factor, other, index, label, weight = shared.value
+        vocabulary = Vocabulary(hashes)
         for batch in batches:
             scores, near, similar, evidence = [], [], [], []
-            for doc, ts, cs in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                best = index.nearest(ts, tf_idf(ts, cs, idf), k, doc) if ts else []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                inside, outside, names = vocabulary.counts(text.as_py())
+                terms = np.array(sorted(inside), np.int64)
+                ws = (1 + np.log(np.array([inside[t] for t in terms.tolist()], float))) * factor[terms]
+                norm = math.sqrt(float((ws**2).sum()) + other**2 * sum((1 + math.log(n)) ** 2 for n in outside))
+                ws = ws / norm if norm > 0 else ws
+                best = index.nearest(terms, ws, k, doc)
                 votes = [(weight[at] / (1.05 - s), label[at]) for at, s in best]
                 scores.append(min(1.0, (sum(v * y for v, y in votes) + prior_votes * prior) / (sum(v for v, _ in votes) + prior_votes)))
                 near.append([int(index.ids[at]) for at, _ in best])
                 similar.append([s for _, s in best])
-                evidence.append(" ".join(chosen[t] for t in ts))
+                evidence.append(" ".join(names[t] for t in index.shared_terms(best[0][0], terms, ws)) if best else "")
             arrays = [batch.column(0), pa.array(scores, pa.float64()), pa.array(near, pa.list_(pa.int64())), pa.array(similar, pa.list_(pa.float64())), pa.array(evidence, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "score", "neighbours", "similarities", "evidence"])
 
-    out = found.mapInArrow(score, "doc_id long, score double, neighbours array<long>, similarities array<double>, evidence string")
+    out = rows.mapInArrow(score, "doc_id long, score double, neighbours array<long>, similarities array<double>, evidence string")
     return out.select("doc_id", held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "neighbours", "similarities", "evidence")
