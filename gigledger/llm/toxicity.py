@@ -7,7 +7,7 @@ phi coefficient: near 0 for words that tell nothing, and small for words of a fe
 No term is left out: those of the examples have postings, all others count in a text's norm.
 The examples form an inverted index in blocks. Terms that few examples hold are added up from
 their postings; terms that many hold have a largest weight per block, and a block whose bound
-cannot reach the k-th similarity so far is never opened. What is opened is scored exactly.
+cannot reach the k-th similarity so far is not opened. What may be nearest is verified exactly.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +28,10 @@ WORDS = re.compile(r"[^\W\d_]+")
 REMEMBERED = 200_000  # words whose terms a worker holds; then it starts anew
 BLOCK = 64  # examples of one block
 DENSE = 0.01  # share of a document's words from which a term that occurs at least twice counts as dense
-FREQUENT = 1 / 16  # share of the examples from which a term has block maxima instead of being added up
+FREQUENT = 1 / 16  # share of the examples from which a term has block maxima
+TOGETHER = 128  # texts that are compared at once
+SLACK = 1e-5  # more than single precision can be off; what may be nearest is verified in double precision
+NONE = np.iinfo(np.int64).min  # no stem
 SLICE = 4096  # terms whose counts travel in one packet
 
 
@@ -51,52 +53,73 @@ def text_terms(text: str | None) -> Counter:
     return out
 
 
-def term_hash(term: str) -> int:
-    return xxhash.xxh64_intdigest(term.encode("utf-8", "surrogatepass"))
+class _Known(dict):
+    """word -> its place in a table of term numbers; each word is looked up once."""
 
+    def __init__(self, ids: dict[str, int]):
+        self.ids, self.others = ids, {}
+        self.table = np.zeros((2, 4096), np.int64)
 
-class Vocabulary:
-    """Numbers of the examples' terms, and whole texts as counts of them; a word's terms are looked up once."""
+    def __missing__(self, word: str) -> int:
+        at = self[word] = len(self)
+        if at == self.table.shape[1]:
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)], axis=1)
+        self.table[1, at] = NONE
+        for i, term in enumerate(word_terms(word)):  # a term that no example holds has a negative number of its own
+            self.table[i, at] = self.ids[term] if term in self.ids else self.others.setdefault(term, -1 - len(self.others))
+        return at
 
-    def __init__(self, hashes: np.ndarray):
-        self.ids = dict(zip(hashes.tolist(), range(len(hashes))))
-        self.known: dict[str, tuple] = {}
-        self.marks: dict[str, object] = {}
 
-    def _key(self, term: str):
-        """A term's number, or the term itself where no example holds it."""
-        return self.ids.get(term_hash(term), term)
+class Vocabulary:
+    """Numbers of the examples' terms, and whole texts as counts of them."""
 
-    def _of(self, word: str) -> tuple:
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        found = self.known[word] = tuple((self._key(t), t) for t in word_terms(word))
-        return found
-
-    def _mark(self, term: str):
-        if len(self.marks) >= REMEMBERED:
-            self.marks.clear()
-        found = self.marks[term] = self._key(term + "@")
-        return found
-
-    def counts(self, text: str | None) -> tuple[dict[int, int], list[int], dict]:
-        """(number -> count of terms that examples hold, counts of all other terms, names of all)."""
+    def __init__(self, terms: list[str]):
+        ids = dict(zip(terms, range(len(terms))))
+        self.known = _Known(ids)
+        self.mark = np.array([ids.get(t + "@", -1) for t in terms], np.int64)
+
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sorted numbers of the terms that examples hold, their counts, counts of all other terms)."""
         words = Counter(WORDS.findall((text or "").lower()))
-        known, slow = self.known, self._of
-        total: dict = {}
-        names: dict = {}
-        for word, n in words.items():
-            for key, term in known.get(word) or slow(word):
-                total[key] = total.get(key, 0) + n
-                names[key] = term
-        dense = max(2, DENSE * words.total())
-        for key in [k for k, n in total.items() if n >= dense]:
-            term = names[key]
-            mark = self.marks.get(term)
-            if mark is None:
-                mark = self._mark(term)
-            total[mark], names[mark] = 1, term + "@"
-        return {k: n for k, n in total.items() if type(k) is int}, [n for k, n in total.items() if type(k) is str], names
+        if len(self.known) >= REMEMBERED:
+            self.known = _Known(self.known.ids)
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        times = np.fromiter(words.values(), np.int64, len(words))
+        first, second = self.known.table[:, at]
+        stemmed = second != NONE
+        terms, back = np.unique(np.concatenate([first, second[stemmed]]), return_inverse=True)
+        counts = np.bincount(back, np.concatenate([times, times[stemmed]]), len(terms)).astype(np.int64)
+        inside = terms >= 0
+        dense = counts >= max(2, DENSE * int(times.sum()))
+        marks = self.mark[terms[inside & dense]]
+        marks = marks[marks >= 0]
+        others = np.concatenate([counts[~inside], np.ones(np.count_nonzero(dense) - len(marks), np.int64)])
+        terms, counts = np.concatenate([terms[inside], marks]), np.concatenate([counts[inside], np.ones(len(marks), np.int64)])
+        order = np.argsort(terms)
+        return terms[order], counts[order], others
+
+
+_HELD: dict[str, Vocabulary] = {}  # the vocabulary a worker used last
+
+
+def vocabulary_of(words: str) -> Vocabulary:
+    if words not in _HELD:
+        _HELD.clear()
+        _HELD[words] = Vocabulary(words.split(" "))
+    return _HELD[words]
+
+
+def pack_vector(terms: np.ndarray, counts: np.ndarray, others: np.ndarray) -> bytes:
+    """Sorted numbers as steps, then counts, then other counts; packed."""
+    head = np.array([len(terms), len(others)], "<u4").tobytes()
+    steps = np.diff(terms, prepend=0)
+    return zlib.compress(head + b"".join(x.astype("<u4").tobytes() for x in (steps, counts, others)), 1)
+
+
+def unpack_vector(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    values = np.frombuffer(zlib.decompress(data), "<u4").astype(np.int64)
+    n = int(values[0])
+    return np.cumsum(values[2 : 2 + n]), values[2 + n : 2 + 2 * n], values[2 + 2 * n :]
 
 
 def labelled_sample(labels: DataFrame, id_col: str, label_col: str, rows: int) -> DataFrame:
@@ -117,21 +140,28 @@ def labelled_sample(labels: DataFrame, id_col: str, label_col: str, rows: int) -
 
 
 class Examples:
-    """Labelled examples as counts of numbered terms, each term's association with the label among them."""
-
-    def __init__(self, rows: list[tuple[int, int, float, bytes, bytes]]):
-        rows = sorted(rows)
-        self.ids = np.array([r[0] for r in rows], np.int64)
-        self.labels = np.array([r[1] for r in rows], np.int64)
-        self.weights = np.array([r[2] for r in rows])
-        found = np.frombuffer(b"".join(r[3] for r in rows), "<u8")
-        self.counts = np.frombuffer(b"".join(r[4] for r in rows), "<i8")
-        self.hashes, self.terms = np.unique(found, return_inverse=True)
-        sizes = np.array([len(r[3]) // 8 for r in rows], np.int64)
-        self.owner = np.repeat(np.arange(len(rows)), sizes)
-        n1, n0 = float(self.labels.sum()), float(len(rows) - self.labels.sum())
+    """Labelled examples (id, label, weight, terms, counts) by numbered terms, and each term's association with the label among them."""
+
+    def __init__(self, rows):
+        ids: dict[str, int] = {}
+        found = []
+        for doc, label, weight, terms, counts in rows:
+            numbers = np.array([ids.setdefault(t, len(ids)) for t in terms.split(" ")] if terms else [], np.int64)
+            found.append((doc, label, weight, numbers, np.frombuffer(counts, "<u4")))
+        found.sort(key=lambda r: r[0])
+        names = sorted(ids)  # numbers follow the terms' order, whatever the order of the rows
+        number = np.empty(len(names), np.int64)
+        number[[ids[t] for t in names]] = np.arange(len(names))
+        self.names = names
+        self.ids = np.array([r[0] for r in found], np.int64)
+        self.labels = np.array([r[1] for r in found], np.int64)
+        self.weights = np.array([r[2] for r in found])
+        self.terms = number[np.concatenate([r[3] for r in found])] if found else np.zeros(0, np.int64)
+        self.counts = np.concatenate([r[4] for r in found]).astype(np.int64) if found else np.zeros(0, np.int64)
+        self.owner = np.repeat(np.arange(len(found)), [len(r[3]) for r in found])
+        n1, n0 = float(self.labels.sum()), float(len(found) - self.labels.sum())
         toxic = self.labels[self.owner] == 1
-        a, b = (np.bincount(self.terms[m], minlength=len(self.hashes)).astype(float) for m in (toxic, ~toxic))
+        a, b = (np.bincount(self.terms[m], minlength=len(names)).astype(float) for m in (toxic, ~toxic))
         with np.errstate(divide="ignore", invalid="ignore"):
             phi2 = (a * (n0 - b) - b * (n1 - a)) ** 2 / (n0 * n1 * (a + b) * (n0 + n1 - a - b))
         self.phi = np.sqrt(np.nan_to_num(phi2, nan=0.0, posinf=0.0))
@@ -159,93 +189,118 @@ class BlockMaxIndex:
         self.blocks = max(1, -(-n // BLOCK))
         place = np.empty(n, np.int64)
         place[self.order] = np.arange(n)
+        place = place[owner]
         held = np.bincount(terms, minlength=size)
         frequent = np.nonzero(held >= max(BLOCK, n * FREQUENT))[0]
-        self.row = np.full(size, -1, np.int64)
+        self.row = np.full(size, -1, np.int32)
         self.row[frequent] = np.arange(len(frequent))
         row = self.row[terms]
         many = row >= 0
-        self.dense = np.zeros((self.blocks, len(frequent), BLOCK))
-        at = place[owner[many]]
-        self.dense[at // BLOCK, row[many], at % BLOCK] = weights[many]
-        self.highest = self.dense.max(axis=2)
+        self.dense = np.zeros((self.blocks, len(frequent), BLOCK), np.float32)
+        self.dense[place[many] // BLOCK, row[many], place[many] % BLOCK] = weights[many]
+        self.highest = self.dense.max(axis=2).T
         few = np.nonzero(~many)[0]
-        few = few[np.argsort(terms[few], kind="stable")]
+        few = few[np.lexsort((place[few], terms[few]))]
         self.start = np.concatenate([[0], np.cumsum(np.bincount(terms[few], minlength=size))])
-        self.place, self.weight = place[owner[few]].astype(np.int32), weights[few]
-        by_place = np.lexsort((terms, place[owner]))
-        self.vector = terms[by_place].astype(np.int32)
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(place[owner], minlength=n))])
+        self.place, self.weight = place[few].astype(np.int32), weights[few]
+        by_place = np.lexsort((terms, place))
+        self.vector, self.value = terms[by_place].astype(np.int32), weights[by_place]
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=n))])
+        self.query = np.zeros(size)
+
+    def _add(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """What rare terms add to every example's product, from their postings."""
+        begin = self.start[terms]
+        size = self.start[terms + 1] - begin
+        at = np.arange(size.sum()) + np.repeat(begin - np.cumsum(size) + size, size)
+        return np.bincount(self.place[at], self.weight[at] * np.repeat(weights, size), self.blocks * BLOCK)
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int | None = None) -> list[tuple[int, float]]:
-        """[(position in the index, cosine)] of the k most similar with a cosine above 0; ties to the smaller id."""
-        row = self.row[terms]
-        few, many = row < 0, row >= 0
-        begin = self.start[terms[few]]
-        size = self.start[terms[few] + 1] - begin
+    def _products(self, places: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Whole products with single examples, from their own vectors."""
+        self.query[terms] = weights
+        begin = self.first[places]
+        size = self.first[places + 1] - begin
         at = np.arange(size.sum()) + np.repeat(begin - np.cumsum(size) + size, size)
-        part = np.bincount(self.place[at], self.weight[at] * np.repeat(weights[few], size), self.blocks * BLOCK).reshape(self.blocks, BLOCK)
-        row, weights = row[many], weights[many]
-        bound = part.max(axis=1) + self.highest[:, row] @ weights
-        todo = np.argsort(-bound, kind="stable")
-        todo = todo[bound[todo] > 0]
-        best: list[tuple[float, int, int]] = []
-        step = 4
-        while len(todo):
-            if len(best) == k:
-                todo = todo[bound[todo] >= -best[-1][0] - 1e-9]
-            opened, todo, step = todo[:step], todo[step:], 2 * step
-            scores = np.round(part[opened] + weights @ self.dense[np.ix_(opened, row)], 12)
-            floor = -best[-1][0] if len(best) == k else 0.0
-            if np.count_nonzero(scores > floor) > 2 * k:
-                floor = max(floor, np.partition(scores, scores.size - 2 * k, axis=None)[scores.size - 2 * k])
-            for b, slot in zip(*np.nonzero((scores >= floor) & (scores > 0))):
-                place = int(opened[b]) * BLOCK + int(slot)
-                if self.ids[place] != without:
-                    best.append((-float(scores[b, slot]), int(self.ids[place]), place))
-            best = sorted(best)[:k]
-        return [(place, -s) for s, _, place in best]
+        out = np.bincount(np.repeat(np.arange(len(places)), size), self.query[self.vector[at]] * self.value[at], len(places))
+        self.query[terms] = 0.0
+        return np.round(out, 12)
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray, int | None]], k: int) -> list[list[tuple[int, float]]]:
+        """Per query (terms, weights, id of the text itself): [(position in the index, cosine)] of the k most similar others with a cosine above 0; ties to the smaller id."""
+        n = len(self.ids)
+        scores = np.zeros((len(queries), self.blocks * BLOCK), np.float32)
+        asked = np.zeros((len(queries), self.dense.shape[1]), np.float32)
+        for i, (terms, weights, _) in enumerate(queries):
+            row = self.row[terms]
+            few = row < 0
+            scores[i] = self._add(terms[few], weights[few])
+            asked[i, row[~few]] = weights[~few]
+        bound = scores.reshape(len(queries), self.blocks, BLOCK).max(axis=2) + asked @ self.highest + SLACK
+        opened = np.zeros(bound.shape, bool)
+        want = bound >= np.sort(bound, axis=1)[:, -min(2, self.blocks)][:, None]
+        for _ in range(2):  # the most promising blocks give a floor; of the others only those are opened that can reach it
+            for b in np.nonzero(want.any(axis=0))[0].tolist():
+                rows = np.nonzero(want[:, b])[0]
+                scores[rows, b * BLOCK : (b + 1) * BLOCK] += asked[rows] @ self.dense[b]
+            opened |= want
+            # k others reach the floor, the text's own example aside
+            floor = np.partition(scores, -k - 1, axis=1)[:, -k - 1] - 2 * SLACK if scores.shape[1] > k + 1 else np.zeros(len(queries))
+            want = ~opened & (bound >= floor[:, None])
+        out = []
+        for i, (terms, weights, own) in enumerate(queries):
+            places = np.nonzero((scores[i, :n] >= floor[i]) & (scores[i, :n] > 0))[0]
+            exact = self._products(places, terms, weights)
+            best = sorted((-s, x, p) for s, x, p in zip(exact.tolist(), self.ids[places].tolist(), places.tolist()) if s > 0 and x != own)[:k]
+            out.append([(p, -s) for s, _, p in best])
+        return out
 
     def shared_terms(self, place: int, terms: np.ndarray, weights: np.ndarray, limit: int = 8) -> list[int]:
-        """The terms of a vector that add most to its product with the example at a place, most first."""
-        mine, at = self.vector[self.first[place] : self.first[place + 1]], np.argsort(-weights, kind="stable")[: 4 * limit]
-        common = [int(t) for t in terms[at] if mine[min(np.searchsorted(mine, t), len(mine) - 1)] == t]
-        return common[:limit]
+        """The weightiest terms of a vector that the example at a place holds."""
+        common = np.isin(terms, self.vector[self.first[place] : self.first[place + 1]], assume_unique=True)
+        terms, weights = terms[common], weights[common]
+        return terms[np.argsort(-weights, kind="stable")[:limit]].tolist()
 
 
 def example_rows(taken: DataFrame) -> list[tuple]:
-    """The sampled examples (doc_id, label, weight, text) as (doc_id, label, weight, term hashes, counts) on the driver; bounded by the sample."""
+    """The sampled examples (doc_id, label, weight, text) as (doc_id, label, weight, terms, counts) on the driver; bounded by the sample."""
 
     def run(batches):
         for batch in batches:
-            hashes, counts = [], []
-            for text in batch.column(3):
-                terms = text_terms(text.as_py())
-                hashes.append(np.array([term_hash(t) for t in terms], "<u8").tobytes())
-                counts.append(np.array(list(terms.values()), "<i8").tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(hashes, pa.binary()), pa.array(counts, pa.binary())], ["doc_id", "label", "weight", "hashes", "counts"])
+            found = [text_terms(text.as_py()) for text in batch.column(3)]
+            names = pa.array([" ".join(f) for f in found], pa.string())
+            counts = pa.array([np.array(list(f.values()), "<u4").tobytes() for f in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], names, counts], ["doc_id", "label", "weight", "terms", "counts"])
 
-    found = taken.select("doc_id", "label", "weight", "text").mapInArrow(run, "doc_id long, label int, weight double, hashes binary, counts binary")
-    return [(r.doc_id, r.label, r.weight, bytes(r.hashes), bytes(r.counts)) for r in found.collect()]
+    found = taken.select("doc_id", "label", "weight", "text").mapInArrow(run, "doc_id long, label int, weight double, terms string, counts binary")
+    return [(r.doc_id, r.label, r.weight, r.terms, bytes(r.counts)) for r in found.collect()]
 
 
-def document_frequencies(rows: DataFrame, shared, size: int) -> tuple[np.ndarray, int]:
-    """(in how many rows each numbered term occurs, number of rows), over all rows and whole texts.
+def counted_rows(rows: DataFrame, shared, size: int) -> DataFrame:
+    """(doc_id, data, slice): a packed vector per row, and once per task and slice of the vocabulary how many of its rows hold each term."""
+    names = ["doc_id", "data", "slice"]
 
-    Every task counts all it reads and sends its counts once, in packets of SLICE terms; packets of
-    one slice are summed as they stream in.
-    """
+    def batch_of(ids, data, slices):
+        return pa.RecordBatch.from_arrays([ids, pa.array(data, pa.binary()), pa.array(slices, pa.int32())], names)
 
-    def count(batches):
-        vocabulary, counts = Vocabulary(shared.value), np.zeros(size + 1, np.int64)
+    def run(batches):
+        vocabulary, counts = vocabulary_of(shared.value), np.zeros(size + 1, np.int64)
         for batch in batches:
-            for text in batch.column(0):
-                inside, _, _ = vocabulary.counts(text.as_py())
-                counts[np.fromiter(inside, np.int64, len(inside))] += 1
+            data = []
+            for text in batch.column(1):
+                found = vocabulary.counts(text.as_py())
+                counts[found[0]] += 1
+                data.append(pack_vector(*found))
             counts[size] += batch.num_rows
-        packets = [(i, counts[i * SLICE : (i + 1) * SLICE]) for i in range(size // SLICE + 1)]
-        packets = [(i, zlib.compress(p.astype("<i8").tobytes(), 1)) for i, p in packets if p.any()]
-        yield _packets(packets)
+            yield batch_of(batch.column(0), data, [None] * batch.num_rows)
+        parts = [(i, counts[i * SLICE : (i + 1) * SLICE]) for i in range(size // SLICE + 1)]
+        parts = [(i, zlib.compress(p.astype("<i8").tobytes(), 1)) for i, p in parts if p.any()]
+        yield batch_of(pa.nulls(len(parts), pa.int64()), [p for _, p in parts], [i for i, _ in parts])
+
+    return rows.mapInArrow(run, "doc_id long, data binary, slice int")
+
+
+def document_frequencies(counted: DataFrame, size: int) -> tuple[np.ndarray, int]:
+    """(in how many rows each numbered term occurs, number of rows); packets of one slice are summed as they stream in."""
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
@@ -253,14 +308,11 @@ def document_frequencies(rows: DataFrame, shared, size: int) -> tuple[np.ndarray
             for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 part = np.frombuffer(zlib.decompress(data), "<i8")
                 sums[i] = sums[i] + part if i in sums else part
-        yield _packets([(i, s.tobytes()) for i, s in sums.items()])
-
-    def _packets(pairs):
-        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int32()), pa.array([p[1] for p in pairs], pa.binary())], ["slice", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["slice", "counts"])
 
-    schema = "slice int, counts binary"
     out = np.zeros((size // SLICE + 1) * SLICE, np.int64)
-    for r in rows.select("text").mapInArrow(count, schema).repartition("slice").mapInArrow(add, schema).collect():  # one row per slice of the vocabulary
+    packets = counted.where("slice is not null").select("slice", "data").repartition("slice")
+    for r in packets.mapInArrow(add, "slice int, counts binary").collect():  # one row per slice of the vocabulary
         part = np.frombuffer(bytes(r.counts), "<i8")
         out[r.slice * SLICE : r.slice * SLICE + len(part)] = part
     return out[:size], int(out[size])
@@ -312,35 +364,39 @@ def nearest_label_scores(
     if len(set(examples.labels.tolist())) < 2:
         nothing = [F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.array().cast("array<long>").alias("neighbours"), F.array().cast("array<double>").alias("similarities"), F.lit("").alias("evidence")]
         return rows.select("doc_id", held, *nothing)
-    size = len(examples.hashes)
-    frequency, total = document_frequencies(rows, context.broadcast(examples.hashes), size)  # bounded by the sample's terms
+    size = len(examples.names)
+    words = context.broadcast(" ".join(examples.names))  # bounded by the sample's terms
+    counted = cut(counted_rows(rows, words, size))
+    frequency, total = document_frequencies(counted, size)
     factor, other = examples.factors(frequency, total)
     raw = (1 + np.log(examples.counts)) * factor[examples.terms]
     norm = np.sqrt(np.bincount(examples.owner, raw**2, len(examples.ids)))
     weights = raw / np.where(norm > 0, norm, 1)[examples.owner]
     prior = float((examples.labels * examples.weights).sum() / examples.weights.sum())
     index = BlockMaxIndex(examples.ids, examples.owner, examples.terms, weights, size)
-    shared = context.broadcast((examples.hashes, factor, other, index, examples.labels[index.order].astype(float), examples.weights[index.order]))  # bounded by the sample
+    shared = context.broadcast((factor, other, index, examples.labels[index.order].astype(float), examples.weights[index.order]))  # bounded by the sample
 
     def score(batches):
-        hashes, factor, other, index, label, weight = shared.value
-        vocabulary = Vocabulary(hashes)
+        factor, other, index, label, weight = shared.value
+        names = None
         for batch in batches:
             scores, near, similar, evidence = [], [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                inside, outside, names = vocabulary.counts(text.as_py())
-                terms = np.array(sorted(inside), np.int64)
-                ws = (1 + np.log(np.array([inside[t] for t in terms.tolist()], float))) * factor[terms]
-                norm = math.sqrt(float((ws**2).sum()) + other**2 * sum((1 + math.log(n)) ** 2 for n in outside))
-                ws = ws / norm if norm > 0 else ws
-                best = index.nearest(terms, ws, k, doc)
-                votes = [(weight[at] / (1.05 - s), label[at]) for at, s in best]
-                scores.append(min(1.0, (sum(v * y for v, y in votes) + prior_votes * prior) / (sum(v for v, _ in votes) + prior_votes)))
-                near.append([int(index.ids[at]) for at, _ in best])
-                similar.append([s for _, s in best])
-                evidence.append(" ".join(names[t] for t in index.shared_terms(best[0][0], terms, ws)) if best else "")
+            for a in range(0, batch.num_rows, TOGETHER):
+                queries = []
+                for doc, data in zip(batch.column(0)[a : a + TOGETHER].to_pylist(), batch.column(1)[a : a + TOGETHER]):
+                    terms, counts, others = unpack_vector(data.as_py())
+                    ws = (1 + np.log(counts)) * factor[terms]
+                    norm = math.sqrt(float((ws**2).sum()) + other**2 * float(((1 + np.log(others)) ** 2).sum()))
+                    queries.append((terms, ws / norm if norm > 0 else ws, doc))
+                for (terms, ws, _), best in zip(queries, index.nearest(queries, k)):
+                    votes = [(weight[at] / (1.05 - s), label[at]) for at, s in best]
+                    scores.append(min(1.0, (sum(v * y for v, y in votes) + prior_votes * prior) / (sum(v for v, _ in votes) + prior_votes)))
+                    near.append([int(index.ids[at]) for at, _ in best])
+                    similar.append([s for _, s in best])
+                    names = names or words.value.split(" ")
+                    evidence.append(" ".join(names[t] for t in index.shared_terms(best[0][0], terms, ws)) if best else "")
             arrays = [batch.column(0), pa.array(scores, pa.float64()), pa.array(near, pa.list_(pa.int64())), pa.array(similar, pa.list_(pa.float64())), pa.array(evidence, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "score", "neighbours", "similarities", "evidence"])
 
-    out = rows.mapInArrow(score, "doc_id long, score double, neighbours array<long>, similarities array<double>, evidence string")
+    out = counted.where("slice is null").select("doc_id", "data").mapInArrow(score, "doc_id long, score double, neighbours array<long>, similarities array<double>, evidence string")
     return out.select("doc_id", held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "neighbours", "similarities", "evidence")

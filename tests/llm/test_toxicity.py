@@ -6,7 +6,7 @@ from collections import Counter
 
 import numpy as np
 
-from gigledger.llm.toxicity import BLOCK, BlockMaxIndex, Vocabulary, nearest_label_scores, term_hash, text_terms, word_terms
+from gigledger.llm.toxicity import BLOCK, BlockMaxIndex, Vocabulary, nearest_label_scores, pack_vector, text_terms, unpack_vector, word_terms
 
 
 def unit(terms, weights):
@@ -26,10 +26,12 @@ def test_index_equals_brute_force():
     weights = np.array([w for v in vectors for w in v.values()])
     index = BlockMaxIndex(np.array(ids), owner, terms, weights, 400)
     assert (index.row >= 0).any() and (index.row < 0).any()
-    for _ in range(200):
+    queries = []
+    for _ in range(300):
         query = unit(t := sorted({int(r.paretovariate(0.5)) % 400 for _ in range(r.randint(0, 20))}), [r.random() for _ in t])
+        queries.append((query, (np.array(list(query), np.int64), np.array(list(query.values())), ids[3])))
+    for (query, _), got in zip(queries, index.nearest([q for _, q in queries], 7)):
         want = sorted((-round(sum(w * v.get(t, 0) for t, w in query.items()), 12), i) for i, v in zip(ids, vectors) if set(v) & set(query) and i != ids[3])[:7]
-        got = index.nearest(np.array(list(query), np.int64), np.array(list(query.values())), 7, ids[3])
         assert [int(index.ids[at]) for at, _ in got] == [i for _, i in want] and np.allclose([s for _, s in got], [-s for s, _ in want], atol=1e-11)
 
 
@@ -38,9 +40,11 @@ def test_terms():
     assert text_terms("Scum, scumbag SCUM x") == {"=scum": 2, "^scum": 3, "=scumbag": 1, "=x": 1, "=scum@": 1, "^scum@": 1}
     assert text_terms(None) == {} and text_terms("12 _ !") == {}
     assert "=scum@" in text_terms("scum scum " + "x " * 198) and "=scum@" not in text_terms("scum scum " + "x " * 199)
-    known = ["=scum", "^scum@", "=x"]
-    inside, outside, names = Vocabulary(np.array([term_hash(t) for t in known], np.uint64)).counts("Scum, scumbag SCUM x")
-    assert inside == {0: 2, 1: 1, 2: 1} and sorted(outside) == [1, 1, 3] and [names[i] for i in range(3)] == known
+    known = ["=scum", "=x", "^scum", "^scum@"]
+    found = Vocabulary(known).counts("Scum, scumbag SCUM x")
+    assert [y.tolist() for y in found] == [[0, 1, 2, 3], [2, 1, 3, 1], [1, 1]]
+    assert [y.tolist() for y in unpack_vector(pack_vector(*found))] == [y.tolist() for y in found]
+    assert [len(y) for y in unpack_vector(pack_vector(*Vocabulary(known).counts(None)))] == [0, 0, 0]
 
 
 def corpus(n=600, seed=2):
