@@ -9,6 +9,7 @@ its distances exceed the radius.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .util import cut, encode_utf8
+from .util import cut, encode_utf8, numbered, without_rows
 
 BLOCK = 1024  # fingerprints compared at once; larger groups are split into blocks
 
@@ -59,11 +60,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def near_pairs(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs i < j of fps (uint64) that differ in at most radius bits, bit-sliced."""
+    """Index pairs i < j of fps (uint64, one or more words each) that differ in at most radius bits, bit-sliced."""
     n = len(fps)
     words = (n + 63) // 64
-    bits = np.unpackbits(fps.astype("<u8").view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
-    padded = np.zeros((64, words * 64), np.uint8)
+    bits = np.unpackbits(np.ascontiguousarray(fps, "<u8").view(np.uint8).reshape(n, -1), axis=1, bitorder="little") if n else np.zeros((0, 64), np.uint8)
+    padded = np.zeros((bits.shape[1], words * 64), np.uint8)
     padded[:, :n] = bits.T
     planes = np.packbits(padded, axis=1, bitorder="little").view("<u8")
     sign = (-(bits.T.astype(np.int64))).view(np.uint64)
@@ -84,7 +85,7 @@ def near_pairs(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
                 equal &= ~count[i]
         return above
 
-    for start in range(0, 64, 8):
+    for start in range(0, len(planes), 8):
         for b in range(start, start + 8):
             carry = planes[b][w] ^ sign[b][q]
             for i in range(len(count)):
@@ -196,11 +197,162 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_words")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that represent their component: those whose id is its component_id.
+def similar_sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(doc_id, f1 long, f2 long): a 128-bit SimHash of each text's set of distinct word shingles."""
 
-    Rows without an id stay, as do all rows of an id of which one represents its component.
+    def run(batches):
+        for batch in batches:
+            prints = np.array([_sketch(shingle_hashes(t.as_py(), shingle)) for t in batch.column(1)], np.uint64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(prints[:, i].view(np.int64)) for i in (0, 1)]], ["doc_id", "f1", "f2"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, f1 long, f2 long")
+
+
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """(n, 2) uint64: 128-bit hashes of the distinct word shingles, sorted; a shorter text is one shingle, one without words none."""
+    words = encode_utf8(text).lower().split()
+    n = len(words)
+    if not n:
+        return np.zeros((0, 2), np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
+    starts = np.concatenate([[0], ends[:-1]])[: max(1, n - shingle + 1)].tolist()
+    ends = (ends - 1)[min(shingle, n) - 1 :].tolist()
+    digest = xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join(sorted({digest(joined[a:b]) for a, b in zip(starts, ends)})), "<u8").reshape(-1, 2)
+
+
+def _sketch(hashes: np.ndarray) -> np.ndarray:
+    ones = np.zeros(128, np.int64)
+    for at in range(0, len(hashes), 65536):
+        part = hashes[at : at + 65536]
+        ones += np.unpackbits(part.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")
+
+
+def nearest_links(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """The links of a minimum spanning forest of the pairs within the radius: closest first, none that closes a ring."""
+    i, j = near_pairs(fps, radius)
+    apart = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1, dtype=np.int64) if len(i) else np.zeros(0, np.int64)
+    label, kept = list(range(len(fps))), []
+
+    def root(x: int) -> int:
+        while label[x] != x:
+            label[x] = label[label[x]]
+            x = label[x]
+        return x
+
+    for e in np.lexsort((j, i, apart)).tolist():
+        a, b = root(int(i[e])), root(int(j[e]))
+        if a != b:
+            label[max(a, b)] = min(a, b)
+            kept.append(e)
+    return i[kept], j[kept]
+
+
+def similar_links(reps: DataFrame, similarity: float, recall: float) -> DataFrame:
+    """Candidate links (a, b) between the rows (low, f1, f2) whose fingerprints are as near as sets of the given similarity make them.
+
+    A bit of two such fingerprints agrees with probability p. Each band takes enough bits that
+    about BLOCK fingerprints share a key, and there are enough bands for the stated chance that
+    two sets at the threshold share one. Fingerprints of a key are compared bit-sliced. A key that
+    far more share (a group of near copies) is refined by further bits, so work stays in
+    proportion; every member of such a group meets others in each band. Each block gives the
+    links of a minimum spanning forest, never all pairs.
+    """
+    n = reps.count()
+    p = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = max(0, math.ceil(math.log2(max(1, n) / BLOCK)))
+    bands = max(1, math.ceil(math.log(1 - recall) / math.log(1 - p**bits))) if bits else 1
+    radius = math.ceil(128 * (1 - p) + 2 * math.sqrt(128 * p * (1 - p)))
+
+    def key(t: int):
+        chosen = np.random.default_rng(t).choice(128, bits, replace=False).tolist()
+        masks = [sum(1 << (c % 64) for c in chosen if c // 64 == w) for w in (0, 1)]
+        masks = [m - (m >> 63 << 64) for m in masks]
+        return F.struct(F.lit(t).alias("t"), F.xxhash64(*[F.col(f).bitwiseAND(F.lit(m)) for f, m in zip(("f1", "f2"), masks)]).alias("key"))
+
+    keyed = reps.select("low", "f1", "f2", F.explode(F.array(*[key(t) for t in range(bands)])).alias("k")).select("low", "f1", "f2", "k.t", "k.key")
+    sizes = cut(keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    finer = F.ceil(F.log2(F.col("n") / BLOCK)).cast("int")
+    more = F.expr("shiftrightunsigned(f2, cast(t * 7 % 44 as int))").bitwiseAND(F.expr("shiftleft(1L, 20) - 1"))
+    sub = F.when(F.col("n") > 4 * BLOCK, F.pmod(more, F.pow(F.lit(2.0), finer).cast("long"))).otherwise(F.lit(0).cast("long"))
+    blocks = keyed.join(sizes, ["t", "key"]).select("low", "f1", "f2", "t", "key", sub.alias("sub"))
+    blocks = blocks.repartition("t", "key", "sub").sortWithinPartitions("t", "key", "sub", "low")
+
+    def run(batches):
+        held, ids, last = np.zeros((0, 2), np.uint64), np.zeros(0, np.int64), None
+
+        def out(a, b):
+            i, j = nearest_links(held[a:b], radius)
+            return pa.RecordBatch.from_arrays([pa.array(ids[a:b][i]), pa.array(ids[a:b][j])], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
+            group = np.stack(columns[3:])
+            new = np.ones(batch.num_rows, bool)
+            new[1:] = (group[:, 1:] != group[:, :-1]).any(axis=0)
+            new[0] = last is None or (group[:, 0] != last).any()
+            last = group[:, -1].copy()
+            starts = np.nonzero(new)[0] + len(held)
+            held, ids = np.concatenate([held, np.stack(columns[1:3], axis=1).view(np.uint64)]), np.concatenate([ids, columns[0]])
+            done = 0  # whole groups go together until a chunk has BLOCK fingerprints
+            for s in starts.tolist():
+                if s - done >= BLOCK:
+                    yield out(done, s)
+                    done = s
+            held, ids = held[done:], ids[done:]
+        if len(held):
+            yield out(0, len(held))
+
+    return blocks.mapInArrow(run, "a long, b long")
+
+
+def verified_links(docs: DataFrame, links: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """The links (a, b) whose texts' sets of distinct word shingles have at least the given Jaccard similarity; ids must be unique."""
+    asked = cut(links.distinct())
+    ids = asked.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+
+    def sets(batches):
+        for batch in batches:
+            found = [shingle_hashes(t.as_py(), shingle)[:, 0] for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(x).tobytes() for x in found], pa.binary())], ["doc_id", "shingles"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(ids, "doc_id", "left_semi")
+    held = cut(texts.mapInArrow(sets, "doc_id long, shingles binary"))
+    pairs = asked.join(held.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a")), "a").join(held.select(F.col("doc_id").alias("b"), F.col("shingles").alias("of_b")), "b")
+
+    def check(batches):
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column("of_a"), batch.column("of_b")):
+                x, y = (np.frombuffer(v.as_py(), "<u8") for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return pairs.select("a", "b", "of_a", "of_b").mapInArrow(check, "a long, b long")
+
+
+def drop_near_duplicates(docs: DataFrame, text_col: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = 0.95) -> DataFrame:
+    """The documents without near duplicates: of each group linked by sets of `shingle`-word shingles with a Jaccard similarity of at least `similarity`, one row stays.
+
+    Candidates come from 128-bit SimHash fingerprints compared bit-sliced; every link is verified on
+    the texts' shingle sets. Rows whose fingerprints are equal are of one group. Which row stays
+    does not depend on ids: rows get a number of their own, so null and repeated ids are rows like
+    any other; of a group the row with the smallest id (null ids last) stays. Null, empty and blank
+    texts are one group, a text shorter than a shingle is one shingle; an empty table gives no
+    rows; all columns stay as they are, whatever their names.
     """
-    groups = simhash_groups(docs, id_col, text_col, **options).where("doc_id is not null")
-    others = groups.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("first")).where("not first")
-    return docs.join(others.select(F.col("doc_id").alias(id_col)), id_col, "left_anti")
+    rows, names = numbered(docs)
+    text = names[text_col]
+    own_id = F.col(names["doc_id"]).cast("long") if "doc_id" in names else F.lit(None).cast("long")
+    prints = cut(similar_sketches(rows, "row", text, shingle).withColumnRenamed("doc_id", "row"))
+    reps = cut(prints.groupBy("f1", "f2").agg(F.min("row").alias("low")))
+    linked = components(verified_links(rows, similar_links(reps, similarity, recall), "row", text, shingle, similarity))
+    group = reps.join(linked.withColumnRenamed("node", "low"), "low", "left").select("f1", "f2", F.coalesce("root", "low").alias("root"))
+    placed = rows.select("row", own_id.alias("id")).join(prints.join(group, ["f1", "f2"]).select("row", "root"), "row")
+    first = cut(placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("m")).select("m.row"))
+    return without_rows(rows, names, prints.select("row").join(first, "row", "left_anti"))

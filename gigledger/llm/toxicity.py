@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import crc32_of_id, cut
+from .util import crc32_of_id, cut, numbered, without_rows
 
 WORDS = re.compile(r"[^\W\d_]+")
 REMEMBERED = 200_000  # words whose terms a worker holds; then it starts anew
@@ -276,27 +276,27 @@ def example_rows(taken: DataFrame) -> list[tuple]:
 
 
 def counted_rows(rows: DataFrame, shared, size: int) -> DataFrame:
-    """(doc_id, data, slice): a packed vector per row, and once per task and slice of the vocabulary how many of its rows hold each term."""
-    names = ["doc_id", "data", "slice"]
+    """(row, doc_id, data, slice): a packed vector per row, and once per task and slice of the vocabulary how many of its rows hold each term."""
+    names = ["row", "doc_id", "data", "slice"]
 
-    def batch_of(ids, data, slices):
-        return pa.RecordBatch.from_arrays([ids, pa.array(data, pa.binary()), pa.array(slices, pa.int32())], names)
+    def batch_of(keys, ids, data, slices):
+        return pa.RecordBatch.from_arrays([keys, ids, pa.array(data, pa.binary()), pa.array(slices, pa.int32())], names)
 
     def run(batches):
         vocabulary, counts = vocabulary_of(shared.value), np.zeros(size + 1, np.int64)
         for batch in batches:
             data = []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 found = vocabulary.counts(text.as_py())
                 counts[found[0]] += 1
                 data.append(pack_vector(*found))
             counts[size] += batch.num_rows
-            yield batch_of(batch.column(0), data, [None] * batch.num_rows)
+            yield batch_of(batch.column(0), batch.column(1), data, [None] * batch.num_rows)
         parts = [(i, counts[i * SLICE : (i + 1) * SLICE]) for i in range(size // SLICE + 1)]
         parts = [(i, zlib.compress(p.astype("<i8").tobytes(), 1)) for i, p in parts if p.any()]
-        yield batch_of(pa.nulls(len(parts), pa.int64()), [p for _, p in parts], [i for i, _ in parts])
+        yield batch_of(pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.int64()), [p for _, p in parts], [i for i, _ in parts])
 
-    return rows.mapInArrow(run, "doc_id long, data binary, slice int")
+    return rows.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, data binary, slice int")
 
 
 def document_frequencies(counted: DataFrame, size: int) -> tuple[np.ndarray, int]:
@@ -330,6 +330,7 @@ def nearest_label_scores(
     sample_bytes: int = 64_000_000,
     k: int = 15,
     prior_votes: float = 0.2,
+    row_col: str | None = None,
 ) -> DataFrame:
     """Per input row: doc_id, held_out, score (0 to 1), predicted, neighbours (ids), similarities, evidence.
 
@@ -342,11 +343,13 @@ def nearest_label_scores(
     Null and empty texts, and texts that share no term with any example, get the rate of label 1.
     Without labels of both classes every score is 0. Ties in similarity go to the smaller id; an
     example id with several texts counts with the smallest. Repeated rows each give a row; null ids
-    are held out by the crc32 of the empty text like any id; other columns are ignored; an empty
-    table gives no rows.
+    are held out by the crc32 of the empty text like any id; other columns are ignored, but row_col
+    may name one that tells rows apart and is returned as `row`; an empty table gives no rows.
     """
     held = (F.pmod(crc32_of_id("doc_id"), F.lit(held_out_mod)) == held_out_is).alias("held_out")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    row = F.col(row_col).cast("long") if row_col else F.lit(None).cast("long")
+    rows = docs.select(row.alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    carried = ["row"] if row_col else []
     marked = labels.where(F.pmod(crc32_of_id(id_col), F.lit(held_out_mod)) != held_out_is)
     sample = cut(labelled_sample(marked, id_col, label_col, sample_rows))  # at most sample_rows short rows
     taken = cut(rows.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label", "weight").agg(F.coalesce(F.min("text"), F.lit("")).alias("text")))
@@ -363,7 +366,7 @@ def nearest_label_scores(
     context = docs.sparkSession.sparkContext
     if len(set(examples.labels.tolist())) < 2:
         nothing = [F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.array().cast("array<long>").alias("neighbours"), F.array().cast("array<double>").alias("similarities"), F.lit("").alias("evidence")]
-        return rows.select("doc_id", held, *nothing)
+        return rows.select(*carried, "doc_id", held, *nothing)
     size = len(examples.names)
     words = context.broadcast(" ".join(examples.names))  # bounded by the sample's terms
     counted = cut(counted_rows(rows, words, size))
@@ -383,7 +386,7 @@ def nearest_label_scores(
             scores, near, similar, evidence = [], [], [], []
             for a in range(0, batch.num_rows, TOGETHER):
                 queries = []
-                for doc, data in zip(batch.column(0)[a : a + TOGETHER].to_pylist(), batch.column(1)[a : a + TOGETHER]):
+                for doc, data in zip(batch.column(1)[a : a + TOGETHER].to_pylist(), batch.column(2)[a : a + TOGETHER]):
                     terms, counts, others = unpack_vector(data.as_py())
                     ws = (1 + np.log(counts)) * factor[terms]
                     norm = math.sqrt(float((ws**2).sum()) + other**2 * float(((1 + np.log(others)) ** 2).sum()))
@@ -395,8 +398,19 @@ def nearest_label_scores(
                     similar.append([s for _, s in best])
                     names = names or words.value.split(" ")
                     evidence.append(" ".join(names[t] for t in index.shared_terms(best[0][0], terms, ws)) if best else "")
-            arrays = [batch.column(0), pa.array(scores, pa.float64()), pa.array(near, pa.list_(pa.int64())), pa.array(similar, pa.list_(pa.float64())), pa.array(evidence, pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "score", "neighbours", "similarities", "evidence"])
+            arrays = [batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array(near, pa.list_(pa.int64())), pa.array(similar, pa.list_(pa.float64())), pa.array(evidence, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, ["row", "doc_id", "score", "neighbours", "similarities", "evidence"])
 
-    out = counted.where("slice is null").select("doc_id", "data").mapInArrow(score, "doc_id long, score double, neighbours array<long>, similarities array<double>, evidence string")
-    return out.select("doc_id", held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "neighbours", "similarities", "evidence")
+    out = counted.where("slice is null").select("row", "doc_id", "data").mapInArrow(score, "row long, doc_id long, score double, neighbours array<long>, similarities array<double>, evidence string")
+    return out.select(*carried, "doc_id", held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "neighbours", "similarities", "evidence")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows that are not predicted toxic, with all their columns.
+
+    Each row is judged by its own text: rows with null ids go if their text is toxic, and a clean
+    row stays though it shares its id with a toxic one. An empty table gives no rows.
+    """
+    rows, names = numbered(docs)
+    judged = nearest_label_scores(rows.withColumnsRenamed({names[id_col]: "doc_id", names[text_col]: "text"}).select("row", "doc_id", "text"), labels, row_col="row", **options)
+    return without_rows(rows, names, judged.where("predicted = 1"))

@@ -15,10 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use spark.checkpoint.dir; only where the session has none, as in tests, take a temporary folder."""
+    """Use spark.checkpoint.dir; where the session has none, take a temporary folder on a local master, as in tests, and fail on a cluster."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -27,6 +30,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The table with a number per row (`row`), cut so that the numbers stay, and the neutral name of each column.
+
+    Columns are renamed so that no name can clash; ids play no part, so null and repeated ones are rows like any other.
+    """
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    return cut(plain.withColumn("row", F.monotonically_increasing_id())), names
+
+
+def without_rows(rows: DataFrame, names: dict[str, str], gone: DataFrame) -> DataFrame:
+    """The numbered table under its own names again, less the rows whose numbers are gone."""
+    return rows.join(gone.select("row").distinct(), "row", "left_anti").select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 def crc32_of_id(col) -> F.col:
     """crc32 of the id's decimal text; null ids count as the empty text."""
     return F.crc32(F.encode(F.coalesce(F.col(col).cast("string"), F.lit("")), "UTF-8"))

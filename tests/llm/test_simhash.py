@@ -68,9 +68,81 @@ def test_groups_equal_brute_force(spark):
     key = lambda x: (x[0][0], x[0][1] or 0, x[1], x[2] or 0)
     assert sorted(got, key=key) == sorted(brute(rows), key=key)
     assert simhash_groups(df.limit(0)).collect() == []
-    kept = sorted((x.doc_id is None, x.doc_id or 0) for x in drop_near_duplicates(df).collect())
-    first = {i for (_, i), _, low in brute(rows) if i is not None and i == low}
-    assert kept == sorted((i is None, i or 0) for i, _ in rows if i is None or i in first)
+
+
+def similar_groups(rows, shingle=5, least=0.8):
+    """Components of all pairs of texts whose sets of word shingles have the least Jaccard similarity."""
+    sets = []
+    for _, text in rows:
+        words = (text or "").lower().split()
+        sets.append({" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set())
+    label = list(range(len(rows)))
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] == sets[j] or len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])]
+    changed = True
+    while changed:
+        changed = False
+        for i, j in pairs:
+            if label[i] != label[j]:
+                label[i] = label[j] = min(label[i], label[j])
+                changed = True
+    return label, pairs
+
+
+def texts_with_copies(r, n, least_words=60):
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for _ in range(n):
+        text = [r.choice(words) for _ in range(r.randint(least_words, 200))]
+        rows.append((len(rows), " ".join(text)))
+        for _ in range(r.randint(0, 3)):
+            other = list(text)
+            other[r.randrange(len(other))] = r.choice(words)
+            rows.append((len(rows), " ".join(other)))
+    return rows
+
+
+def test_filter_equals_brute_force(spark):
+    rows = texts_with_copies(random.Random(4), 60)
+    rows += [(900, None), (901, ""), (902, "\n"), (903, rows[0][1]), (903, rows[0][1]), (None, rows[1][1]), (None, "only this one has no id"), (None, "Only this  one has NO id"), (904, "a b"), (905, "A b"), (906, "long " * 20000)]
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, row int, c0 int").repartition(4)
+    label, _ = similar_groups(rows)
+    groups = {}
+    for i, l in enumerate(label):
+        groups.setdefault(l, []).append(rows[i][0])
+    kept = drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    want = [min((i for i in g if i is not None), default=None) for g in groups.values()]
+    assert sorted((x.doc_id is None, x.doc_id or 0) for x in kept.collect()) == sorted((i is None, i or 0) for i in want)
+    assert drop_near_duplicates(df.limit(0)).collect() == []
+
+
+def test_filter_finds_near_copies_among_many(spark, monkeypatch):
+    """With keys of several bits and a hot key that is refined."""
+    from gigledger.llm import simhash
+
+    monkeypatch.setattr(simhash, "BLOCK", 32)
+    r = random.Random(6)
+    rows = texts_with_copies(r, 500)
+    hot = rows[0][1].split()
+    for _ in range(400):
+        other = list(hot)
+        other[r.randrange(len(other))] = f"x{r.randrange(10**6)}"
+        rows.append((len(rows), " ".join(other)))
+    label, pairs = similar_groups(rows)
+    kept = {x.doc_id for x in drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    groups = len(set(label))
+    assert groups <= len(kept) <= groups + 0.05 * (len(rows) - groups)
+    assert {l for l in label} <= kept  # the smallest id of every group stays, and clean texts with it
+
+
+def test_nearest_links_span_what_pairs_link():
+    from gigledger.llm.simhash import nearest_links
+
+    r = np.random.default_rng(2)
+    base = r.integers(0, 2**63, (40, 2), dtype=np.uint64)
+    fps = np.unique(np.concatenate([base, base ^ np.uint64(1), base ^ np.uint64(6)]), axis=0)
+    i, j = nearest_links(fps, 4)
+    assert len(i) == len(fps) - 40 and all(bin(int(fps[a, w] ^ fps[b, w])).count("1") <= 4 for a, b in zip(i, j) for w in (0, 1))
 
 
 def test_one_large_group_is_split_and_stays_whole(spark):
