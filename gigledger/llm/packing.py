@@ -84,16 +84,71 @@ def crossover(one: Genome, other: Genome, items: dict[int, int], capacity: int,
     return best_fit(child, {s: n for s, n in left.items() if n}, capacity)
 
 
-def mutate(genome: Genome, capacity: int, rng: random.Random) -> Genome:
-    """Empty the worst-filled bins and some others, and best-fit their items in a shaken order."""
-    order = sorted(genome, key=lambda c: (sum(c), c))
-    worst = set(order[: max(1, len(order) // 8)]) | {c for c in order if rng.random() < 0.05}
-    items: Counter = Counter()
-    for content in worst:
-        for size in content:
-            items[size] += genome[content]
-    shake = {s: s * rng.uniform(0.8, 1.2) for s in items}
-    return best_fit({c: n for c, n in genome.items() if c not in worst}, items, capacity, rank=lambda s: -shake[s])
+def fullest(left: Counter, room: int, limit: int = 400) -> list[int]:
+    """Lengths at hand that fill the room best, larger ones tried first; the search stops at a perfect fill or after `limit` steps."""
+    sizes = sorted((s for s in left if s <= room), reverse=True)
+    best, found, chosen, steps = room, [], [], 0
+    at, used = [0], Counter()
+    while at and steps < limit and best:
+        i = at[-1]
+        while i < len(sizes) and (sizes[i] > room or used[sizes[i]] >= left[sizes[i]]):
+            i += 1
+        if i < len(sizes):  # take it and go on from here
+            steps += 1
+            at[-1] = i + 1
+            at.append(i)
+            chosen.append(sizes[i])
+            used[sizes[i]] += 1
+            room -= sizes[i]
+            if room < best:
+                best, found = room, list(chosen)
+        else:
+            at.pop()
+            if chosen:
+                size = chosen.pop()
+                used[size] -= 1
+                room += size
+    return found
+
+
+def refill(left: Counter, capacity: int) -> Genome:
+    """Bins for displaced items, the largest first, each filled as full as can be found."""
+    bins: Genome = {}
+    left = +left
+    while left:
+        size = max(left)
+        content = [size]
+        left[size] -= 1
+        for s in fullest(left := +left, capacity - size):
+            left[s] -= 1
+            content.append(s)
+        left = +left
+        key = tuple(sorted(content, reverse=True))
+        bins[key] = bins.get(key, 0) + 1
+    return bins
+
+
+def mutate(genome: Genome, capacity: int, rng: random.Random, moves: int = 120) -> Genome:
+    """Again and again empty some badly filled bins and a few others, refill from what they held, and keep what is not worse."""
+    genome = dict(genome)
+    for _ in range(moves):
+        part = [c for c in genome if sum(c) < capacity]
+        full = [c for c in genome if sum(c) == capacity and len(c) > 1]
+        worst = sorted(part, key=lambda c: (sum(c) + rng.random() * capacity / 16, c))[: rng.randint(2, 12)]
+        out = {*worst, *rng.sample(part, min(len(part), rng.randint(2, 10))), *rng.sample(full, min(len(full), rng.randint(0, 6)))}
+        displaced: Counter = Counter()
+        for content in out:
+            displaced.update(content)
+        new = refill(displaced, capacity)
+        if fitness(new, capacity) > fitness(dict.fromkeys(out, 1), capacity):
+            continue
+        for content in out:
+            genome[content] -= 1
+            if not genome[content]:
+                del genome[content]
+        for content, n in new.items():
+            genome[content] = genome.get(content, 0) + n
+    return genome
 
 
 def fitness(genome: Genome, capacity: int) -> tuple[int, float]:
@@ -131,7 +186,9 @@ def evolve(population: list[Genome], items: dict[int, int], capacity: int, gener
         for _ in range(size):
             one, other = (min(rng.sample(population, min(2, size)), key=score) for _ in range(2))
             child = crossover(one, other, items, capacity, rng)
-            children.append(mutate(child, capacity, rng) if rng.random() < 0.4 else child)
+            children.append(mutate(child, capacity, rng))
+            if score(children[-1])[0] <= least:
+                break
         population = sorted([*population, *children], key=score)[:size]
     return population
 
@@ -144,25 +201,34 @@ def _read(text: str) -> list[Genome]:
     return [{tuple(c): n for c, n in g} for g in json.loads(text)]
 
 
-def pack_lengths(spark, items: dict[int, int], capacity: int, islands: int = 4, population: int = 6, epochs: int = 3, generations: int = 5) -> Genome:
-    """Evolve on islands, one task each; after every epoch an island's best genome moves to the next island."""
+def pack_lengths(spark, items: dict[int, int], capacity: int, islands: int = 4, population: int = 4, epochs: int = 3, generations: int = 3) -> tuple[Genome, list[int]]:
+    """(best packing, bins of the first and of the best genome after each epoch on its island).
+
+    Islands evolve in one task each; after every epoch an island's best genome moves to the next
+    island. An island that has reached the lower bound rests.
+    """
     import pandas as pd
 
     def epoch(number):
         def run(key, pdf):
             rng = random.Random(1000 * number + int(key[0]))
             genomes = [g for text in pdf["genomes"] for g in _read(text)] or first_genomes(items, capacity, population, rng)
-            genomes = evolve(sorted(genomes, key=lambda g: fitness(g, capacity))[:population], items, capacity, generations, rng)
+            score = lambda g: fitness(g, capacity)
+            past = max(pdf["history"], key=len)
+            past = json.loads(past) or [score(genomes[0])[0]]
+            genomes = evolve(sorted(genomes, key=score)[:population], items, capacity, generations, rng)
+            past = json.dumps([*past, score(genomes[0])[0]])
             after = (int(key[0]) + 1) % islands
-            return pd.DataFrame({"island": [int(key[0]), after], "genomes": [_write(genomes), _write(genomes[:1])]})
+            return pd.DataFrame({"island": [int(key[0]), after], "genomes": [_write(genomes), _write(genomes[:1])], "history": [past, "[]"]})
 
         return run
 
-    state = spark.range(islands, numPartitions=islands).select(F.col("id").alias("island"), F.lit("[]").alias("genomes"))
+    state = spark.range(islands, numPartitions=islands).select(F.col("id").alias("island"), F.lit("[]").alias("genomes"), F.lit("[]").alias("history"))
     for number in range(epochs):
-        state = state.groupBy("island").applyInPandas(epoch(number), "island long, genomes string")
-    best = state.select("genomes").toPandas()["genomes"]  # islands x population genomes over at most `capacity` lengths
-    return min((g for text in best for g in _read(text)), key=lambda g: (fitness(g, capacity), sorted(g)))
+        state = state.groupBy("island").applyInPandas(epoch(number), "island long, genomes string, history string")
+    rows = state.where("history <> '[]'").select("genomes", "history").collect()  # islands x population genomes over at most `capacity` lengths
+    found = [(g, json.loads(r.history)) for r in rows for g in _read(r.genomes)]
+    return min(found, key=lambda f: (fitness(f[0], capacity), sorted(f[0])))
 
 
 def token_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, end_id: int, vocabulary: str) -> DataFrame:
@@ -210,7 +276,8 @@ def slots(genome: Genome) -> dict[str, np.ndarray]:
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 2, vocabulary: str | None = None, **search) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    A document is its byte-level BPE ids followed by end_id (null and empty texts: end_id alone).
+    A document is its byte-level BPE ids, special tokens written in its text included, followed by
+    end_id (null and empty texts: end_id alone).
     One longer than capacity is cut into pieces of capacity ids, the first taking the remainder.
     Pieces of equal length are interchangeable, repeated rows and null ids are documents of their
     own, an empty table gives no rows, other columns are ignored. sequence_id has no gaps.
@@ -218,7 +285,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pieces = cut(token_pieces(docs, id_col, text_col, capacity, end_id, vocabulary or default_vocabulary()))
     counts = pieces.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n"))
     items = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
-    place = slots(pack_lengths(docs.sparkSession, items, capacity, **search) if items else {})
+    place = slots(pack_lengths(docs.sparkSession, items, capacity, **search)[0] if items else {})
     before = counts.selectExpr("task", "length", "sum(n) over (partition by length order by task rows between unbounded preceding and 1 preceding) as earlier")
     ranked = pieces.join(before, ["task", "length"]).withColumn("rank", F.col("nth") + F.coalesce("earlier", F.lit(0)))
 

@@ -11,6 +11,9 @@ import numpy as np
 REMEMBERED = 200_000  # encoded words a worker holds; then it starts anew
 # Fixed value: the pre-token pattern of this public vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Tokens of this vocabulary that stand for themselves wherever they are written.
+SPECIAL = {"<|endoftext|>": 50256}
+_SPECIAL = re.compile("(" + "|".join(map(re.escape, SPECIAL)) + ")")
 _AFTER_SPACE = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
@@ -24,7 +27,7 @@ def default_vocabulary() -> str:
 
 @lru_cache(maxsize=4)
 def encoder(path: str):
-    """text -> ids, without special tokens (their strings in a text are ordinary text)."""
+    """text -> ids of a stretch of text without special tokens."""
     import tiktoken
 
     with open(path, "rb") as f:
@@ -49,7 +52,14 @@ class WordEncoder:
         return found
 
     def ids(self, text: str | None) -> bytes:
-        """The text's ids as little-endian unsigned 32-bit integers."""
+        """The text's ids as little-endian unsigned 32-bit integers; special tokens are cut out first."""
+        if not text:
+            return b""
+        if "<|" in text and _SPECIAL.search(text):
+            return b"".join(np.array([SPECIAL[part]], "<u4").tobytes() if part in SPECIAL else self._plain(part) for part in _SPECIAL.split(text))
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
         if not text:
             return b""
         if _AFTER_SPACE.search(text):  # a space after white space may belong to a longer pre-token

@@ -1,13 +1,14 @@
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
 from tokenizers import Tokenizer
 
 from gigledger.llm import packing
-from gigledger.llm.packing import best_fit, crossover, fitness, mutate, pack_documents
+from gigledger.llm.packing import best_fit, crossover, fitness, fullest, mutate, pack_documents, pack_lengths, refill
 from gigledger.llm.tokens import WordEncoder, default_vocabulary
 
 
@@ -22,11 +23,10 @@ def contents(genome):
 
 def test_word_ids_equal_the_tokenizer():
     tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     r = random.Random(0)
     parts = [" ", "  ", "\n", "\t", "a", "the", "É", "ñandú", "12", "’s", "'s", "!!", " ", "\x1c", "日本", "🙂", "<|endoftext|>", "x" * 80]
     words = WordEncoder(default_vocabulary())
-    texts = ["", " ", "  ", " a", "a ", "a  b", "a \nb", "a\n b", "don't stop"] + ["".join(r.choice(parts) for _ in range(r.randint(1, 40))) for _ in range(3000)]
+    texts = ["x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|><|endoftext|> b", "<|endoftext", "", " ", "  ", " a", "a ", "a  b", "a \nb", "a\n b", "don't stop"] + ["".join(r.choice(parts) for _ in range(r.randint(1, 40))) for _ in range(3000)]
     for text in texts:
         assert np.frombuffer(words.ids(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, repr(text)
 
@@ -36,21 +36,44 @@ def test_operators_keep_every_item_and_improve():
     items = {s: r.randint(1, 9) for s in r.sample(range(1, 1025), 500)}
     one = best_fit({}, items, 1024)
     other = packing.first_genomes(items, 1024, 3, r)[2]
-    for genome in (one, other, crossover(one, other, items, 1024, r), mutate(one, 1024, r)):
+    for genome in (one, other, crossover(one, other, items, 1024, r), mutate(one, 1024, r), refill(Counter(items), 1024)):
         assert contents(genome) == items
     after = packing.evolve([one, other], items, 1024, 10, r)[0]
     assert fitness(after, 1024) <= fitness(one, 1024)
 
 
+def test_fullest_equals_brute_force():
+    r = random.Random(4)
+    for _ in range(200):
+        held = Counter(r.choices(range(1, 40), k=r.randint(0, 8)))
+        room = r.randint(1, 90)
+        got = fullest(held, room, 100_000)
+        sums = {0}
+        for s in held.elements():
+            sums |= {x + s for x in sums if x + s <= room}
+        assert sum(got) == max(sums) and not Counter(got) - held
+
+
+def test_the_search_beats_its_seed(spark):
+    """Lengths that fill bins exactly when put together rightly, which best-fit does not find."""
+    r = random.Random(3)
+    items = Counter()
+    for _ in range(150):
+        a, b = sorted(r.sample(range(1, 1024), 2))
+        items.update((a, b - a, 1024 - b))
+    genome, history = pack_lengths(spark, dict(items), 1024)
+    assert contents(genome) == items and sum(genome.values()) == history[-1] < history[0] == sum(best_fit({}, items, 1024).values())
+    assert history == sorted(history, reverse=True) and history[-1] <= 151
+
+
 def test_packing_is_whole_gapless_and_tight(spark):
     r = random.Random(2)
     words = ["the", "and", "venue", "é", "concert", "xyz", "12"]
     rows = [(i, " ".join(r.choice(words) for _ in range(int(r.expovariate(1 / 400)) + 1))) for i in range(300)]
-    rows += [(500, None), (501, ""), (None, "a b"), (502, rows[3][1]), (502, rows[3][1]), (503, "the " * 5000)]
+    rows += [(500, None), (501, ""), (None, "a b"), (502, rows[3][1]), (502, rows[3][1]), (503, "the " * 5000), (504, "x <|endoftext|> y")]
     df = spark.createDataFrame([(*x, 7) for x in rows], "doc_id long, text string, length int").repartition(5)
     got = pack_documents(df).collect()
     tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     want = []
     for i, t in rows:
         ids = tok.encode(t or "", add_special_tokens=False).ids + [2]
