@@ -10,9 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_BODY = re.compile(r"[^>\"']*")
 _ATTR = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_HIDING = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible)", re.I)
+_NUMBER = re.compile(r"\s*(-?[0-9]{1,9})(?![0-9])", re.A)
 _BLANK = re.compile(r"[ \t\n\r\f]+")
 
 # Element classes of HTML.
@@ -77,12 +80,85 @@ class _Canvas:
         return self.lines
 
 
-def _table(rows: list[list[str]]) -> list[str]:
+def _number(text: str | None, otherwise: int) -> int:
+    """A whole number of at most nine ASCII digits, as attributes give it."""
+    found = _NUMBER.match(text or "")
+    return int(found.group(1)) if found else otherwise
+
+
+def _table(rows: list[list[list[str]]]) -> list[str]:
+    """Rows of cells of lines, cells padded to columns; a cell of several lines goes on below its first."""
     width = [0] * max((len(r) for r in rows), default=0)
     for row in rows:
         for i, cell in enumerate(row):
-            width[i] = max(width[i], len(cell))
-    return [" | ".join(c.ljust(width[i]) for i, c in enumerate(row)).rstrip() for row in rows if any(row)]
+            width[i] = max(width[i], max(map(len, cell), default=0))
+    out = []
+    for row in rows:
+        for k in range(max(map(len, row), default=0)):
+            line = " | ".join((cell[k] if k < len(cell) else "").ljust(width[i]) for i, cell in enumerate(row))
+            out.append(line.rstrip(" |") if k else line.rstrip())
+    return out
+
+
+class _Scanner:
+    """Finds tags in one pass over a page, however broken its markup."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.quotes = True  # quoted values may hold >; not any more once a tag has not ended for its quotes
+
+    def end_of_tag(self, at: int) -> int:
+        """Where the tag whose attributes begin here has its >; -1 without one."""
+        page = self.page
+        if at > self.last:
+            return -1
+        begin = at
+        while self.quotes:
+            at = _BODY.match(page, at).end()
+            if at >= len(page):
+                self.quotes = False
+            elif page[at] == ">":
+                return at
+            else:
+                at = page.find(page[at], at + 1) + 1
+                if not at:
+                    self.quotes = False
+        return page.find(">", begin)
+
+    def parts(self):
+        """(text, closing, name, attributes): text, or a tag with its name; a raw element's text is taken with `skip`."""
+        page, at = self.page, 0
+        while at < len(page):
+            start = page.find("<", at)
+            if start < 0:
+                yield page[at:], "", "", ""
+                return
+            if start > at:
+                yield page[at:start], "", "", ""
+            if page.startswith("<!--", start):
+                short = next((n for n in (5, 6) if page[start : start + n] in ("<!-->", "<!--->")), 0)
+                end = start + short if short else page.find("-->", start + 4) + 3
+                if end < start + 4:
+                    return
+                at = end
+                continue
+            if page[start + 1 : start + 2] in ("!", "?"):
+                at = page.find(">", start) + 1
+                if not at:
+                    return
+                continue
+            tag = _TAG.match(page, start)
+            end = self.end_of_tag(tag.end()) if tag else -1
+            if end < 0:
+                if tag and start > self.last:
+                    yield page[start:], "", "", ""
+                    return
+                yield "<", "", "", ""
+                at = start + 1
+                continue
+            self.at = end + 1
+            yield None, tag.group(1), tag.group(2).lower(), page[tag.end() : end]
+            at = self.at
 
 
 class Renderer:
@@ -96,29 +172,20 @@ class Renderer:
 
     def render(self, page: str | None) -> str:
         page = page or ""
-        at = 0
-        while at < len(page):
-            match = _TOKEN.search(page, at)
-            if match is None:
-                self.characters(page[at:])
-                break
-            if match.start() > at:
-                self.characters(page[at : match.start()])
-            at = match.end()
-            name = match.group(2)
-            if not name:
-                continue
-            name = name.lower()
-            if match.group(1):
+        scanner = _Scanner(page)
+        for text, closing, name, raw in scanner.parts():
+            if text is not None:
+                self.characters(text)
+            elif closing:
                 self.end(name)
-                continue
-            self.start(name, match.group(3) or "")
-            if name in RAW and self.stack and self.stack[-1]["name"] == name:
-                closing = _RAW_END[name].search(page, at)
-                stop = closing.start() if closing else len(page)
-                if name in ("textarea", "xmp"):
-                    self.characters(page[at:stop])
-                at = stop
+            else:
+                self.start(name, raw)
+                if name in RAW and self.stack and self.stack[-1]["name"] == name:
+                    end = _RAW_END[name].search(page, scanner.at)
+                    stop = end.start() if end else len(page)
+                    if name in ("textarea", "xmp"):
+                        self.characters(page[scanner.at : stop])
+                    scanner.at = stop
         while self.stack:
             self.pop()
         return "\n".join(self.canvas.text()).strip("\n")
@@ -131,7 +198,7 @@ class Renderer:
     def characters(self, text: str) -> None:
         if text.strip(" \t\n\r\f"):
             self.end_head()
-        if self.hidden or not text:
+        if self.hidden or not text or self.stack and (self.stack[-1]["dim"] or self.stack[-1]["closed"]):
             return
         text = html.unescape(text).replace("\x00", "")
         if self.pre:
@@ -151,14 +218,21 @@ class Renderer:
             if name[0] == "h" and name[1:].isdigit():
                 self.close_open(("h1", "h2", "h3", "h4", "h5", "h6"), _SCOPE | BLOCKS - {"h1", "h2", "h3", "h4", "h5", "h6"})
         attrs = {m[0].lower(): html.unescape(m[1] or m[2] or m[3]) for m in _ATTR.findall(raw)} if raw.strip(" /\n\t\r") else {}
-        unseen = name in UNSEEN or foreign and name in FOREIGN_UNSEEN or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or bool(_HIDING.search(attrs.get("style", ""))) or name == "dialog" and "open" not in attrs
+        style = attrs.get("style", "")
+        unseen = name in UNSEEN or foreign and name in FOREIGN_UNSEEN or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or bool(_HIDING.search(style)) or name == "dialog" and "open" not in attrs
+        parent = self.stack[-1] if self.stack else {"dim": False, "closed": False}
+        if parent["closed"]:  # of closed details only the first summary shows
+            unseen = unseen or name != "summary" or parent.get("summed", False)
+            parent["summed"] = parent.get("summed", False) or name == "summary"
+        said = _VISIBILITY.search(style)
+        dim = said.group(1).lower() != "visible" if said else parent["dim"]  # takes up its place, but its own text does not show
         if name in VOID:
-            if not (self.hidden or unseen):
+            if not (self.hidden or unseen or dim and name != "br"):
                 self.void(name, attrs)
             return
         if foreign and raw.endswith("/"):
             return
-        node = {"name": name, "unseen": bool(unseen), "outer": None}
+        node = {"name": name, "unseen": bool(unseen), "outer": None, "dim": dim, "closed": name == "details" and "open" not in attrs}
         self.stack.append(node)
         self.open[name] += 1
         if unseen:
@@ -170,7 +244,7 @@ class Renderer:
         if name == "pre":
             self.pre += 1
         if name == "ol":
-            node["next"] = int(attrs["start"]) if attrs.get("start", "").lstrip("-").isdigit() else 1
+            node["next"] = _number(attrs.get("start"), 1)
         elif name == "table":
             node["rows"] = []
         elif name == "tr":
@@ -178,7 +252,7 @@ class Renderer:
         if name in ("li", "td", "th", "caption", "dd", "blockquote"):
             node["outer"], self.canvas = self.canvas, _Canvas()
             if name == "td" or name == "th":
-                node["span"] = int(attrs["colspan"]) if attrs.get("colspan", "").isdigit() else 1
+                node["span"] = min(1000, max(1, _number(attrs.get("colspan"), 1)))
 
     def inside(self, names: frozenset, name: str) -> bool:
         return name in names and sum(self.open[n] for n in names) > 1
@@ -240,9 +314,9 @@ class Renderer:
             lines, self.canvas = self.canvas.text(), node["outer"]
             if name in ("td", "th"):
                 row = next((n for n in reversed(self.stack) if n["name"] in ("tr", "table")), None)
-                cells = [" ".join(x.strip() for x in lines if x.strip())] + [""] * (node["span"] - 1 if node["span"] < 1000 else 0)
+                cells = [[x for x in lines if x.strip()], *[[] for _ in range(node["span"] - 1)]]
                 if row is None:
-                    self.canvas.write(" ".join(cells))
+                    self.canvas.write(" ".join(x.strip() for x in cells[0]))
                 elif row["name"] == "tr":
                     row.setdefault("cells", []).extend(cells)
                 else:
@@ -254,7 +328,8 @@ class Renderer:
                     mark = f"{parent['next']}. "
                     parent["next"] += 1
                 pad = " " * len(mark)
-                self.canvas.put([(mark if i == 0 else pad if x else "") + x for i, x in enumerate(lines)] or [mark.rstrip()])
+                if lines or not node["dim"]:
+                    self.canvas.put([(mark if i == 0 else pad if x else "") + x for i, x in enumerate(lines)] or [mark.rstrip()])
             elif lines:
                 self.canvas.put([("  " if x and name != "caption" else "") + x for x in lines])
         elif name == "tr" and "cells" in node:
@@ -262,7 +337,7 @@ class Renderer:
             if table is not None and "rows" in table:
                 table["rows"].append(node["cells"])
             else:
-                self.canvas.put([" | ".join(node["cells"])])
+                self.canvas.put(_table([node["cells"]]))
         elif name == "table" and node.get("rows"):
             self.canvas.end_line()
             self.canvas.put(_table(node["rows"]))
@@ -280,9 +355,11 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
 
     All visible text in reading order: blocks on lines of their own, an empty line around
     paragraphs, headings, lists and tables, list items marked and indented, table cells padded to
-    columns. Scripts, styles, head, templates, hidden and aria-hidden elements and those styled
-    display:none or visibility:hidden are left out. Null and empty pages give an empty text; broken
-    markup is repaired by implied tags; repeated rows each give a row, null ids pass through, other
+    columns, lines of a cell below each other. Scripts, styles, head, templates, hidden and aria-hidden elements and those styled
+    display:none are left out, as are closed details but for their summary; of visibility:hidden
+    elements those parts show that are visible again. Null and empty pages give an empty text;
+    broken markup is repaired by implied tags, a quote that nothing closes ends with its tag, and a
+    last tag without > is text; repeated rows each give a row, null ids pass through, other
     columns are ignored.
     """
 

@@ -1,3 +1,6 @@
+import random
+import re
+
 from gigledger.llm.html_text import extract_pages, page_text
 
 CASES = [
@@ -15,7 +18,7 @@ CASES = [
     ("1 < 2 and 3 > 2", "1 < 2 and 3 > 2"),
     ("<a href='x>y'>link</a> <img alt='pic'>", "link pic"),
     ("<dl><dt>t<dd>d<dt>u<dd>e</dl>", "t\n  d\nu\n  e"),
-    ("<table><tr><td>out<table><tr><td>in</table><td>z</table>", "out in | z"),
+    ("<table><tr><td>out<table><tr><td>in</table><td>z</table>", "out | z\nin"),
     ("", ""),
     (None, ""),
     ("<p", "<p"),
@@ -30,6 +33,81 @@ def test_pages():
         assert page_text(page) == want, (page, page_text(page))
 
 
+def test_broken_numbers_and_quotes():
+    for value in ("--5", "²", "9" * 5000, "٣", "", "-", "1e9", "5x"):
+        assert page_text(f"<ol start='{value}'><li>a</ol>").endswith(" a") or page_text(f"<ol start='{value}'><li>a</ol>").endswith(". a")
+        assert page_text(f"<table><tr><td colspan='{value}'>a<td>b</table>").split("|")[-1].strip() == "b"
+    assert page_text("<ol start=-2><li>a<li>b</ol>") == "-2. a\n-1. b"
+    assert page_text('<p title="never closed>one<p>two') == "one\n\ntwo"
+    assert page_text("a<!-->b<!--->c<!-- d > -->e<!doctype x>f<?php g>h<!-- no end") == "abcefh"
+    assert page_text("a < b <3 <p>c") == "a < b <3\n\nc"
+
+
+def test_details_and_visibility():
+    assert page_text("<details>no<summary>yes <b>this</b></summary>no<p>no</p><summary>no</summary></details>after") == "yes this\nafter"
+    assert page_text("<details open><summary>yes</summary>and this</details>") == "yes\nand this"
+    assert page_text("<div style='visibility:hidden'>no <b style='visibility: visible'>yes <i>too</i></b> no</div>so") == "yes too\nso"
+    assert page_text("<div style='display:none'><b style='visibility:visible'>no</b></div><ul style='visibility:hidden'><li>no</ul>x") == "x"
+
+
+def test_cells_of_several_lines_stay_aligned():
+    assert page_text("<table><tr><td>one<br>two<td>x<tr><td>longer<td><p>y<p>z</table>") == "one    | x\ntwo\nlonger | y\n       | z"
+
+
+def test_broken_markup_takes_linear_time():
+    import time
+
+    for piece in ("<a b=x ", "<a b='x ", '<a b=">" ', "<", "<!", "<a ", "</", "<p", "<a b=\"'", "<td>", "<li>", "<b><i>", "</p>", "<!--", "<svg><title>", "<a b   ", "&amp", "<select><option>"):
+        page = piece * (300_000 // len(piece))
+        began = time.process_time()
+        page_text(page)
+        assert time.process_time() - began < 8, piece
+
+
+def test_random_markup_never_fails():
+    r = random.Random(1)
+    pieces = "<p> </p> <table> <tr> <td colspan=2> </td> </table> <ul> <li> <ol start=x> </ol> <details> <summary> <pre> </pre> <div hidden> </div> <select> <option> <head> <body> <svg> </svg> <br> <hr> <img alt=i> text & &lt; < > \" ' = <a b=' <script> </script> <textarea> </textarea> <!-- --> <dl> <dt> <dd> <caption> <h1> </h1> <style> </style> \x00 \n".split(" ")
+    for _ in range(3000):
+        page_text("".join(r.choice(pieces) for _ in range(r.randint(1, 60))))
+
+
+def made_page(r, depth=0):
+    """(markup, visible words by block: words of one block may share a line, others may not)."""
+    out, blocks = "", [[]]
+    for _ in range(r.randint(1, 4)):
+        kind = r.choice(["text", "inline", "block", "hidden", "br", "list"]) if depth < 4 else "text"
+        word = f"w{r.randrange(10**6)}"
+        if kind == "text":
+            out += f" {word} "
+            blocks[-1].append(word)
+        elif kind == "inline":
+            inner, inside = f"{word}", word
+            out += f"<{(t := r.choice(['b', 'i', 'span', 'a']))} title='a > b'>{inner}</{t}> "
+            blocks[-1].append(inside)
+        elif kind == "br":
+            out += "<br>"
+            blocks.append([])
+        elif kind == "hidden":
+            out += r.choice(["<script>{0}</script>", "<div hidden>{0}<p>{0}</div>", "<!-- {0} -->", "<template>{0}</template>", "<details>{0}</details>", "<p style='display:none'>{0}</p>"]).format(word)
+        else:
+            inner, inside = made_page(r, depth + 1)
+            tag = "div" if kind == "block" else None
+            out += f"<div>{inner}</div>" if tag else f"<ul><li>{inner}</li></ul>"
+            blocks += [*inside, []]
+    return out, blocks
+
+
+def test_made_pages_show_every_visible_word_and_no_other():
+    r = random.Random(7)
+    for _ in range(500):
+        page, blocks = made_page(r)
+        blocks = [b for b in blocks if b]
+        lines = [re.findall(r"w[0-9]+", line) for line in page_text(page).split("\n")]
+        assert [w for line in lines for w in line] == [w for b in blocks for w in b], page
+        owner = {w: i for i, b in enumerate(blocks) for w in b}
+        assert all(len({owner[w] for w in line}) <= 1 for line in lines), page
+
+
 def test_depth_and_length():
     assert page_text("<div>" * 30000 + "x" + "</div>" * 30000) == "x"
     assert page_text("<p>word</p>" * 20000).count("word") == 20000
