@@ -1,9 +1,12 @@
 """License scan: exact set-similarity join of text blocks with license templates.
 
-A block is a line of a document, as a set of words. Template words are ordered by how rare they
-are over all documents; a block that holds at least the threshold's share of a template must hold
-one of its rarest words (prefix filter), be long enough (length filter) and still be able to reach
-the share from where it matches (position filter). What passes is verified exactly.
+A block is a run of consecutive words of a document, line breaks or not: runs of twice the
+longest template's length, each starting one such length after the last, so that every stretch
+of a template's length lies whole in some block. Template words are ordered by how rare they are
+over all documents; a block that holds at least the threshold's share of a template's words must
+hold one of its rarest (prefix filter), be long enough (length filter) and still be able to reach
+the share from where it matches (position filter). What passes is verified exactly: the share,
+and that one of the template's telling phrases, which set its license apart from the next, stands in the block.
 """
 
 from __future__ import annotations
@@ -19,21 +22,39 @@ from .util import encode_utf8
 
 # Phrases whose consecutive words give a label.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-# Short notices of public licenses.
+# Notices of public licenses, and the phrases of which one must stand in a block (none given: no need).
 TEMPLATES = (
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("apache-2", "licensed under the apache license version 2 0"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
-    ("cc-by-sa", "licensed under cc by sa 4 0"),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3"),
-    ("gpl-2", "this work is licensed under the gnu general public license version 2"),
-    ("lgpl-3", "this library is licensed under the gnu lesser general public license version 3"),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("mit", "released under the mit license", ("mit license",)),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ()),
+    ("apache-2", "licensed under the apache license version 2 0", ("apache license version 2", "apache license 2", "apache 2")),
+    ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at apache org", ("apache org",)),
+    ("cc-by", "licensed under cc by 4 0", ("cc by 4",)),
+    ("cc-by-sa", "licensed under cc by sa 4 0", ("cc by sa",)),
+    ("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
+    ("cc-by-nc-sa", "licensed under cc by nc sa 4 0", ("cc by nc sa",)),
+    ("cc-by-nd", "licensed under cc by nd 4 0", ("cc by nd",)),
+    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", ("attribution 4",)),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license", ("attribution sharealike",)),
+    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", ("attribution noncommercial 4",)),
+    ("cc-by-nc-sa", "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license", ("attribution noncommercial sharealike",)),
+    ("cc-by-nd", "this work is licensed under a creative commons attribution noderivatives 4 0 international license", ("attribution noderivatives",)),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ()),
+    ("gpl-2", "this work is licensed under the gnu general public license version 2", ("gnu general public license version 2", "gnu general public license v2", "gnu gpl version 2", "gnu gpl v2")),
+    ("gpl-3", "this work is licensed under the gnu general public license version 3", ("gnu general public license version 3", "gnu general public license v3", "gnu gpl version 3", "gnu gpl v3")),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", ("gnu general public license",)),
+    ("lgpl-2.1", "this library is licensed under the gnu lesser general public license version 2 1", ("gnu lesser general public license version 2", "gnu lesser general public license v2", "gnu lgpl version 2", "gnu lgpl v2")),
+    ("lgpl-3", "this library is licensed under the gnu lesser general public license version 3", ("gnu lesser general public license version 3", "gnu lesser general public license v3", "gnu lgpl version 3", "gnu lgpl v3")),
+    ("agpl-3", "this program is licensed under the gnu affero general public license version 3", ("gnu affero general public license version 3", "gnu affero general public license v3", "gnu agpl version 3", "gnu agpl v3")),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
+    ("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", ("eclipse public license 2", "eclipse public license v 2", "eclipse public license version 2")),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ()),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ()),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ("the authors be held liable",)),
+    ("bsl-1", "distributed under the boost software license version 1 0", ("boost software license",)),
+    ("artistic-2", "you may redistribute and modify this package under the terms of the artistic license 2 0", ("artistic license 2", "artistic license version 2")),
+    ("ofl-1.1", "this font software is licensed under the sil open font license version 1 1", ("open font license",)),
+    ("unlicense", "this is free and unencumbered software released into the public domain", ()),
+    ("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies do what the fuck you want to public license", ("do what the fuck you want",)),
 )
 #: Lower-cases A-Z and turns every byte that is no word byte into a space.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -62,34 +83,47 @@ class TemplateIndex:
     """Prefix index of word sets under one global order, rarest word first."""
 
     def __init__(self, templates, frequency: dict[str, int], threshold: float):
-        self.rank = {w.encode(): i for i, w in enumerate(sorted({w for _, t in templates for w in t.split()}, key=lambda w: (frequency.get(w, 0), w)))}
+        self.rank = {w.encode(): i for i, w in enumerate(sorted({w for _, t, _ in templates for w in t.split()}, key=lambda w: (frequency.get(w, 0), w)))}
+        self.step = max(len(t.split()) for _, t, _ in templates)
         self.sets, self.prefix = [], {}
-        for number, (label, text) in enumerate(templates):
+        for number, (label, text, tells) in enumerate(templates):
             words = sorted({w.encode() for w in text.split()}, key=self.rank.__getitem__)
             need = math.ceil(threshold * len(words) - 1e-9)
-            self.sets.append((label, frozenset(words), len(words), need))
+            self.sets.append((label, frozenset(words), len(words), need, [b" " + t.encode() + b" " for t in tells]))
             for at, word in enumerate(words[: len(words) - need + 1]):
                 self.prefix.setdefault(word, []).append((number, at))
 
-    def matches(self, words: set[bytes]) -> list[tuple[str, float]]:
-        """(label, containment) of every template that the block holds to the threshold."""
-        out, seen = [], set()
+    def blocks(self, words: list[bytes]):
+        """The blocks of a text that hold a prefix word."""
+        step, last = self.step, max(0, -(-len(words) // self.step) - 2)
+        wanted = set()
+        for at, word in enumerate(words):
+            if word in self.prefix:
+                wanted.update(k for k in (at // step - 1, at // step) if 0 <= k <= last)
+        for k in sorted(wanted):
+            yield words[k * step : (k + 2) * step]
+
+    def matches(self, block: list[bytes]) -> list[tuple[str, float]]:
+        """(label, containment) of every template that the block holds to the threshold, with a telling phrase."""
+        out, seen, words, joined = [], set(), set(block), None
         common = sorted(words & self.rank.keys(), key=self.rank.__getitem__)
         for at, word in enumerate(common):
             for number, position in self.prefix.get(word, ()):
-                label, wanted, size, need = self.sets[number]
+                label, wanted, size, need, tells = self.sets[number]
                 if number in seen or len(words) < need or min(size - position, len(common) - at) + min(position, at) < need:
                     continue
                 seen.add(number)
                 share = len(words & wanted)
                 if share >= need:
-                    out.append((label, share / size))
+                    joined = joined or b" " + b" ".join(block) + b" "
+                    if not tells or any(t in joined for t in tells):
+                        out.append((label, share / size))
         return out
 
 
 def template_word_counts(docs: DataFrame, text_col: str, templates) -> dict[str, int]:
     """How often each template word occurs over all whole texts."""
-    wanted = {w.encode() for _, t in templates for w in t.split()}
+    wanted = {w.encode() for _, t, _ in templates for w in t.split()}
 
     def run(batches):
         total: Counter = Counter()
@@ -106,8 +140,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Per input row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Base columns tell where the phrases stand in the whole text's words. labels joins the base
-    labels and those of every template of whose distinct words some line holds at least the
-    threshold's share; score is the largest such share, or 1 with a base place, else 0. Null and
+    labels and those of every template (label, text, telling phrases) of whose distinct words some
+    block holds at least the threshold's share, and one of its telling phrases if it has any; score is the largest such share, or 1 with a base place, else 0. Null and
     empty texts have no words and empty label strings, repeated rows each give a row, null ids pass
     through, other columns are ignored, an empty table gives no rows.
     """
@@ -126,8 +160,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 base = {label for _, label in places}
                 found = []
                 if not index.prefix.keys().isdisjoint(words):
-                    for line in data.split(b"\n"):
-                        found += index.matches(set(block_words(line)))
+                    for block in index.blocks(words):
+                        found += index.matches(block)
                 starts = [at for at, _ in places]
                 score = max([1.0] if places else [0.0], default=0.0)
                 score = max([score, *(s for _, s in found)])

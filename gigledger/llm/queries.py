@@ -112,15 +112,22 @@ places as (
 base as (
   select r, count(*) as n, min(s) as lo, max(s) as hi, string_agg(distinct label, ',' order by label) as labels
   from places group by r),
-templates(i, label, t) as (values {_values(TEMPLATES)}),
+templates(i, label, t) as (values {_values([(label, t) for label, t, _ in TEMPLATES])}),
+tells(i, tell) as (values {", ".join(f"({i}, '{t}')" for i, (_, _, tells) in enumerate(TEMPLATES) for t in tells)}),
 tw as (select i, label, unnest(list_distinct(string_split(t, ' '))) as word from templates),
 size as (select i, count(*) as n from tw group by i),
-lines as (select r, unnest(range(1, len(string_split(t, chr(10))) + 1)) as l, unnest(string_split(t, chr(10))) as t from w),
-lw as (select distinct r, l, unnest(regexp_extract_all(t, '{_WORD}')) as word from lines),
+step as (select max(len(string_split(t, ' '))) as m from templates),
+starts as (select r, ws, m, unnest(range(0, greatest(1, ceil(len(ws) / m)::bigint - 1))) as k from w, step),
+blocks as (select r, k, ws[k * m + 1:k * m + 2 * m] as b from starts),
+bw as (select distinct r, k, unnest(b) as word from blocks),
+shares as (
+  select r, k, tw.i, tw.label, count(*)::double / any_value(size.n) as share
+  from bw join tw using (word) join size on size.i = tw.i
+  group by r, k, tw.i, tw.label having count(*) >= ceil(0.8 * any_value(size.n) - 1e-9)),
 held as (
-  select r, tw.label, count(*)::double / any_value(size.n) as share
-  from lw join tw using (word) join size on size.i = tw.i
-  group by r, l, tw.i, tw.label having count(*) >= ceil(0.8 * any_value(size.n) - 1e-9)),
+  select s.r, s.label, s.share from shares s join blocks using (r, k)
+  where s.i not in (select i from tells)
+     or exists (select 1 from tells where tells.i = s.i and contains(' ' || array_to_string(b, ' ') || ' ', ' ' || tell || ' '))),
 best as (select r, max(share) as share from held group by r),
 every as (
   select r, string_agg(distinct label, ',' order by label) as labels

@@ -14,12 +14,14 @@ def brute(doc, text):
     words = words_of(text)
     places = [(i, label) for phrase, label in PHRASES for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
     found = []
-    for line in (text or "").split("\n"):
-        have = set(words_of(line))
-        for label, template in TEMPLATES:
+    m = max(len(t.split()) for _, t, _ in TEMPLATES)
+    for start in range(0, max(1, len(words) - m), m):
+        block = words[start : start + 2 * m]
+        for label, template, tells in TEMPLATES:
             t = set(template.split())
-            if len(t & have) >= math.ceil(0.8 * len(t) - 1e-9):
-                found.append((label, len(t & have) / len(t)))
+            telling = not tells or any(block[i : i + len(x.split())] == x.split() for x in tells for i in range(len(block)))
+            if telling and len(t & set(block)) >= math.ceil(0.8 * len(t) - 1e-9):
+                found.append((label, len(t & set(block)) / len(t)))
     base = {label for _, label in places}
     at = [i for i, _ in places]
     return (doc, len(words), len(places), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | {x for x, _ in found})), max([1.0 if places else 0.0, *(s for _, s in found)]))
@@ -27,7 +29,7 @@ def brute(doc, text):
 
 def test_equals_brute_force(spark):
     r = random.Random(1)
-    pool = [w for _, t in TEMPLATES for w in t.split()] + ["ü", "and", "of", "mit", "x"]
+    pool = [w for _, t, _ in TEMPLATES for w in t.split()] + ["ü", "and", "of", "mit", "x"]
     rows = []
     for i in range(300):
         lines = []
@@ -47,11 +49,29 @@ def test_equals_brute_force(spark):
     assert scan_licenses(docs.limit(0)).collect() == []
 
 
+def test_licenses_are_told_apart(spark):
+    mit = next(t for label, t, _ in TEMPLATES if label == "mit" and "obtaining" in t)
+    cases = [
+        ("Some words. Licensed under CC BY-SA 4.0.", "cc-by-sa"),
+        ("Licensed under CC BY 4.0", "cc-by"),
+        ("Licensed under CC BY-NC 4.0", "cc-by-nc"),
+        ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "cc-by"),
+        ("This work is licensed under the GNU General Public License, version 3.", "gpl-3"),
+        ("This library is licensed under the GNU Lesser General Public License version 3", "lgpl-3"),
+        ("released under the BSD license", ""),
+        ("word " * 77 + "\n".join(" ".join(mit.split()[i : i + 4]) for i in range(0, 20, 4)) + " word" * 99, "mit"),
+        ("the mit license " + "other " * 200 + "released under", ""),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in scan_licenses(docs).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(cases)}
+
+
 def test_filters_lose_no_block():
     r = random.Random(2)
-    templates = [(str(i), " ".join(r.sample([f"w{k}" for k in range(30)], r.randint(1, 9)))) for i in range(40)]
+    templates = [(str(i), " ".join(r.sample([f"w{k}" for k in range(30)], r.randint(1, 9))), ()) for i in range(40)]
     index = TemplateIndex(templates, {f"w{k}": k * 7 % 11 for k in range(30)}, 0.7)
     for _ in range(500):
         block = {f"w{k}".encode() for k in r.sample(range(40), r.randint(0, 20))}
-        want = sorted((label, len(set(t.encode().split()) & block) / len(t.split())) for label, t in templates if len(set(t.encode().split()) & block) >= math.ceil(0.7 * len(t.split()) - 1e-9))
-        assert sorted(index.matches(block)) == want
+        want = sorted((label, len(set(t.encode().split()) & block) / len(t.split())) for label, t, _ in templates if len(set(t.encode().split()) & block) >= math.ceil(0.7 * len(t.split()) - 1e-9))
+        assert sorted(index.matches(list(block))) == want
