@@ -91,15 +91,16 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 
 ORACLE: dict[str, str] = {
     "op1_exact_topk": """
-with parts as (
-  select vec_id, unnest(range(1, len(embedding) + 1)) as i, unnest(embedding)::double as x from embeddings),
-good as (select vec_id from parts group by vec_id having count(*) = count(x) and bool_and(isfinite(x))),
-v as (select vec_id, i, floor(256 * x)::bigint as x from parts where vec_id in (select vec_id from good)),
+with given as (select row_number() over () as r, vec_id, embedding from embeddings),
+parts as (
+  select r, vec_id, unnest(range(1, len(embedding) + 1)) as i, unnest(embedding)::double as x from given),
+good as (select r from parts group by r having count(*) = count(x) and bool_and(isfinite(x))),
+v as (select r, vec_id, i, floor(256 * x)::bigint as x from parts where r in (select r from good)),
 s as (
-  select q.vec_id as query_id, p.vec_id, sum(q.x * p.x)::bigint as score
-  from v q join v p on q.i = p.i and q.vec_id <> p.vec_id where q.vec_id % 50 = 0 group by all)
+  select q.r as qr, q.vec_id as query_id, p.r as pr, p.vec_id, sum(q.x * p.x)::bigint as score
+  from v q join v p on q.i = p.i and q.r <> p.r where q.vec_id % 50 = 0 group by all)
 select query_id, rank::int as rank, vec_id, score
-from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 5
+from (select *, row_number() over (partition by qr order by score desc, vec_id, pr) as rank from s) where rank <= 5
 """,
     "op6_license_scan": f"""
 with d as (select row_number() over () as r, doc_id, {_LOWER} as t from documents),

@@ -8,16 +8,15 @@ from gigledger.llm.topk import top_products
 
 
 def brute(rows, every=50, k=5):
-    good = {}
+    good = []
     for i, v in rows:
         if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
             continue
-        q = [math.floor(256 * float(np.float32(x))) for x in v]
-        good[i] = min(good.get(i, q), q)
+        good.append((i, [math.floor(256 * float(np.float32(x))) for x in v]))
     out = []
-    for i, q in good.items():
+    for own, (i, q) in enumerate(good):
         if i % every == 0:
-            scores = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in good.items() if j != i)[:k]
+            scores = sorted((-sum(a * b for a, b in zip(q, v)), j) for other, (j, v) in enumerate(good) if other != own)[:k]
             out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scores)]
     return sorted(out)
 
