@@ -18,9 +18,23 @@ from .tokens import WordEncoder, default_vocabulary
 LEAF_CHARS = 256
 
 
+def _kind(c: str) -> str:
+    """Letter, digit or ASCII punctuation; empty for all else and for what special tokens are made of."""
+    if c.isalpha():
+        return "letter"
+    if "0" <= c <= "9":
+        return "digit"
+    return "mark" if "!" <= c <= "~" and c not in "<|>'" else ""
+
+
 def _border(left: str, right: str) -> bool:
-    """No pre-token crosses the border: a single space that follows a visible character starts one."""
-    return bool(left) and not left[-1].isspace() and len(right) > 1 and right[0] == " " and not right[1].isspace()
+    """No pre-token crosses the border: a single space that follows a visible character starts one, as does a change between letters, digits and marks."""
+    if not left or not right or left[-1].isspace():
+        return False
+    if right[0] == " ":
+        return len(right) > 1 and not right[1].isspace()
+    one, other = _kind(left[-1]), _kind(right[0])
+    return bool(one and other and one != other)
 
 
 class TokenTree:
@@ -28,15 +42,18 @@ class TokenTree:
 
     def __init__(self, text: str, words: WordEncoder, leaf_chars: int = LEAF_CHARS):
         self.words, self.leaf_chars, self.encoded = words, leaf_chars, 0
-        self.leaves = self._cut(text)
+        leaves = self._cut(text)
+        self._build(leaves, [self._count(leaf) for leaf in leaves])
+
+    def _build(self, leaves: list[str], counts: list[int]) -> None:
+        """The tree over leaves whose token counts are known."""
         size = 1
-        while size < len(self.leaves):
+        while size < len(leaves):
             size *= 2
-        self.size = size
+        self.size, self.leaves = size, leaves + [""] * (size - len(leaves))
         self.chars, self.tokens = np.zeros(2 * size, np.int64), np.zeros(2 * size, np.int64)
-        for i, leaf in enumerate(self.leaves):
-            self.chars[size + i], self.tokens[size + i] = len(leaf), self._count(leaf)
-        self.leaves += [""] * (size - len(self.leaves))
+        self.chars[size : size + len(leaves)] = [len(leaf) for leaf in leaves]
+        self.tokens[size : size + len(leaves)] = counts
         level = size
         while level > 1:
             half = level // 2
@@ -49,15 +66,13 @@ class TokenTree:
         return len(self.words.ids(text)) // 4
 
     def _cut(self, text: str) -> list[str]:
+        """Runs of at least leaf_chars characters; a run is longer only as far as no pre-token ends (a long word is one)."""
         out, at = [], 0
         while len(text) - at > self.leaf_chars:
             end = at + self.leaf_chars
-            while True:
-                end = text.find(" ", end)
-                if end < 0 or _border(text[end - 1 : end], text[end : end + 2]):
-                    break
+            while end < len(text) and not _border(text[end - 1], text[end : end + 2]):
                 end += 1
-            if end < 0:
+            if end >= len(text):
                 break
             out.append(text[at:end])
             at = end
@@ -112,7 +127,13 @@ class TokenTree:
             break
         parts = self._cut(text)
         room = last - first + 1
-        parts = parts[: room - 1] + ["".join(parts[room - 1 :])]  # a leaf may grow; borders stay safe
+        if len(parts) > room:  # more leaves than places: build anew, encoding only what the edit touched
+            counts = self.tokens[self.size : 2 * self.size].tolist()
+            leaves = [*self.leaves[:first], *parts, *self.leaves[last + 1 :]]
+            counts = [*counts[:first], *map(self._count, parts), *counts[last + 1 :]]
+            kept = [i for i, leaf in enumerate(leaves) if leaf] or [0]
+            self._build([leaves[i] for i in kept], [counts[i] for i in kept])
+            return
         for i in range(room):
             part = parts[i] if i < len(parts) else ""
             if part or self.leaves[first + i]:

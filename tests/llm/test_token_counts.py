@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 
 def full(text, words):
-    return len(words.encode(text))
+    return len(words.ids(text)) // 4
 
 
 def test_any_edits_equal_a_full_count():
     r = random.Random(4)
     words = WordEncoder(default_vocabulary())
-    bits = [" ", "  ", "\n", "word", "é", "it's", "12", ",", " the", "日本", " ", "\t"]
+    bits = [" ", "  ", "\n", "word", "é", "it's", "12", ",", " the", "日本", " ", "\t", "<|endoftext|>", "|>", "a1", "!!", "'", "ll"]
     for _ in range(300):
         text = "".join(r.choice(bits) for _ in range(r.randint(0, 120)))
         tree = TokenTree(text, words, leaf_chars=r.choice([4, 16, 64]))
@@ -34,6 +34,24 @@ def test_only_touched_regions_are_encoded():
     assert tree.encoded < 1500
 
 
+def test_leaves_stay_small():
+    words = WordEncoder(default_vocabulary())
+    tree = TokenTree("some words", words, leaf_chars=64)
+    text = "some words"
+    for i in range(40):
+        new = f" piece{i} of text, and more of it" * 10
+        at = len(text) // 2
+        tree.edit(at, 0, new)
+        text = text[:at] + new + text[at:]
+    assert tree.text == text and tree.total == full(text, words) and max(map(len, tree.leaves)) < 200
+    for line in ("x=1,y=2;" * 4000, "词语,和、数123" * 3000):  # no spaces at all
+        tree = TokenTree(line, words)
+        tree.encoded = 0
+        tree.edit(9000, 3, "abc")
+        line = line[:9000] + "abc" + line[9003:]
+        assert tree.total == full(line, words) and tree.encoded < 1500
+
+
 def test_table_form(spark):
     docs = spark.createDataFrame([(1, "one two three", 5), (2, None, 6), (3, "", 7), (None, "x y", 8), (1, "one two three", 5)], "doc_id long, text string, n_tokens int")
     edits = spark.createDataFrame([(1, 1, 0, 3, "1"), (1, 2, None, None, None), (2, 1, 9, 9, "new text")], "doc_id long, seq long, start long, length long, replacement string")
