@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 from .util import encode_utf8, segment_starts
 
 UNIT_BYTES = 4_000_000  # text of one unit, unless packets would then get too small
+MOST_BYTES = 64_000_000  # text of one unit at any size of the input
 SHARD_WINDOWS = 600_000
 PACKET = 256  # entries a packet from a unit to a shard should hold on average
 WIDTH_BITS = 24  # counters of one shard in one sketch row
@@ -257,9 +258,10 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)])
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first().b
-    units = max(1, min(math.ceil(size / UNIT_BYTES), math.ceil(math.sqrt(size / 6 / PACKET))))
+    units = max(1, min(math.ceil(size / UNIT_BYTES), math.ceil(math.sqrt(size / 6 / PACKET))), math.ceil(size / MOST_BYTES))
     shards = max(1, min(math.ceil(size / 6 / SHARD_WINDOWS), units))
-    rows = rows.withColumn("unit", F.pmod(F.xxhash64("doc_id", "text"), F.lit(units)))
+    # rows equal in id and text are told apart by the part of the file they stand in, which stays the same whenever it is read
+    rows = rows.withColumn("unit", F.pmod(F.xxhash64("doc_id", "text", F.input_file_name(), F.input_file_block_start()), F.lit(units)))
 
     def sketch(key, table):
         return _sketch(key[0].as_py(), table, window, shards, depth)
