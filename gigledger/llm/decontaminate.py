@@ -214,5 +214,5 @@ def contaminated(
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows that repeat no benchmark item, with all their columns; each row is judged by its own text, whatever its id."""
-    rows, names = numbered(docs)
+    rows, names = numbered(docs, id_col)
     return without_rows(rows, names, contaminated(rows, benchmark, names[id_col], names[text_col], row_col="row", **options))

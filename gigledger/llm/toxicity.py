@@ -411,6 +411,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     Each row is judged by its own text: rows with null ids go if their text is toxic, and a clean
     row stays though it shares its id with a toxic one. An empty table gives no rows.
     """
-    rows, names = numbered(docs)
+    rows, names = numbered(docs, id_col)
     judged = nearest_label_scores(rows.withColumnsRenamed({names[id_col]: "doc_id", names[text_col]: "text"}).select("row", "doc_id", "text"), labels, row_col="row", **options)
     return without_rows(rows, names, judged.where("predicted = 1"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -30,14 +31,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
-    """The table with a number per row (`row`), cut so that the numbers stay, and the neutral name of each column.
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table in the shared folder, read again: smaller than a checkpoint for wide rows, and read by column."""
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def numbered(docs: DataFrame, id_col: str) -> tuple[DataFrame, dict[str, str]]:
+    """The table with a number per row (`row`), and the neutral name of each column.
 
-    Columns are renamed so that no name can clash; ids play no part, so null and repeated ones are rows like any other.
+    Where ids are whole numbers, unique and never null, they are the numbers; else rows get numbers of their
+    own in a written table, so that null and repeated ids are rows like any other. Columns are
+    renamed so that no name can clash.
     """
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
-    return cut(plain.withColumn("row", F.monotonically_increasing_id())), names
+    if id_col in names and dict(docs.dtypes)[id_col] in ("bigint", "int", "smallint", "tinyint"):
+        ids = plain.groupBy(F.col(names[id_col]).cast("long").alias("row")).agg(F.count(F.lit(1)).alias("n"))
+        if ids.where("row is null or n > 1").isEmpty():
+            return plain.withColumn("row", F.col(names[id_col]).cast("long")), names
+    return written(plain.withColumn("row", F.monotonically_increasing_id())), names
 
 
 def without_rows(rows: DataFrame, names: dict[str, str], gone: DataFrame) -> DataFrame:
