@@ -18,15 +18,38 @@ def haversine(lat1, lng1, lat2, lng2, radius: float = METRES) -> Column:
     return F.lit(2 * radius) * F.atan2(F.sqrt(a), F.sqrt(F.lit(1.0) - a))
 
 
-def cell_size(distance: float, radius: float, max_latitude: float = 75.0) -> float:
-    """Degrees of a cell such that points within the distance lie in neighbouring cells up to a latitude."""
-    return math.degrees(distance / radius) / math.cos(math.radians(max_latitude))
+def cell_size(distance: float, radius: float) -> float:
+    """Degrees of latitude of a band of cells such that points within the distance lie in the same or the next band."""
+    return math.degrees(distance / radius) * (1 + 1e-9)
 
 
-def cell(c, size: float) -> Column:
-    return F.floor((F.col(c) if isinstance(c, str) else c) / size)
+def _column(c) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
+def _around(band: Column, size: float) -> Column:
+    """How many cells lie around the earth in a band: each at least as wide as the distance is at the band's (or the next one's) farther edge; one where it spans the pole."""
+    edge = F.greatest(F.abs(band), F.abs(band + 1)) * size + size
+    reach = F.lit(math.sin(math.radians(size) / 2)) / F.cos(F.radians(edge))
+    return F.when((edge >= 90) | (reach >= 1), F.lit(1)).otherwise(F.floor(F.lit(180.0) / F.degrees(F.asin(F.least(reach, F.lit(1.0)))) * (1 - 1e-9))).cast("long")
+
+
+def _number(lng: Column, cells: Column) -> Column:
+    return F.least(F.floor(F.pmod(lng + 180.0, F.lit(360.0)) / 360.0 * cells), cells - 1)
+
+
+def cell(lat, lng, size: float) -> Column:
+    """The cell of a point: (cy, cx) of its band and its place around the earth."""
+    band = F.floor(_column(lat) / size)
+    return F.struct(band.alias("cy"), _number(_column(lng), F.greatest(_around(band, size), F.lit(1))).alias("cx"))
 
 
 def neighbours(lat, lng, size: float) -> Column:
-    """The nine cells around a point as an array of structs (cy, cx)."""
-    return F.array(*[F.struct((cell(lat, size) + dy).alias("cy"), (cell(lng, size) + dx).alias("cx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
+    """The cells around a point as an array of structs (cy, cx): three bands, in each the point's place and the next ones, across the date line and the poles too."""
+    here = F.floor(_column(lat) / size)
+    found = []
+    for dy in (-1, 0, 1):
+        cells = F.greatest(_around(here + dy, size), F.lit(1))
+        at = _number(_column(lng), cells)
+        found += [F.struct((here + dy).alias("cy"), F.pmod(at + dx, cells).alias("cx")) for dx in (-1, 0, 1)]
+    return F.array_distinct(F.array(*found))

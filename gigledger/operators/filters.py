@@ -40,6 +40,11 @@ def event_feed(events: DataFrame, start=None, end=None, genre: str | None = None
     return events.where(every(conditions))
 
 
+def publishable(rows: DataFrame) -> DataFrame:
+    """Approved or published rows."""
+    return rows.where(F.col("publish_status").isin(*PUBLISHABLE))
+
+
 def poi_feed(pois: DataFrame) -> DataFrame:
     """Publishable places, never those of the concert category."""
     return pois.where(F.col("publish_status").isin(*PUBLISHABLE) & (F.lower("category") != "concert"))
@@ -94,6 +99,61 @@ def images(rows: DataFrame, status: str | None = None, role: str | None = None,
     return rows.where(every(conditions))
 
 
+def soon(column: str, as_of: Column, hours: int = 24) -> Column:
+    """A moment that is known and not later than so many hours from the clock."""
+    return F.coalesce(F.col(column) <= as_of + F.expr(f"interval {hours} hours"), F.lit(False))
+
+
+def unknown_upstream(source: str = "upstream_event_source", provenance: str = "provenance_flags") -> Column:
+    return F.coalesce(F.col(source), F.lit("unknown")).isin("unknown") | F.array_contains(provenance, "unknown upstream source")
+
+
+def needs_backfill(repair: str = "ticket_link_repair_strategy", provenance: str = "provenance_flags") -> Column:
+    return F.array_contains(provenance, "api backfill required") | F.coalesce(F.col(repair) == "api_backfill_required", F.lit(False))
+
+
+def api_records(
+    records: DataFrame,
+    as_of: Column,
+    quality_issue: str | None = None,
+    provenance_flag: str | None = None,
+    missing_image: bool = False,
+    missing_ticket_link: bool = False,
+    missing_venue: bool = False,
+    expiring_soon: bool = False,
+    unknown_upstream_source: bool = False,
+    api_backfill_required: bool = False,
+    least_relevance: float | None = None,
+    least_photo_quality: float | None = None,
+    **equal,
+) -> DataFrame:
+    """Vendor records by any of nineteen wishes.
+
+    equal names columns and the value each must have (run, provider_key, ingestion_provider,
+    upstream_event_source, ticketing_provider, ticket_link_classification,
+    ticket_link_repair_strategy, review_status, normalization_status, duplicate_status). quality_flags
+    and provenance_flags are arrays; a null score counts as 0.
+    """
+    conditions = [F.col(c) == value for c, value in equal.items() if value is not None]
+    for flag, wanted in ((quality_issue, quality_issue), ("missing image", missing_image), ("missing ticket link", missing_ticket_link)):
+        if wanted:
+            conditions.append(F.array_contains("quality_flags", flag))
+    if provenance_flag:
+        conditions.append(F.array_contains("provenance_flags", provenance_flag))
+    if missing_venue:
+        conditions.append(F.exists("quality_flags", lambda f: f.startswith("missing venue")))
+    if expiring_soon:
+        conditions.append(soon("compliance_expires_at", as_of))
+    if unknown_upstream_source:
+        conditions.append(unknown_upstream())
+    if api_backfill_required:
+        conditions.append(needs_backfill())
+    for column, least in (("event_relevance_score", least_relevance), ("photo_quality_score", least_photo_quality)):
+        if least is not None:
+            conditions.append(F.coalesce(F.col(column), F.lit(0)) >= least)
+    return records.where(every(conditions))
+
+
 def crawl_gate(status: Column, review: Column) -> Column:
     """Why a source is not crawled, null where it is."""
     return (
@@ -120,4 +180,4 @@ def page(rows: DataFrame, order: list[Column], number: int, size: int, most: int
     return rows.orderBy(*order).offset((max(1, number) - 1) * size).limit(size)
 
 
-__all__ = ["clean", "contains_text", "crawl_gate", "event_feed", "every", "images", "like", "page", "poi_buckets", "poi_feed", "review_board", "suspicious", "within"]
+__all__ = ["clean", "contains_text", "api_records", "crawl_gate", "event_feed", "every", "images", "like", "page", "poi_buckets", "poi_feed", "review_board", "suspicious", "within"]

@@ -6,7 +6,7 @@ the best one per row is a min, so that no row's candidates are gathered.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -19,14 +19,21 @@ def keyed(rows: DataFrame, id_col: str, keys: list[tuple[str, Column]]) -> DataF
     return rows.select(F.col(id_col).alias("id"), F.explode(made).alias("k")).select("id", "k.*").where("key is not null")
 
 
-def priority_join(left: DataFrame, left_id: str, left_keys, right: DataFrame, right_id: str, right_keys) -> DataFrame:
+def priority_join(left: DataFrame, left_id: str, left_keys, right: DataFrame, right_id: str, right_keys, same: bool = False) -> DataFrame:
     """(left_id, right_id, strategy) of the first strategy that meets anything, then the smallest right id.
 
-    The right side is reduced to its smallest id per key before the join, so a key that many rows
-    share costs one row.
+    The right side is reduced to its smallest id per key before the join (with same, to its two
+    smallest, as a row then never meets itself), so a key that many rows share costs one row.
     """
-    index = keyed(right, right_id, right_keys).groupBy("strategy", "key").agg(F.min("id").alias("right_id"))
-    met = keyed(left, left_id, left_keys).join(index, ["strategy", "key"])
+    index = keyed(right, right_id, right_keys)
+    if same:
+        order = Window.partitionBy("strategy", "key").orderBy("id")
+        index = index.select("strategy", "key", "id").distinct().withColumn("n", F.row_number().over(order)).where("n <= 2")
+        index = index.groupBy("strategy", "key").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+        met = keyed(left, left_id, left_keys).join(index, ["strategy", "key"])
+        met = met.withColumn("right_id", F.when(F.col("first_id") != F.col("id"), F.col("first_id")).otherwise(F.col("last_id"))).where("right_id <> id")
+    else:
+        met = keyed(left, left_id, left_keys).join(index.groupBy("strategy", "key").agg(F.min("id").alias("right_id")), ["strategy", "key"])
     best = met.groupBy("id").agg(F.min(F.struct("rank", "right_id", "strategy")).alias("b"))
     return best.select(F.col("id").alias(left_id), F.col("b.right_id").alias(right_id), F.col("b.strategy").alias("strategy"))
 
@@ -52,12 +59,12 @@ def poi_keys() -> list[tuple[str, Column]]:
 def near_pairs(left: DataFrame, right: DataFrame, metres: float, left_id: str, right_id: str) -> DataFrame:
     """(left_id, right_id, distance) of all pairs at most so far apart, met in grid cells.
 
-    Both sides have lat and lng; rows without them meet nothing. Cells are as wide as the distance
-    at 75 degrees of latitude, farther from the equator pairs are only found while their cells touch.
+    Both sides have lat and lng; rows without them meet nothing. Cells are so wide at each latitude
+    that no pair is lost, and meet across the date line and the poles.
     """
     size = geo.cell_size(metres, geo.METRES)
     a = left.where("lat is not null and lng is not null").select(F.col(left_id).alias("a_id"), F.col("lat").alias("a_lat"), F.col("lng").alias("a_lng"), F.explode(geo.neighbours("lat", "lng", size)).alias("c")).select("a_id", "a_lat", "a_lng", "c.cy", "c.cx")
-    b = right.where("lat is not null and lng is not null").select(F.col(right_id).alias("b_id"), F.col("lat").alias("b_lat"), F.col("lng").alias("b_lng"), geo.cell("lat", size).alias("cy"), geo.cell("lng", size).alias("cx"))
+    b = right.where("lat is not null and lng is not null").select(F.col(right_id).alias("b_id"), F.col("lat").alias("b_lat"), F.col("lng").alias("b_lng"), geo.cell("lat", "lng", size).alias("c")).select("b_id", "b_lat", "b_lng", "c.cy", "c.cx")
     met = a.join(b, ["cy", "cx"]).withColumn("distance", geo.haversine("a_lat", "a_lng", "b_lat", "b_lng")).where(F.col("distance") <= metres)
     return met.select(F.col("a_id").alias(left_id), F.col("b_id").alias(right_id), "distance")
 
@@ -110,7 +117,7 @@ def poi_pairs(pois: DataFrame, medium: float = 50.0, weak: float = 100.0) -> Dat
     size = geo.cell_size(weak, geo.METRES)
     base = pois.where("lat is not null and lng is not null").select("poi_id", "lat", "lng", "website", "phone", place_name("name").alias("n"), F.lower(F.coalesce("city", F.lit(""))).alias("city"), F.lower(F.coalesce("state", F.lit(""))).alias("state")).where("n <> ''")
     a = base.select(*[F.col(c).alias(f"a_{c}") for c in ("poi_id", "lat", "lng", "website", "phone")], "n", "city", "state", F.explode(geo.neighbours("lat", "lng", size)).alias("c")).select("*", "c.cy", "c.cx").drop("c")
-    b = base.withColumns({"cy": geo.cell("lat", size), "cx": geo.cell("lng", size)})
+    b = base.withColumn("c", geo.cell("lat", "lng", size)).select("*", "c.cy", "c.cx").drop("c")
     met = a.join(b, ["n", "city", "state", "cy", "cx"]).where("a_poi_id < poi_id").withColumn("distance", geo.haversine("a_lat", "a_lng", "lat", "lng"))
     contact = F.coalesce((F.col("a_website") == F.col("website")) & (F.col("website") != ""), F.lit(False)) | F.coalesce((F.col("a_phone") == F.col("phone")) & (F.col("phone") != ""), F.lit(False))
     confidence = F.when(F.col("distance") <= medium, "medium").when((F.col("distance") <= weak) & contact, "weak")
@@ -130,10 +137,14 @@ def match_artists(claims: DataFrame, artists: DataFrame) -> DataFrame:
     Claims have claim_id, name_key, external_id, genres; artists artist_id, name_key, external_id, genres.
     """
     ids = artists.where("external_id is not null").groupBy("external_id").agg(F.min("artist_id").alias("by_id"))
-    names = artists.where("name_key <> ''").select("name_key", "artist_id", F.col("genres").alias("artist_genres"))
+    # the smallest artist per name and genre: a name that many artists share costs one row per genre
+    per_genre = artists.where("name_key <> ''").select("name_key", "artist_id", F.explode_outer("genres").alias("g")).groupBy("name_key", "g").agg(F.min("artist_id").alias("artist_id"))
+    any_of = per_genre.groupBy("name_key").agg(F.min("artist_id").alias("by_name"))
     found = claims.join(ids, "external_id", "left")
-    named = claims.select("claim_id", "name_key", "genres").join(names, "name_key").select("claim_id", "artist_id", F.arrays_overlap("genres", "artist_genres").alias("shared"))
-    named = named.groupBy("claim_id").agg(F.min(F.struct((~F.col("shared")).alias("other"), "artist_id")).alias("n"))
+    mine = claims.select("claim_id", "name_key", F.explode_outer("genres").alias("g"))
+    shared = mine.join(per_genre, ["name_key", "g"]).groupBy("claim_id").agg(F.min("artist_id").alias("by_genre"))
+    named = claims.select("claim_id", "name_key").join(any_of, "name_key").join(shared, "claim_id", "left")
+    named = named.select("claim_id", F.struct(F.col("by_genre").isNull().alias("other"), F.coalesce("by_genre", "by_name").alias("artist_id")).alias("n"))
     found = found.join(named, "claim_id", "left")
     score = F.when(F.col("by_id").isNotNull(), 0.98).when(~F.col("n.other"), 0.82).when(F.col("n").isNotNull(), 0.72)
     return found.select("claim_id", F.coalesce("by_id", "n.artist_id").alias("artist_id"), score.alias("score"))

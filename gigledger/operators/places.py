@@ -98,3 +98,29 @@ def payload_images(rows: DataFrame, key: str, payload: str, headliner: str) -> D
     lead = F.lower(F.trim(F.coalesce(headliner, F.lit(""))))
     played = F.transform(performers, lambda p: F.struct(F.lit("performer_image").alias("source"), p["image"].alias("url"), F.when(F.lower(F.trim(p["name"])) == lead, 30).otherwise(42).alias("priority"), F.lit(True).alias("can_be_final")))
     return rows.select(key, F.explode(F.concat(F.array(*fixed), played)).alias("i")).select(key, "i.*").where(F.col("url").rlike(_IMAGE))
+
+
+# Words that name a kind of place, in the order in which they are tried, with category, subcategory and confidence.
+SUGGESTIONS = (
+    (("festival", "fairgrounds"), "Music Site", "Festivals", 0.82),
+    (("record store", "vinyl", "record shop"), "Shopping", "Record Stores", 0.82),
+    (("music store", "guitar shop", "instrument"), "Shopping", "Music Stores", 0.78),
+    (("museum",), "Cultural", "Museums", 0.76),
+    (("performing arts",), "Cultural", "Performing Arts Centers", 0.78),
+    (("theatre", "theater"), "Cultural", "Theatres", 0.74),
+    (("hotel",), "Lodging", "Music Hotels", 0.7),
+    (("camp", "campground"), "Lodging", "Music Camping", 0.68),
+    (("chamber",), "Visitor & Travel", "Chamber", 0.7),
+    (("tourism", "visitor", "travel"), "Visitor & Travel", "Travel & Tourism", 0.7),
+    (("venue", "hall", "club", "stage", "amphitheater", "amphitheatre", "arena", "auditorium"), "Music Site", "Venues", 0.78),
+)
+
+
+def suggest_category(*texts) -> Column:
+    """Struct (category, subcategory, confidence) by the first words found in the joined texts; a place without any is taken for a venue with less confidence, no text for unknown."""
+    made = lambda c, s, n: F.struct(F.lit(c).alias("category"), F.lit(s).cast("string").alias("subcategory"), F.lit(n).alias("confidence"))
+    out = made("Music Site", "Venues", 0.58)
+    low = F.lower(F.concat_ws(" ", *texts))
+    for words, category, subcategory, confidence in reversed(SUGGESTIONS):
+        out = F.when(low.rlike("|".join(words)), made(category, subcategory, confidence)).otherwise(out)
+    return F.when(F.trim(low) == "", made("unknown", None, 0.0)).otherwise(out)

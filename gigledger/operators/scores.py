@@ -157,7 +157,7 @@ def trust(metrics: DataFrame, as_of: Column) -> DataFrame:
     return metrics.withColumn("trust", kept).select(*given, "trust", grade(F.col("trust")).alias("trust_grade"))
 
 
-def recommendations(metrics: DataFrame, most: int = 5) -> Column:
+def recommendations(most: int = 5) -> Column:
     """The most pressing pieces of advice, most urgent first."""
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
     ranked = [
@@ -232,3 +232,29 @@ def image_score(rows: DataFrame) -> DataFrame:
 def issue_ratio(bad: Column, total: Column) -> Column:
     """100 less the share of issues, half-even to one decimal; 100 without rows."""
     return F.when(total == 0, 100.0).otherwise(F.bround(F.greatest(F.lit(0.0), 100 - bad * 100.0 / total), 1))
+
+
+def platform_type(url, content_type, body, unsupported: Column | None = None) -> Column:
+    """What kind of site a crawled body comes from, by a ladder over its content type, whole body and URL."""
+    low, link, kind = (F.lower(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))) for c in (body, url, content_type))
+    ladder = [
+        (unsupported if unsupported is not None else F.lit(False), "unsupported"),
+        (kind.contains("text/calendar") | link.rlike(r"\.ics($|[?#])") | low.contains("begin:vcalendar"), "ics"),
+        (kind.rlike("rss|atom") | low.rlike("<rss[ >]|<feed[ >]"), "rss_atom"),
+        (link.contains("eventbrite."), "eventbrite_page"),
+        (low.contains("the-events-calendar") | low.contains("tribe-events"), "the_events_calendar"),
+        (low.contains("wp-content") | low.contains("wp-json"), "wordpress_events"),
+        (low.contains("application/ld+json"), "json_ld"),
+        (link.contains("tourism") | F.regexp_extract(link, "^[a-z]+://([^/?#]*)", 1).contains("visit"), "tourism_board_calendar"),
+        (link.contains("calendar") | link.contains("events"), "venue_calendar"),
+        (low.contains("<html") | low.contains("<article") | low.contains("<div"), "static_html"),
+    ]
+    out = F.lit("unknown")
+    for condition, name in reversed(ladder):
+        out = F.when(F.coalesce(condition, F.lit(False)), name).otherwise(out)
+    return out
+
+
+def count_score(issues: Column, total: Column) -> Column:
+    """100 less the rounded percentage of issues (halves to even), within 0 and 100; 100 without rows."""
+    return F.when(total <= 0, F.lit(100)).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), 100 - F.bround(issues / total * 100)))).cast("long")

@@ -114,8 +114,6 @@ register("c15_like_filter", lambda v: filters.like(v("v_venue"), city="city 1",
 register("g10_board_page", lambda v: filters.page(v("v_event").where("start_ts is not null"), [F.col("start_ts").desc(), F.col("event_id")], 3, 25).select("event_id"),
          "select event_id from {v_event} where start_ts is not null order by start_ts desc, event_id limit 25 offset 50")
 register("g11_clamped_page", lambda v: filters.page(v("v_poi"), [F.col("poi_id")], 0, 900).select("poi_id"), "select poi_id from {v_poi} order by poi_id limit 500")
-register("h01_review_union", lambda v: v("v_event").select(F.lit("event").alias("kind"), F.col("event_id").alias("id"), F.col("title").alias("label"), "publish_status").unionByName(v("v_poi").select(F.lit("poi").alias("kind"), F.col("poi_id").alias("id"), F.col("name").alias("label"), "publish_status")).unionByName(v("v_venue").select(F.lit("venue").alias("kind"), F.col("venue_id").alias("id"), F.col("name").alias("label")), allowMissingColumns=True),
-         "select 'event' as kind, event_id as id, title as label, publish_status from {v_event} union all select 'poi', poi_id, name, publish_status from {v_poi} union all select 'venue', venue_id, name, null from {v_venue}")
 register("h04_id_union", lambda v: v("v_event").join(v("v_claim").where("match_confidence > 0.08").select("event_id").union(v("v_image").where("status = 'accepted'").select("event_id")).distinct(), "event_id", "left_semi").select("event_id"),
          "select event_id from {v_event} where event_id in (select event_id from {v_claim} where match_confidence > 0.08 union select event_id from {v_image} where status = 'accepted')")
 register("k01_haversine", lambda v: v("v_poi").select("poi_id", F.round(geo.haversine(F.lit(4.5), F.lit(6.0), "lat", "lng"), 3).alias("metres")),

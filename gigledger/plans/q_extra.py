@@ -8,7 +8,7 @@ from ..functions import geo, text
 from ..operators import filters, genres, matching, places, rollups, routes, scores, search, windows
 from ..sources import sheets
 from .q_columns import sql_flags, sql_haversine
-from .q_scores import METRICS, with_venue
+from .q_scores import EV, METRICS, SRC, TRUST, sources, with_venue
 from .q_search import HITS, INDEX, _UP, index
 from .registry import register
 from .views import AS_OF
@@ -42,18 +42,18 @@ def _payload(v):
 
 register("i11_payload_images", lambda v: places.payload_images(_payload(v), "event_id", "payload", "headliner").groupBy("event_id").agg(F.count(F.lit(1)).alias("n"), F.min_by("url", F.struct("priority", "url")).alias("best"), F.min("priority").cast("long").alias("priority")),
          "select event_id, 3 + (image_url is not null)::int as n, case when headliner is not null then 'https://i.example.com/h' || event_id::varchar || '.jpg' else 'https://i.example.com/h' || event_id::varchar || '.jpg' end as best, case when headliner is not null then 30 else 42 end::bigint as priority from {v_event}".replace("3 + (image_url is not null)::int as n", "(3 + (image_url is not null)::int)::bigint as n"))
-register("e17_upload_status", lambda v: sheets.upload_status(v("v_event").select("event_id", text.hash_of(text.source_url("source_url")).alias("h")), "h", "event_id", v("v_event").where("event_id % 97 = 0").select(text.hash_of(text.source_url("source_url")).alias("h"))).groupBy("status").agg(F.count(F.lit(1)).alias("n")),
-         "select case when event_id <> first_id then 'duplicate_within_file' when source_url in (select source_url from {v_event} where event_id % 97 = 0) then 'duplicate_existing' else 'new' end as status, count(*) as n from (select *, min(event_id) over (partition by source_url) as first_id from {v_event}) group by 1")
-register("f09_source_dashboard", lambda v: scores.trust(rollups.source_metrics(v("v_claim")), _NOW()).agg(F.count(F.lit(1)).alias("sources"), F.count_if(F.col("failure_count") > 0).alias("failed"), F.count_if(F.col("missing_ticket_count") > 0).alias("missing_ticket"), F.count_if(F.col("missing_image_count") > 0).alias("bad_image"), F.count_if(F.col("trust_grade").isin("poor", "blocked")).alias("poor")),
-         "select count(*) as sources, count_if(failure_count > 0)::bigint as failed, count_if(missing_ticket_count > 0)::bigint as missing_ticket, count_if(missing_image_count > 0)::bigint as bad_image, 0::bigint as poor from {m}", m=METRICS)
-register("c11_source_filter", lambda v: rollups.source_metrics(v("v_claim")).where((F.col("missing_image_count") >= 50) & (F.col("success_count") > 0)).select("source_id"), "select source_id from {m} where missing_image_count >= 50 and success_count > 0", m=METRICS)
+register("e17_upload_status", lambda v: sheets.upload_status(v("v_event").select("event_id", text.hash_of(text.source_url("source_url")).alias("h")), "h", "event_id", v("v_event").where("price > 400000").select(text.hash_of(text.source_url("source_url")).alias("h"))).groupBy("status").agg(F.count(F.lit(1)).alias("n")),
+         "select case when event_id <> first_id then 'duplicate_within_file' when source_url in (select source_url from {v_event} where price > 400000) then 'duplicate_existing' else 'new' end as status, count(*) as n from (select *, min(event_id) over (partition by source_url) as first_id from {v_event}) group by 1")
+register("f09_source_dashboard", lambda v: scores.trust(sources(v), _NOW()).agg(F.count(F.lit(1)).alias("sources"), F.count_if(F.col("failure_count") > 0).alias("failed"), F.count_if(F.col("missing_ticket_count") > 0).alias("missing_ticket"), F.count_if(F.col("missing_image_count") > 0).alias("bad_image"), F.count_if(F.col("trust_grade").isin("poor", "blocked")).alias("poor")),
+         "select count(*) as sources, count_if(failure_count > 0)::bigint as failed, count_if(missing_ticket_count > 0)::bigint as missing_ticket, count_if(missing_image_count > 0)::bigint as bad_image, count_if(t < 60)::bigint as poor from {t}", t=TRUST, m=METRICS, src=SRC, ev=EV)
+register("c11_source_filter", lambda v: sources(v).where((F.col("missing_image_count") >= 50) & (F.col("success_count") > 0)).select("source_id"), "select source_id from {m} where missing_image_count >= 50 and success_count > 0", m=METRICS, src=SRC, ev=EV)
 register("c12_marker_filter", lambda v: v("v_poi").where("lat between 5 and 20 and lng is not null and category in ('Lodging', 'Cultural')").select("poi_id", "category"), "select poi_id, category from {v_poi} where lat between 5 and 20 and lng is not null and category in ('Lodging', 'Cultural')")
 register("a02_source_sheet", lambda v: sheets.parse_lines(v("v_attempt").select("attempt_id", F.to_csv(F.struct(F.concat(F.lit(' "Org", '), "ip_hash").alias("o"), "domain", "email", F.when(F.col("was_invalid"), "no").otherwise("TRUE").alias("c")), {"escape": '"'}).alias("line")), "line", ["organization", "url", "email", "confirmed"]).select("attempt_id", "organization", "email", text.truth(F.col("confirmed")).alias("confirmed")),
          "select attempt_id, '\"Org\", ' || ip_hash as organization, email, not was_invalid as confirmed from {v_attempt}")
 register("a03_place_export", lambda v: (lambda d: d.select("poi_id", sheets.localised(d, "Name").alias("name"), sheets.localised(d, "City").alias("city"), text.number(F.col("Rating")).alias("rating")))(v("v_poi").select("poi_id", F.when(F.col("poi_id") % 3 == 0, " ").otherwise(F.col("name")).alias("Name (en)"), F.lit("Nombre").alias("Name (es)"), F.col("city").alias("City"), F.format_number("rating", 2).alias("Rating"))),
          "select poi_id, case when poi_id % 3 = 0 or trim(name) = '' then 'Nombre' else name end as name, city, round(rating, 2) as rating from {v_poi}")
 register("a05_registry_jsonl", lambda v: v("v_poi").select(F.to_json(F.struct("poi_id", "name", "lat")).alias("line")).select(F.from_json("line", "poi_id bigint, name string, lat double").alias("r")).select("r.*"), "select poi_id, name, lat from {v_poi}")
-register("a15_source_registry", lambda v: scores.trust(rollups.source_metrics(v("v_claim")), _NOW()).where("failure_count > 0").select("source_id", F.to_json(F.struct("source_id", "event_count")).alias("payload")), """select source_id, '{"source_id":' || source_id::varchar || ',"event_count":' || event_count::varchar || '}' as payload from {m} where failure_count > 0""", m=METRICS)
+register("a15_source_registry", lambda v: scores.trust(sources(v), _NOW()).where("failure_count > 0").select("source_id", F.to_json(F.struct("source_id", "event_count")).alias("payload")), """select source_id, '{"source_id":' || source_id::varchar || ',"event_count":' || event_count::varchar || '}' as payload from {m} where failure_count > 0""", m=METRICS, src=SRC, ev=EV)
 register("h05_unique_arrays", lambda v: v("v_event").select("event_id", F.array_join(F.array_distinct(F.concat(text.people("supporting_artists"), text.people("headliner"), F.array(F.lit("Ann")))), "|").alias("people")),
          "select event_id, case event_id % 3 when 0 then concat_ws('|', headliner, 'Ann') when 1 then concat_ws('|', 'Ann', 'Ben', 'Cy', 'Dee', headliner) else concat_ws('|', 'Guests', 'Eve', headliner, 'Ann') end as people from {v_event}")
 
@@ -61,7 +61,7 @@ register("h05_unique_arrays", lambda v: v("v_event").select("event_id", F.array_
 def _routes(v):
     n = F.col("source_id")
     r = v("v_claim").select("source_id").distinct().select(n.alias("route_id"), F.when(n % 9 > 0, "Tour").alias("title"), F.when(n % 4 == 0, "draft").otherwise("published").alias("status"), F.when(n % 5 == 0, "https://x.example.com/logo.png").when(n % 5 > 1, "https://x.example.com/h.jpg").alias("hero_image_url"), F.when(n % 3 == 0, "regional").otherwise("artist_tour").alias("route_type"), F.when(n % 2 == 0, n).alias("region_id"), F.when(n % 7 > 0, n).alias("artist_id"))
-    stops = v("v_claim").where("claim_id % 97 = 0").select(n.alias("route_id"), (F.col("artist_id") % 50).alias("poi_id"), (F.col("claim_id") % 13 > 0).alias("located"), F.when(F.col("claim_id") % 5 > 0, "https://x.example.com/s.jpg").alias("image_url"), (F.col("claim_id") % 11 == 0).alias("event_excluded"))
+    stops = v("v_claim").select(n.alias("route_id"), (F.col("artist_id") % 50).alias("poi_id"), (F.col("claim_id") % 13 > 0).alias("located"), F.when(F.col("claim_id") % 5 > 0, "https://x.example.com/s.jpg").alias("image_url"), (F.col("claim_id") % 11 == 0).alias("event_excluded"))
     return r, stops
 
 
@@ -69,7 +69,7 @@ register("i20_route_quality", lambda v: routes.route_quality(*_routes(v)).select
          """select route_id, q as quality, f as flags, route_id % 4 > 0 and q >= 70 as feed_ready from (select route_id, greatest(0, least(100, 100 - case when route_id % 9 = 0 then 25 else 0 end - case when coalesce(n, 0) < 2 then 25 else 0 end - case when route_id % 4 = 0 then 10 else 0 end - case when route_id % 5 = 1 then 8 when route_id % 5 = 0 then 40 else 0 end
  - case when n > places then 12 else 0 end - case when route_id % 3 = 0 and route_id % 2 > 0 then 12 else 0 end - case when route_id % 3 > 0 and route_id % 7 = 0 then 12 else 0 end - coalesce(cost, 0)))::bigint as q, """
          + sql_flags(("route_id % 9 = 0", "missing_title"), ("coalesce(n, 0) < 2", "too_few_stops"), ("route_id % 4 = 0", "not_approved_or_published"), ("route_id % 5 = 1", "missing_hero_image"), ("route_id % 5 = 0", "logo_asset_image"), ("n > places", "duplicate_poi_stops"), ("route_id % 3 = 0 and route_id % 2 > 0", "missing_region"), ("route_id % 3 > 0 and route_id % 7 = 0", "missing_artist"))
-         + " as f from (select distinct source_id as route_id from {v_claim}) left join (select source_id as route_id, count(*) as n, count(distinct artist_id % 50) as places, sum(case when claim_id % 13 = 0 then 8 else 0 end + case when claim_id % 5 = 0 then 3 else 0 end + case when claim_id % 11 = 0 then 20 else 0 end) as cost from {v_claim} where claim_id % 97 = 0 group by 1) using (route_id))")
+         + " as f from (select distinct source_id as route_id from {v_claim}) left join (select source_id as route_id, count(*) as n, count(distinct artist_id % 50) as places, sum(case when claim_id % 13 = 0 then 8 else 0 end + case when claim_id % 5 = 0 then 3 else 0 end + case when claim_id % 11 = 0 then 20 else 0 end) as cost from {v_claim} group by 1) using (route_id))")
 register("g03_weakest_per_provider", lambda v: windows.top(v("v_claim").groupBy("provider", "source_id").agg(F.count(F.lit(1)).alias("n")), ["provider"], [F.col("n"), F.col("source_id")], 5).select("provider", "rank", "source_id"),
          "select provider, rank, source_id from (select provider, source_id, row_number() over (partition by provider order by count(*), source_id)::int as rank from {v_claim} group by 1, 2) where rank <= 5")
 register("g12_ranked_results", lambda v: search.search(index(v), ["nation 1"], 1000).select("rank", "entity_type", "entity_id"), "select row_number() over (order by score desc, entity_type, lower(name), entity_id)::int as rank, entity_type, entity_id from {hits} order by rank limit 1000", up=_UP, idx=INDEX, hits=HITS.replace(HITS[HITS.index("(values ") : HITS.index(") q(n")], "(values (0, 'nation 1')"))

@@ -54,40 +54,41 @@ register("d09_assigned_regions", lambda v: (lambda p, r: matching.assign_regions
          placed="select venue_id, g.region_id from {v_venue} join (select 'City ' || (region_id % 12)::varchar as city, name as state, country, min(region_id) as region_id from {v_region} group by all) g using (city, state, country)", near=_D8)
 register("d10_poi_pairs", lambda v: matching.poi_pairs(v("v_poi")).select("a", "b", "confidence"),
          f"select a, b, confidence from (select x.poi_id as a, y.poi_id as b, case when d <= 50 then 'medium' when d <= 100 and (x.website = y.website or x.phone = y.phone) then 'weak' end as confidence from (select x.*, y, {sql_haversine('x.lat', 'x.lng', 'y.lat', 'y.lng', geo.METRES)} as d, x from {{named}} x join {{named}} y on x.n = y.n and x.city = y.city and x.state = y.state and x.poi_id < y.poi_id)) where confidence is not null".replace("select x.*, y, ", "select ").replace(" as d, x from", " as d, x, y from"), named=f"select *, {sql_place('name')} as n from {{v_poi}} where lat is not null and trim({sql_place('name')}) <> ''")
-register("d11_poi_matches", lambda v: (lambda k: matching.priority_join(v("v_poi").where("poi_id % 10 = 0"), "poi_id", k, v("v_poi").where("poi_id % 10 > 0").withColumnRenamed("poi_id", "match_id"), "match_id", k))(matching.poi_keys()),
-         "select poi_id, match_id, strategy from (select l.id as poi_id, r.id as match_id, l.strategy, row_number() over (partition by l.id order by l.rank, r.id) as n from {k} l join {k} r on l.strategy = r.strategy and l.key = r.key and l.id % 10 = 0 and r.id % 10 > 0) where n = 1", k=KEYS)
+register("d11_poi_matches", lambda v: (lambda k: matching.priority_join(v("v_poi"), "poi_id", k, v("v_poi").withColumnRenamed("poi_id", "match_id"), "match_id", k, same=True))(matching.poi_keys()),
+         "select poi_id, match_id, strategy from (select l.id as poi_id, r.id as match_id, l.strategy, row_number() over (partition by l.id order by l.rank, r.id) as n from {k} l join {k} r on l.strategy = r.strategy and l.key = r.key and l.id <> r.id) where n = 1", k=KEYS)
 register("d13_near_pairs", lambda v: matching.near_pairs(v("v_venue"), v("v_poi"), 60.0, "venue_id", "poi_id").select("venue_id", "poi_id", F.round("distance", 3).alias("distance")),
          f"select venue_id, poi_id, round(d, 3) as distance from (select venue_id, poi_id, {sql_haversine('v.lat', 'v.lng', 'p.lat', 'p.lng', geo.METRES)} as d from {{v_venue}} v join {{v_poi}} p on abs(v.lat - p.lat) < 0.01) where d <= 60")
-register("d12_similar_near_places", lambda v: matching.similar_names(matching.near_pairs(v("v_poi").where("poi_id % 7 = 0"), v("v_poi").where("poi_id % 7 > 0").withColumnRenamed("poi_id", "other_id"), 50.0, "poi_id", "other_id").join(v("v_poi").select("poi_id", F.col("name").alias("x")), "poi_id").join(v("v_poi").select(F.col("poi_id").alias("other_id"), F.col("name").alias("y")), "other_id"), "x", "y").groupBy("poi_id").agg(F.min("other_id").alias("match_id")),
-         f"select poi_id, min(other_id) as match_id from (select p.poi_id, o.poi_id as other_id, {sql_place('p.name')} as x, {sql_place('o.name')} as y, {sql_haversine('p.lat', 'p.lng', 'o.lat', 'o.lng', geo.METRES)} as d from {{v_poi}} p join {{v_poi}} o on p.poi_id % 7 = 0 and o.poi_id % 7 > 0 and abs(p.lat - o.lat) < 0.01) where d <= 50 and x <> '' and y <> '' and (contains(x, y) or contains(y, x) or 1 - levenshtein(x, y)::double / greatest(len(x), len(y), 1) >= 0.82) group by 1")
+register("d12_similar_near_places", lambda v: matching.similar_names(matching.near_pairs(v("v_poi"), v("v_poi").withColumnRenamed("poi_id", "other_id"), 50.0, "poi_id", "other_id").where("poi_id <> other_id").join(v("v_poi").select("poi_id", F.col("name").alias("x")), "poi_id").join(v("v_poi").select(F.col("poi_id").alias("other_id"), F.col("name").alias("y")), "other_id"), "x", "y").groupBy("poi_id").agg(F.min("other_id").alias("match_id")),
+         f"select poi_id, min(other_id) as match_id from (select p.poi_id, o.poi_id as other_id, {sql_place('p.name')} as x, {sql_place('o.name')} as y, {sql_haversine('p.lat', 'p.lng', 'o.lat', 'o.lng', geo.METRES)} as d from {{v_poi}} p join {{v_poi}} o on p.poi_id <> o.poi_id and abs(p.lat - o.lat) < 0.01) where d <= 50 and x <> '' and y <> '' and (contains(x, y) or contains(y, x) or 1 - levenshtein(x, y)::double / greatest(len(x), len(y), 1) >= 0.82) group by 1")
 _ARTISTS = f"select artist_id, {sql_artist('name')} as name_key, external_id, {sql_genre('genre_text')} as g from {{v_artist}}"
 
 
 def _artist_sides(v):
     side = v("v_artist").select("artist_id", text.artist_name("name").alias("name_key"), "external_id", F.array(genres.genre("genre_text")).alias("genres"))
-    return side.where("artist_id % 5 = 0").select(F.col("artist_id").alias("claim_id"), "name_key", "external_id", "genres"), side.where("artist_id % 5 > 0")
+    golden = side.groupBy("name_key").agg(F.min_by(F.struct("artist_id", "external_id", "genres"), "artist_id").alias("g")).select("name_key", "g.*")
+    return side.select(F.col("artist_id").alias("claim_id"), "name_key", "external_id", "genres"), golden
 
 
 register("d14_artist_matches", lambda v: matching.match_artists(*_artist_sides(v)),
-         "select c.artist_id as claim_id, coalesce(i.artist_id, n.artist_id) as artist_id, case when i.artist_id is not null then 0.98 when n.same then 0.82 when n.artist_id is not null then 0.72 end::double as score from (select * from {a} where artist_id % 5 = 0) c left join (select external_id, min(artist_id) as artist_id from {a} where artist_id % 5 > 0 and external_id is not null group by 1) i on i.external_id = c.external_id left join (select l.artist_id as claim_id, r.artist_id, l.g = r.g as same from {a} l join {a} r on l.name_key = r.name_key and l.name_key <> '' and l.artist_id % 5 = 0 and r.artist_id % 5 > 0 qualify row_number() over (partition by l.artist_id order by (l.g <> r.g)::int, r.artist_id) = 1) n on n.claim_id = c.artist_id", a=_ARTISTS)
+         "select c.artist_id as claim_id, coalesce(i.artist_id, n.artist_id) as artist_id, case when i.artist_id is not null then 0.98 when n.same then 0.82 when n.artist_id is not null then 0.72 end::double as score from {a} c left join (select external_id, min(artist_id) as artist_id from {golden} where external_id is not null group by 1) i on i.external_id = c.external_id left join (select l.artist_id as claim_id, r.artist_id, l.g = r.g as same from {a} l join {golden} r on l.name_key = r.name_key and l.name_key <> '' qualify row_number() over (partition by l.artist_id order by (l.g <> r.g)::int, r.artist_id) = 1) n on n.claim_id = c.artist_id", a=_ARTISTS, golden="select * from {a} qualify row_number() over (partition by name_key order by artist_id) = 1")
 
 
 def _event_sides(v):
-    rows = upsert.event_keys(v("v_event")).select("event_id", "event_key", F.coalesce(text.clean("headliner"), F.col("title")).alias("title"), "start_ts", F.when(F.col("event_id") % 6 > 0, F.col("location_text")).otherwise("").alias("venue"))
-    claims = v("v_claim").where("claim_id % 50 = 1").select(F.col("provider_event_id").alias("claim_key"), (F.col("event_id") - F.col("event_id") % 4 + 1).alias("event_id"))
-    candidates = rows.where("event_id % 4 = 0").select(F.col("event_id").alias("candidate_id"), F.concat(F.lit("pe-"), (F.col("event_id") % 4000).cast("string")).alias("claim_key"), "event_key", "title", "start_ts", "venue")
-    return candidates, rows.where("event_id % 4 > 0"), claims
+    rows = upsert.event_keys(v("v_event")).select("event_id", "source_type", "event_key", F.coalesce(text.clean("headliner"), F.col("title")).alias("title"), "start_ts", F.when(F.col("event_id") % 6 > 0, F.col("location_text")).otherwise("").alias("venue"))
+    claims = v("v_claim").where("source_type = 'ics' and match_confidence >= 0.1").select(F.col("provider_event_id").alias("claim_key"), (F.col("event_id") - F.col("event_id") % 4 + 1).alias("event_id"))
+    candidates = rows.where("source_type = 'file_upload'").select(F.col("event_id").alias("candidate_id"), F.concat(F.lit("pe-"), (F.col("event_id") % 4000).cast("string")).alias("claim_key"), "event_key", "title", "start_ts", "venue")
+    return candidates, rows.where("source_type <> 'file_upload'"), claims
 
 
 register("d15_event_matches", lambda v: matching.match_events(*_event_sides(v)),
          f"""select c.event_id as candidate_id, coalesce(k.event_id, e.event_id, f.event_id) as event_id,
  case when k.event_id is not null then 1.0 when e.event_id is not null then 0.96 when tier = 0 then 0.86 when tier = 1 then 0.74 when tier = 2 then 0.58 else 0.0 end::double as score,
  case when k.event_id is not null then 'claim' when e.event_id is not null then 'event_key' when tier = 0 then 'title_day_venue' when tier = 1 then 'title_day' when tier = 2 then 'title_day_conflict' else 'none' end as reason
-from (select * from {{rows}} where event_id % 4 = 0) c
-left join (select provider_event_id as claim_key, min(event_id - event_id % 4 + 1) as event_id from {{v_claim}} where claim_id % 50 = 1 and provider_event_id is not null group by 1) k on k.claim_key = 'pe-' || (c.event_id % 4000)::varchar
-left join (select event_key, min(event_id) as event_id from {{rows}} where event_id % 4 > 0 group by 1) e on e.event_key = c.event_key
-left join (select l.event_id as cid, r.event_id, case when l.w <> '' and l.w = r.w then 0 when l.w = '' or r.w = '' then 1 else 2 end as tier from {{rows}} l join {{rows}} r on l.t = r.t and l.t <> '' and l.d = r.d and l.event_id % 4 = 0 and r.event_id % 4 > 0 qualify row_number() over (partition by l.event_id order by tier, r.event_id) = 1) f on f.cid = c.event_id""",
-         keys=EVENT_KEYS, rows=f"select event_id, event_key, {TITLE} as t, start_ts::date as d, case when event_id % 6 > 0 then {sql_title('location_text')} else '' end as w from {{keys}}")
+from (select * from {{rows}} where source_type = 'file_upload') c
+left join (select provider_event_id as claim_key, min(event_id - event_id % 4 + 1) as event_id from {{v_claim}} where source_type = 'ics' and match_confidence >= 0.1 and provider_event_id is not null group by 1) k on k.claim_key = 'pe-' || (c.event_id % 4000)::varchar
+left join (select event_key, min(event_id) as event_id from {{rows}} where source_type <> 'file_upload' group by 1) e on e.event_key = c.event_key
+left join (select l.event_id as cid, r.event_id, case when l.w <> '' and l.w = r.w then 0 when l.w = '' or r.w = '' then 1 else 2 end as tier from {{rows}} l join {{rows}} r on l.t = r.t and l.t <> '' and l.d = r.d and l.source_type = 'file_upload' and r.source_type <> 'file_upload' qualify row_number() over (partition by l.event_id order by tier, r.event_id) = 1) f on f.cid = c.event_id""",
+         keys=EVENT_KEYS, rows=f"select event_id, source_type, event_key, {TITLE} as t, start_ts::date as d, case when event_id % 6 > 0 then {sql_title('location_text')} else '' end as w from {{keys}}")
 register("d16_url_in_registry", lambda v: v("v_event").select("event_id", text.hash_of(text.source_url("source_url")).alias("h")).join(v("v_event").groupBy(text.hash_of(text.source_url("source_url")).alias("h")).agg(F.min("event_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "h").where("n > 1 and event_id <> first_id").select("event_id", "first_id"),
          f"select event_id, first_id from (select event_id, min(event_id) over (partition by {URL}) as first_id from {{v_event}}) where event_id <> first_id")
 register("d17_listed_attempts", lambda v: matching.listed(v("v_attempt"), v("v_attempt").where("attempt_id < 10").select(F.lit("email").alias("kind"), F.lower("email").alias("value")).union(v("v_attempt").where("attempt_id < 2").select(F.lit("domain"), F.lower("domain"))), "attempt_id"),
@@ -98,7 +99,7 @@ register("d20_events_without_claims", lambda v: v("v_event").join(v("v_claim"),
 register("d21_route_stops", lambda v: v("v_claim").select("claim_id", F.when(F.col("claim_id") % 3 == 0, "event").when(F.col("claim_id") % 3 == 1, "venue").otherwise("artist").alias("stop_type"), F.when(F.col("claim_id") % 3 == 0, F.col("event_id")).when(F.col("claim_id") % 3 == 1, F.col("source_id")).otherwise(F.col("artist_id")).alias("ref_id")).join(v("v_event").select(F.lit("event").alias("stop_type"), F.col("event_id").alias("ref_id"), F.col("title").alias("label")).unionByName(v("v_venue").select(F.lit("venue").alias("stop_type"), F.col("venue_id").alias("ref_id"), F.col("name").alias("label"))).unionByName(v("v_artist").select(F.lit("artist").alias("stop_type"), F.col("artist_id").alias("ref_id"), F.col("name").alias("label"))), ["stop_type", "ref_id"], "left").select("claim_id", "stop_type", "label"),
          "select claim_id, case claim_id % 3 when 0 then 'event' when 1 then 'venue' else 'artist' end as stop_type, case claim_id % 3 when 0 then e.title when 1 then w.name else a.name end as label from {v_claim} c left join {v_event} e on e.event_id = c.event_id left join {v_venue} w on w.venue_id = c.source_id left join {v_artist} a on a.artist_id = c.artist_id")
 
-register("e01_event_keys", lambda v: upsert.event_keys(v("v_event")).select("event_id", "event_key", "weak_key", "key_confidence"), "select event_id, event_key, weak_key, key_confidence from {keys}", keys=EVENT_KEYS)
+register("e01_event_keys", lambda v: upsert.event_keys(v("v_event")).select("event_id", "source_type", "event_key", "weak_key", "key_confidence"), "select event_id, event_key, weak_key, key_confidence from {keys}", keys=EVENT_KEYS)
 register("e02_claim_keys", lambda v: v("v_claim").select("claim_id", upsert.claim_key("provider", "provider_event_id", "source_type", "record_id", F.col("event_id").cast("string")).alias("claim_key")),
          f"select claim_id, case when provider_event_id is not null then {_sql_hash(chr(39) + 'provider-event' + chr(39), 'provider', 'provider_event_id')} when record_id is not null then {_sql_hash(chr(39) + 'source-record' + chr(39), 'source_type', 'record_id')} else {_sql_hash(chr(39) + 'claim' + chr(39), 'source_type', 'event_id')} end as claim_key from {{v_claim}}")
 
@@ -141,10 +142,10 @@ register("e12_venue_upsert", lambda v: upsert.fold_latest(v("v_venue").withColum
 register("e13_registry", lambda v: upsert.registry(v("v_attempt").withColumn("risk", F.floor("value").cast("long")), "domain", "attempt_id", "risk", "kind", "email"),
          "select domain, min(attempt_id) as first_seen, max(attempt_id) as last_seen, max(floor(value)::bigint) as risk, max_by(kind, (floor(value)::bigint, kind)) as flags, count(distinct email) as submitters, count(*) as submissions from {v_attempt} group by 1")
 register("e15_artist_duplicates", lambda v: v("v_artist").select("artist_id", text.artist_name("name").alias("k")).where("k <> ''").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("artist_id").alias("first_id")).where("n > 1"), f"select {sql_artist('name')} as k, count(*) as n, min(artist_id) as first_id from {{v_artist}} where {sql_artist('name')} <> '' group by 1 having count(*) > 1")
-register("e16_feed_status", lambda v: upsert.feed_status(v("v_claim"), "provider_event_id", "claim_id", v("v_claim").where("claim_id % 7 = 0").select("provider_event_id")),
-         "select claim_id, case when claim_id <> first_id then 'duplicate_within_run' when k.provider_event_id is not null then 'possible_existing_event' else 'new' end as status from (select *, case when provider_event_id is not null then min(claim_id) over (partition by provider_event_id) end as first_id from {v_claim}) c left join (select distinct provider_event_id from {v_claim} where claim_id % 7 = 0 and provider_event_id is not null) k using (provider_event_id)")
+register("e16_feed_status", lambda v: upsert.feed_status(v("v_claim"), "provider_event_id", "claim_id", v("v_claim").where("match_confidence >= 0.1").select("provider_event_id")),
+         "select claim_id, case when claim_id <> first_id then 'duplicate_within_run' when k.provider_event_id is not null then 'possible_existing_event' else 'new' end as status from (select *, case when provider_event_id is not null then min(claim_id) over (partition by provider_event_id) end as first_id from {v_claim}) c left join (select distinct provider_event_id from {v_claim} where match_confidence >= 0.1 and provider_event_id is not null) k using (provider_event_id)")
 register("e18_staged_dedupe", lambda v: windows.latest(v("v_event").where("source_url is not null and start_ts is not null"), ["title", "start_ts", "source_url"], [F.col("event_id")]).select("event_id"), "select min(event_id) as event_id from {v_event} where start_ts is not null group by title, start_ts, source_url")
 register("e19_decisions", lambda v: upsert.decide(v("documents").select("doc_id", "n_chars"), v("labels").select("doc_id", F.when(F.col("quality") == 1, "approve").otherwise("reject").alias("decision")), "doc_id", F.col("n_chars") >= 500).groupBy("outcome").agg(F.count(F.lit(1)).alias("n")),
          "select case when quality is null then null when quality = 1 and n_chars < 500 then 'refused' when quality = 1 then 'approve' else 'reject' end as outcome, count(*) as n from {documents} left join {labels} using (doc_id) group by 1")
-register("e22_new_candidates", lambda v: v("v_event").select(text.place_name("location_text").alias("n"), "region_id").distinct().join(v("v_venue").select(text.place_name("name").alias("n")).union(v("v_event").where("event_id % 200 = 0").select(text.place_name("location_text"))).distinct(), "n", "left_anti"),
-         f"select distinct {sql_place('location_text')} as n, region_id from {{v_event}} where {sql_place('location_text')} not in (select {sql_place('name')} from {{v_venue}} union select {sql_place('location_text')} from {{v_event}} where event_id % 200 = 0)")
+register("e22_new_candidates", lambda v: v("v_event").select(text.place_name("location_text").alias("n"), "region_id").distinct().join(v("v_venue").select(text.place_name("name").alias("n")).union(v("v_event").where("price > 450000").select(text.place_name("location_text"))).distinct(), "n", "left_anti"),
+         f"select distinct {sql_place('location_text')} as n, region_id from {{v_event}} where {sql_place('location_text')} not in (select {sql_place('name')} from {{v_venue}} union select {sql_place('location_text')} from {{v_event}} where price > 450000)")

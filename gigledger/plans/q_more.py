@@ -6,59 +6,70 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import filters, genres, matching, rollups, scores, tickets, upsert
+from ..operators import filters, genres, matching, places, rollups, scores, taxonomy, tickets, upsert, windows
 from ..sources import sheets
 from ..streaming import jobs
 from .q_columns import sql_artist, sql_flags, sql_genre, sql_place
 from .q_matching import EVENT_KEYS
-from .q_scores import EV, READY, with_venue
+from .q_scores import EV, READY, TICKET, with_venue
 from .registry import register
 from .views import AS_OF
 
 _NOW = lambda: F.expr(AS_OF)
 
-register("b09_domain_taxonomy", lambda v: v("pages").select("page_id", text.url_host("url").alias("host")).select("page_id", F.array_join(F.slice(F.split("host", r"\."), -2, 2), ".").alias("domain"), F.when(F.col("host").endswith(".org"), "organisation").when(F.col("host").endswith(".net"), "network").when(F.col("host").endswith(".com"), "company").otherwise("other").alias("kind")),
-         "select page_id, array_to_string(string_split(h, '.')[-2:], '.') as domain, case when h like '%.org' then 'organisation' when h like '%.net' then 'network' when h like '%.com' then 'company' else 'other' end as kind from (select page_id, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)) as h from {pages})")
+# names and domains of sources, and the keys they stand for
+SOURCES = (
+    ("bandsintown", "bandsintown"), ("Bands In Town", "bandsintown"), ("SKYBOX", "vivid-seats"), ("manual json", "manual_json"), ("Manual_JSON", "unknown"), ("See Tickets UK", "see-tickets"), ("see_tickets", "see-tickets"),
+    ("ovation tix audience view", "ovationtix-audienceview"), ("https://www.awin1.com/x?u=1", "affiliate-networks"), ("https://go.pxf.io/c/1", "affiliate-networks"), ("https://link.dice.fm/a", "dice"), ("www.axs.com", "axs"),
+    ("m.ticketmaster.com/event/1", "ticketmaster"), ("https://ticketmaster.co.uk/", "unknown"), ("https://my.24tix.com/e", "twentyfour-tix"), ("https://buytickets.at/x", "ticket-tailor"), ("tix.com", "tix-com"), ("https://evilaxs.com/", "unknown"),
+    (" ", "unknown"), ("https://hall.example.com/", "unknown"),
+)
+_SOURCE_ROWS = ", ".join(f"({i}, '{t}', '{k}')" for i, (t, k) in enumerate(SOURCES))
+register("b09_domain_taxonomy", lambda v: v("v_claim").select("claim_id", F.element_at(F.array(*[F.lit(t) for t, _ in SOURCES]), (F.col("claim_id") % len(SOURCES) + 1).cast("int")).alias("source")).select("claim_id", "source", taxonomy.source_key(F.col("source")).alias("source_key")),
+         f"select claim_id, source, source_key from {{v_claim}} join (values {_SOURCE_ROWS}) s(i, source, source_key) on claim_id % {len(SOURCES)} = i")
 register("b11_vendor_classification", lambda v: v("v_event").select("event_id", F.try_parse_json(F.to_json(F.struct(F.array(F.struct(F.when(F.col("event_id") % 3 == 0, "Music").otherwise("Sports").alias("segment"), F.col("genre"))).alias("classifications")))).alias("j")).select("event_id", F.try_variant_get("j", "$.classifications[0].segment", "string").alias("segment"), genres.genre(F.try_variant_get("j", "$.classifications[0].genre", "string")).alias("genre_name")),
          f"select event_id, case when event_id % 3 = 0 then 'Music' else 'Sports' end as segment, {sql_genre('genre')} as genre_name from {{v_event}}")
 register("b12_vendor_mapper", lambda v: v("v_event").select("event_id", F.to_json(F.struct(F.col("title").alias("name"), F.struct(F.col("location_text").alias("name")).alias("location"), F.array(F.struct(F.col("headliner").alias("name"), F.lit(True).alias("lead"))).alias("performer"), F.array(F.struct(F.lit("ticketingLinkPrimary").alias("category"), F.col("tickets_link").alias("url"))).alias("offers"))).alias("j")).select("event_id", F.get_json_object("j", "$.name").alias("title"), F.get_json_object("j", "$.location.name").alias("venue"), F.get_json_object("j", "$.performer[0].name").alias("headliner"), F.get_json_object("j", "$.offers[0].url").alias("ticket")),
          "select event_id, title, location_text as venue, headliner, tickets_link as ticket from {v_event}")
 register("b17_split_urls", lambda v: v("v_poi").select("poi_id", F.posexplode(text.urls(F.concat_ws("$", "image_url", "website"))).alias("position", "url")).withColumn("position", F.col("position").cast("long")),
          "select poi_id, p - 1 as position, u[p] as url from (select poi_id, u, unnest(range(1, len(u) + 1)) as p from (select poi_id, list_filter([image_url, website], lambda x: x is not null) as u from {v_poi}))")
-register("b20_category_suggestion", lambda v: v("v_poi").select("poi_id", F.lower("name").alias("n")).select("poi_id", F.when(F.col("n").rlike("furniture|household"), "Lodging").when(F.col("n").rlike("machinery"), "Cultural").when(F.col("n").rlike("cafe|café"), "Food & Bev").alias("suggested")),
-         "select poi_id, case when regexp_matches(lower(name), 'furniture|household') then 'Lodging' when contains(lower(name), 'machinery') then 'Cultural' when regexp_matches(lower(name), 'cafe|café') then 'Food & Bev' end as suggested from {v_poi}")
+# every rung of the ladder by a word that names it
+PLACE_WORDS = ("Festival", "Fairgrounds", "Vinyl", "Record Shop", "Guitar Shop", "Instrument", "Museum", "Performing Arts", "Theatre", "Theater", "Hotel", "Campground", "Chamber", "Tourism", "Travel", "Club", "Arena", "Auditorium", "Corner", "")
+_PLACE = "coalesce(name, '') || ' ' || list_extract([" + ", ".join(f"'{w}'" for w in PLACE_WORDS) + f"], (poi_id % {len(PLACE_WORDS)} + 1)::int)"
+_RUNGS = " ".join(f"when regexp_matches(t, '{'|'.join(words)}') then {i}" for i, (words, _, _, _) in enumerate(places.SUGGESTIONS))
+_RUNG_ROWS = ", ".join(f"({i}, '{c}', '{s}', {n})" for i, (_, c, s, n) in enumerate(places.SUGGESTIONS)) + ", (-1, 'Music Site', 'Venues', 0.58), (-2, 'unknown', null, 0.0)"
+register("b20_category_suggestion", lambda v: v("v_poi").select("poi_id", places.suggest_category(F.concat(F.coalesce("name", F.lit("")), F.lit(" "), F.element_at(F.array(*[F.lit(w) for w in PLACE_WORDS]), (F.col("poi_id") % len(PLACE_WORDS) + 1).cast("int")))).alias("s")).select("poi_id", "s.category", "s.subcategory", "s.confidence"),
+         f"select poi_id, category, subcategory, confidence::double as confidence from (select poi_id, case when trim(t) = '' then -2 {_RUNGS} else -1 end as r from (select poi_id, lower({_PLACE}) as t from {{v_poi}})) join (values {_RUNG_ROWS}) l(r, category, subcategory, confidence) using (r)")
 register("b23_event_projection", lambda v: filters.event_feed(v("v_event")).select("event_id", F.to_json(F.struct(F.col("event_id").alias("id"), F.struct(F.col("venue_id").alias("id")).alias("venue"))).alias("payload")),
          """select event_id, '{"id":' || event_id::varchar || ',"venue":{"id":' || venue_id::varchar || '}}' as payload from {v_event} where publish_status in ('approved', 'published') and not regexp_matches(lower(event_status), 'cancell?ed') and duplicate_status not in ('duplicate_candidate', 'merged', 'rejected_duplicate')""")
 register("b27_staged_candidates", lambda v: v("v_event").select("event_id", text.clean("title").alias("event_name"), F.array_join(text.flags((text.is_blank("title"), "missing_title"), (F.col("start_ts").isNull(), "missing_start"), (text.is_blank("location_text"), "missing_venue")), ",").alias("errors")).withColumn("review", F.when(F.col("errors") == "", "pending_review").otherwise("needs_fix")),
          "select event_id, nullif(trim(title), '') as event_name, e as errors, case when e = '' then 'pending_review' else 'needs_fix' end as review from (select *, " + sql_flags(("trim(title) = ''", "missing_title"), ("start_ts is null", "missing_start")) + " as e from {v_event})")
-register("c07_record_filter", lambda v: v("v_claim").where(filters.every([F.col("provider") == "feed_a", F.col("provider_event_id").isNotNull(), F.col("match_confidence").between(0.03, 0.06), F.col("seen_at") >= _NOW() - F.expr("interval 30 days")])).select("claim_id"),
-         f"select claim_id from {{v_claim}} where provider = 'feed_a' and provider_event_id is not null and match_confidence between 0.03 and 0.06 and seen_at >= {AS_OF} - interval 30 days")
 register("c10_quality_bucket_filter", lambda v: scores.event_readiness(with_venue(v)).where(F.array_contains("blockers", "missing_venue_location") & F.lower("title").contains("urgent")).select("event_id"),
          "select event_id from {ready} where contains(blockers, 'missing_venue_location') and contains(lower(title), 'urgent')", ev=EV, ready=READY)
 register("c16_suspicious_queue", lambda v: filters.suspicious(scores.risk(v("v_attempt"), {"authorization_missing": F.col("was_invalid"), "submitted_too_fast": F.col("value") < 1}).withColumn("status", F.when(F.col("attempt_id") % 9 == 0, "quarantined").otherwise("open"))).select("attempt_id", "risk_level", "status"),
          "select attempt_id, case when was_invalid then 'blocked' when value < 1 then 'high' else 'low' end as risk_level, case when attempt_id % 9 = 0 then 'quarantined' else 'open' end as status from {v_attempt} where was_invalid or value < 1 or attempt_id % 9 = 0")
 register("d05_review_rows_with_candidates", lambda v: v("v_claim").select("claim_id", F.concat(F.when(F.col("source_type") == "api", "api:").otherwise("extracted:"), F.col("event_id").cast("string")).alias("k")).join(v("v_poi").select(F.concat(F.when(F.col("poi_id") % 2 == 0, "api:").otherwise("extracted:"), F.col("poi_id").cast("string")).alias("k"), "poi_id"), "k", "left").select("claim_id", "poi_id"),
          "select claim_id, poi_id from {v_claim} c left join {v_poi} p on p.poi_id = c.event_id and (p.poi_id % 2 = 0) = (c.source_type = 'api')")
-register("d16_prefix_matches", lambda v: matching.path_matches(v("v_event"), v("v_event").where("event_id % 7 = 0").select("event_id", F.regexp_replace("source_url", "/e/.*$", F.when(F.col("event_id") % 2 == 0, "/e").otherwise("/e/7")).alias("source_url")), "event_id", "source_url"),
+register("d16_prefix_matches", lambda v: matching.path_matches(v("v_event"), v("v_event").where("source_type = 'ics'").select("event_id", F.regexp_replace("source_url", "/e/.*$", F.when(F.col("event_id") % 2 == 0, "/e").otherwise("/e/7")).alias("source_url")), "event_id", "source_url"),
          """select e.event_id, min(k.event_id) as known_id from (select event_id, lower(regexp_extract(source_url, '^https://([^/]*)', 1)) as h, rtrim(regexp_extract(source_url, '^https://[^/]*([^?]*)', 1), '/') as p from {v_event}) e
-join (select event_id, lower(regexp_extract(source_url, '^https://([^/]*)', 1)) as h, case when event_id % 2 = 0 then '/e' else '/e/7' end as p from {v_event} where event_id % 7 = 0) k on e.h = k.h and (e.p = k.p or starts_with(e.p, k.p || '/')) group by 1""")
+join (select event_id, lower(regexp_extract(source_url, '^https://([^/]*)', 1)) as h, case when event_id % 2 = 0 then '/e' else '/e/7' end as p from {v_event} where source_type = 'ics') k on e.h = k.h and (e.p = k.p or starts_with(e.p, k.p || '/')) group by 1""")
 register("d19_record_lineage", lambda v: v("v_claim").select("claim_id", "event_id", "provider").join(v("v_event").select("event_id", "publish_status"), "event_id", "left").join(v("v_image").groupBy("event_id").agg(F.count(F.lit(1)).alias("images")), "event_id", "left").select("claim_id", "provider", "publish_status", F.coalesce("images", F.lit(0)).alias("images")),
          "select claim_id, provider, publish_status, coalesce(images, 0) as images from (select c.claim_id, c.provider, e.publish_status, i.images from {v_claim} c left join {v_event} e using (event_id) left join (select event_id, count(*) as images from {v_image} group by 1) i using (event_id))")
 
 
 def _upsert(v):
-    """E3: match every fourth event as a candidate, then name the action."""
+    """E3: match uploaded events against those of other sources, then name the action."""
     keys = upsert.event_keys(v("v_event"))
-    golden = keys.where("event_id % 4 > 0").groupBy("event_key").agg(F.min("event_id").alias("golden_id"))
-    weak = keys.where("event_id % 4 > 0 and start_ts is not null").groupBy("weak_key").agg(F.min("event_id").alias("weak_id"))
-    out = keys.where("event_id % 4 = 0").join(golden, "event_key", "left").join(weak, "weak_key", "left")
+    golden = keys.where("source_type <> 'file_upload'").groupBy("event_key").agg(F.min("event_id").alias("golden_id"))
+    weak = keys.where("source_type <> 'file_upload' and start_ts is not null").groupBy("weak_key").agg(F.min("event_id").alias("weak_id"))
+    out = keys.where("source_type = 'file_upload'").join(golden, "event_key", "left").join(weak, "weak_key", "left")
     life = text.lifecycle(F.col("event_status"), F.lit(""))
     action = F.when(life == "cancelled", "cancelled").when(F.col("golden_id").isNotNull(), "updated").when(F.col("weak_id").isNotNull(), "duplicate_candidate").otherwise("created")
     return out.select("event_id", action.alias("action"))
 
 
 register("e03_upsert_actions", _upsert,
-         "select event_id, case when regexp_matches(lower(event_status), 'cancell?ed') then 'cancelled' when g.event_key is not null then 'updated' when w.weak_key is not null then 'duplicate_candidate' else 'created' end as action from (select * from {keys} where event_id % 4 = 0) c left join (select distinct event_key from {keys} where event_id % 4 > 0) g on g.event_key = c.event_key left join (select distinct weak_key from {keys} where event_id % 4 > 0 and start_ts is not null) w on w.weak_key = c.weak_key", keys=EVENT_KEYS)
+         "select event_id, case when regexp_matches(lower(event_status), 'cancell?ed') then 'cancelled' when g.event_key is not null then 'updated' when w.weak_key is not null then 'duplicate_candidate' else 'created' end as action from (select * from {keys} where source_type = 'file_upload') c left join (select distinct event_key from {keys} where source_type <> 'file_upload') g on g.event_key = c.event_key left join (select distinct weak_key from {keys} where source_type <> 'file_upload' and start_ts is not null) w on w.weak_key = c.weak_key", keys=EVENT_KEYS)
 register("e11_poi_import", lambda v: (lambda p: p.withColumn("n", F.row_number().over(Window.partitionBy("poi_key").orderBy("poi_id"))).select("poi_id", F.when(F.col("category") == "Concert", "skipped").when(F.col("poi_key_confidence") == "weak", "weak_key").when(F.col("n") > 1, "duplicate").otherwise("created").alias("action")))(upsert.poi_key(v("v_poi"))).groupBy("action").agg(F.count(F.lit(1)).alias("n")),
          f"select case when category = 'Concert' then 'skipped' when k like 'name_location:%' then 'weak_key' when n > 1 then 'duplicate' else 'created' end as action, count(*) as n from (select *, row_number() over (partition by k order by poi_id) as n from (select poi_id, category, case when {sql_place('name')} <> '' and lat is not null and lng is not null then 'name_geo:' || {sql_place('name')} || printf('%.5f', lat) || '|' || printf('%.5f', lng) when places_id is not null then 'places_id:' || places_id when export_id is not null then 'export_id:' || export_id else 'name_location:' || {sql_place('name')} || '|' || city || '|' || state || '|' || coalesce(address, '') end as k from {{v_poi}})) group by 1")
 register("e14_artist_registry", lambda v: v("v_claim").join(v("v_artist"), "artist_id").where("trim(name) <> ''").groupBy(text.artist_key("name").alias("artist_key")).agg(F.countDistinct("event_id").alias("events"), F.min("external_id").alias("external_id"), F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels")),
@@ -73,15 +84,27 @@ register("e24_send_to_review", lambda v: v("v_event").where((F.col("dedupe_confi
 register("e25_region_upsert", lambda v: upsert.merge_fields(v("v_region").where("region_id < 20").select("region_key", "name", "radius_miles"), v("v_region").where("region_id > 10").select("region_key", F.upper("name").alias("name"), (F.col("radius_miles") + 5).alias("radius_miles")), "region_key", {"name": "fill", "radius_miles": "raise"}).select("region_key", "name", "radius_miles", "action"),
          "select region_key, case when region_id >= 20 then upper(name) else name end as name, case when region_id > 10 then radius_miles + 5 else radius_miles end as radius_miles, case when region_id >= 20 then 'created' when region_id > 10 then 'updated' else 'kept' end as action from {v_region}")
 register("f11_region_coverage", lambda v: v("v_claim").join(v("v_event").select("event_id", "region_id"), "event_id").groupBy("region_id").agg(F.countDistinct("source_id").alias("sources"), F.count_if(F.col("source_type") == "ics").alias("ics_claims")), "select region_id, count(distinct source_id) as sources, count_if(source_type = 'ics')::bigint as ics_claims from {v_claim} join {v_event} using (event_id) group by 1".replace("count_if(source_type", "count_if(c.source_type").replace("from {v_claim} join {v_event} using (event_id)", "from {v_claim} c join {v_event} e on e.event_id = c.event_id"))
-register("f18_preview_summary", lambda v: rollups.metric_rows(v("v_event").agg(F.count(F.lit(1)).alias("events"), F.countDistinct("venue_id").alias("venues"), F.countDistinct("headliner").alias("headliners"), F.count_if(F.col("start_ts") >= _NOW()).alias("upcoming")), []),
-         f"select 'events' as metric, count(*)::double as value from {{v_event}} union all select 'venues', count(distinct venue_id) from {{v_event}} union all select 'headliners', count(distinct headliner) from {{v_event}} union all select 'upcoming', count_if(start_ts >= {AS_OF}) from {{v_event}}")
+register("f18_preview_summary", lambda v: rollups.metric_rows(rollups.preview_counts(filters.publishable(with_venue(v))), []),
+         f"""select * from (unpivot (select count(*)::double as total_approved_events, count_if(coalesce(trim(image_url), '') = '')::double as events_missing_images, count_if(coalesce(trim(tickets_link), '') = '')::double as events_missing_ticket_links, count_if(coalesce(trim(venue_address), '') = '')::double as events_missing_venue_address,
+ count_if(venue_lat is null or venue_lng is null)::double as events_missing_coordinates, count_if(contains(tickets_link, 'fbclid='))::double as events_with_suspicious_tracking, count_if(coalesce(trim(venue_name), '') = '')::double as events_without_venue_profile, count_if(duplicate_status = 'duplicate_candidate')::double as duplicate_candidate_events,
+ count_if(dedupe_confidence = 'weak')::double as weak_dedupe_events, count_if(claim_count > 1)::double as events_with_multiple_source_claims, count_if(claim_count <= 1)::double as events_with_single_source_claim, count_if(image_url is not null and image_status in ('accepted', 'selected_pending_approval'))::double as events_with_selected_image,
+ count_if(image_status = 'selected_pending_approval' or image_clearance = 'needs_review')::double as events_needing_image_approval, count_if(image_clearance = 'blocked')::double as events_with_blocked_image, count_if(coalesce(trim(headliner), '') = '')::double as events_missing_headliner, count_if(coalesce(trim(genre), '') = '')::double as events_missing_genre,
+ {", ".join(f"count_if({TICKET} = '{c}')::double as ticket_{c}" for c in tickets.CATEGORIES)} from {{ev}} where publish_status in ('approved', 'published')) on columns(*) into name metric value value)""", ev=EV)
 register("f20_research_summary", lambda v: rollups.metric_rows(v("pages").select(text.url_host("url").alias("h"), F.sha2("html", 256).alias("s")).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("h").alias("hosts"), F.countDistinct("s").alias("bodies")), []),
          "select 'rows' as metric, count(*)::double as value from {pages} union all select 'hosts', count(distinct lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1))) from {pages} union all select 'bodies', count(distinct sha256(html)) from {pages}")
-register("f23_audit_rollup", lambda v: v("v_crawl").select(F.lit("crawl").alias("log"), F.coalesce(F.lower("error"), F.lit("")).alias("m")).unionByName(v("v_attempt").select(F.lit("attempt").alias("log"), F.lower("kind").alias("m"))).groupBy("log").agg(F.count_if(F.col("m").contains("timeout")).alias("timeouts"), F.count_if(F.col("m").contains("error")).alias("errors"), F.count(F.lit(1)).alias("n")),
-         "select log, count_if(contains(m, 'timeout'))::bigint as timeouts, count_if(contains(m, 'error'))::bigint as errors, count(*) as n from (select 'crawl' as log, lower(coalesce(error, '')) as m from {v_crawl} union all select 'attempt', lower(kind) from {v_attempt}) group by 1")
+def _audited(v):
+    rows = scores.risk(v("v_attempt"), {"rate_limit_exceeded": F.col("user_id") % 11 == 0, "authorization_missing": F.col("was_invalid"), "submitted_too_fast": F.col("value") < 1})
+    return rows.withColumn("status", F.when(F.col("kind") == "view", "quarantined").otherwise("open"))
+
+
+register("f23_audit_rollup", lambda v: rollups.metric_rows(rollups.audit_counts(_audited(v), v("v_crawl")), []),
+         """select * from (unpivot (select count_if(l in ('high', 'blocked') or kind = 'view')::double as suspicious_submissions, count_if(l = 'blocked')::double as blocked_submissions, count_if(user_id % 11 = 0)::double as rate_limit_hits, count_if(was_invalid)::double as unauthorised_submissions, count_if(value < 1)::double as fast_submissions,
+ (select count_if(contains(error, 'timeout'))::double from {v_crawl}) as crawl_timeouts, (select count_if(status = 'failed')::double from {v_crawl}) as failed_crawls, (select count_if(status = 'unsupported')::double from {v_crawl}) as unsupported_crawls
+ from (select *, case when s >= 80 then 'blocked' when s >= 50 then 'high' when s >= 20 then 'medium' else 'low' end as l from (select *, case when user_id % 11 = 0 then 80 else 0 end + case when was_invalid then 80 else 0 end + case when value < 1 then 50 else 0 end as s from {v_attempt}))) on columns(*) into name metric value value)""")
 register("f25_rescue_summary", lambda v: scores.image_score(v("v_image")).groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("blocked")).alias("usable"), F.count_if("generic").alias("generic")), "select role, count(*) as n, count_if(not (clearance = 'blocked' or status = 'rejected' or url like '%logo%' or width < 720 or least(width, height) < 400))::bigint as usable, count_if(url like '%logo%')::bigint as generic from {v_image} group by 1")
 register("f27_provider_pipeline", lambda v: v("v_claim").groupBy("provider", "source_type").agg(F.count(F.lit(1)).alias("records"), F.countDistinct("event_id").alias("events"), F.round(F.avg("match_confidence"), 6).alias("confidence")), "select provider, source_type, count(*) as records, count(distinct event_id) as events, round(avg(match_confidence), 6) as confidence from {v_claim} group by 1, 2")
-register("f29_route_feed", lambda v: v("v_poi").where("lat is not null").groupBy((F.col("poi_id") % 40).alias("route")).agg(F.array_sort(F.collect_list(F.struct("poi_id", "city"))).alias("s")).select("route", F.array_join(F.transform("s", lambda x: F.concat_ws("@", x.poi_id.cast("string"), x.city)), " > ").alias("stops")), "select poi_id % 40 as route, string_agg(poi_id::varchar || '@' || city, ' > ' order by poi_id) as stops from {v_poi} where lat is not null group by 1")
+register("f29_route_feed", lambda v: windows.renumber(v("v_poi").where("lat is not null and publish_status in ('approved', 'published')").withColumn("route", F.col("poi_id") % 40), ["route"], [F.col("poi_id")], "stop").join(windows.segments(v("v_poi").where("lat is not null and publish_status in ('approved', 'published')").withColumn("route", F.col("poi_id") % 40), "route", ["poi_id"]).select("poi_id", "to_stop"), "poi_id", "left").select("route", "stop", "poi_id", "city", "to_stop"),
+         "select poi_id % 40 as route, row_number() over (partition by poi_id % 40 order by poi_id) as stop, poi_id, city, lead(poi_id) over (partition by poi_id % 40 order by poi_id) as to_stop from {v_poi} where lat is not null and publish_status in ('approved', 'published')")
 register("i07_record_completeness", lambda v: v("v_claim").select("claim_id", sum((F.when(F.col(c).isNotNull(), 1).otherwise(0) for c in ("provider_event_id", "record_id", "provider", "seen_at")), F.lit(0)).alias("n"), "provider_event_id").select("claim_id", F.round(F.col("n") / 4, 4).alias("completeness"), F.when(F.col("n") == 4, "normalized").when(F.col("provider_event_id").isNotNull(), "partial").otherwise("failed").alias("status")),
          "select claim_id, round(n / 4, 4) as completeness, case when n = 4 then 'normalized' when provider_event_id is not null then 'partial' else 'failed' end as status from (select *, 2 + (provider_event_id is not null)::int + (record_id is not null)::int as n from {v_claim})")
 register("i12_page_fallback", lambda v: with_venue(v).select("event_id", F.when(F.col("image_status") == "accepted", "has_image").when(text.is_blank("tickets_link"), "no_ticket_page").when(~tickets.assess(F.col("tickets_link")).getField("usable"), "ticket_page_not_usable").when(F.col("image_clearance") == "blocked", "blocked").otherwise("fetch").alias("decision")),

@@ -23,30 +23,18 @@ register("f01_upcoming_by_artist", lambda v: rollups.upcoming(v("v_event").join(
          f"select artist_id, count(*) as upcoming, min(start_ts)::varchar as next_start from {{v_event}} join (select distinct event_id, artist_id from {{v_claim}}) using (event_id) where start_ts >= {AS_OF} group by 1")
 register("f02_events_by_provider", lambda v: v("v_event").where("publish_status = 'approved'").groupingSets([[F.col("provider")], [F.col("source_type")]], "provider", "source_type").agg(F.grouping_id().cast("long").alias("g"), F.count(F.lit(1)).alias("n")),
          "select provider, source_type, grouping(provider, source_type)::bigint as g, count(*) as n from {v_event} where publish_status = 'approved' group by grouping sets ((provider), (source_type))")
-register("f03_api_quality_counts", lambda v: rollups.conditional_counts(v("v_event"), [], {"no_ticket": F.coalesce(F.trim("tickets_link"), F.lit("")) == "", "no_image": F.col("image_url").isNull(), "no_genre": F.col("genre").isNull(), "no_headliner": F.col("headliner").isNull(), "cancelled": F.lower("event_status").contains("cancel"), "weak_key": F.col("dedupe_confidence") == "weak"}),
-         "select count_if(coalesce(trim(tickets_link), '') = '')::bigint as no_ticket, count_if(image_url is null)::bigint as no_image, count_if(genre is null)::bigint as no_genre, count_if(headliner is null)::bigint as no_headliner, count_if(contains(lower(event_status), 'cancel'))::bigint as cancelled, count_if(dedupe_confidence = 'weak')::bigint as weak_key from {v_event}")
-register("f04_feed_run_counters", lambda v: rollups.conditional_counts(v("v_claim"), ["provider"], {"api": F.col("source_type") == "api", "missing_id": F.col("provider_event_id").isNull(), "confident": F.col("match_confidence") >= 0.07}),
-         "select provider, count_if(source_type = 'api')::bigint as api, count_if(provider_event_id is null)::bigint as missing_id, count_if(match_confidence >= 0.07)::bigint as confident from {v_claim} group by 1")
-register("f06_provider_rollup", lambda v: v("v_event").groupBy("provider").agg(F.count(F.lit(1)).alias("a"), F.count_if(F.col("image_url").isNull()).alias("m")).join(v("v_claim").groupBy("provider").agg(F.countDistinct("event_id").alias("b")), "provider", "full").select("provider", F.greatest(F.coalesce("a", F.lit(0)), F.coalesce("b", F.lit(0))).alias("event_count"), F.coalesce("m", F.lit(0)).alias("missing_image_count")),
-         "select coalesce(e.provider, c.provider) as provider, greatest(coalesce(a, 0), coalesce(b, 0)) as event_count, coalesce(m, 0) as missing_image_count from (select provider, count(*) as a, count_if(image_url is null)::bigint as m from {v_event} group by 1) e full join (select provider, count(distinct event_id) as b from {v_claim} group by 1) c on e.provider = c.provider")
 register("f07_region_rollup", lambda v: v("v_event").groupBy("region_id").agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("publish_status") == "published").alias("published"), F.max("start_ts").cast("string").alias("last_start"), F.max_by("event_id", F.struct("start_ts", "event_id")).alias("latest_event")),
          "select region_id, count(*) as events, count_if(publish_status = 'published')::bigint as published, max(start_ts)::varchar as last_start, max_by(event_id, (coalesce(start_ts, timestamp '1000-01-01'), event_id)) as latest_event from {v_event} group by 1")
-register("f10_region_snapshot", lambda v: v("v_region").select("region_id").join(v("v_event").groupBy("region_id").agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("image_url").isNull()).alias("no_image"), F.count_if(F.col("duplicate_status") != "none").alias("dups")), "region_id", "left").na.fill(0).withColumn("score", scores.issue_ratio(F.col("no_image") + F.col("dups"), F.col("events"))),
-         "select region_id, coalesce(events, 0) as events, coalesce(no_image, 0) as no_image, coalesce(dups, 0) as dups, case when events is null then 100.0 else round_even(greatest(0.0, 100 - (no_image + dups) * 100.0 / events), 1) end::double as score from {v_region} left join (select region_id, count(*) as events, count_if(image_url is null)::bigint as no_image, count_if(duplicate_status <> 'none')::bigint as dups from {v_event} group by 1) using (region_id)")
 register("f12_crawl_performance", lambda v: v("v_crawl").groupBy("source_id").agg(F.count(F.lit(1)).alias("runs"), F.count_if(F.col("status") == "success").alias("ok"), F.sum("candidates").alias("c"), F.sum("created").alias("k"), F.sum("duplicates").alias("d")).select("source_id", "runs", "ok", F.round(F.col("c") / F.col("runs"), 4).alias("average_yield"), F.round(F.col("d") / F.greatest("c", F.lit(1)), 4).alias("duplicate_rate"), F.round(F.col("k") / F.greatest("c", F.lit(1)), 4).alias("created_rate")),
          "select source_id, runs, ok, round(c / runs, 4) as average_yield, round(d / greatest(c, 1), 4) as duplicate_rate, round(k / greatest(c, 1), 4) as created_rate from (select source_id, count(*) as runs, count_if(status = 'success')::bigint as ok, sum(candidates)::bigint as c, sum(created)::bigint as k, sum(duplicates)::bigint as d from {v_crawl} group by 1)")
 register("f13_facets", lambda v: v("v_poi").rollup("category", "subcategory").agg(F.grouping_id().cast("long").alias("level"), F.count(F.lit(1)).alias("n"), F.count_if("certified").alias("certified")),
          "select category, subcategory, grouping(category, subcategory)::bigint as level, count(*) as n, count_if(certified)::bigint as certified from {v_poi} group by rollup(category, subcategory)")
 register("f13_date_ranges", lambda v: rollups.metric_rows(rollups.conditional_counts(v("v_event"), [], {f"next_{d}": (F.col("start_ts") >= _NOW()) & (F.col("start_ts") < _NOW() + F.expr(f"interval {d} days")) for d in (7, 30, 90)}), []),
          "".join(("" if d == 7 else " union all ") + f"select 'next_{d}' as metric, count_if(start_ts >= {AS_OF} and start_ts < {AS_OF} + interval {d} days)::double as value from {{v_event}}" for d in (7, 30, 90)))
-register("f14_review_tabs", lambda v: rollups.conditional_counts(v("v_event"), [], {"pending": F.col("publish_status") == "needs_review", "ready": F.col("publish_status").isin("approved", "published"), "blocked": F.col("image_clearance") == "blocked", "duplicates": F.col("duplicate_status") != "none"}),
-         "select count_if(publish_status = 'needs_review')::bigint as pending, count_if(publish_status in ('approved', 'published'))::bigint as ready, count_if(image_clearance = 'blocked')::bigint as blocked, count_if(duplicate_status <> 'none')::bigint as duplicates from {v_event}")
 register("f16_poi_bucket_counts", lambda v: rollups.metric_rows(filters.poi_buckets(v("v_poi")).agg(*[F.count_if(c).alias(c) for c in ("missing_geo", "missing_name", "missing_image", "missing_contact")]), []),
          "unpivot (select count_if(lat is null or lng is null)::double as missing_geo, count_if(trim(name) = '')::double as missing_name, count_if(coalesce(trim(image_url), '') = '')::double as missing_image, count_if(website is null and phone is null)::double as missing_contact from {v_poi}) on columns(*) into name metric value value".replace("unpivot (", "select * from (unpivot (").replace("value value", "value value)"))
 register("f19_completeness", lambda v: rollups.metric_rows(v("v_poi").groupBy("category").agg(*[F.count_if(F.coalesce(F.trim(c), F.lit("")) == "").alias(c) for c in ("name", "address", "phone", "website")]), ["category"]).select("category", "metric", "value"),
          " union all ".join(f"select category, '{c}' as metric, count_if(coalesce(trim({c}), '') = '')::double as value from {{v_poi}} group by 1" for c in ("name", "address", "phone", "website")))
-register("f21_feed_summary", lambda v: scores.event_readiness(with_venue(v)).agg(F.count(F.lit(1)).alias("events"), F.count_if(F.size("blockers") == 0).alias("unblocked"), F.count_if(F.col("readiness") >= 80).alias("ready"), F.round(F.avg("readiness"), 4).alias("mean_readiness")),
-         "select count(*) as events, count_if(blockers = '')::bigint as unblocked, count_if(readiness >= 80)::bigint as ready, round(avg(readiness), 4) as mean_readiness from {ready}", ev=EV, ready=READY)
 register("f22_top_and_weak_sources", lambda v: (lambda t: windows.top(t.select(F.lit("top").alias("kind"), "*"), ["kind"], [F.col("n").desc(), F.col("source_id")], 5).unionByName(windows.top(t.select(F.lit("weak").alias("kind"), "*"), ["kind"], [F.col("n"), F.col("source_id")], 5)))(v("v_claim").groupBy("source_id").agg(F.countDistinct("event_id").alias("n"))),
          "with t as (select source_id, count(distinct event_id) as n from c group by 1) select * from (select 'top' as kind, source_id, n, row_number() over (order by n desc, source_id)::int as rank from t) where rank <= 5 union all select * from (select 'weak' as kind, source_id, n, row_number() over (order by n, source_id)::int as rank from t) where rank <= 5".replace("with t as (select source_id, count(distinct event_id) as n from c group by 1) ", "").replace(" t)", " {t})"),
          t="select source_id, count(distinct event_id) as n from {v_claim} group by 1")
@@ -54,8 +42,8 @@ register("f24_status_counts", lambda v: rollups.zero_filled(v("v_crawl").groupBy
          "select s as status, count(c.crawl_id) as n from (values ('queued'), ('failed'), ('success'), ('unsupported')) l(s) left join {v_crawl} c on c.status = s group by 1")
 register("f26_batch_risk", lambda v: v("v_attempt").groupBy((F.col("attempt_id") / 100).cast("long").alias("batch")).agg(F.sum(F.when(F.col("value") > 50, 10).otherwise(1)).alias("s"), F.avg(F.col("was_invalid").cast("int")).alias("bad")).select("batch", (F.col("s") + F.when(F.col("bad") >= 0.2, 35).otherwise(0)).alias("score"), F.round("bad", 4).alias("invalid_share")),
          "select attempt_id // 100 as batch, (sum(case when value > 50 then 10 else 1 end) + case when avg(was_invalid::int) >= 0.2 then 35 else 0 end)::bigint as score, round(avg(was_invalid::int), 4) as invalid_share from {v_attempt} group by 1")
-register("f28_venue_feed", lambda v: filters.event_feed(v("v_event")).where("start_ts is not null").groupBy("venue_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_ts", "event_id"))), lambda s: s.event_id.cast("string")), ",").alias("event_ids")),
-         "select venue_id, string_agg(event_id::varchar, ',' order by start_ts, event_id) as event_ids from {v_event} where publish_status in ('approved', 'published') and not regexp_matches(lower(event_status), 'cancell?ed') and duplicate_status not in ('duplicate_candidate', 'merged', 'rejected_duplicate') and start_ts is not null group by 1")
+register("f28_venue_feed", lambda v: windows.renumber(filters.event_feed(v("v_event")).where("start_ts is not null"), ["venue_id"], [F.col("start_ts"), F.col("event_id")], "position").select("venue_id", "position", "event_id"),
+         "select venue_id, row_number() over (partition by venue_id order by start_ts, event_id) as position, event_id from {v_event} where publish_status in ('approved', 'published') and not regexp_matches(lower(event_status), 'cancell?ed') and duplicate_status not in ('duplicate_candidate', 'merged', 'rejected_duplicate') and start_ts is not null")
 
 register("g01_latest_crawl", lambda v: windows.latest(v("v_crawl"), ["source_id"], [F.col("fetched_at").desc(), F.col("crawl_id").desc()]).select("source_id", "crawl_id", "status"),
          "select source_id, crawl_id, status from (select *, row_number() over (partition by source_id order by fetched_at desc, crawl_id desc) as n from {v_crawl}) where n = 1")

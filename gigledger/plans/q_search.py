@@ -63,6 +63,7 @@ register("b24_map_markers", _markers, MARKERS)
 register("h02_markers_by_kind", lambda v: _markers(v).groupBy("kind", "color", "icon").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce("upcoming", F.lit(False))).alias("upcoming")), "select kind, color, icon, count(*) as n, coalesce(count_if(upcoming), 0)::bigint as upcoming from {m} group by all", m=MARKERS)
 
 # bodies that Spark derives from the events
+PAGE = 1000  # ids of events that one body may hold
 _LOCAL = "yyyyMMdd'T'HHmmss"
 
 
@@ -72,8 +73,8 @@ def _ics(v):
         F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("\r\nDTSTART;VALUE=DATE:"), F.date_format("start_ts", "yyyyMMdd"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("\r\nDTSTART:"), F.date_format(F.expr("start_ts + interval 20 hours"), _LOCAL), F.lit("Z"))).otherwise(F.concat(F.lit("\r\nDTSTART;TZID=Asia/Tokyo:"), F.date_format(F.expr("start_ts + interval 20 hours"), _LOCAL))),
         F.lit("\r\nEND:VEVENT\r\n"),
     )
-    rows = v("v_event").where("start_ts is not null").select("venue_id", event.alias("e"))
-    return rows.groupBy(F.col("venue_id").alias("key")).agg(F.concat(F.lit("BEGIN:VCALENDAR\r\n"), F.array_join(F.collect_list("e"), ""), F.lit("END:VCALENDAR")).alias("body"))
+    rows = v("v_event").where("start_ts is not null").select("venue_id", F.floor(F.col("event_id") / PAGE).alias("page"), event.alias("e"))
+    return rows.groupBy(F.col("venue_id").alias("key"), "page").agg(F.concat(F.lit("BEGIN:VCALENDAR\r\n"), F.array_join(F.collect_list("e"), ""), F.lit("END:VCALENDAR")).alias("body")).drop("page")
 
 
 register("a06_ics_events", lambda v: bodies.ics_events(_ics(v)).select("key", F.col("uid").cast("long").alias("event_id"), "summary", F.col("starts").cast("string").alias("starts"), "all_day"),
@@ -82,7 +83,7 @@ register("a06_ics_events", lambda v: bodies.ics_events(_ics(v)).select("key", F.
 
 def _rss(v):
     item = F.concat(F.lit("<item><title>"), F.replace(F.col("title"), F.lit("&"), F.lit("&amp;")), F.lit("</title><link>https://x.example.com/"), F.col("event_id").cast("string"), F.lit("</link><description>"), F.when(F.col("event_id") % 4 > 0, F.concat(F.lit("Doors open on "), F.date_format("start_ts", "MMMM d, yyyy"), F.lit(" at 8:30 pm"))).otherwise(F.lit("soon")), F.lit("</description><pubDate>Mon, 01 Jan 2001 00:00:00 GMT</pubDate></item>"))
-    return v("v_event").where("start_ts is not null").groupBy(F.col("region_id").alias("key")).agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.collect_list(item), ""), F.lit("</channel></rss>")).alias("body"))
+    return v("v_event").where("start_ts is not null").groupBy(F.col("region_id").alias("key"), F.floor(F.col("event_id") / PAGE).alias("page")).agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.collect_list(item), ""), F.lit("</channel></rss>")).alias("body")).drop("page")
 
 
 register("a07_rss_items", lambda v: bodies.rss_items(_rss(v)).select("key", "title", "link", F.col("starts").cast("string").alias("starts"), "only_published"),

@@ -98,7 +98,7 @@ def page_images(bodies: DataFrame, key: str = "key", body: str = "body") -> Data
 
 def body_kind(content_type: Column, body: Column) -> Column:
     """ics, rss, json_ld, html or unsupported."""
-    kind, text = F.lower(F.coalesce(content_type, F.lit(""))), F.substring(F.coalesce(body, F.lit("")), 1, 50000)
+    kind, text = F.lower(F.coalesce(content_type, F.lit(""))), F.coalesce(body, F.lit(""))
     return (
         F.when(kind.contains("calendar") | text.contains("BEGIN:VCALENDAR"), "ics")
         .when(kind.rlike("rss|atom") | text.rlike(r"(?i)<(rss|feed)[\s>]"), "rss")

@@ -72,6 +72,27 @@ def test_grid_join_equals_all_pairs(spark):
     assert got == {(x[0], x[3]) for x in pairs.collect()} and len(got) > 150
 
 
+def test_grid_join_meets_across_the_date_line_and_the_poles(spark):
+    import random
+
+    r = random.Random(2)
+    rows = [(i, lat + r.uniform(-0.004, 0.004), (lng + r.uniform(-0.006, 0.006) + 180) % 360 - 180) for i, (lat, lng) in enumerate(((0, 180), (60, -179.999), (85, 10), (-84.9, 179.999), (89.999, 0), (89.999, 120), (-90, -60), (-89.9995, 100)) * 20)]
+    rows = [(i, max(-90.0, min(90.0, lat)), lng) for i, lat, lng in rows] + [(900, 89.9999, 0.0), (901, 89.9999, 179.0), (902, -90.0, 5.0), (903, -90.0, -170.0), (904, 0.0, 180.0), (905, 0.0, -180.0)]
+    df = spark.createDataFrame(rows, "id long, lat double, lng double")
+    for metres in (120.0, 2000.0):
+        got = {(x.id, x.other) for x in matching.near_pairs(df, df.withColumnRenamed("id", "other"), metres, "id", "other").collect()}
+        pairs = df.alias("a").crossJoin(df.alias("b")).where(geo.haversine("a.lat", "a.lng", "b.lat", "b.lng") <= metres)
+        assert got == {(x[0], x[3]) for x in pairs.collect()} and {(900, 901), (902, 903), (904, 905)} <= got
+
+
+def test_affiliates_and_source_keys(spark):
+    from gigledger.operators import taxonomy
+
+    got = one(spark, tickets.assess(F.col("x")), "https://go.pxf.io/c/9?utm_source=a")
+    assert (got.category, got.usable, got.score, got.repair, got.flags) == ("redirect_or_handoff", False, 32, "resolve_affiliate_handoff", ["affiliate/tracking domain", "tracking parameter"])
+    assert one(spark, taxonomy.source_key(F.col("x")), "https://evyy.net/x") == "affiliate-networks" and one(spark, taxonomy.source_key(F.col("x")), "Sofar") == "sofar-sounds"
+
+
 def test_merge_is_idempotent_and_blind_to_order(spark):
     policy = {"name": "fill", "score": "raise", "status": "replace"}
     golden = spark.createDataFrame([(1, "", 1.0, "a"), (2, "n", None, None)], "k long, name string, score double, status string")
