@@ -146,19 +146,19 @@ class Examples:
         ids: dict[str, int] = {}
         found = []
         for doc, label, weight, terms, counts in rows:
-            numbers = np.array([ids.setdefault(t, len(ids)) for t in terms.split(" ")] if terms else [], np.int64)
+            numbers = np.fromiter((ids.setdefault(t, len(ids)) for t in terms.split(" ")) if terms else (), np.int32)
             found.append((doc, label, weight, numbers, np.frombuffer(counts, "<u4")))
         found.sort(key=lambda r: r[0])
         names = sorted(ids)  # numbers follow the terms' order, whatever the order of the rows
-        number = np.empty(len(names), np.int64)
-        number[[ids[t] for t in names]] = np.arange(len(names))
+        number = np.empty(len(names), np.int32)
+        number[np.fromiter((ids[t] for t in names), np.int64, len(names))] = np.arange(len(names))
         self.names = names
         self.ids = np.array([r[0] for r in found], np.int64)
         self.labels = np.array([r[1] for r in found], np.int64)
         self.weights = np.array([r[2] for r in found])
-        self.terms = number[np.concatenate([r[3] for r in found])] if found else np.zeros(0, np.int64)
-        self.counts = np.concatenate([r[4] for r in found]).astype(np.int64) if found else np.zeros(0, np.int64)
-        self.owner = np.repeat(np.arange(len(found)), [len(r[3]) for r in found])
+        self.terms = number[np.concatenate([r[3] for r in found])] if found else np.zeros(0, np.int32)
+        self.counts = np.concatenate([r[4] for r in found]) if found else np.zeros(0, np.uint32)
+        self.owner = np.repeat(np.arange(len(found), dtype=np.int32), [len(r[3]) for r in found])
         n1, n0 = float(self.labels.sum()), float(len(found) - self.labels.sum())
         toxic = self.labels[self.owner] == 1
         a, b = (np.bincount(self.terms[m], minlength=len(names)).astype(float) for m in (toxic, ~toxic))
@@ -182,12 +182,13 @@ class BlockMaxIndex:
     def __init__(self, ids: np.ndarray, owner: np.ndarray, terms: np.ndarray, weights: np.ndarray, size: int):
         n = len(ids)
         heaviest = np.full(n, -1, np.int64)
-        by_weight = np.lexsort((terms, weights, owner))
+        by_weight = np.lexsort((terms, weights, owner)).astype(np.int32)
         heaviest[owner[by_weight]] = terms[by_weight]  # the last one written is the heaviest
+        del by_weight
         self.order = np.lexsort((ids, heaviest))  # examples with the same heaviest term are neighbours
         self.ids = ids[self.order]
         self.blocks = max(1, -(-n // BLOCK))
-        place = np.empty(n, np.int64)
+        place = np.empty(n, np.int32)
         place[self.order] = np.arange(n)
         place = place[owner]
         held = np.bincount(terms, minlength=size)
@@ -203,8 +204,10 @@ class BlockMaxIndex:
         few = few[np.lexsort((place[few], terms[few]))]
         self.start = np.concatenate([[0], np.cumsum(np.bincount(terms[few], minlength=size))])
         self.place, self.weight = place[few].astype(np.int32), weights[few]
-        by_place = np.lexsort((terms, place))
+        del few, many, row
+        by_place = np.lexsort((terms, place)).astype(np.int32)
         self.vector, self.value = terms[by_place].astype(np.int32), weights[by_place]
+        del by_place
         self.first = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=n))])
         self.query = np.zeros(size)
 
@@ -377,7 +380,9 @@ def nearest_label_scores(
     weights = raw / np.where(norm > 0, norm, 1)[examples.owner]
     prior = float((examples.labels * examples.weights).sum() / examples.weights.sum())
     index = BlockMaxIndex(examples.ids, examples.owner, examples.terms, weights, size)
-    shared = context.broadcast((factor, other, index, examples.labels[index.order].astype(float), examples.weights[index.order]))  # bounded by the sample
+    label_of, weight_of = examples.labels[index.order].astype(float), examples.weights[index.order]
+    del examples, raw, weights
+    shared = context.broadcast((factor, other, index, label_of, weight_of))  # bounded by the sample
 
     def score(batches):
         factor, other, index, label, weight = shared.value
