@@ -2,9 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import flags, is_blank, url_flags
+from .rollups import beside, conditional_counts
+from .tickets import assess
+
+ARTIST_ROLES = ("artist_live", "artist_press")
+# Clearances with which an image may be shown.
+CLEARED = ("approved", "licensed", "partner_supplied", "provider_allowed")
+# What a scored or detected property of an image is called where it blocks the image.
+_TRAITS = (
+    ("is_poster", "poster or flyer"), ("has_text", "text-heavy image"), ("has_watermark", "watermark suspected"), ("has_logo", "logo detected"), ("is_stock", "stock placeholder"),
+    ("is_food", "unrelated food or drink image"), ("is_unrelated_place", "unrelated place image"),
+)
+_SCORES = (("generic_score", 70.0, "generic provider image"), ("text_score", 90.0, "text graphic"), ("poster_score", 70.0, "poster or flyer score"), ("admat_score", 70.0, "admat score"))
+
 
 def reused(rows: DataFrame, least: int = 3) -> DataFrame:
     """URLs shown by at least so many events of more than one venue: stock pictures."""
@@ -32,3 +46,153 @@ def select_images(events: DataFrame, scored: DataFrame) -> DataFrame:
         .otherwise("selected_pending_approval")
     )
     return out.select("event_id", F.when(F.col("b.tier") < 3, F.col("b.image_id")).alias("image_id"), selection.alias("selection"))
+
+
+def blocking_reasons(override: bool = False) -> Column:
+    """Why an image candidate can't be shown; with an editor's override only what no one may pass over. A null trait or score does not block."""
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    hard = [
+        (F.col("status") == "rejected", "candidate rejected"),
+        (F.col("clearance") == "rejected", "clearance rejected"),
+        (~F.col("is_accessible"), "image inaccessible"),
+        (~yes("is_direct"), "not direct image asset"),
+        (F.col("is_social"), "social media URL"),
+    ]
+    if override:
+        return flags(*hard)
+    shown = yes("shows_artist") | yes("shows_live") | yes("shows_venue")
+    soft = [(F.col("evidence_only"), "source evidence only"), (~yes("can_be_final"), "not eligible as final image")]
+    soft += [(F.col(c) >= least, name) for c, least, name in _SCORES]
+    soft.append((F.col("role").isin("logo", "social_screenshot"), "logo or social screenshot"))
+    soft += [(F.col(c), name) for c, name in _TRAITS]
+    soft.append((F.col("is_generic_crowd") & ~shown, "generic crowd without music signal"))
+    soft.append((F.col("width").isNotNull() & F.col("height").isNotNull() & ((F.col("width") < 720) | (F.least("width", "height") < 400)), "severe low resolution"))
+    return flags(*hard, *soft)
+
+
+def _artist() -> Column:
+    return F.col("role").isin(*ARTIST_ROLES) | F.coalesce(F.col("rescue_source") == "provider_artist_image", F.lit(False))
+
+
+def with_owners(candidates: DataFrame, events: DataFrame, venues: DataFrame) -> DataFrame:
+    """Image candidates with their reasons, and how their event and venue use them.
+
+    events (event_id) and venues (venue_id) each have selected_image_id, image_status,
+    image_clearance, selected_url. Adds reasons, selected, selected_pending, selected_cleared,
+    owner_without_image, event_without_artist_image, selected_by_event. Whether an event has an
+    artist's image is one aggregate per event, joined back on the same key.
+    """
+    rows = candidates.withColumn("reasons", blocking_reasons())
+    artists = rows.where("event_id is not null").groupBy("event_id").agg(F.bool_or(_artist()).alias("has_artist_image"))
+    owned = lambda owners, key, p: owners.select(key, F.lit(True).alias(f"{p}_known"), *[F.col(c).alias(f"{p}_{c}") for c in ("selected_image_id", "image_status", "image_clearance", "selected_url")])
+    rows = rows.join(artists, "event_id", "left").join(owned(events, "event_id", "event"), "event_id", "left").join(owned(venues, "venue_id", "venue"), "venue_id", "left")
+    chosen = {p: F.coalesce(F.col(f"{p}_selected_image_id") == F.col("image_id"), F.lit(False)) for p in ("event", "venue")}
+
+    def use(states: tuple[str, ...], clearances: tuple[str, ...]) -> Column:
+        made = [chosen[p] & F.coalesce(F.col(f"{p}_image_status").isin(*states) & F.col(f"{p}_image_clearance").isin(*clearances), F.lit(False)) for p in chosen]
+        return made[0] | made[1]
+
+    added = {
+        "selected": chosen["event"] | chosen["venue"],
+        "selected_by_event": chosen["event"],
+        "selected_pending": use(("selected_pending_approval", "venue_fallback"), ("needs_approval",)),
+        "selected_cleared": use(("accepted", "venue_fallback"), CLEARED),
+        "owner_without_image": F.when(F.col("event_known"), is_blank("event_selected_url")).when(F.col("venue_known"), is_blank("venue_selected_url")).otherwise(False),
+        "event_without_artist_image": F.coalesce(F.col("event_known") & ~F.col("has_artist_image"), F.lit(False)),
+    }
+    return rows.withColumns(added).select(*candidates.columns, "reasons", *added)
+
+
+def of_events(owned: DataFrame) -> DataFrame:
+    """One row per event of what its candidates (of with_owners) show: a flag per kind of candidate, and the traits of the selected one."""
+    said = lambda flag: F.array_contains("qa_flags", flag)
+    any_ = {
+        "hard_blocked": F.size("reasons") > 0,
+        "stock": F.col("is_stock"),
+        "text_heavy": F.col("has_text"),
+        "watermarked": F.col("has_watermark"),
+        "poster_flyer": F.col("is_poster"),
+        "by_rescue": F.col("selected_by_event") & F.col("selected_reason").contains("photo_rescue"),
+        "generic": (F.col("generic_score") >= 70) | said("generic_provider_image"),
+        "admat": (F.col("poster_score") >= 70) | (F.col("admat_score") >= 70) | said("poster_flyer_admat"),
+        "social_evidence": F.col("evidence_only") | (F.col("rescue_source") == "social_graphic_reference"),
+        "artist": _artist(),
+        "artist_accepted": (F.col("status") == "accepted") & (F.size(blocking_reasons(override=True)) == 0) & _artist(),
+        "manual_accepted": F.col("selected_by_event") & (F.col("status") == "accepted") & F.col("source_type").isin("manual", "upload", "partner_supplied"),
+        "selected_weak": F.col("selected_by_event") & (F.col("is_stock") | F.col("is_poster") | (F.col("generic_score") >= 70) | (F.col("rescue_source") == "social_graphic_reference") | F.col("evidence_only")),
+    }
+    return owned.groupBy("event_id").agg(
+        *[F.bool_or(F.coalesce(c, F.lit(False))).alias(n) for n, c in any_.items()],
+        F.bool_and(F.coalesce(F.col("evidence_only"), F.lit(False)) | (F.size("reasons") > 0)).alias("only_evidence"),
+        F.max(F.when(F.col("selected_by_event"), F.array_join(F.slice("reasons", 1, 3), ","))).alias("selected_reasons"),
+    )
+
+
+def quality_counts(events: DataFrame, found: DataFrame, venues: DataFrame) -> DataFrame:
+    """One row of counts of events by their image and by what their candidates show (found, of of_events), and of venues that wait for approval."""
+    rows = events.join(found, "event_id", "left")
+    state, cleared, has = F.col("image_status"), F.col("image_clearance"), ~is_blank("selected_url")
+    waits = cleared == "needs_approval"
+    fallback = state == "venue_fallback"
+    conditions = {
+        "events_with_selected_image": has,
+        "events_with_selected_image_pending_approval": has & waits,
+        "events_with_selected_cleared_image": has & cleared.isin(*CLEARED),
+        "events_missing_usable_image": ~has,
+        "events_using_venue_fallback": fallback,
+        "events_using_provider_image_pending_approval": has & waits & (F.col("image_role") == "event_provider"),
+        "events_with_hard_blocked_image_candidates": F.col("hard_blocked"),
+        "events_with_provider_stock_candidate": F.col("stock"),
+        "events_needing_image_approval": F.coalesce(waits, F.lit(False)) | F.coalesce(state == "selected_pending_approval", F.lit(False)),
+        "events_with_text_heavy_image_candidates": F.col("text_heavy"),
+        "events_with_watermark_candidates": F.col("watermarked"),
+        "events_with_poster_flyer_candidates": F.col("poster_flyer"),
+        "events_with_accepted_artist_images": state.isin("accepted", "selected_pending_approval") & F.col("image_role").isin(*ARTIST_ROLES),
+        "events_with_accepted_venue_fallback_images": fallback,
+        "events_selected_by_photo_rescue": F.col("by_rescue"),
+        "events_with_generic_provider_image_blocked": F.col("generic"),
+        "events_with_poster_flyer_admat_blocked": F.col("admat"),
+        "events_with_social_graphic_evidence": F.col("social_evidence"),
+        "events_with_artist_image_candidates": F.col("artist"),
+    }
+    waiting = conditional_counts(venues, [], {"venues_needing_image_approval": F.col("image_clearance") == "needs_approval"})
+    return beside(conditional_counts(rows, [], conditions), waiting)
+
+
+# States of an event that keep its ticket page from being fetched, classes of links that may be.
+DEAD = ("rejected", "expired", "stale", "cancelled")
+FETCHED = ("direct", "platform_event", "redirect_or_handoff")
+
+
+def page_fallback(events: DataFrame, found: DataFrame) -> DataFrame:
+    """(event_id, fetch, reason): whether an event's ticket page should be read for an image, and why.
+
+    events has publish_status, event_status, tickets_link, selected_url, image_status; optional:
+    lifecycle, recommended_ticket_link. found is of of_events; an event without candidates has none of its flags.
+    """
+    rows = events.join(found, "event_id", "left")
+    has = lambda c: c in events.columns
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    states = [F.lower(F.coalesce(c, F.lit(""))).isin(*DEAD) for c in ("publish_status", "event_status", "lifecycle") if has(c)]
+    dead = states[0]
+    for state in states[1:]:
+        dead = dead | state
+    link = F.coalesce(F.nullif(F.trim("recommended_ticket_link"), F.lit("")), F.col("tickets_link")) if has("recommended_ticket_link") else F.col("tickets_link")
+    rows = rows.withColumns({"link": link, "assessed": assess(link)})
+    rungs = [
+        (dead, False, F.lit("event_rejected_expired_or_stale")),
+        (yes("manual_accepted"), False, F.lit("manual_accepted_image_exists")),
+        (yes("artist_accepted"), False, F.lit("accepted_artist_image_exists")),
+        (is_blank("link"), False, F.lit("missing_ticket_url")),
+        (~F.col("assessed.usable") | ~F.col("assessed.category").isin(*FETCHED), False, F.concat(F.lit("ticket_link_not_usable:"), F.col("assessed.category"))),
+        (F.size(url_flags(F.col("link"))) > 0, False, F.lit("ticket_url_safety_blocked")),
+        (is_blank("selected_url"), True, F.lit("missing_selected_image")),
+        (F.col("image_status").isin("missing", "needs_review"), True, F.concat(F.lit("selected_image_status:"), F.col("image_status"))),
+        (F.coalesce(F.col("selected_reasons"), F.lit("")) != "", True, F.concat(F.lit("selected_image_blocked:"), F.col("selected_reasons"))),
+        (yes("selected_weak"), True, F.lit("selected_provider_image_weak")),
+        (yes("only_evidence"), True, F.lit("only_evidence_or_blocked_images")),
+    ]
+    fetch, reason = F.lit(False), F.lit("usable_image_exists")
+    for condition, wanted, name in reversed(rungs):
+        fetch, reason = F.when(condition, F.lit(wanted)).otherwise(fetch), F.when(condition, name).otherwise(reason)
+    return rows.select("event_id", fetch.alias("fetch"), reason.alias("reason"))

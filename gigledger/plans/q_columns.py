@@ -95,17 +95,9 @@ register("b22_neutral_cells", lambda v: v("conversations").select("conv_id", "tu
          "select conv_id, turn, md5(case when regexp_matches(c, '^[=+@]') then '''' || c else c end) as cell from (select *, trim(case when turn % 2 = 0 then ' =' else '' end || role) as c from {conversations})")
 register("b26_body_hash", lambda v: v("pages").select("page_id", F.sha2("html", 256).alias("content_hash")), "select page_id, sha256(html) as content_hash from {pages}")
 
-register("c01_event_feed", lambda v: filters.event_feed(v("v_event"), start="1997-01-01", end="2001-06-01").select("event_id", "venue_id", "publish_status"),
-         "select event_id, venue_id, publish_status from {v_event} where publish_status in ('approved', 'published') and not regexp_matches(lower(event_status), 'cancell?ed') and duplicate_status not in ('duplicate_candidate', 'merged', 'rejected_duplicate') and start_ts >= timestamp '1997-01-01' and start_ts < timestamp '2001-06-01'")
-register("c02_poi_feed", lambda v: filters.poi_feed(v("v_poi")).select("poi_id", "category"), "select poi_id, category from {v_poi} where publish_status in ('approved', 'published') and lower(category) <> 'concert'")
-register("c03_review_board", lambda v: filters.review_board(v("v_event"), text="jazz", tab="pending", location="hall 1").select("event_id", "title"),
-         "select event_id, title from {v_event} where publish_status = 'needs_review' and contains(lower(concat_ws(' ', title, headliner, genre, location_text, source_type, provider)), 'jazz') and contains(lower(location_text), 'hall 1')")
-register("c04_hide_blocked", lambda v: filters.review_board(v("v_event")).groupBy("publish_status").agg(F.count(F.lit(1)).alias("n")), "select publish_status, count(*) as n from {v_event} where image_clearance <> 'blocked' group by 1")
+register("c04_hide_blocked", lambda v: filters.hide_blocked(v("v_event")).groupBy("publish_status").agg(F.count(F.lit(1)).alias("n")), "select publish_status, count(*) as n from {v_event} where image_clearance <> 'blocked' group by 1")
 register("c06_preview_radius", lambda v: filters.within(v("v_venue"), 12.0, 16.0, 150.0).select("venue_id", F.round("distance", 6).alias("distance")),
          f"select venue_id, round(d, 6) as distance from (select venue_id, {sql_haversine('12.0', '16.0', 'lat', 'lng', geo.MILES)} as d from {{v_venue}} where lat is not null and lng is not null) where d <= 150")
-register("c08_poi_buckets", lambda v: filters.poi_buckets(v("v_poi")).select("poi_id", "missing_geo", "missing_name", "missing_image", "missing_contact", "possible_duplicate", "concert_category"),
-         "select poi_id, lat is null or lng is null as missing_geo, trim(name) = '' as missing_name, coalesce(trim(image_url), '') = '' as missing_image, website is null and phone is null as missing_contact, contains(lower(coalesce(quality_control, '')), 'duplicate') as possible_duplicate, lower(category) = 'concert' as concert_category from {v_poi}")
-register("c09_image_filter", lambda v: filters.images(v("v_image"), status="accepted", role="event", min_width=800, blocked=False).select("image_id", "width"), "select image_id, width from {v_image} where status = 'accepted' and role = 'event' and width >= 800 and clearance <> 'blocked'")
 register("c13_crawl_gate", lambda v: v("v_event").select("event_id", filters.crawl_gate(F.when(F.col("event_id") % 5 == 0, "paused").when(F.col("event_id") % 7 == 0, "blocked").otherwise("approved"), F.when(F.col("event_id") % 3 == 0, "pending").when(F.col("event_id") % 11 == 0, "quarantined").otherwise("approved")).alias("reason")),
          "select event_id, case when event_id % 5 > 0 and event_id % 7 = 0 then 'blocked' when event_id % 3 > 0 and event_id % 11 = 0 then 'quarantined' when event_id % 5 = 0 then 'status=paused' when event_id % 3 = 0 then 'review_status=pending' end as reason from {v_event}")
 register("c14_url_safety", lambda v: v("pages").select("page_id", F.array_join(text.url_flags(F.when(F.col("page_id") % 5 == 0, F.lit("ftp://10.0.0.1/x")).when(F.col("page_id") % 5 == 1, F.lit("http://172.20.1.1:80/")).otherwise(F.col("url"))), ",").alias("flags")),

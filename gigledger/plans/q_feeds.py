@@ -38,20 +38,6 @@ register("c07_record_filter", lambda v: filters.api_records(records(v), _NOW(),
          f"select claim_id from {{r}} where provider_key = 'feed_a' and review_status = 'held' and duplicate_status = 'possible' and repair = 'api_backfill_required' and category = 'blank' and tax < 0.02 and no_upstream and expires <= {AS_OF} + interval 24 hours and quantity >= 5 union all select claim_id from {{r}} where quantity > 40 and repair like 'reject%' and tax < 0.02 and category = 'non_ticket'", r=RECORDS)
 
 
-def review_rows(v):
-    """Events, vendor records and extracted candidates as rows of one board."""
-    events = with_venue(v).select(F.lit("normalized_event").alias("record_type"), F.col("event_id").alias("id"), F.trim("title").alias("title"), "venue_name", "start_ts", "genre", "provider", "source_type", "duplicate_status", F.col("publish_status").alias("status"), F.col("venue_lat").alias("lat"), F.col("venue_lng").alias("lng"), (F.col("publish_status") == "needs_review").alias("needs_review"), F.col("publish_status").isin("approved", "published").alias("app_feed_ready"))
-    others = v("v_claim").where("source_type <> 'file_upload'").select(F.when(F.col("source_type") == "api", "api_feed_record").otherwise("extracted_candidate").alias("record_type"), F.col("claim_id").alias("id"), F.col("record_id").alias("title"), F.col("seen_at").alias("start_ts"), "provider", "source_type", (F.col("match_confidence") < 0.05).alias("needs_review"), F.lit(False).alias("app_feed_ready"))
-    routes = v("v_poi").where("category = 'Concert'").select(F.lit("itinerary").alias("record_type"), F.col("poi_id").alias("id"), F.trim("name").alias("title"), F.col("publish_status").alias("status"), "lat", "lng", (F.col("publish_status") == "draft").alias("needs_review"), F.lit(False).alias("app_feed_ready"))
-    return events.unionByName(others, allowMissingColumns=True).unionByName(routes, allowMissingColumns=True)
-
-
-REVIEW = """select 'normalized_event' as record_type, event_id as id, trim(title) as title, start_ts, genre, provider, source_type, publish_status as status, publish_status = 'needs_review' as needs_review, publish_status in ('approved', 'published') as app_feed_ready from {v_event}
-union all select case when source_type = 'api' then 'api_feed_record' else 'extracted_candidate' end, claim_id, record_id, seen_at, null, provider, source_type, null, match_confidence < 0.05, false from {v_claim} where source_type <> 'file_upload'
-union all select 'itinerary', poi_id, trim(name), null, null, null, null, publish_status, publish_status = 'draft', false from {v_poi} where category = 'Concert'"""
-register("h01_review_union", lambda v: review_rows(v).select("record_type", "id", "title", F.col("start_ts").cast("string").alias("start_ts"), "genre", "provider", "source_type", "status", "needs_review", "app_feed_ready"), "select record_type, id, title, start_ts::varchar as start_ts, genre, provider, source_type, status, needs_review, app_feed_ready from {r}", r=REVIEW)
-register("f14_review_tabs", lambda v: rollups.metric_rows(rollups.review_tabs(review_rows(v)), []),
-         """select * from (unpivot (select count(*)::double as "all", count_if(record_type = 'normalized_event')::double as normalized, count_if(record_type = 'api_feed_record')::double as api, count_if(record_type = 'extracted_candidate')::double as extracted, count_if(needs_review)::double as needs_review, count_if(app_feed_ready)::double as ready_for_app from {r}) on columns(*) into name metric value value)""", r=REVIEW)
 _EVENT_ISSUES = ("missing_image_count", "pending_image_approval_count", "bad_ticket_count", "duplicate_event_candidate_count")
 
 
@@ -78,5 +64,5 @@ left join (select r.region_id, count(*) as poi_count, count_if(publish_status in
 left join (select source_id % 25 as region_id, count(*) as source_count, count_if(bad)::bigint as extraction_failure_count from (select source_id, bool_or(status in ('failed', 'unsupported')) as bad from {{v_crawl}} group by 1) group by 1) s on s.region_id = g.region_id)""")
 register("f21_feed_summary", lambda v: rollups.metric_rows(rollups.beside(filters.event_feed(v("v_event")).agg(F.count(F.lit(1)).alias("event_feed_record_count"), F.count_if(text.is_blank("image_url")).alias("events_needing_images"), F.count_if(F.col("image_status") == "selected_pending_approval").alias("events_pending_image_approval"), F.countDistinct(F.when(F.col("start_ts") >= _NOW(), F.col("venue_id"))).alias("venues_with_upcoming_events")), filters.poi_feed(v("v_poi")).agg(F.count(F.lit(1)).alias("publishable_pois")), v("v_event").agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("duplicate_status").isin(*filters.DUPLICATE_EXCLUDED)).alias("duplicate_candidates_excluded"), F.count_if(F.lower("event_status").rlike("cancell?ed")).alias("cancelled_events_excluded")), v("v_poi").agg(F.count(F.lit(1)).alias("pois"))).select("event_feed_record_count", "events_needing_images", "events_pending_image_approval", "venues_with_upcoming_events", "publishable_pois", "duplicate_candidates_excluded", "cancelled_events_excluded", (F.col("events") + F.col("pois") - F.col("event_feed_record_count") - F.col("publishable_pois")).alias("records_blocked_from_publishing"), (F.col("pois") - F.col("publishable_pois")).alias("pois_blocked_from_app_feed")), []),
          f"""select * from (unpivot (select n::double as event_feed_record_count, i::double as events_needing_images, a::double as events_pending_image_approval, w::double as venues_with_upcoming_events, p::double as publishable_pois, d::double as duplicate_candidates_excluded, c::double as cancelled_events_excluded, (en + pn - n - p)::double as records_blocked_from_publishing, (pn - p)::double as pois_blocked_from_app_feed
-from (select count(*) as n, count_if({BLANK.format('image_url')}) as i, count_if(image_status = 'selected_pending_approval') as a, count(distinct case when start_ts >= {AS_OF} then venue_id end) as w from {{v_event}} where publish_status in ('approved', 'published') and not regexp_matches(lower(event_status), 'cancell?ed') and duplicate_status not in ('duplicate_candidate', 'merged', 'rejected_duplicate')),
- (select count_if(publish_status in ('approved', 'published') and lower(category) <> 'concert') as p, count(*) as pn from {{v_poi}}), (select count(*) as en, count_if(duplicate_status in ('duplicate_candidate', 'merged', 'rejected_duplicate')) as d, count_if(regexp_matches(lower(event_status), 'cancell?ed')) as c from {{v_event}})) on columns(*) into name metric value value)""")
+from (select count(*) as n, count_if({BLANK.format('image_url')}) as i, count_if(image_status = 'selected_pending_approval') as a, count(distinct case when start_ts >= {AS_OF} then venue_id end) as w from {{v_event}} where publish_status in ('approved', 'published') and not regexp_matches(lower(event_status), 'cancell?ed') and duplicate_status not in ('duplicate_candidate', 'merged', 'rejected')),
+ (select count_if(publish_status in ('approved', 'published') and lower(category) <> 'concert') as p, count(*) as pn from {{v_poi}}), (select count(*) as en, count_if(duplicate_status in ('duplicate_candidate', 'merged', 'rejected')) as d, count_if(regexp_matches(lower(event_status), 'cancell?ed')) as c from {{v_event}})) on columns(*) into name metric value value)""")

@@ -41,7 +41,7 @@ _RUNG_ROWS = ", ".join(f"({i}, '{c}', '{s}', {n})" for i, (_, c, s, n) in enumer
 register("b20_category_suggestion", lambda v: v("v_poi").select("poi_id", places.suggest_category(F.concat(F.coalesce("name", F.lit("")), F.lit(" "), F.element_at(F.array(*[F.lit(w) for w in PLACE_WORDS]), (F.col("poi_id") % len(PLACE_WORDS) + 1).cast("int")))).alias("s")).select("poi_id", "s.category", "s.subcategory", "s.confidence"),
          f"select poi_id, category, subcategory, confidence::double as confidence from (select poi_id, case when trim(t) = '' then -2 {_RUNGS} else -1 end as r from (select poi_id, lower({_PLACE}) as t from {{v_poi}})) join (values {_RUNG_ROWS}) l(r, category, subcategory, confidence) using (r)")
 register("b23_event_projection", lambda v: filters.event_feed(v("v_event")).select("event_id", F.to_json(F.struct(F.col("event_id").alias("id"), F.struct(F.col("venue_id").alias("id")).alias("venue"))).alias("payload")),
-         """select event_id, '{"id":' || event_id::varchar || ',"venue":{"id":' || venue_id::varchar || '}}' as payload from {v_event} where publish_status in ('approved', 'published') and not regexp_matches(lower(event_status), 'cancell?ed') and duplicate_status not in ('duplicate_candidate', 'merged', 'rejected_duplicate')""")
+         """select event_id, '{"id":' || event_id::varchar || ',"venue":{"id":' || venue_id::varchar || '}}' as payload from {v_event} where publish_status in ('approved', 'published') and not regexp_matches(lower(event_status), 'cancell?ed') and duplicate_status not in ('duplicate_candidate', 'merged', 'rejected')""")
 register("b27_staged_candidates", lambda v: v("v_event").select("event_id", text.clean("title").alias("event_name"), F.array_join(text.flags((text.is_blank("title"), "missing_title"), (F.col("start_ts").isNull(), "missing_start"), (text.is_blank("location_text"), "missing_venue")), ",").alias("errors")).withColumn("review", F.when(F.col("errors") == "", "pending_review").otherwise("needs_fix")),
          "select event_id, nullif(trim(title), '') as event_name, e as errors, case when e = '' then 'pending_review' else 'needs_fix' end as review from (select *, " + sql_flags(("trim(title) = ''", "missing_title"), ("start_ts is null", "missing_start")) + " as e from {v_event})")
 register("c10_quality_bucket_filter", lambda v: scores.event_readiness(with_venue(v)).where(F.array_contains("blockers", "missing_venue_location") & F.lower("title").contains("urgent")).select("event_id"),
@@ -107,8 +107,6 @@ register("f29_route_feed", lambda v: windows.renumber(v("v_poi").where("lat is n
          "select poi_id % 40 as route, row_number() over (partition by poi_id % 40 order by poi_id) as stop, poi_id, city, lead(poi_id) over (partition by poi_id % 40 order by poi_id) as to_stop from {v_poi} where lat is not null and publish_status in ('approved', 'published')")
 register("i07_record_completeness", lambda v: v("v_claim").select("claim_id", sum((F.when(F.col(c).isNotNull(), 1).otherwise(0) for c in ("provider_event_id", "record_id", "provider", "seen_at")), F.lit(0)).alias("n"), "provider_event_id").select("claim_id", F.round(F.col("n") / 4, 4).alias("completeness"), F.when(F.col("n") == 4, "normalized").when(F.col("provider_event_id").isNotNull(), "partial").otherwise("failed").alias("status")),
          "select claim_id, round(n / 4, 4) as completeness, case when n = 4 then 'normalized' when provider_event_id is not null then 'partial' else 'failed' end as status from (select *, 2 + (provider_event_id is not null)::int + (record_id is not null)::int as n from {v_claim})")
-register("i12_page_fallback", lambda v: with_venue(v).select("event_id", F.when(F.col("image_status") == "accepted", "has_image").when(text.is_blank("tickets_link"), "no_ticket_page").when(~tickets.assess(F.col("tickets_link")).getField("usable"), "ticket_page_not_usable").when(F.col("image_clearance") == "blocked", "blocked").otherwise("fetch").alias("decision")),
-         "select event_id, case when image_status = 'accepted' then 'has_image' when coalesce(trim(tickets_link), '') = '' then 'no_ticket_page' when tickets_link like '%facebook%' then 'ticket_page_not_usable' when image_clearance = 'blocked' then 'blocked' else 'fetch' end as decision from {v_event}")
 register("i19_source_rows", lambda v: v("v_attempt").select("attempt_id", F.when(F.col("attempt_id") % 4 > 0, "Org").alias("organization"), F.when(F.col("attempt_id") % 3 > 0, F.concat(F.lit("https://"), "domain")).otherwise(" ").alias("url"), F.when(F.col("attempt_id") % 5 > 0, F.col("email")).alias("email"), F.when(F.col("attempt_id") % 2 > 0, "Yes").otherwise("no").alias("confirmed"), F.when(F.col("attempt_id") % 7 == 0, "Sports").alias("category")).select("attempt_id", F.array_join(sheets.source_sheet_errors(category="category"), ",").alias("errors")),
          "select attempt_id, " + sql_flags(("attempt_id % 4 = 0", "organization_name_missing"), ("attempt_id % 3 = 0", "calendar_url_missing"), ("attempt_id % 5 = 0", "contact_email_missing"), ("attempt_id % 2 = 0", "authorization_missing"), ("attempt_id % 7 = 0", "expected_category_not_concert"), sort=True) + " as errors from {v_attempt}")
 register("i21_preflight", lambda v: v("v_crawl").select("crawl_id", F.when(F.col("error").contains("timeout"), "timeout").when(F.col("status") == "failed", "unreachable").when(F.col("status") == "unsupported", "wrong_type").otherwise("ok").alias("preflight")), "select crawl_id, case when contains(error, 'timeout') then 'timeout' when status = 'failed' then 'unreachable' when status = 'unsupported' then 'wrong_type' else 'ok' end as preflight from {v_crawl}")

@@ -31,8 +31,6 @@ register("f13_facets", lambda v: v("v_poi").rollup("category", "subcategory").ag
          "select category, subcategory, grouping(category, subcategory)::bigint as level, count(*) as n, count_if(certified)::bigint as certified from {v_poi} group by rollup(category, subcategory)")
 register("f13_date_ranges", lambda v: rollups.metric_rows(rollups.conditional_counts(v("v_event"), [], {f"next_{d}": (F.col("start_ts") >= _NOW()) & (F.col("start_ts") < _NOW() + F.expr(f"interval {d} days")) for d in (7, 30, 90)}), []),
          "".join(("" if d == 7 else " union all ") + f"select 'next_{d}' as metric, count_if(start_ts >= {AS_OF} and start_ts < {AS_OF} + interval {d} days)::double as value from {{v_event}}" for d in (7, 30, 90)))
-register("f16_poi_bucket_counts", lambda v: rollups.metric_rows(filters.poi_buckets(v("v_poi")).agg(*[F.count_if(c).alias(c) for c in ("missing_geo", "missing_name", "missing_image", "missing_contact")]), []),
-         "unpivot (select count_if(lat is null or lng is null)::double as missing_geo, count_if(trim(name) = '')::double as missing_name, count_if(coalesce(trim(image_url), '') = '')::double as missing_image, count_if(website is null and phone is null)::double as missing_contact from {v_poi}) on columns(*) into name metric value value".replace("unpivot (", "select * from (unpivot (").replace("value value", "value value)"))
 register("f19_completeness", lambda v: rollups.metric_rows(v("v_poi").groupBy("category").agg(*[F.count_if(F.coalesce(F.trim(c), F.lit("")) == "").alias(c) for c in ("name", "address", "phone", "website")]), ["category"]).select("category", "metric", "value"),
          " union all ".join(f"select category, '{c}' as metric, count_if(coalesce(trim({c}), '') = '')::double as value from {{v_poi}} group by 1" for c in ("name", "address", "phone", "website")))
 register("f22_top_and_weak_sources", lambda v: (lambda t: windows.top(t.select(F.lit("top").alias("kind"), "*"), ["kind"], [F.col("n").desc(), F.col("source_id")], 5).unionByName(windows.top(t.select(F.lit("weak").alias("kind"), "*"), ["kind"], [F.col("n"), F.col("source_id")], 5)))(v("v_claim").groupBy("source_id").agg(F.countDistinct("event_id").alias("n"))),
@@ -43,7 +41,7 @@ register("f24_status_counts", lambda v: rollups.zero_filled(v("v_crawl").groupBy
 register("f26_batch_risk", lambda v: v("v_attempt").groupBy((F.col("attempt_id") / 100).cast("long").alias("batch")).agg(F.sum(F.when(F.col("value") > 50, 10).otherwise(1)).alias("s"), F.avg(F.col("was_invalid").cast("int")).alias("bad")).select("batch", (F.col("s") + F.when(F.col("bad") >= 0.2, 35).otherwise(0)).alias("score"), F.round("bad", 4).alias("invalid_share")),
          "select attempt_id // 100 as batch, (sum(case when value > 50 then 10 else 1 end) + case when avg(was_invalid::int) >= 0.2 then 35 else 0 end)::bigint as score, round(avg(was_invalid::int), 4) as invalid_share from {v_attempt} group by 1")
 register("f28_venue_feed", lambda v: windows.renumber(filters.event_feed(v("v_event")).where("start_ts is not null"), ["venue_id"], [F.col("start_ts"), F.col("event_id")], "position").select("venue_id", "position", "event_id"),
-         "select venue_id, row_number() over (partition by venue_id order by start_ts, event_id) as position, event_id from {v_event} where publish_status in ('approved', 'published') and not regexp_matches(lower(event_status), 'cancell?ed') and duplicate_status not in ('duplicate_candidate', 'merged', 'rejected_duplicate') and start_ts is not null")
+         "select venue_id, row_number() over (partition by venue_id order by start_ts, event_id) as position, event_id from {v_event} where publish_status in ('approved', 'published') and not regexp_matches(lower(event_status), 'cancell?ed') and duplicate_status not in ('duplicate_candidate', 'merged', 'rejected') and start_ts is not null")
 
 register("g01_latest_crawl", lambda v: windows.latest(v("v_crawl"), ["source_id"], [F.col("fetched_at").desc(), F.col("crawl_id").desc()]).select("source_id", "crawl_id", "status"),
          "select source_id, crawl_id, status from (select *, row_number() over (partition by source_id order by fetched_at desc, crawl_id desc) as n from {v_crawl}) where n = 1")

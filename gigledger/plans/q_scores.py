@@ -31,7 +31,7 @@ BLOCKERS = (
     ("coalesce(trim(venue_address), '') = '' and (venue_lat is null or venue_lng is null)", "missing_venue_location"),
     (BLANK.format("tickets_link"), "missing_ticket_link"),
     ("image_clearance = 'blocked' or image_status = 'rejected'", "image_hard_blocked"),
-    ("duplicate_status in ('duplicate_candidate', 'merged', 'rejected_duplicate')", "duplicate_excluded"),
+    ("duplicate_status in ('duplicate_candidate', 'merged', 'rejected')", "duplicate_excluded"),
     (DEAD, "not_active"),
 )
 HINTS = (
@@ -118,8 +118,6 @@ register("i10_image_selection", lambda v: images.select_images(v("v_event").sele
          "select e.event_id, case when p.tier < 3 then image_id end as image_id, case when p.event_id is null then 'missing' when p.tier = 3 then 'needs_review' when p.tier = 2 then 'venue_fallback' when clearance = 'approved' then 'accepted' else 'selected_pending_approval' end as selection from {v_event} e left join (select *, case when status = 'accepted' and not blocked then 0 when not blocked and role in ('headliner', 'event') then 1 when not blocked and role in ('venue_live', 'venue_exterior') then 2 else 3 end as tier from {pick}) p using (event_id)", img=IMG, pick=_PICK)
 register("g02_best_image", lambda v: scores.image_score(v("v_image")).withColumn("n", F.row_number().over(Window.partitionBy("event_id").orderBy((F.col("status") != "accepted").cast("int"), "priority", F.col("image_score").desc(), "image_id"))).where("n = 1").select("event_id", "image_id"),
          "select event_id, image_id from (select *, row_number() over (partition by event_id order by (status <> 'accepted')::int, priority, image_score desc, image_id) as n from {img}) where n = 1", img=IMG)
-register("f17_image_qa_counts", lambda v: scores.image_score(v("v_image")).groupBy("event_id").agg(F.bool_or(F.col("status") == "accepted").alias("a"), F.bool_or("blocked").alias("b"), F.bool_or("generic").alias("g"), F.max("image_score").alias("s")).agg(F.count_if("a").alias("with_accepted"), F.count_if("b").alias("with_blocked"), F.count_if("g").alias("with_generic"), F.count_if(F.col("s") >= 80).alias("with_good")),
-         "select count_if(a)::bigint as with_accepted, count_if(b)::bigint as with_blocked, count_if(g)::bigint as with_generic, count_if(s >= 80)::bigint as with_good from (select event_id, bool_or(status = 'accepted') as a, bool_or(blocked) as b, bool_or(generic) as g, max(image_score) as s from {img} group by 1)", img=IMG)
 
 SRC = "select c.source_id, e.*, coalesce(i.generic, 0) as generic from (select distinct source_id, event_id from {v_claim}) c join {ev} e on e.event_id = c.event_id left join (select event_id, count_if(url like '%logo%')::bigint as generic from {v_image} group by 1) i on i.event_id = e.event_id"
 COUNTS = f"""count(*) as event_count, count_if({BLANK.format('tickets_link')})::bigint as missing_ticket_count, count_if({BAD_TICKET})::bigint as bad_ticket_count, count_if({BLANK.format('image_url')})::bigint as missing_image_count,

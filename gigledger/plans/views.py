@@ -93,6 +93,27 @@ select l_orderkey * 10 + l_linenumber as image_id, l_orderkey as event_id, l_sup
        case when l_tax < 0.02 then 'approved' when l_tax < 0.06 then 'needs_review' else 'blocked' end as clearance,
        cast(l_quantity * 40 as int) as width, cast(300 + l_linenumber * 100 as int) as height, l_suppkey % 5 * 10 as priority, l_extendedprice as amount
 from {lineitem}""",
+    "v_picture": """
+select image_id, event_id, venue_id, url, case role when 'headliner' then 'artist_live' when 'event' then 'event_provider' when 'promo' then 'artist_press' when 'other' then 'logo' else role end as role, status,
+       case clearance when 'needs_review' then 'needs_approval' when 'blocked' then 'rejected' else clearance end as clearance, case when event_id % 29 = 0 then null else width end as width, height,
+       case event_id % 4 when 0 then 'api' when 1 then 'manual' when 2 then 'upload' else 'crawl' end as source_type, case event_id % 2 when 0 then 'feed_a' else 'feed_b' end as source_provider,
+       case event_id % 5 when 0 then 'provider_artist_image' when 1 then 'social_graphic_reference' end as rescue_source,
+       case event_id % 6 when 0 then 'photo_rescue:artist' when 1 then 'by hand' end as selected_reason,
+       case event_id % 9 when 0 then 'low resolution image,generic_provider_image' when 1 then 'poster_flyer_admat' else '' end as qa_text,
+       event_id % 31 > 0 as is_accessible, event_id % 37 > 0 as is_direct, event_id % 41 = 0 as is_social, event_id % 7 = 0 as evidence_only, event_id % 7 > 0 and image_id % 43 > 0 as can_be_final,
+       cast(event_id % 89 as double) as generic_score, cast(event_id % 97 as double) as text_score, cast(event_id % 83 as double) as poster_score, cast(event_id % 79 as double) as admat_score,
+       image_id % 13 = 0 as is_stock, image_id % 17 = 0 as has_text, image_id % 19 = 0 as has_watermark, image_id % 23 = 0 as is_poster, event_id % 59 = 0 as has_logo,
+       event_id % 61 = 0 as is_food, event_id % 67 = 0 as is_unrelated_place, event_id % 3 = 0 as is_generic_crowd, event_id % 2 = 0 as shows_artist, event_id % 5 = 0 as shows_live, cast(null as boolean) as shows_venue
+from {v_image}""",
+    "v_picture_event": """
+select e.event_id, e.tickets_link, e.publish_status, case when e.event_id % 31 = 0 then 'Cancelled' else e.event_status end as event_status, s.selected_image_id,
+       case e.image_status when 'rejected' then 'venue_fallback' else e.image_status end as image_status, case e.image_clearance when 'needs_review' then 'needs_approval' else e.image_clearance end as image_clearance,
+       case e.event_id % 4 when 1 then 'event_provider' when 2 then 'artist_live' else 'venue_live' end as image_role, case when s.selected_image_id is not null then e.image_url end as selected_url
+from {v_event} e left join (select event_id, min(image_id) as selected_image_id from {v_image} where status <> 'rejected' group by event_id) s on s.event_id = e.event_id""",
+    "v_picture_venue": """
+select w.venue_id, s.selected_image_id, case w.venue_id % 3 when 0 then 'venue_fallback' when 1 then 'accepted' else 'selected_pending_approval' end as image_status,
+       case w.venue_id % 4 when 0 then 'needs_approval' when 1 then 'licensed' else 'approved' end as image_clearance, case when w.venue_id % 5 > 0 then w.name end as selected_url
+from {v_venue} w left join (select venue_id, max(image_id) as selected_image_id from {v_image} group by venue_id) s on s.venue_id = w.venue_id""",
     "v_attempt": """
 select event_id as attempt_id, ts as created_at, user_id, 'u' || cast(user_id as varchar(9)) || '@Mail' || cast(user_id % 9 as varchar(9)) || '.example.com' as email,
        'site' || cast(event_id % 23 as varchar(9)) || '.example.com' as domain, 'ip' || cast(user_id % 40 as varchar(9)) as ip_hash,
