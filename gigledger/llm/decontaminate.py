@@ -10,6 +10,7 @@ with placeholders filled consistently, it repeats the item even with other numbe
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +38,11 @@ _HAS_DIGIT = re.compile(r"\d")
 
 def template_word(raw: str) -> tuple[str, str]:
     """The word's two forms: with names typed, and without; both empty for punctuation alone."""
-    word = _EDGE.sub("", raw)
+    word = raw if raw.isalnum() else _EDGE.sub("", raw)
     if not word:
         return "", ""
     low = word.lower()
-    if _HAS_DIGIT.search(word) or low in NUMBER_WORDS:
+    if low in NUMBER_WORDS or not word.isalpha() and _HAS_DIGIT.search(word):
         return NUMBER, NUMBER
     if low in UNITS:
         return UNIT, UNIT
@@ -50,18 +51,22 @@ def template_word(raw: str) -> tuple[str, str]:
     return low, low
 
 
+def _digest(form: str) -> int:
+    return xxhash.xxh64_intdigest(form.encode("utf-8", "surrogatepass")) | 1
+
+
 class _Known(dict):
-    """word -> its place in a table of the hashes of its two forms; each word is looked at once."""
+    """word -> its place among the hashes of its two forms (0 for punctuation alone); each word is looked at once."""
 
     def __init__(self):
-        self.table = np.zeros((2, 4096), np.uint64)
+        self.hashes = array("Q"), array("Q")
 
     def __missing__(self, word: str) -> int:
         at = self[word] = len(self)
-        if at == self.table.shape[1]:
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)], axis=1)
-        for i, form in enumerate(template_word(word)):
-            self.table[i, at] = xxhash.xxh64_intdigest(form.encode("utf-8", "surrogatepass")) | 1 if form else 0
+        typed, plain = template_word(word)
+        first = _digest(typed) if typed else 0
+        self.hashes[0].append(first)
+        self.hashes[1].append(first if plain == typed else _digest(plain))
         return at
 
 
@@ -77,7 +82,7 @@ class Templates:
         if len(self.known) >= REMEMBERED:
             self.known = _Known()
         places = np.fromiter(map(self.known.__getitem__, raw), np.int64, len(raw))
-        hashes = self.known.table[:, places]
+        hashes = np.array([np.frombuffer(h, np.uint64)[places] for h in self.known.hashes])
         at = np.nonzero(hashes[0])[0]
         return raw, at, hashes[:, at]
 
