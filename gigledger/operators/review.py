@@ -12,7 +12,8 @@ TEXTS = (
     "review_status", "image_status", "ticket_status", "duplicate_status", "app_feed_readiness",
 )
 LISTS = ("source_badges", "venue_badges", "quality_flags")
-OTHERS = ("id", "start_ts", "lat", "lng", "needs_review", "app_feed_ready")
+VALUES = {"id": "long", "start_ts": "timestamp", "lat": "double", "lng": "double"}
+MARKS = ("needs_review", "app_feed_ready")
 
 
 def review_rows(*kinds: DataFrame) -> DataFrame:
@@ -25,5 +26,6 @@ def review_rows(*kinds: DataFrame) -> DataFrame:
     has = lambda c: c in rows.columns
     made = [F.coalesce(F.trim(c), F.lit("")).alias(c) if has(c) else F.lit("").alias(c) for c in TEXTS]
     made += [F.coalesce(c, F.array().cast("array<string>")).alias(c) if has(c) else F.array().cast("array<string>").alias(c) for c in LISTS]
-    made += [F.coalesce(c, F.lit(False)).alias(c) if c in ("needs_review", "app_feed_ready") else F.col(c) for c in OTHERS]
+    made += [F.col(c) if has(c) else F.lit(None).cast(kind).alias(c) for c, kind in VALUES.items()]
+    made += [F.coalesce(c, F.lit(False)).alias(c) if has(c) else F.lit(False).alias(c) for c in MARKS]
     return rows.select(F.concat_ws(":", "record_type", F.col("id").cast("string")).alias("row_key"), *made)

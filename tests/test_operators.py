@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from gigledger.functions import geo, text
-from gigledger.operators import matching, tickets, upsert, windows
+from gigledger.operators import filters, images, matching, review, tickets, upsert, windows
 from gigledger.sources import bodies, sheets, sinks
 
 
@@ -145,3 +145,22 @@ def test_sheets_and_sinks(spark, tmp_path):
     told = sorted(tuple(r) for r in sinks.manifest(records).collect())
     written = sorted(tuple(r) for r in sinks.write_feed(records.repartition(3), str(tmp_path / "feed"), "x1").collect())
     assert told == written and [r[1] for r in told] == [3, 3]
+
+
+def test_board_and_image_filters(spark):
+    event = spark.createDataFrame([(1, " Hall ", None, 12.0, 16.0, ["Missing address"]), (2, None, "Oslo", None, None, None)], "id long, title string, city string, lat double, lng double, venue_badges array<string>")
+    rows = review.review_rows(event.withColumn("record_type", F.lit("normalized_event")))
+    assert [(r.row_key, r.title, r.city, r.venue_badges, r.needs_review) for r in rows.orderBy("id").collect()] == [("normalized_event:1", "Hall", "", ["Missing address"], False), ("normalized_event:2", "", "Oslo", [], False)]
+    ids = lambda **wishes: sorted(r.id for r in filters.review_board(rows, **wishes).collect())
+    assert ids() == ids(search=" ", city="", tab="all") == [1, 2]
+    assert ids(venue_status="missing_address") == ids(search="HALL") == ids(around=(12.0, 16.0, 1.0)) == [1]
+    assert ids(around=(12.0, 16.0, 1.0), city="osl") == ids(location="oslo") == [2]
+    assert ids(tab="api") == ids(date_from="2000-01-01") == []
+
+    names = "status clearance is_accessible is_direct is_social evidence_only can_be_final generic_score text_score poster_score admat_score role is_poster has_text has_watermark has_logo is_stock is_food is_unrelated_place is_generic_crowd shows_artist shows_live shows_venue width height".split()
+    kinds = {"status": "string", "clearance": "string", "role": "string", "width": "int", "height": "int", "generic_score": "double", "text_score": "double", "poster_score": "double", "admat_score": "double"}
+    unknown = spark.range(1).select(*[F.lit(None).cast(kinds.get(n, "boolean")).alias(n) for n in names])
+    assert unknown.select(images.blocking_reasons()).first()[0] == ["not direct image asset", "not eligible as final image"]
+    crowd = unknown.withColumns({"is_direct": F.lit(True), "can_be_final": F.lit(True), "is_generic_crowd": F.lit(True), "width": F.lit(2000), "height": F.lit(399)})
+    assert crowd.select(images.blocking_reasons()).first()[0] == ["generic crowd without music signal", "severe low resolution"]
+    assert crowd.select(images.blocking_reasons(override=True)).first()[0] == []
