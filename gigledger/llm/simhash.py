@@ -19,9 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .util import cut, encode_utf8, numbered, without_rows
+from .util import cut, encode_utf8, numbered, without_rows, written
 
 BLOCK = 1024  # fingerprints compared at once; larger groups are split into blocks
+BLOCK_HASHES = 2**23  # shingle hashes of a block
+BITS_MOST = 2**30  # bits of a block's shingle sets, beyond which they are intersected one by one
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> tuple[int, int]:
@@ -230,41 +232,44 @@ def _sketch(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")
 
 
-def nearest_links(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """The links of a minimum spanning forest of the pairs within the radius: closest first, none that closes a ring."""
+def star_links(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index links that join each fingerprint to the first of its component within fps, by steps within the radius."""
     i, j = near_pairs(fps, radius)
-    apart = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1, dtype=np.int64) if len(i) else np.zeros(0, np.int64)
-    label, kept = list(range(len(fps))), []
-
-    def root(x: int) -> int:
-        while label[x] != x:
-            label[x] = label[label[x]]
-            x = label[x]
-        return x
-
-    for e in np.lexsort((j, i, apart)).tolist():
-        a, b = root(int(i[e])), root(int(j[e]))
-        if a != b:
-            label[max(a, b)] = min(a, b)
-            kept.append(e)
-    return i[kept], j[kept]
-
-
-def similar_links(reps: DataFrame, similarity: float, recall: float) -> DataFrame:
-    """Candidate links (a, b) between the rows (low, f1, f2) whose fingerprints are as near as sets of the given similarity make them.
-
-    A bit of two such fingerprints agrees with probability p. Each band takes enough bits that
-    about BLOCK fingerprints share a key, and there are enough bands for the stated chance that
-    two sets at the threshold share one. Fingerprints of a key are compared bit-sliced. A key that
-    far more share (a group of near copies) is refined by further bits, so work stays in
-    proportion; every member of such a group meets others in each band. Each block gives the
-    links of a minimum spanning forest, never all pairs.
+    label = np.arange(len(fps))
+    while True:
+        before = label.copy()
+        low = np.minimum(label[i], label[j])
+        np.minimum.at(label, i, low)
+        np.minimum.at(label, j, low)
+        label = label[label]
+        if (label == before).all():
+            break
+    moved = np.flatnonzero(label != np.arange(len(fps)))
+    return moved, label[moved]
+
+
+def in_blocks(rows: DataFrame, keys: list[str], sizes: DataFrame, parts, salt: list[str]) -> DataFrame:
+    """rows in blocks (keys, i, j): where `parts` of a key is one, all of its rows; else its rows are dealt to so many sub-blocks and every two sub-blocks meet, with `side` telling them apart."""
+    own = F.pmod(F.xxhash64(*salt), F.col("parts"))
+    placed = rows.join(sizes.withColumn("parts", parts.cast("long")), keys).withColumn("own", own)
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))
+    return placed.withColumn("b", F.explode(pairs)).select(*rows.columns, "b.i", "b.j", (F.col("own") == F.col("b.j")).cast("int").alias("side"))
+
+
+def candidate_links(reps: DataFrame, similarity: float, recall: float) -> tuple[DataFrame, int]:
+    """(links, radius): links (a, b) that join rows (low, f1, f2) whose fingerprints can be reached by steps within the radius.
+
+    A bit of the fingerprints of two sets of the given similarity agrees with probability p; the
+    radius is 2.5 standard deviations above the mean distance. Each band takes enough bits that
+    about BLOCK fingerprints share a key, and there are enough bands for the stated chance that two
+    sets at the threshold share one. All fingerprints of a key are compared bit-sliced, in
+    sub-blocks where many share it; each block gives a star per component, never all pairs.
     """
     n = reps.count()
     p = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
     bits = max(0, math.ceil(math.log2(max(1, n) / BLOCK)))
     bands = max(1, math.ceil(math.log(1 - recall) / math.log(1 - p**bits))) if bits else 1
-    radius = math.ceil(128 * (1 - p) + 2 * math.sqrt(128 * p * (1 - p)))
+    radius = math.ceil(128 * (1 - p) + 2.5 * math.sqrt(128 * p * (1 - p)))
 
     def key(t: int):
         chosen = np.random.default_rng(t).choice(128, bits, replace=False).tolist()
@@ -274,17 +279,14 @@ def similar_links(reps: DataFrame, similarity: float, recall: float) -> DataFram
 
     keyed = reps.select("low", "f1", "f2", F.explode(F.array(*[key(t) for t in range(bands)])).alias("k")).select("low", "f1", "f2", "k.t", "k.key")
     sizes = cut(keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    finer = F.ceil(F.log2(F.col("n") / BLOCK)).cast("int")
-    more = F.expr("shiftrightunsigned(f2, cast(t * 7 % 44 as int))").bitwiseAND(F.expr("shiftleft(1L, 20) - 1"))
-    sub = F.when(F.col("n") > 4 * BLOCK, F.pmod(more, F.pow(F.lit(2.0), finer).cast("long"))).otherwise(F.lit(0).cast("long"))
-    blocks = keyed.join(sizes, ["t", "key"]).select("low", "f1", "f2", "t", "key", sub.alias("sub"))
-    blocks = blocks.repartition("t", "key", "sub").sortWithinPartitions("t", "key", "sub", "low")
+    blocks = in_blocks(keyed, ["t", "key"], sizes, F.when(F.col("n") <= 2 * BLOCK, 1).otherwise(F.ceil(F.col("n") / BLOCK)), ["low", "t"]).drop("side")
+    blocks = blocks.repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j", "low")
 
     def run(batches):
         held, ids, last = np.zeros((0, 2), np.uint64), np.zeros(0, np.int64), None
 
         def out(a, b):
-            i, j = nearest_links(held[a:b], radius)
+            i, j = star_links(held[a:b], radius)
             return pa.RecordBatch.from_arrays([pa.array(ids[a:b][i]), pa.array(ids[a:b][j])], ["a", "b"])
 
         for batch in batches:
@@ -307,55 +309,148 @@ def similar_links(reps: DataFrame, similarity: float, recall: float) -> DataFram
         if len(held):
             yield out(0, len(held))
 
-    return blocks.mapInArrow(run, "a long, b long")
-
-
-def verified_links(docs: DataFrame, links: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """The links (a, b) whose texts' sets of distinct word shingles have at least the given Jaccard similarity; ids must be unique.
-
+    return blocks.mapInArrow(run, "a long, b long"), radius
+
+
+class Overlaps:
+    """Sizes of the intersections of many sorted sets of 32-bit hashes."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sets, self.bits = sets, None
+        self.sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        if len(sets) <= 8:
+            return
+        _, ids, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = counts > 1  # what one set alone holds is in no intersection
+        width = int(shared.sum())
+        if not width or len(sets) * width > BITS_MOST:
+            return
+        place = np.cumsum(shared) - 1
+        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        good = shared[ids]
+        matrix = np.zeros((len(sets), (width + 63) // 64 * 8), np.uint8)
+        at, row = place[ids[good]], owner[good]
+        np.bitwise_or.at(matrix.reshape(-1), row * matrix.shape[1] + at // 8, np.left_shift(1, at % 8).astype(np.uint8))
+        self.bits = matrix.view("<u8")
+
+    def of(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        if self.bits is None:
+            return np.fromiter((len(np.intersect1d(self.sets[a], self.sets[b], assume_unique=True)) for a, b in zip(i.tolist(), j.tolist())), np.int64, len(i))
+        out, step = np.zeros(len(i), np.int64), max(1, 2**22 // self.bits.shape[1])
+        for a in range(0, len(i), step):
+            out[a : a + step] = np.bitwise_count(self.bits[i[a : a + step]] & self.bits[j[a : a + step]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def verified_forest(fps: np.ndarray, sets: list[np.ndarray], sides: np.ndarray | None, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs (of different sides, where sides are given) within the radius whose sets reach the similarity.
+
+    Every pair that could join two parts is verified, nearest fingerprints first; a pair within
+    one part tells nothing new and is left out.
+    """
+    n = len(fps)
+    if n <= 64:
+        i, j = np.triu_indices(n, 1)
+    else:
+        i, j = near_pairs(fps, radius)
+    apart = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1, dtype=np.int64) if len(i) else np.zeros(0, np.int64)
+    good = apart <= radius
+    if sides is not None:
+        good &= sides[i] != sides[j]
+    i, j, apart = i[good], j[good], apart[good]
+    order = np.argsort(apart, kind="stable")
+    i, j = i[order], j[order]
+    overlaps = Overlaps(sets) if len(i) else None
+    label, links, size = np.arange(n), ([], []), 256
+    while len(i):
+        a, b = i[:size], j[:size]
+        i, j, size = i[size:], j[size:], min(4 * size, 65536)
+        open_ = label[a] != label[b]
+        a, b = a[open_], b[open_]
+        if not len(a):
+            continue
+        both = overlaps.of(a, b)
+        true = both >= similarity * (overlaps.sizes[a] + overlaps.sizes[b] - both) - 1e-9
+        joined = False
+        for x, y in zip(a[true].tolist(), b[true].tolist()):
+            if label[x] != label[y]:
+                label[label == max(label[x], label[y])] = min(label[x], label[y])
+                links[0].append(x)
+                links[1].append(y)
+                joined = True
+        if joined and len(i):
+            open_ = label[i] != label[j]
+            i, j = i[open_], j[open_]
+    return np.array(links[0], np.int64), np.array(links[1], np.int64)
+
+
+def verified_links(docs: DataFrame, reps: DataFrame, candidates: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, radius: int) -> DataFrame:
+    """Links (a, b) between rows (low, f1, f2) whose texts' sets of distinct word shingles have at least the given Jaccard similarity; none is missing whose ends share a group (node, root) of `candidates` and lie within the radius.
+
+    The texts' shingle sets travel once to their group; a group of many texts is compared in pairs of sub-blocks.
     Sets travel as 32-bit hashes; two of a text's shingles share one so rarely that the similarity of
     even 20,000 shingles is off by less than 0.0005.
     """
-    asked = cut(links.distinct())
-    ids = asked.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    nodes = reps.join(candidates, reps.low == candidates.node).select("low", "f1", "f2", "root")
 
     def sets(batches):
         for batch in batches:
-            found = [shingle_hashes(t.as_py(), shingle)[:, 0].astype("<u4") for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(x).tobytes() for x in found], pa.binary())], ["doc_id", "shingles"])
+            found = [np.unique(shingle_hashes(t.as_py(), shingle)[:, 0].astype("<u4")) for t in batch.column(4)]
+            columns = [batch.column(i) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(map(len, found), pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["low", "f1", "f2", "root", "size", "shingles"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(ids, "doc_id", "left_semi")
-    held = cut(texts.mapInArrow(sets, "doc_id long, shingles binary"))
-    pairs = asked.join(held.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a")), "a").join(held.select(F.col("doc_id").alias("b"), F.col("shingles").alias("of_b")), "b")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(nodes, F.col("doc_id") == F.col("low")).select("low", "f1", "f2", "root", "text")
+    held = written(texts.mapInArrow(sets, "low long, f1 long, f2 long, root long, size long, shingles binary"))
+    sizes = held.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("hashes"))
+    parts = F.when((F.col("n") <= 2 * BLOCK) & (F.col("hashes") <= 2 * BLOCK_HASHES), 1).otherwise(F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("hashes") / BLOCK_HASHES)))
+    blocks = in_blocks(held.select("low", "f1", "f2", "root", "shingles"), ["root"], sizes, parts, ["low"])
+    blocks = blocks.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "low")
 
     def check(batches):
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column("of_a"), batch.column("of_b")):
-                x, y = (np.frombuffer(v.as_py(), "<u4") for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    return pairs.select("a", "b", "of_a", "of_b").mapInArrow(check, "a long, b long")
+        last, ids, fps, hashes, sides = None, [], [], [], []
 
+        def out():
+            # within (i, i) all are of side 1 and all pairs count
+            other = np.array(sides) if last[1] != last[2] else None
+            i, j = verified_forest(np.array(fps, np.int64).view(np.uint64).reshape(-1, 2), hashes, other, radius, similarity)
+            own = np.array(ids, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(own[i]), pa.array(own[j])], ["a", "b"])
 
-def drop_near_duplicates(docs: DataFrame, text_col: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = 0.95) -> DataFrame:
+        for batch in batches:
+            low, f1, f2, root, i, j, side = (batch.column(c).to_pylist() for c in ("low", "f1", "f2", "root", "i", "j", "side"))
+            shingles = batch.column("shingles")
+            for k, block in enumerate(zip(root, i, j)):
+                if block != last:
+                    if len(ids) > 1:
+                        yield out()
+                    last, ids, fps, hashes, sides = block, [], [], [], []
+                ids.append(low[k])
+                fps.append((f1[k], f2[k]))
+                hashes.append(np.frombuffer(shingles[k].as_py(), "<u4"))
+                sides.append(side[k])
+        if len(ids) > 1:
+            yield out()
+
+    return blocks.mapInArrow(check, "a long, b long")
+
+
+def drop_near_duplicates(docs: DataFrame, text_col: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = 0.98) -> DataFrame:
     """The documents without near duplicates: of each group linked by sets of `shingle`-word shingles with a Jaccard similarity of at least `similarity`, one row stays.
 
-    Candidates come from 128-bit SimHash fingerprints compared bit-sliced; every link is verified on
-    the texts' shingle sets. Rows whose fingerprints are equal are of one group. Which row stays
-    does not depend on ids: rows get a number of their own, so null and repeated ids are rows like
-    any other; of a group the row with the smallest id (null ids last) stays. Null, empty and blank
-    texts are one group, a text shorter than a shingle is one shingle; an empty table gives no
-    rows; all columns stay as they are, whatever their names.
+    Candidates come from 128-bit SimHash fingerprints compared bit-sliced; within a group of
+    candidates every pair that could join two parts is verified on the texts' shingle sets. Rows
+    whose fingerprints are equal are of one group. Of a group the row with the smallest id stays
+    (null ids last, then by the row's own number), so null and repeated ids are rows like any
+    other. Null, empty and blank texts are one group, a text shorter than a shingle is one shingle;
+    an empty table gives no rows; all columns stay as they are, whatever their names.
     """
     rows, names = numbered(docs, "doc_id")
     text = names[text_col]
     own_id = F.col(names["doc_id"]).cast("long") if "doc_id" in names else F.lit(None).cast("long")
     prints = cut(similar_sketches(rows, "row", text, shingle).withColumnRenamed("doc_id", "row"))
     reps = cut(prints.groupBy("f1", "f2").agg(F.min("row").alias("low")))
-    linked = components(verified_links(rows, similar_links(reps, similarity, recall), "row", text, shingle, similarity))
+    links, radius = candidate_links(reps, similarity, recall)
+    linked = components(verified_links(rows, reps, components(links), "row", text, shingle, similarity, radius))
     group = reps.join(linked.withColumnRenamed("node", "low"), "low", "left").select("f1", "f2", F.coalesce("root", "low").alias("root"))
     placed = rows.select("row", own_id.alias("id")).join(prints.join(group, ["f1", "f2"]).select("row", "root"), "row")
     first = cut(placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("m")).select("m.row"))

@@ -116,33 +116,90 @@ def test_filter_equals_brute_force(spark):
     assert drop_near_duplicates(df.limit(0)).collect() == []
 
 
-def test_filter_finds_near_copies_among_many(spark, monkeypatch):
-    """With keys of several bits and a hot key that is refined."""
+def exact_keep(rows, shingle=5):
+    """The smallest id of every component of texts whose shingle sets have a similarity of 0.8 or more, and each row's component."""
+    sets = [{tuple(t.lower().split()[k : k + shingle]) for k in range(max(1, len(t.split()) - shingle + 1))} for _, t in rows]
+    holders = {}
+    for i, x in enumerate(sets):
+        for g in x:
+            holders.setdefault(g, []).append(i)
+    label = list(range(len(rows)))
+
+    def root(x):
+        while label[x] != x:
+            label[x] = label[label[x]]
+            x = label[x]
+        return x
+
+    links = 0
+    for i, x in enumerate(sets):
+        shared = {}
+        for g in x:
+            for j in holders[g]:
+                if j < i:
+                    shared[j] = shared.get(j, 0) + 1
+        for j, both in shared.items():
+            if both >= 0.8 * (len(x) + len(sets[j]) - both) - 1e-9:
+                links += 1
+                label[max(root(i), root(j))] = min(root(i), root(j))
+    return [rows[root(i)][0] for i in range(len(rows))], links
+
+
+def changed(r, text, times, words):
+    out = list(text)
+    for k in r.sample(range(len(out)), times):
+        out[k] = r.choice(words)
+    return " ".join(out)
+
+
+def test_versions_near_the_threshold(spark):
+    """Versions of 120 words with one to three of them changed: links at 0.8 and a little above, many of which a nearest tree would not hold."""
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for _ in range(60):
+        text = [r.choice(words) for _ in range(120)]
+        rows += [(len(rows) + k, changed(r, text, r.randint(1, 3), words)) for k in range(12)]
+    want, links = exact_keep(rows)
+    kept = {x.doc_id for x in drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert links > 500 and set(want) <= kept and len(kept) <= len(set(want)) + 2
+
+
+def test_a_large_group_of_copies_keeps_its_links(spark, monkeypatch):
+    """Keys of several bits, and one group that is compared in pairs of sub-blocks."""
     from gigledger.llm import simhash
 
-    monkeypatch.setattr(simhash, "BLOCK", 32)
+    monkeypatch.setattr(simhash, "BLOCK", 128)
     r = random.Random(6)
     rows = texts_with_copies(r, 500)
-    hot = rows[0][1].split()
-    for _ in range(400):
-        other = list(hot)
-        other[r.randrange(len(other))] = f"x{r.randrange(10**6)}"
-        rows.append((len(rows), " ".join(other)))
-    label, pairs = similar_groups(rows)
+    words = [f"v{i}" for i in range(3000)]
+    hot = [r.choice(words) for _ in range(120)]
+    rows += [(10_000 + k, changed(r, hot, 2, words)) for k in range(700)]
+    want, links = exact_keep(rows)
     kept = {x.doc_id for x in drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    groups = len(set(label))
-    assert groups <= len(kept) <= groups + 0.05 * (len(rows) - groups)
-    assert {l for l in label} <= kept  # the smallest id of every group stays, and clean texts with it
+    assert links > 1000 and set(want) <= kept and len(kept) <= 1.01 * len(set(want))
 
 
-def test_nearest_links_span_what_pairs_link():
-    from gigledger.llm.simhash import nearest_links
+def test_verified_forest_joins_what_pairs_join():
+    from gigledger.llm.simhash import verified_forest
 
     r = np.random.default_rng(2)
-    base = r.integers(0, 2**63, (40, 2), dtype=np.uint64)
-    fps = np.unique(np.concatenate([base, base ^ np.uint64(1), base ^ np.uint64(6)]), axis=0)
-    i, j = nearest_links(fps, 4)
-    assert len(i) == len(fps) - 40 and all(bin(int(fps[a, w] ^ fps[b, w])).count("1") <= 4 for a, b in zip(i, j) for w in (0, 1))
+    for n in (5, 40, 300):
+        sets = [np.unique(r.choice(60, 40)).astype("<u4") for _ in range(n)]
+        fps = np.zeros((n, 2), np.uint64)
+        for sides in (None, r.integers(0, 2, n)):
+            i, j = verified_forest(fps, sets, sides, 4, 0.6)
+            label = np.arange(n)
+            for a in range(n):
+                for b in range(a):
+                    both = len(set(sets[a]) & set(sets[b]))
+                    if (sides is None or sides[a] != sides[b]) and both >= 0.6 * (len(sets[a]) + len(sets[b]) - both) - 1e-9:
+                        label[label == label[a]] = label[b]
+            got = np.arange(n)
+            for a, b in zip(i, j):
+                assert got[a] != got[b] and label[a] == label[b]
+                got[got == got[a]] = got[b]
+            assert len(set(got)) == len(set(label))
 
 
 def test_one_large_group_is_split_and_stays_whole(spark):
