@@ -1,6 +1,6 @@
 """Benchmark decontamination by typed templates.
 
-Texts become template words: numbers (digits or number words), capitalised names and units of measure are
+Texts become template words: numbers (digits or number words, several of them if they form one number), capitalised names and units of measure are
 replaced by typed placeholders, everything else is lower-cased; a second form leaves names as
 lower-cased words, so that letter case does not matter. Windows of template words are hash-joined
 between documents and benchmark. Where a document, at one place, covers enough of an item's words
@@ -32,6 +32,12 @@ PLACEHOLDERS = (NUMBER, NAME, UNIT)
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg t oz lb lbs ml l s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years meter meters metre metres mile miles yard yards foot feet inch inches gram grams kilogram kilograms liter liters litre litres kilometer kilometers kilometre kilometres centimeter centimeters centimetre centimetres millimeter millimeters millimetre millimetres milligram milligrams milliliter milliliters ton tons tonne tonnes pound pounds ounce ounces gallon gallons acre acres dollar dollars euro euros cent cents percent degree degrees kph mph kmh".split())
 # Words for numbers.
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
+# Those of them that other number words follow or precede within one number.
+_ONES = frozenset("one two three four five six seven eight nine".split())
+_TENS = frozenset("twenty thirty forty fifty sixty seventy eighty ninety".split())
+_MAGNITUDES = frozenset("hundred thousand million billion".split())
+NUMBER_MARK = "\0"  # stands before a number of several words
+OTHER_WORD, ONES, WHOLE, TENS, MAGNITUDE, DIGITS, AND = range(7)
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _HAS_DIGIT = re.compile(r"\d")
 
@@ -42,7 +48,7 @@ def template_word(raw: str) -> tuple[str, str]:
     if not word:
         return "", ""
     low = word.lower()
-    if low in NUMBER_WORDS or not word.isalpha() and _HAS_DIGIT.search(word):
+    if low in NUMBER_WORDS or not word.isalpha() and (_HAS_DIGIT.search(word) or "-" in low and NUMBER_WORDS.issuperset(low.split("-"))):
         return NUMBER, NUMBER
     if low in UNITS:
         return UNIT, UNIT
@@ -51,15 +57,53 @@ def template_word(raw: str) -> tuple[str, str]:
     return low, low
 
 
+def number_class(raw: str) -> int:
+    """What the word can be within a number of several words (64 added if it ends, 128 if it begins with punctuation)."""
+    word = _EDGE.sub("", raw)
+    low = word.lower()
+    last = low.rsplit("-", 1)[-1]
+    if low == "and":
+        kind = AND
+    elif template_word(raw)[0] != NUMBER:
+        return OTHER_WORD
+    elif last in _MAGNITUDES:
+        kind = MAGNITUDE
+    elif low in _ONES:
+        kind = ONES
+    elif low in _TENS:
+        kind = TENS
+    else:
+        kind = DIGITS if _HAS_DIGIT.search(low) else WHOLE
+    return kind + 64 * (not raw.endswith(word)) + 128 * (not raw.startswith(word))
+
+
+def within_numbers(classes: np.ndarray) -> np.ndarray:
+    """Which words continue the number before them: "two hundred", "hundred and five", "twenty five", "2 million"."""
+    kind, ends, begins = classes & 63, classes & 64, classes & 128
+    out = np.zeros(len(kind), bool)
+    if len(kind) < 2:
+        return out
+    a, b = kind[:-1], kind[1:]
+    part = (b >= ONES) & (b <= TENS)
+    number = (a >= ONES) & (a <= DIGITS)
+    out[1:] = ((ends[:-1] | begins[1:]) == 0) & (number & (b == MAGNITUDE) | (a == MAGNITUDE) & part | (a == TENS) & (b == ONES))
+    if len(kind) > 2:
+        linked = (kind[:-2] == MAGNITUDE) & (b[:-1] == AND) & part[1:] & ((ends[:-2] | begins[1:-1] | ends[1:-1] | begins[2:]) == 0)
+        out[1:-1] |= linked
+        out[2:] |= linked
+    return out
+
+
 def _digest(form: str) -> int:
     return xxhash.xxh64_intdigest(form.encode("utf-8", "surrogatepass")) | 1
 
 
 class _Known(dict):
-    """word -> its place among the hashes of its two forms (0 for punctuation alone); each word is looked at once."""
+    """word -> its place among the hashes of its two forms (0 for punctuation alone) and its class; each word is looked at once."""
 
     def __init__(self):
         self.hashes = array("Q"), array("Q")
+        self.classes = array("B")
 
     def __missing__(self, word: str) -> int:
         at = self[word] = len(self)
@@ -67,6 +111,7 @@ class _Known(dict):
         first = _digest(typed) if typed else 0
         self.hashes[0].append(first)
         self.hashes[1].append(first if plain == typed else _digest(plain))
+        self.classes.append(number_class(word) if typed == NUMBER or plain == "and" else OTHER_WORD)
         return at
 
 
@@ -77,13 +122,19 @@ class Templates:
         self.known = _Known()
 
     def words(self, text: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """(raw words, positions of those that are template words, hashes of their two forms)."""
+        """(raw words, with what continues a number joined to its first word, positions of those that are template words, hashes of their two forms)."""
         raw = (text or "").split()
         if len(self.known) >= REMEMBERED:
             self.known = _Known()
         places = np.fromiter(map(self.known.__getitem__, raw), np.int64, len(raw))
         hashes = np.array([np.frombuffer(h, np.uint64)[places] for h in self.known.hashes])
-        at = np.nonzero(hashes[0])[0]
+        inner = within_numbers(np.frombuffer(self.known.classes, np.uint8)[places])
+        at = np.nonzero((hashes[0] != 0) & ~inner)[0]
+        for k in np.flatnonzero(inner[1:] & ~inner[:-1]).tolist():
+            end = k + 1
+            while end < len(raw) and inner[end]:
+                end += 1
+            raw[k] = NUMBER_MARK + " ".join(raw[k:end])
         return raw, at, hashes[:, at]
 
 
@@ -94,7 +145,7 @@ def _cell(hashes: np.ndarray) -> np.ndarray:
 def _made(raw: list[str], at: np.ndarray, start: int, length: int):
     """(template text, slot values or null per word) of the one or two forms of the window at a template word."""
     words = [raw[i] for i in at[start : start + length]]
-    forms = list(zip(*map(template_word, words)))
+    forms = list(zip(*((NUMBER, NUMBER) if w[0] == NUMBER_MARK else template_word(w) for w in words)))
     for form in forms if forms[0] != forms[1] else forms[:1]:
         if any(w not in PLACEHOLDERS for w in form):  # placeholders alone tell nothing
             yield " ".join(form), [_EDGE.sub("", w).lower() if f in PLACEHOLDERS else None for w, f in zip(words, form)]

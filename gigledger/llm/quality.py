@@ -120,17 +120,19 @@ def subword_scores(
 
     Labels are learnt only where crc32(doc_id) mod held_out_mod is not held_out_is, from at most
     sample_rows of them, half of each class at most (the documented bound); every row is scored on
-    its whole text. Null and blank texts get the score of the bias alone, without labels of both
-    classes every score is 0.5. Repeated rows each give a row; null ids are dealt by the crc32 of
-    the empty text; other columns are ignored.
+    its whole text. A sampled id with several texts is learnt with its smallest. Null and blank
+    texts get the score of the bias alone, without labels of both classes every score is 0.5.
+    Repeated rows each give a row; null ids are dealt by the crc32 of the empty text; other columns
+    are ignored.
     """
     held = (F.pmod(crc32_of_id("doc_id"), F.lit(held_out_mod)) == held_out_is).alias("held_out")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     marked = labels.where(F.pmod(crc32_of_id(id_col), F.lit(held_out_mod)) != held_out_is)
     sample = rows.join(F.broadcast(labelled_sample(marked, id_col, label_col, sample_rows)), "doc_id")  # at most sample_rows ids
+    sample = sample.groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))  # one text each, however many rows share an id
 
     def fit(table: pa.Table) -> pa.Table:
-        order = sorted(zip(table.column("doc_id").to_pylist(), table.column("label").to_pylist(), table.column("text").to_pylist()), key=lambda r: (r[0], r[2] or ""))
+        order = sorted(zip(table.column("doc_id").to_pylist(), table.column("label").to_pylist(), table.column("text").to_pylist()))
         found = {r[1] for r in order}
         scores, bias = train([r[2] for r in order], [r[1] for r in order]) if found == {0, 1} else (np.zeros(1 << BUCKET_BITS, np.float32), 0.0)
         return pa.table({"scores": pa.array([scores.astype("<f4").tobytes()], pa.binary()), "bias": pa.array([bias], pa.float64())})

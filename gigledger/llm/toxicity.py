@@ -360,8 +360,11 @@ def nearest_label_scores(
     fits, number = set(), {}
     for label in (0, 1):
         of_class = [r for r in sizes if r.label == label]
-        sums = np.cumsum([r.n for r in of_class])
-        kept = [r.doc_id for r, s in zip(of_class, sums) if s <= sample_bytes // 2]
+        kept, room = [], sample_bytes // 2
+        for r in of_class:  # a text that does not fit is left out, those after it are not
+            if r.n <= room:
+                kept.append(r.doc_id)
+                room -= r.n
         fits.update(kept)
         number[label] = len(of_class) / max(1, len(kept))
     whole = len(fits) == len(sizes)

@@ -3,13 +3,15 @@ import re
 from gigledger.llm.decontaminate import contaminated, drop_contaminated, template_word
 
 UNITS = {"minutes", "hours", "km", "kg", "dollars", "days", "in", "m", "s", "t", "l", "g", "h"}
-NUMBERS = {"two", "three", "five", "seven", "twelve", "thirty", "one"}
+NUMBERS = {"two", "three", "five", "seven", "twelve", "thirty", "one", "twenty", "hundred", "thousand", "million"}
 
 
 def forms(text):
     """(with names typed, without, slot value) per template word, by rules of this test's own."""
     out = []
-    for raw in (text or "").split():
+    text = re.sub(r"(?i)\b(two|one|five|seven|twenty|30) (hundred|thousand|million)( and (five|twenty))?\b", lambda m: "9" + m[0].replace(" ", "x"), text or "")
+    text = re.sub(r"(?i)\b(twenty|thirty)[ -](one|two|five|seven)\b", r"9\1x\2", text)
+    for raw in text.split():
         word = re.sub(r"^[^\w]+|[^\w]+$", "", raw.replace("_", "-"))
         if not word:
             continue
@@ -96,10 +98,26 @@ def cases():
         (15, "who knows what is 2 plus that"),
         (16, "the bright yellow lamp stands near a painted door behind the quiet garden"),
         (17, "the bright yellow lamp stands near a very heavy wooden door behind the quiet garden"),
+        (19, APPLES.replace("12", "twenty-five").replace("5 apples", "two hundred apples")),
+        (20, fill + " " + APPLES.replace("12", "Two hundred and five").replace("5 apples", "thirty seven apples")),
+        (21, APPLES.replace("12", "30 million").replace("5 apples", "seven thousand apples")),
         (18, "Anna buys 12 apples " + fill + " and gives 5 apples to Ben , how many " + fill + " apples does Anna keep at the end ?"),
     ]
 
 
+def test_numbers_of_several_words_are_one_placeholder():
+    from gigledger.llm.decontaminate import Templates
+
+    def made(text):
+        raw, at, _ = Templates().words(text)
+        return [raw[i].strip("\0") for i in at]
+
+    assert made("two hundred and five men , one two and three") == ["two hundred and five", "men", "one", "two", "and", "three"]
+    assert made("twenty-five thousand") == ["twenty-five thousand"] and made("2 million and x") == ["2 million", "and", "x"]
+    assert made("hundred, five") == ["hundred,", "five"] and made("thirty (five)") == ["thirty", "(five)"] and made("5 6 seventy one") == ["5", "6", "seventy one"]
+    assert made("") == [] and made("and") == ["and"]
+
+
 def test_equals_brute_force(spark):
     docs = cases()
     d = spark.createDataFrame([(*x, "t") for x in docs], "doc_id long, text string, template string").repartition(3)
@@ -107,7 +125,7 @@ def test_equals_brute_force(spark):
     got = {(r.doc_id, r.item_id): (round(r.share, 9), round(r.consistency, 9)) for r in contaminated(d, b).collect()}
     assert got == brute(docs, ITEMS)
     # verbatim beside a re-parameterised copy, two such copies, other letter case, number words, short items, one word changed or added
-    assert {k for k in got if k[1] in (1, 6, 7)} == {(i, 1) for i in (1, 2, 10, 11, 12, 13, 14)} | {(15, 6), (16, 7), (17, 7)}
+    assert {k for k in got if k[1] in (1, 6, 7)} == {(i, 1) for i in (1, 2, 10, 11, 12, 13, 14, 19, 20, 21)} | {(15, 6), (16, 7), (17, 7)}
     assert {k[0] for k in got if k[1] == 2} == {4, 9}
 
 

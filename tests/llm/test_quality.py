@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -44,3 +45,85 @@ def test_held_out_accuracy_and_edges(spark):
     assert [x.predicted for x in got if x.doc_id == 5002] == [0]
     assert all(x.score == 0.5 for x in subword_scores(docs, tags.limit(0)).collect())
     assert subword_scores(docs.limit(0), tags).collect() == []
+
+
+def plain_features(text):
+    """Bucket numbers by loops over words and characters, in Python's whole numbers."""
+    from gigledger.llm.quality import _P, BUCKET_BITS
+
+    full = 2**64 - 1
+
+    def bucket(h, kind):
+        h = ((h ^ (kind * 0x9E3779B97F4A7C15 & full)) * 0xBF58476D1CE4E5B9) & full
+        h ^= h >> 32
+        return ((h * 0x94D049BB133111EB) & full) >> (64 - BUCKET_BITS)
+
+    words = (text or "").split()
+    hashes = [sum(ord(c) * pow(_P, k, 2**64) for k, c in enumerate(w, 1)) & full for w in words]
+    out = [bucket(h, 1) for h in hashes]
+    for size in (3, 4):
+        for w in words:
+            padded = f" {w} "
+            for a in range(len(padded) - size + 1):
+                h = 0
+                for c in padded[a : a + size]:
+                    h = (h * _P + ord(c)) & full
+                out.append(bucket(h, size))
+    for h in hashes:
+        n = hashes.count(h)
+        out.append(bucket(min(7, int(math.log2(len(words) / n))) * 16 + min(6, int(math.log2(n))), 2))
+    return out
+
+
+def plain_training(rows, dim=16, epochs=10, rate=0.6, seed=7):
+    """The same descent with one number at a time; only its random start and order are drawn alike."""
+    from gigledger.llm.quality import BUCKET_BITS
+
+    rng = np.random.default_rng(seed)
+    start = ((rng.random((1 << BUCKET_BITS, dim), np.float32) - 0.5) * 2 / dim).tolist()
+    vectors, output, bias = {}, [[0.0] * dim, [0.0] * dim], [0.0, 0.0]
+    shares = []
+    for text, label in rows:
+        found = plain_features(text)
+        counts = {b: found.count(b) / len(found) for b in set(found)}
+        shares.append((counts, label))
+        for b in counts:
+            vectors.setdefault(b, list(start[b]))
+    done = 0
+    for _ in range(epochs):
+        for i in rng.permutation(len(rows)):
+            counts, label = shares[i]
+            lr, done = rate * (1 - done / (epochs * len(rows))), done + 1
+            mean = [sum(s * vectors[b][k] for b, s in counts.items()) for k in range(dim)]
+            logits = [sum(o * m for o, m in zip(output[y], mean)) + bias[y] for y in (0, 1)]
+            e = [math.exp(x - max(logits)) for x in logits]
+            gap = [e[y] / sum(e) - (y == label) for y in (0, 1)]
+            back = [gap[0] * output[0][k] + gap[1] * output[1][k] for k in range(dim)]
+            for b, s in counts.items():
+                vectors[b] = [v - lr * len(counts) ** 0.5 * s * x for v, x in zip(vectors[b], back)]
+            for y in (0, 1):
+                output[y] = [o - lr * gap[y] * m for o, m in zip(output[y], mean)]
+                bias[y] -= 0.1 * lr * gap[y]
+
+    def score(text):
+        found = plain_features(text)
+        mean = [sum((vectors[b] if b in vectors else start[b])[k] for b in found) / len(found) if found else 0.0 for k in range(dim)]
+        logits = [sum(o * m for o, m in zip(output[y], mean)) + bias[y] for y in (0, 1)]
+        return 1 / (1 + math.exp(logits[0] - logits[1]))
+
+    return score
+
+
+def test_query_equals_plain_features_and_descent(spark):
+    r = random.Random(9)
+    rows = [(i, " ".join(text(r, "good" if i % 2 else r.choice(["loop", "shout", "junk"])).split()[:14])) for i in range(60)]
+    rows += [(7, "zz another text of a labelled id"), (7, rows[7][1]), (100, None), (101, " "), (102, "ünï çödé  \n x")]
+    labels = [(i, i % 2) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((x.doc_id, x.score) for x in subword_scores(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect())
+    learnt = [i for i, _ in labels if zlib.crc32(str(i).encode()) % 3 != 1]
+    texts = {i: min(t for j, t in rows if j == i) for i in learnt}
+    score = plain_training([(texts[i], i % 2) for i in sorted(learnt)])
+    want = sorted((i, score(t)) for i, t in rows)
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert max(abs(a - b) for (_, a), (_, b) in zip(got, want)) < 2e-3
