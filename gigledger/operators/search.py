@@ -50,11 +50,10 @@ def text_score(name, text, query):
     )
 
 
-def search(index: DataFrame, queries: list[str], limit: int = 20, offset: int = 0) -> DataFrame:
-    """(query, rank, total, score, entity_type, entity_id, name) of a stated list of queries, best first.
+def scored(index: DataFrame, queries: list[str]) -> DataFrame:
+    """The index's rows with n, query and score, for each of a stated list of queries that they answer.
 
-    The queries travel with every index row as one small array, so the index is read once; ranks
-    are cut per task before they are compared.
+    The queries travel with every index row as one small array: no join with the index.
     """
     asked = F.array(*[F.struct(F.lit(i).alias("n"), F.lit(q).alias("query")) for i, q in enumerate(dict.fromkeys(queries))])
     rows = index.select("*", F.explode(asked).alias("q")).select("*", "q.n", "q.query").withColumn("wanted", search_text("query"))
@@ -64,7 +63,16 @@ def search(index: DataFrame, queries: list[str], limit: int = 20, offset: int =
         points = F.when(F.col("entity_type") == name, float(value)).otherwise(points)
     more = lambda c, p: F.when(F.col(c), float(p)).otherwise(0.0)
     score = text + points + more("ready", 40) + more("certified", 55) + more("upcoming", 30) + F.greatest(F.lit(0.0), 100 - F.col("priority")) + F.col("weight") * 10 + F.col("popularity")
-    hits = rows.withColumn("text_score", text).where("text_score > 0").withColumn("score", F.round(score, 2))
+    return rows.withColumn("text_score", text).where("text_score > 0").withColumn("score", F.round(score, 2))
+
+
+def search(index: DataFrame, queries: list[str], limit: int = 20, offset: int = 0) -> DataFrame:
+    """(query, rank, total, score, entity_type, entity_id, name) of a stated list of queries, best first.
+
+    Ranks are cut per task before they are compared; totals come from a count of their own, which
+    scores the index a second time.
+    """
+    hits = scored(index, queries)
     totals = hits.groupBy("n").agg(F.count(F.lit(1)).alias("total"))
     order = Window.partitionBy("n").orderBy(F.col("score").desc(), "entity_type", F.lower("name"), "entity_id")
     page = hits.withColumn("rank", F.row_number().over(order)).where((F.col("rank") > offset) & (F.col("rank") <= offset + limit))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean, dedupe_text, event_url, geo_key, hash_of, is_blank, place_name
+from .matching import match_events
 
 
 def event_keys(rows: DataFrame) -> DataFrame:
@@ -84,28 +85,83 @@ def fold_first(rows: DataFrame, key: str, order: list[str], columns: list[str])
     return rows.groupBy(key).agg(*[first(c).alias(c) for c in columns])
 
 
-def merge_groups(events: DataFrame, members: DataFrame, columns: list[str]) -> DataFrame:
-    """Apply decided groups (event_id, primary_id): primaries take missing values from their duplicates by id, duplicates become merged.
+DECISIONS = ("merge", "kept_separate", "rejected_duplicate")
 
-    Returns event_id, the columns, duplicate_status and canonical_event_id.
+
+def resolve_groups(events: DataFrame, members: DataFrame, columns: list[str]) -> DataFrame:
+    """Apply decided groups of events.
+
+    members: event_id, primary_id, decision (one of DECISIONS, the same for a whole group). In a merged group the
+    primary takes missing values from its duplicates by id and the duplicates become merged; in
+    the other groups every member gets the decision as its status and keeps its values. Returns
+    event_id, the columns, duplicate_status, canonical_event_id, changed (names of columns that a
+    primary took) and updates (1 for a primary that a merge touched, else 0).
     """
     in_group = events.join(members, "event_id", "left")
-    filled = fold_first(in_group.where("primary_id is not null").withColumn("late", F.col("event_id") != F.col("primary_id")), "primary_id", ["late", "event_id"], columns)
+    merged_group = F.coalesce(F.col("decision") == "merge", F.lit(False))
+    filled = fold_first(in_group.where(merged_group).withColumn("late", F.col("event_id") != F.col("primary_id")), "primary_id", ["late", "event_id"], columns)
     filled = filled.select(F.col("primary_id").alias("event_id"), *[F.col(c).alias(f"f_{c}") for c in columns])
     out = in_group.join(filled, "event_id", "left")
-    merged = F.col("primary_id").isNotNull() & (F.col("primary_id") != F.col("event_id"))
-    primary = F.col("primary_id") == F.col("event_id")
+    primary = merged_group & (F.col("primary_id") == F.col("event_id"))
+    value = {c: F.when(primary, F.coalesce(f"f_{c}", c)).otherwise(F.col(c)) for c in columns}
+    status = F.when(primary, "none").when(merged_group, "merged").when(F.col("decision").isNotNull(), F.col("decision")).otherwise(F.col("duplicate_status"))
     return out.select(
         "event_id",
-        *[F.when(primary, F.coalesce(f"f_{c}", c)).otherwise(F.col(c)).alias(c) for c in columns],
-        F.when(merged, "merged").when(primary, "none").otherwise(F.col("duplicate_status")).alias("duplicate_status"),
-        F.when(merged, F.col("primary_id")).alias("canonical_event_id"),
+        *[v.alias(c) for c, v in value.items()],
+        status.alias("duplicate_status"),
+        F.when(merged_group & ~primary, F.col("primary_id")).alias("canonical_event_id"),
+        F.array_compact(F.array(*[F.when(~v.eqNullSafe(F.col(c)), F.lit(c)) for c, v in value.items()])).alias("changed"),
+        primary.cast("int").alias("updates"),
     )
 
 
 def move_claims(claims: DataFrame, members: DataFrame) -> DataFrame:
-    """Claims of merged events go to their primary event."""
-    return claims.join(members, "event_id", "left").withColumn("event_id", F.coalesce("primary_id", "event_id")).drop("primary_id")
+    """Claims of the events of merged groups go to their primary event."""
+    merged = members.where("decision = 'merge'").select("event_id", "primary_id")
+    return claims.join(merged, "event_id", "left").withColumn("event_id", F.coalesce("primary_id", "event_id")).drop("primary_id")
+
+
+def upsert_actions(candidates: DataFrame, events: DataFrame, claims: DataFrame, policy: dict[str, str], least: float = 0.7) -> DataFrame:
+    """What a batch of candidates does to the golden events.
+
+    candidates: candidate_id, claim_key, event_key, title, start_ts, venue, lifecycle and the
+    policy's columns; events: event_id, event_key, title, start_ts, venue and the policy's columns;
+    claims: claim_key, event_id. A candidate that matches nothing is created; of several with one
+    new key the one with the smallest id is, and the others meet it as its later versions. A match
+    below `least` becomes a weak duplicate under a key of its own. A better match is updated where
+    the policy takes any of its values, else skipped. Every candidate is compared with the golden
+    values from before the batch. A cancelled candidate is cancelled, unless it is a weak duplicate.
+
+    Returns candidate_id, event_id (the golden event met), follows (the new candidate met), score,
+    reason, action, changed and event_key.
+    """
+    known = claims.join(events.select("event_id"), "event_id", "left_semi")  # a claim of an event that is no longer there tells nothing
+    found = candidates.join(match_events(candidates, events, known), "candidate_id")
+    values = F.struct(*policy)
+    none = F.col("event_id").isNull()
+    firsts = found.where(none & F.col("event_key").isNotNull()).groupBy("event_key").agg(F.min_by(F.struct(F.col("candidate_id").alias("first_id"), values.alias("first")), "candidate_id").alias("f")).select("event_key", "f.*")
+    golden = events.select("event_id", values.alias("golden"))
+    out = found.join(firsts, "event_key", "left").join(golden, "event_id", "left")
+    follows = F.when(none & (F.col("first_id") != F.col("candidate_id")), F.col("first_id"))
+    out = out.withColumn("follows", follows).withColumns({
+        "score": F.when(F.col("follows").isNotNull(), 0.96).otherwise(F.col("score")),
+        "reason": F.when(F.col("follows").isNotNull(), "event_key").otherwise(F.col("reason")),
+        "old": F.when(F.col("follows").isNotNull(), F.col("first")).otherwise(F.col("golden")),
+    })
+    changes = []
+    for c, rule in policy.items():
+        a, b = F.col(f"old.{c}"), F.col(c)
+        blank = lambda x: is_blank(x.cast("string"))
+        takes = {"fill": blank(a) & ~blank(b), "replace": ~blank(b), "raise": ~blank(b) & (blank(a) | (b > a)), "keep": F.lit(False)}[rule]
+        changes.append(F.when(F.coalesce(takes, F.lit(False)) & ~a.eqNullSafe(b), F.lit(c)))
+    met, weak = F.col("score") > 0, (F.col("score") > 0) & (F.col("score") < least)
+    out = out.withColumn("changed", F.when(met & ~weak, F.array_compact(F.array(*changes))).otherwise(F.array().cast("array<string>")))
+    cancelled = F.coalesce(F.col("lifecycle") == "cancelled", F.lit(False))
+    action = F.when(weak, "duplicate_candidate").when(cancelled, "cancelled").when(~met, "created").when(F.size("changed") > 0, "updated").otherwise("skipped")
+    return out.select(
+        "candidate_id", "event_id", "follows", "score", "reason", action.alias("action"), "changed",
+        F.when(weak, hash_of(F.col("event_key"), F.col("candidate_id"))).otherwise(F.col("event_key")).alias("event_key"),
+    )
 
 
 def poi_key(rows: DataFrame) -> DataFrame:

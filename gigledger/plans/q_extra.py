@@ -75,7 +75,7 @@ register("g03_weakest_per_provider", lambda v: windows.top(v("v_claim").groupBy(
 register("g12_ranked_results", lambda v: search.search(index(v), ["nation 1"], 1000).select("rank", "entity_type", "entity_id"), "select row_number() over (order by score desc, entity_type, lower(name), entity_id)::int as rank, entity_type, entity_id from {hits} order by rank limit 1000", up=_UP, idx=INDEX, hits=HITS.replace(HITS[HITS.index("(values ") : HITS.index(") q(n")], "(values (0, 'nation 1')"))
 register("h03_index_union", lambda v: index(v).groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"), F.count_if("upcoming").alias("upcoming")), "select entity_type, count(*) as n, count_if(up)::bigint as upcoming from {idx} group by 1", up=_UP, idx=INDEX)
 register("j02_text_scores", lambda v: index(v).select("entity_type", "entity_id", search.text_score(F.col("normalized_name"), F.col("search_text"), F.lit("hall stage no 3")).alias("score")).where("score > 0"), "select entity_type, entity_id, s as score from {hits}", up=_UP, idx=INDEX, hits=HITS.replace(HITS[HITS.index("(values ") : HITS.index(") q(n")], "(values (0, 'hall stage no 3')"))
-register("j03_rank_scores", lambda v: search.search(index(v), [""], 100000).select("entity_type", "entity_id", "score"), "select entity_type, entity_id, score from {hits}", up=_UP, idx=INDEX, hits=HITS.replace(HITS[HITS.index("(values ") : HITS.index(") q(n")], "(values (0, '')"))
+register("j03_rank_scores", lambda v: search.scored(index(v), [""]).select("entity_type", "entity_id", "score"), "select entity_type, entity_id, score from {hits}", up=_UP, idx=INDEX, hits=HITS.replace(HITS[HITS.index("(values ") : HITS.index(") q(n")], "(values (0, '')"))
 register("k02_radius_with_distance", lambda v: filters.within(v("v_poi"), 15.0, 20.0, 25.0).select("poi_id", F.round("distance", 6).alias("distance")), f"select poi_id, round(d, 6) as distance from (select poi_id, {sql_haversine('15.0', '20.0', 'lat', 'lng', geo.MILES)} as d from {{v_poi}}) where d <= 25")
 register("k03_nearest_venue", lambda v: matching.nearest(v("v_poi"), v("v_venue"), 2000.0, "poi_id", "venue_id").select("poi_id", "venue_id", F.round("distance", 3).alias("distance")),
          f"select poi_id, venue_id, round(d, 3) as distance from (select poi_id, venue_id, {sql_haversine('p.lat', 'p.lng', 'v.lat', 'v.lng', geo.METRES)} as d from {{v_poi}} p join {{v_venue}} v on abs(p.lat - v.lat) < 0.05) where d <= 2000 qualify row_number() over (partition by poi_id order by d, venue_id) = 1")

@@ -73,22 +73,22 @@ register("d14_artist_matches", lambda v: matching.match_artists(*_artist_sides(v
          "select c.artist_id as claim_id, coalesce(i.artist_id, n.artist_id) as artist_id, case when i.artist_id is not null then 0.98 when n.same then 0.82 when n.artist_id is not null then 0.72 end::double as score from {a} c left join (select external_id, min(artist_id) as artist_id from {golden} where external_id is not null group by 1) i on i.external_id = c.external_id left join (select l.artist_id as claim_id, r.artist_id, l.g = r.g as same from {a} l join {golden} r on l.name_key = r.name_key and l.name_key <> '' qualify row_number() over (partition by l.artist_id order by (l.g <> r.g)::int, r.artist_id) = 1) n on n.claim_id = c.artist_id", a=_ARTISTS, golden="select * from {a} qualify row_number() over (partition by name_key order by artist_id) = 1")
 
 
-def _event_sides(v):
+def event_sides(v):
     rows = upsert.event_keys(v("v_event")).select("event_id", "source_type", "event_key", F.coalesce(text.clean("headliner"), F.col("title")).alias("title"), "start_ts", F.when(F.col("event_id") % 6 > 0, F.col("location_text")).otherwise("").alias("venue"))
     claims = v("v_claim").where("source_type = 'ics' and match_confidence >= 0.1").select(F.col("provider_event_id").alias("claim_key"), (F.col("event_id") - F.col("event_id") % 4 + 1).alias("event_id"))
     candidates = rows.where("source_type = 'file_upload'").select(F.col("event_id").alias("candidate_id"), F.concat(F.lit("pe-"), (F.col("event_id") % 4000).cast("string")).alias("claim_key"), "event_key", "title", "start_ts", "venue")
     return candidates, rows.where("source_type <> 'file_upload'"), claims
 
 
-register("d15_event_matches", lambda v: matching.match_events(*_event_sides(v)),
-         f"""select c.event_id as candidate_id, coalesce(k.event_id, e.event_id, f.event_id) as event_id,
+EVENT_MATCHES = """select c.event_id as candidate_id, coalesce(k.event_id, e.event_id, f.event_id) as event_id,
  case when k.event_id is not null then 1.0 when e.event_id is not null then 0.96 when tier = 0 then 0.86 when tier = 1 then 0.74 when tier = 2 then 0.58 else 0.0 end::double as score,
  case when k.event_id is not null then 'claim' when e.event_id is not null then 'event_key' when tier = 0 then 'title_day_venue' when tier = 1 then 'title_day' when tier = 2 then 'title_day_conflict' else 'none' end as reason
-from (select * from {{rows}} where source_type = 'file_upload') c
-left join (select provider_event_id as claim_key, min(event_id - event_id % 4 + 1) as event_id from {{v_claim}} where source_type = 'ics' and match_confidence >= 0.1 and provider_event_id is not null group by 1) k on k.claim_key = 'pe-' || (c.event_id % 4000)::varchar
-left join (select event_key, min(event_id) as event_id from {{rows}} where source_type <> 'file_upload' group by 1) e on e.event_key = c.event_key
-left join (select l.event_id as cid, r.event_id, case when l.w <> '' and l.w = r.w then 0 when l.w = '' or r.w = '' then 1 else 2 end as tier from {{rows}} l join {{rows}} r on l.t = r.t and l.t <> '' and l.d = r.d and l.source_type = 'file_upload' and r.source_type <> 'file_upload' qualify row_number() over (partition by l.event_id order by tier, r.event_id) = 1) f on f.cid = c.event_id""",
-         keys=EVENT_KEYS, rows=f"select event_id, source_type, event_key, {TITLE} as t, start_ts::date as d, case when event_id % 6 > 0 then {sql_title('location_text')} else '' end as w from {{keys}}")
+from (select * from {rows} where source_type = 'file_upload') c
+left join (select provider_event_id as claim_key, min(event_id - event_id % 4 + 1) as event_id from {v_claim} where source_type = 'ics' and match_confidence >= 0.1 and provider_event_id is not null group by 1) k on k.claim_key = 'pe-' || (c.event_id % 4000)::varchar
+left join (select event_key, min(event_id) as event_id from {rows} where source_type <> 'file_upload' group by 1) e on e.event_key = c.event_key
+left join (select l.event_id as cid, r.event_id, case when l.w <> '' and l.w = r.w then 0 when l.w = '' or r.w = '' then 1 else 2 end as tier from {rows} l join {rows} r on l.t = r.t and l.t <> '' and l.d = r.d and l.source_type = 'file_upload' and r.source_type <> 'file_upload' qualify row_number() over (partition by l.event_id order by tier, r.event_id) = 1) f on f.cid = c.event_id"""
+EVENT_ROWS = f"select event_id, source_type, event_key, {TITLE} as t, start_ts::date as d, case when event_id % 6 > 0 then {sql_title('location_text')} else '' end as w from {{keys}}"
+register("d15_event_matches", lambda v: matching.match_events(*event_sides(v)), EVENT_MATCHES, keys=EVENT_KEYS, rows=EVENT_ROWS)
 register("d16_url_in_registry", lambda v: v("v_event").select("event_id", text.hash_of(text.source_url("source_url")).alias("h")).join(v("v_event").groupBy(text.hash_of(text.source_url("source_url")).alias("h")).agg(F.min("event_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "h").where("n > 1 and event_id <> first_id").select("event_id", "first_id"),
          f"select event_id, first_id from (select event_id, min(event_id) over (partition by {URL}) as first_id from {{v_event}}) where event_id <> first_id")
 register("d17_listed_attempts", lambda v: matching.listed(v("v_attempt"), v("v_attempt").where("attempt_id < 10").select(F.lit("email").alias("kind"), F.lower("email").alias("value")).union(v("v_attempt").where("attempt_id < 2").select(F.lit("domain"), F.lower("domain"))), "attempt_id"),
@@ -99,7 +99,7 @@ register("d20_events_without_claims", lambda v: v("v_event").join(v("v_claim"),
 register("d21_route_stops", lambda v: v("v_claim").select("claim_id", F.when(F.col("claim_id") % 3 == 0, "event").when(F.col("claim_id") % 3 == 1, "venue").otherwise("artist").alias("stop_type"), F.when(F.col("claim_id") % 3 == 0, F.col("event_id")).when(F.col("claim_id") % 3 == 1, F.col("source_id")).otherwise(F.col("artist_id")).alias("ref_id")).join(v("v_event").select(F.lit("event").alias("stop_type"), F.col("event_id").alias("ref_id"), F.col("title").alias("label")).unionByName(v("v_venue").select(F.lit("venue").alias("stop_type"), F.col("venue_id").alias("ref_id"), F.col("name").alias("label"))).unionByName(v("v_artist").select(F.lit("artist").alias("stop_type"), F.col("artist_id").alias("ref_id"), F.col("name").alias("label"))), ["stop_type", "ref_id"], "left").select("claim_id", "stop_type", "label"),
          "select claim_id, case claim_id % 3 when 0 then 'event' when 1 then 'venue' else 'artist' end as stop_type, case claim_id % 3 when 0 then e.title when 1 then w.name else a.name end as label from {v_claim} c left join {v_event} e on e.event_id = c.event_id left join {v_venue} w on w.venue_id = c.source_id left join {v_artist} a on a.artist_id = c.artist_id")
 
-register("e01_event_keys", lambda v: upsert.event_keys(v("v_event")).select("event_id", "source_type", "event_key", "weak_key", "key_confidence"), "select event_id, event_key, weak_key, key_confidence from {keys}", keys=EVENT_KEYS)
+register("e01_event_keys", lambda v: upsert.event_keys(v("v_event")).select("event_id", "source_type", "event_key", "weak_key", "key_confidence"), "select event_id, source_type, event_key, weak_key, key_confidence from {keys}", keys=EVENT_KEYS)
 register("e02_claim_keys", lambda v: v("v_claim").select("claim_id", upsert.claim_key("provider", "provider_event_id", "source_type", "record_id", F.col("event_id").cast("string")).alias("claim_key")),
          f"select claim_id, case when provider_event_id is not null then {_sql_hash(chr(39) + 'provider-event' + chr(39), 'provider', 'provider_event_id')} when record_id is not null then {_sql_hash(chr(39) + 'source-record' + chr(39), 'source_type', 'record_id')} else {_sql_hash(chr(39) + 'claim' + chr(39), 'source_type', 'event_id')} end as claim_key from {{v_claim}}")
 
@@ -121,17 +121,6 @@ from (select *, event_id % 3 > 0 as g, event_id % 2 = 0 as i, title || case when
 register("e05_claim_counts", lambda v: v("v_claim").groupBy("event_id").agg(F.count(F.lit(1)).alias("claims"), F.countDistinct("source_id").alias("sources")), "select event_id, count(*) as claims, count(distinct source_id) as sources from {v_claim} group by 1")
 register("e06_duplicate_groups", lambda v: upsert.duplicate_groups(upsert.event_keys(v("v_event")).where("start_ts is not null")).select("weak_key", "event_id", "role"),
          "select weak_key, event_id, case when event_id = min(event_id) over w then 'possible_primary' else 'duplicate_candidate' end as role from {keys} where start_ts is not null window w as (partition by weak_key) qualify count(*) over w > 1", keys=EVENT_KEYS)
-_MEMBERS = "select event_id, min(event_id) over w as primary_id from {keys} where start_ts is not null window w as (partition by weak_key) qualify count(*) over w > 1"
-
-
-def _members(v):
-    groups = upsert.duplicate_groups(upsert.event_keys(v("v_event")).where("start_ts is not null"))
-    return groups.join(groups.groupBy("weak_key").agg(F.min("event_id").alias("primary_id")), "weak_key").select("event_id", "primary_id")
-
-
-register("e07_merged_groups", lambda v: upsert.merge_groups(v("v_event").select("event_id", "genre", "image_url", "duplicate_status"), _members(v), ["genre", "image_url"]),
-         "select e.event_id, case when e.event_id = m.primary_id then f.genre else e.genre end as genre, case when e.event_id = m.primary_id then f.image_url else e.image_url end as image_url, case when m.primary_id = e.event_id then 'none' when m.primary_id is not null then 'merged' else e.duplicate_status end as duplicate_status, case when m.primary_id <> e.event_id then m.primary_id end as canonical_event_id from {v_event} e left join {m} m on m.event_id = e.event_id left join (select primary_id, min_by(genre, m.event_id) filter (genre is not null) as genre, min_by(image_url, m.event_id) filter (image_url is not null) as image_url from {m} m join {v_event} e on e.event_id = m.event_id group by 1) f on f.primary_id = e.event_id", keys=EVENT_KEYS, m=_MEMBERS)
-register("e07_moved_claims", lambda v: upsert.move_claims(v("v_claim").select("claim_id", "event_id"), _members(v)).select("claim_id", "event_id"), "select claim_id, coalesce(primary_id, c.event_id) as event_id from {v_claim} c left join {m} m on m.event_id = c.event_id", keys=EVENT_KEYS, m=_MEMBERS)
 POI_KEY = f"select *, case when n <> '' and lat is not null and lng is not null then 'name_geo:' || n || '|lat:' || printf('%.5f', lat) || '|lng:' || printf('%.5f', lng) when places_id is not null then 'places_id:' || lower(places_id) when export_id is not null then 'export_id:' || lower(export_id) else 'name_location:' || n || '|' || lower(city) || '|' || lower(state) || '|' || coalesce({sql_place('address')}, '') end as poi_key from (select *, {sql_place('name')} as n from {{v_poi}})"
 register("e08_poi_keys", lambda v: upsert.poi_key(v("v_poi")).select("poi_id", "poi_key", "poi_key_confidence"), "select poi_id, poi_key, case when poi_key like 'name_location:%' then 'weak' else 'strong' end as poi_key_confidence from {k}", k=POI_KEY)
 register("e09_duplicate_report", lambda v: upsert.first_pairs(upsert.poi_key(v("v_poi")), "poi_key", "poi_id").select(F.lit("strong").alias("confidence")).unionByName(matching.poi_pairs(v("v_poi")).select("confidence")).groupBy("confidence").agg(F.count(F.lit(1)).alias("n")),

@@ -57,19 +57,6 @@ register("d19_record_lineage", lambda v: v("v_claim").select("claim_id", "event_
          "select claim_id, provider, publish_status, coalesce(images, 0) as images from (select c.claim_id, c.provider, e.publish_status, i.images from {v_claim} c left join {v_event} e using (event_id) left join (select event_id, count(*) as images from {v_image} group by 1) i using (event_id))")
 
 
-def _upsert(v):
-    """E3: match uploaded events against those of other sources, then name the action."""
-    keys = upsert.event_keys(v("v_event"))
-    golden = keys.where("source_type <> 'file_upload'").groupBy("event_key").agg(F.min("event_id").alias("golden_id"))
-    weak = keys.where("source_type <> 'file_upload' and start_ts is not null").groupBy("weak_key").agg(F.min("event_id").alias("weak_id"))
-    out = keys.where("source_type = 'file_upload'").join(golden, "event_key", "left").join(weak, "weak_key", "left")
-    life = text.lifecycle(F.col("event_status"), F.lit(""))
-    action = F.when(life == "cancelled", "cancelled").when(F.col("golden_id").isNotNull(), "updated").when(F.col("weak_id").isNotNull(), "duplicate_candidate").otherwise("created")
-    return out.select("event_id", action.alias("action"))
-
-
-register("e03_upsert_actions", _upsert,
-         "select event_id, case when regexp_matches(lower(event_status), 'cancell?ed') then 'cancelled' when g.event_key is not null then 'updated' when w.weak_key is not null then 'duplicate_candidate' else 'created' end as action from (select * from {keys} where source_type = 'file_upload') c left join (select distinct event_key from {keys} where source_type <> 'file_upload') g on g.event_key = c.event_key left join (select distinct weak_key from {keys} where source_type <> 'file_upload' and start_ts is not null) w on w.weak_key = c.weak_key", keys=EVENT_KEYS)
 register("e11_poi_import", lambda v: (lambda p: p.withColumn("n", F.row_number().over(Window.partitionBy("poi_key").orderBy("poi_id"))).select("poi_id", F.when(F.col("category") == "Concert", "skipped").when(F.col("poi_key_confidence") == "weak", "weak_key").when(F.col("n") > 1, "duplicate").otherwise("created").alias("action")))(upsert.poi_key(v("v_poi"))).groupBy("action").agg(F.count(F.lit(1)).alias("n")),
          f"select case when category = 'Concert' then 'skipped' when k like 'name_location:%' then 'weak_key' when n > 1 then 'duplicate' else 'created' end as action, count(*) as n from (select *, row_number() over (partition by k order by poi_id) as n from (select poi_id, category, case when {sql_place('name')} <> '' and lat is not null and lng is not null then 'name_geo:' || {sql_place('name')} || printf('%.5f', lat) || '|' || printf('%.5f', lng) when places_id is not null then 'places_id:' || places_id when export_id is not null then 'export_id:' || export_id else 'name_location:' || {sql_place('name')} || '|' || city || '|' || state || '|' || coalesce(address, '') end as k from {{v_poi}})) group by 1")
 register("e14_artist_registry", lambda v: v("v_claim").join(v("v_artist"), "artist_id").where("trim(name) <> ''").groupBy(text.artist_key("name").alias("artist_key")).agg(F.countDistinct("event_id").alias("events"), F.min("external_id").alias("external_id"), F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels")),

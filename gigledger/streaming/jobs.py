@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.upsert import merge_fields
+from ..sources.golden import GoldenTable
 
 
 def rate_counts(attempts: DataFrame, key: str, ts: str = "created_at", window: str = "1 hour", slide: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
@@ -81,20 +81,18 @@ def source_health_batch(crawls: DataFrame) -> DataFrame:
     )
 
 
-def continuous_upsert(incoming: DataFrame, folder: str, key: str, order: list[str], policy: dict[str, str], checkpoint: str):
-    """Merge a stream of candidates into a golden Parquet table, one version per micro-batch; returns the started query.
+def continuous_upsert(incoming: DataFrame, golden: GoldenTable, order: list[str], checkpoint: str, compact_every: int = 20, least_deltas: int = 4):
+    """Merge a stream of candidates into a golden table, one delta per micro-batch; returns the started query.
 
-    Within a batch the last row per key by `order` counts. Each batch reads the newest version and
-    writes the next one under its own batch id, so a batch that is run again writes the same
-    version again.
+    A batch reads and writes only the buckets that it touches. Every so many batches the buckets
+    that have gathered enough deltas get new base files. A batch that is run again merges into the
+    table as it was before it and writes the same delta again.
     """
-    from ..operators.windows import latest
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = latest(batch, [key], [F.col(c).desc() for c in order]).select(key, *policy)
-        golden = spark.read.parquet(f"{folder}/v{batch_id}") if batch_id else spark.createDataFrame([], rows.schema)
-        merge_fields(golden, rows, key, policy).select(key, *policy).write.mode("overwrite").parquet(f"{folder}/v{batch_id + 1}")
+        golden.upsert(batch, batch_id, order)
+        if (batch_id + 1) % compact_every == 0:
+            golden.compact(batch_id, least_deltas)
 
     return incoming.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
