@@ -90,19 +90,8 @@ register("a07_rss_items", lambda v: bodies.rss_items(_rss(v)).select("key", "tit
          "select region_id as key, trim(title) as title, 'https://x.example.com/' || event_id::varchar as link, (case when event_id % 4 > 0 then start_ts + interval 1230 minutes end)::varchar as starts, event_id % 4 = 0 as only_published from {v_event} where start_ts is not null and trim(title) <> ''")
 
 
-def _jsonld(v):
-    event = F.struct(F.lit("MusicEvent").alias("@type"), F.col("title").alias("name"), F.date_format("start_ts", "yyyy-MM-dd'T'HH:mm").alias("startDate"), F.col("source_url").alias("url"), F.struct(F.col("location_text").alias("name")).alias("location"))
-    one = F.concat(F.lit('<html><script type="application/ld+json">'), F.when(F.col("event_id") % 2 == 0, F.to_json(event)).otherwise(F.concat(F.lit('{"@graph":[{"@type":"WebPage","name":"p"},'), F.to_json(event), F.lit("]}"))), F.lit("</script></html>"))
-    return v("v_event").where("start_ts is not null").select(F.col("event_id").alias("key"), one.alias("body"))
-
-
-register("a08_jsonld_events", lambda v: bodies.jsonld_events(_jsonld(v)).select("key", "name", F.col("starts").cast("string").alias("starts"), "venue"), "select event_id as key, trim(title) as name, start_ts::varchar as starts, location_text as venue from {v_event} where start_ts is not null and trim(title) <> ''")
-register("a09_page_links", lambda v: bodies.page_links(v("pages").withColumnRenamed("page_id", "key"), "key", "html", 5, "^/").select("key", F.col("position").cast("long").alias("position"), "link"),
-         """select key, p - 1 as position, u as link from (select key, u, row_number() over (partition by key order by f) as p from (select key, u, min(i) as f from (select page_id as key, unnest(l) as u, unnest(range(1, len(l) + 1)) as i from (select page_id, regexp_extract_all(html, '(?i)<a\\s[^>]*?href=["'']([^"''#]+)', 1) as l from {pages})) where u like '/%' group by 1, 2)) where p <= 5""")
 register("a10_free_dates", lambda v: v("v_event").where("start_ts is not null").select("event_id", text.free_date(F.concat(F.lit("on "), F.when(F.col("event_id") % 4 == 0, F.date_format("start_ts", "M/d/yyyy")).when(F.col("event_id") % 4 == 1, F.date_format("start_ts", "MMMM d, yyyy")).when(F.col("event_id") % 4 == 2, F.date_format("start_ts", "d MMMM yyyy")).otherwise(F.date_format("start_ts", "yyyy-MM-dd")), F.lit(" in town"))).cast("string").alias("starts")),
          "select event_id, start_ts::varchar as starts from {v_event} where start_ts is not null")
-register("a11_routed_bodies", lambda v: bodies.extract(_ics(v).select(F.concat(F.lit("i"), "key").alias("key"), "body", F.lit("text/calendar").alias("content_type")).unionByName(_rss(v).select(F.concat(F.lit("r"), "key").alias("key"), "body", F.lit("text/xml").alias("content_type"))).unionByName(_jsonld(v).select(F.concat(F.lit("j"), "key").alias("key"), "body", F.lit("text/html").alias("content_type")))).groupBy("extractor").agg(F.count(F.lit(1)).alias("n"), F.count("starts").alias("dated")),
-         "select 'ics' as extractor, count(*) as n, count(*) as dated from {v_event} where start_ts is not null union all select 'rss', count(*), count_if(event_id % 4 > 0)::bigint from {v_event} where start_ts is not null and trim(title) <> '' union all select 'json_ld', count(*), count(*) from {v_event} where start_ts is not null and trim(title) <> ''")
 register("a12_page_images", lambda v: bodies.page_images(v("v_image").select(F.col("image_id").alias("key"), F.concat(F.lit('<head><meta property="og:image" content="'), "url", F.lit('"><meta content="'), "url", F.lit('" name="twitter:image"></head>')).alias("body"))).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("url").alias("urls")),
          "select s as source, count(*) as n, count(distinct url) as urls from {v_image} cross join (values ('og_image'), ('twitter_image')) t(s) group by 1")
 

@@ -115,7 +115,7 @@ def test_look_back_counts_equal_times_and_not_itself(spark):
 def test_bodies(spark):
     ics = "BEGIN:VCALENDAR\nBEGIN:VEVENT\nSUMMARY:A\\, b\nDTSTART;TZID=America/Chicago:20260801T200000\nEND:VEVENT\nBEGIN:VEVENT\nSUMMARY:no start\nEND:VEVENT\nBEGIN:VEVENT\nSUMMARY:Day\nDTSTART;VALUE=DATE:20260802\nEND:VEVENT\nEND:VCALENDAR"
     rss = "<rss><item><title>Gig on July 4, 2026 at 8 pm</title><link>u</link></item><item><title><![CDATA[Later]]></title><pubDate>x</pubDate></item></rss>"
-    card = "<html><article><h2>Show &amp; tell</h2><time datetime='2026-05-01T20:00'>May</time><a href='/e/1'>x</a></article></html>"
+    card = "<html><article class='event'><h2>Show &amp; tell</h2><time datetime='2026-05-01T20:00'>May</time><a href='/e/1'>x</a></article></html>"
     empty_ld = '<html><script type="application/ld+json">{"@type":"WebPage"}</script>' + card
     rows = [("i", ics, "text/calendar"), ("r", rss, "application/rss+xml"), ("h", card, "text/html"), ("f", empty_ld, "text/html"), ("n", None, None), ("x", "plain", "text/plain")]
     df = spark.createDataFrame(rows, "key string, body string, content_type string")
@@ -131,6 +131,27 @@ def test_bodies(spark):
     assert bodies.extract(df.limit(0)).collect() == []
 
 
+def test_jsonld_at_any_depth_and_links_of_a_page(spark):
+    event = '{"@type":["Thing","https://schema.org/MusicEvent"],"name":" A &amp; b ","startDate":"2026-05-01","url":{"@id":"e/1"},"image":["",{"url":"//cdn.example.com/x.PNG?y"}],"performer":[[],"Solo"],"offers":[{"lowPrice":5,"highPrice":"9"}]}'
+    deep = event
+    for _ in range(4):
+        deep = '[{"@type":"WebPage","@graph":[' + deep + "]}]"
+    script = lambda j: f"<script type='application/ld+json'>{j}</script>"
+    rows = [(1, script(deep)), (2, script("{") + script("[]") + script("null") + script('{"@type":7}')), (3, script('{"@type":"Event"}')), (4, script('{"@type":"SportsEvent","name":"x"}')), (5, None), (6, script('{"@type":"EVENT","startDate":"2026-01-02T10:00"}') * 2)]
+    df = spark.createDataFrame(rows, "key long, body string").withColumn("url", F.lit("https://a.example.com/d/p?q"))
+    got = {r.key: r for r in bodies.jsonld_events(df, url="url").collect()}
+    assert sorted(got) == [1, 6]
+    r = got[1]
+    assert (r.name, str(r.starts), r.url, r.images, r.headliner, r.supporting_artists, r.price, r.errors) == ("A & b", "2026-05-01 00:00:00", "https://a.example.com/d/e/1", ["https://cdn.example.com/x.PNG?y"], "Solo", None, "5 9", [])
+    assert got[6].errors == ["missing_name"] and bodies.jsonld_events(df, depth=3).where("key = 1").count() == 0
+    page = "<a href='/x'>Concert hall</a><a href='/x'>again an event</a><a href=\"/shows/2\"><b>Two</b></a><a href='/about'>About</a><a class='c' href='https://b.example.com/'>Tickets</a>"
+    links = bodies.page_links(spark.createDataFrame([(1, page), (2, ""), (3, None)], "key long, body string")).collect()
+    assert [(x.position, x.href, x.text, x.reason, x.confidence) for x in links] == [(0, "/x", "Concert hall", "concert", 0.72), (1, "/shows/2", "Two", "show", 0.55), (2, "https://b.example.com/", "Tickets", "tickets", 0.55)]
+    base = F.lit("https://a.example.com")
+    urls = spark.createDataFrame([("x",), ("/x",), ("//c/x",), ("?x",), ("mailto:x",), (None,)], "u string").select(bodies.absolute_url(F.col("u"), base)).collect()
+    assert [u[0] for u in urls] == ["https://a.example.com/x", "https://a.example.com/x", "https://c/x", "https://a.example.com?x", "mailto:x", None]
+
+
 def test_sheets_and_sinks(spark, tmp_path):
     (tmp_path / "e.csv").write_text("Category,Event Name,Headliner,Start Date,Timezone,Venue Name,City,State\n Concert ,\"A, b\nc\",H,2026-01-01,UTC,V,C,S\n,,,,,,,\n")
     rows = sheets.read_sheet(spark, str(tmp_path / "e.csv"), sheets.EVENT_SHEET).orderBy("row_number").collect()
