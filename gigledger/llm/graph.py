@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 from .util import cut
 
 
+def fewer_links(edges: DataFrame) -> DataFrame:
+    """Links (a, b) with the same components as those given, where many left ends share few right ends.
+
+    A left end keeps the link to its smallest right end, and its right ends are linked to that one:
+    stars over one group from several blocks come down to one link a member. A left end has at
+    most as many right ends as there are blocks that hold it.
+    """
+    stars = edges.where("a <> b").groupBy("a").agg(F.min("b").alias("low"), F.collect_set("b").alias("ends"))
+    hubs = stars.where("size(ends) > 1").select(F.explode("ends").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
+    return stars.select("a", F.col("low").alias("b")).unionAll(hubs)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Edges (a long, b long) -> (node, root): root is the smallest node reachable.
 

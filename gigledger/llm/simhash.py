@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components
+from .graph import components, fewer_links
 from .util import cut, encode_utf8, numbered, without_rows, written
 
 BLOCK = 1024  # fingerprints compared at once; larger groups are split into blocks
@@ -450,7 +450,7 @@ def drop_near_duplicates(docs: DataFrame, text_col: str = "text", shingle: int =
     prints = cut(similar_sketches(rows, "row", text, shingle).withColumnRenamed("doc_id", "row"))
     reps = cut(prints.groupBy("f1", "f2").agg(F.min("row").alias("low")))
     links, radius = candidate_links(reps, similarity, recall)
-    linked = components(verified_links(rows, reps, components(links), "row", text, shingle, similarity, radius))
+    linked = components(verified_links(rows, reps, components(fewer_links(links)), "row", text, shingle, similarity, radius))
     group = reps.join(linked.withColumnRenamed("node", "low"), "low", "left").select("f1", "f2", F.coalesce("root", "low").alias("root"))
     placed = rows.select("row", own_id.alias("id")).join(prints.join(group, ["f1", "f2"]).select("row", "root"), "row")
     first = cut(placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("m")).select("m.row"))

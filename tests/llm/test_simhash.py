@@ -219,3 +219,15 @@ def test_components_of_a_long_chain(spark):
     got = {r.node: r.root for r in components(edges).collect()}
     assert got == {i: 0 for i in range(201)} | {900: 900, 901: 900}
     assert components(edges.limit(0)).collect() == []
+
+
+def test_fewer_links_keep_the_components(spark):
+    from gigledger.llm.graph import fewer_links
+
+    r = random.Random(8)
+    for _ in range(3):
+        links = [(r.randrange(60), 100 + r.randrange(12)) for _ in range(70)] + [(3, 3)]
+        df = spark.createDataFrame(links, "a long, b long")
+        fewer = fewer_links(df)
+        want, got = ({x.node: x.root for x in components(d).collect()} for d in (df, fewer))
+        assert got == want and fewer.count() <= len({a for a, b in links if a != b}) + 12 * 11
