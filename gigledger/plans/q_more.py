@@ -40,8 +40,6 @@ _RUNGS = " ".join(f"when regexp_matches(t, '{'|'.join(words)}') then {i}" for i,
 _RUNG_ROWS = ", ".join(f"({i}, '{c}', '{s}', {n})" for i, (_, c, s, n) in enumerate(places.SUGGESTIONS)) + ", (-1, 'Music Site', 'Venues', 0.58), (-2, 'unknown', null, 0.0)"
 register("b20_category_suggestion", lambda v: v("v_poi").select("poi_id", places.suggest_category(F.concat(F.coalesce("name", F.lit("")), F.lit(" "), F.element_at(F.array(*[F.lit(w) for w in PLACE_WORDS]), (F.col("poi_id") % len(PLACE_WORDS) + 1).cast("int")))).alias("s")).select("poi_id", "s.category", "s.subcategory", "s.confidence"),
          f"select poi_id, category, subcategory, confidence::double as confidence from (select poi_id, case when trim(t) = '' then -2 {_RUNGS} else -1 end as r from (select poi_id, lower({_PLACE}) as t from {{v_poi}})) join (values {_RUNG_ROWS}) l(r, category, subcategory, confidence) using (r)")
-register("b23_event_projection", lambda v: filters.event_feed(v("v_event")).select("event_id", F.to_json(F.struct(F.col("event_id").alias("id"), F.struct(F.col("venue_id").alias("id")).alias("venue"))).alias("payload")),
-         """select event_id, '{"id":' || event_id::varchar || ',"venue":{"id":' || venue_id::varchar || '}}' as payload from {v_event} where publish_status in ('approved', 'published') and not regexp_matches(lower(event_status), 'cancell?ed') and duplicate_status not in ('duplicate_candidate', 'merged', 'rejected')""")
 register("b27_staged_candidates", lambda v: v("v_event").select("event_id", text.clean("title").alias("event_name"), F.array_join(text.flags((text.is_blank("title"), "missing_title"), (F.col("start_ts").isNull(), "missing_start"), (text.is_blank("location_text"), "missing_venue")), ",").alias("errors")).withColumn("review", F.when(F.col("errors") == "", "pending_review").otherwise("needs_fix")),
          "select event_id, nullif(trim(title), '') as event_name, e as errors, case when e = '' then 'pending_review' else 'needs_fix' end as review from (select *, " + sql_flags(("trim(title) = ''", "missing_title"), ("start_ts is null", "missing_start")) + " as e from {v_event})")
 register("c10_quality_bucket_filter", lambda v: scores.event_readiness(with_venue(v)).where(F.array_contains("blockers", "missing_venue_location") & F.lower("title").contains("urgent")).select("event_id"),

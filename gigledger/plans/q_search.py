@@ -119,12 +119,10 @@ def _sheet(v):
 
 register("a01_event_sheet", lambda v: _sheet(v).select("event_id", F.array_join(sheets.event_sheet_errors(), ",").alias("errors")),
          "select event_id, " + sql_flags(("event_id % 11 = 0", "non_concert_category"), ("trim(title) = ''", "event_name_missing"), ("headliner is null", "headliner_missing"), ("start_ts is null", "start_date_missing"), ("event_id % 13 = 0", "state_missing"), ("event_id % 2 > 0 and coalesce(tickets_link, '') = ''", "event_or_ticket_url_missing"), ("event_id % 5 = 0", "venue_address_or_coordinates_missing"), ("event_id % 2 = 0", "event_url_not_full_url"), ("event_id % 7 = 0", "main_image_social_media_url"), ("event_id % 7 = 1", "main_image_not_direct_public_image"), ("event_id % 17 = 0", "additional_image_social_media_url"), sort=True) + " as errors from {v_event}")
-register("a13_feed_export", lambda v: sinks.feed_records(v("v_poi").where("publish_status = 'published'"), "poi", "poi_id", ["poi_id", "name", "city"]), """select 'poi' as kind, poi_id::varchar as id, '{"poi_id":' || poi_id::varchar || ',"name":"' || name || '","city":"' || city || '"}' as payload from {v_poi} where publish_status = 'published'""")
 register("a14_manifest", lambda v: sinks.manifest(sinks.feed_records(v("v_poi"), "poi", "poi_id", ["poi_id", "city"]).unionByName(sinks.feed_records(v("v_venue"), "venue", "venue_id", ["venue_id", "city"]))).select("kind", "records", "bytes"),
          """select kind, count(*) as records, sum(strlen(p))::bigint as bytes from (select 'poi' as kind, '{"poi_id":' || poi_id::varchar || ',"city":"' || city || '"}' as p from {v_poi} union all select 'venue', '{"venue_id":' || venue_id::varchar || ',"city":"' || city || '"}' from {v_venue}) group by 1""")
 register("a16_report_rows", lambda v: rollups.metric_rows(v("v_event").groupBy("region_id").agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("publish_status") == "published").alias("published")), ["region_id"]),
          "select region_id, 'events' as metric, count(*)::double as value from {v_event} group by 1 union all select region_id, 'published', count_if(publish_status = 'published')::double from {v_event} group by 1")
-register("a17_latest_export", lambda v: v("v_claim").groupBy("source_type").agg(F.max_by("claim_id", F.struct("seen_at", "claim_id")).alias("latest")), "select source_type, max_by(claim_id, (seen_at, claim_id)) as latest from {v_claim} group by 1")
 register("b25_search_results", lambda v: v("v_venue").select("venue_id", F.concat_ws(", ", text.clean("city"), text.clean("state")).alias("subtitle"), F.array_join(F.array_compact(F.array(F.when(F.col("lat").isNotNull(), "mapped"), F.when(F.col("zip").isNotNull(), "zip"))), " ").alias("badges"), F.concat(F.lit("/venues/"), F.col("venue_id").cast("string")).alias("url")),
          "select venue_id, city || ', ' || state as subtitle, concat_ws(' ', case when lat is not null then 'mapped' end, case when zip is not null then 'zip' end) as badges, '/venues/' || venue_id::varchar as url from {v_venue}")
 register("b14_source_chain", lambda v: v("v_claim").groupBy("event_id").agg(F.array_sort(F.collect_set(F.concat_ws(":", "source_type", "provider"))).alias("c")).select("event_id", F.array_join("c", " > ").alias("chain"), F.size("c").cast("long").alias("n")), "select event_id, string_agg(distinct source_type || ':' || provider, ' > ' order by source_type || ':' || provider) as chain, count(distinct source_type || ':' || provider) as n from {v_claim} group by 1")

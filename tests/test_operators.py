@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gigledger.functions import geo, text
 from gigledger.operators import filters, images, matching, review, tickets, upsert, windows
-from gigledger.sources import bodies, sheets, sinks
+from gigledger.sources import bodies, sheets, sinks, snapshots
 
 
 def one(spark, column, value, kind="string"):
@@ -185,3 +185,19 @@ def test_board_and_image_filters(spark):
     crowd = unknown.withColumns({"is_direct": F.lit(True), "can_be_final": F.lit(True), "is_generic_crowd": F.lit(True), "width": F.lit(2000), "height": F.lit(399)})
     assert crowd.select(images.blocking_reasons()).first()[0] == ["generic crowd without music signal", "severe low resolution"]
     assert crowd.select(images.blocking_reasons(override=True)).first()[0] == []
+
+
+def test_exports_are_told_apart_by_hashes_and_failures_stay_out(spark, tmp_path):
+    folder = str(tmp_path / "x")
+    made = lambda rows: snapshots.records(spark.createDataFrame(rows, "id long, name string"), "poi", "id", F.struct("id", "name"))
+    assert snapshots.latest(snapshots.read_manifest(spark, folder)).collect() == [] and snapshots.snapshot(spark, folder, "pois").collect() == []
+    first, second = made([(1, "a"), (2, "b"), (3, None)]), made([(1, "a"), (2, "c"), (4, "d")])
+    assert snapshots.export(first, folder, "pois", "1", "2026-01-01 00:00:00") and not snapshots.export(second, folder, "nothing", "2", "2026-01-02 00:00:00")
+    assert not snapshots.export(second.drop("hash"), folder, "pois", "3", "2026-01-03 00:00:00")
+    diff = snapshots.changes(snapshots.snapshot(spark, folder, "pois"), second)
+    assert sorted((r.id, r.change) for r in diff.collect()) == [("1", "unchanged"), ("2", "changed"), ("3", "withdrawn"), ("4", "new")]
+    assert snapshots.export(second, folder, "pois", "4", "2026-01-04 00:00:00") and snapshots.export(first, folder, "venues", "5", "2026-01-05 00:00:00")
+    newest = sorted((r.export_type, r.export_id, r.kind, r.records) for r in snapshots.latest(snapshots.read_manifest(spark, folder)).collect())
+    assert newest == [("pois", "4", "poi", 3), ("venues", "5", "venue", 0)]
+    assert {r.error is None for r in snapshots.read_manifest(spark, folder).where("status = 'failure'").collect()} == {False}
+    assert sorted(spark.read.json(f"{folder}/feed/export_id=4").select("id", "name").collect()) == [(1, "a"), (2, "c"), (4, "d")]
