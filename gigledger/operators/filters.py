@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import MILES, haversine
-from ..functions.text import clean, is_blank
+from ..functions.text import clean, flags, is_blank
 
 # States that keep an event or a place out of the feed.
 DUPLICATE_EXCLUDED = ("duplicate_candidate", "merged", "rejected")
@@ -291,3 +291,15 @@ def page(rows: DataFrame, order: list[Column], number: int, size: int, most: int
 
 
 __all__ = ["clean", "contains_text", "api_records", "crawl_gate", "event_feed", "every", "hide_blocked", "image_wishes", "images", "like", "page", "poi_buckets", "poi_feed", "review_board", "suspicious", "within"]
+
+
+# Names of the rate limits in the order in which they are told, and counts from which attempts are too many whatever the limits.
+RATE_FLAGS = (("email_day", "rate_limit_email_day_exceeded"), ("ip_hour", "rate_limit_ip_hour_exceeded"), ("domain_day", "rate_limit_domain_day_exceeded"), ("route_hour", "rate_limit_route_hour_exceeded"), ("agent_hour", "rate_limit_user_agent_hour_exceeded"), ("global_hour", "rate_limit_global_hour_exceeded"))
+TOO_MANY = (("email_day", 5), ("ip_hour", 8), ("domain_day", 10))
+
+
+def rate_flags(limits: dict[str, int]) -> Column:
+    """Flags of an attempt from its look-backs (the columns of RATE_FLAGS, other_domains and invalid_hour); a count without a limit raises no flag of its own."""
+    exceeded = [(F.col(c) >= limits[c], name) for c, name in RATE_FLAGS if c in limits]
+    many = reduce(lambda a, b: a | b, [F.col(c) >= n for c, n in TOO_MANY])
+    return flags(*exceeded, (many, "too_many_recent_submissions"), (F.col("other_domains") >= 3, "same_email_many_unrelated_domains"), (F.col("invalid_hour") >= 3, "repeated_failed_or_invalid_submissions"))

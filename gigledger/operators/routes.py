@@ -1,11 +1,56 @@
-"""Quality of routes and their stops."""
+"""Routes: positions and segments of their stops, their quality, and the feed of those that are ready."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geo import MILES, haversine
 from ..functions.text import flags, is_blank
+from .sweep import PART, ranged, running_sums, with_next
+
+
+def positioned(stops: DataFrame, route: str, order: list[str], lat: str = "lat", lng: str = "lng") -> DataFrame:
+    """Adds stop_order (from 1 within the route), to_stop (the next stop's last order column, null at the end), to_lat and to_lng.
+
+    order must be total within a route. A route may span tasks: positions are running sums over
+    ranges of stops, and the last stop of a range meets the first of the next.
+    """
+    dealt = ranged(stops, [route], order)
+    placed = running_sums(dealt, [route], order, {"stop_order": F.lit(1)})
+    return with_next(placed, [route], order, {"to_stop": order[-1], "to_lat": lat, "to_lng": lng}).drop(PART)
+
+
+def legs(lat: str = "lat", lng: str = "lng") -> dict[str, Column]:
+    """Columns of a leg to the next stop: miles (1 decimal), minutes at 28 mph, walking minutes at 3 mph up to 3 miles, at least one minute each, and both as texts; null without both places."""
+    miles = F.round(haversine(lat, lng, "to_lat", "to_lng", MILES), 1)
+    drive = F.greatest(F.lit(1), F.bround(miles / 28 * 60).cast("long"))
+    walk = F.when(miles <= 3, F.greatest(F.lit(1), F.bround(miles / 3 * 60).cast("long")))
+    hours, rest = F.floor(drive / 60), drive % 60
+    text = F.when(drive < 60, F.concat(drive.cast("string"), F.lit(" min drive"))).when(rest == 0, F.concat(hours.cast("string"), F.lit(" hr drive"))).otherwise(F.concat(hours.cast("string"), F.lit(" hr "), rest.cast("string"), F.lit(" min drive")))
+    known = miles.isNotNull()
+    return {"miles": miles, "drive_minutes": F.when(known, drive), "walk_minutes": walk, "drive_text": F.when(known, text), "walk_text": F.concat(walk.cast("string"), F.lit(" min walk"))}
+
+
+def segments(stops: DataFrame, route: str, order: list[str], lat: str = "lat", lng: str = "lng") -> DataFrame:
+    """Consecutive stops of a route with segment_order (from 1), to_stop and the columns of legs."""
+    placed = positioned(stops, route, order, lat, lng).where("to_stop is not null")
+    return placed.withColumnRenamed("stop_order", "segment_order").withColumns(legs(lat, lng))
+
+
+def route_feed(routes: DataFrame, stops: DataFrame, order: list[str]) -> DataFrame:
+    """(route_id, kind, ordinal, stop_id, to_stop, title, lat, lng, image_url, miles, drive_minutes, walk_minutes, drive_text, walk_text) of the routes that are ready: one row per stop and per segment.
+
+    routes are those of route_quality, stops need its columns, order, title, lat and lng, too; the
+    last order column is the stop's id. A logo is not shown as an image. Nothing is gathered per route.
+    """
+    ready = route_quality(routes, stops).where("feed_ready").select("route_id")
+    placed = positioned(stops.join(ready, "route_id", "left_semi"), "route_id", order)
+    image = F.when(F.lower(F.coalesce("image_url", F.lit(""))).contains("logo"), "").otherwise(F.coalesce("image_url", F.lit("")))
+    stop = F.struct(F.lit("stop").alias("kind"), F.col("title").alias("title"), image.alias("image_url"), *[F.lit(None).cast(k).alias(n) for n, k in (("to_stop", dict(placed.dtypes)[order[-1]]), ("miles", "double"), ("drive_minutes", "long"), ("walk_minutes", "long"), ("drive_text", "string"), ("walk_text", "string"))])
+    leg = F.struct(F.lit("segment").alias("kind"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("image_url"), F.col("to_stop"), *[F.col(n) for n in legs()])
+    rows = placed.withColumns(legs()).select("route_id", F.col("stop_order").alias("ordinal"), F.col(order[-1]).alias("stop_id"), "lat", "lng", F.explode(F.when(F.col("to_stop").isNull(), F.array(stop)).otherwise(F.array(stop, leg))).alias("x"))
+    return rows.select("route_id", "x.kind", "ordinal", "stop_id", "x.to_stop", "x.title", "lat", "lng", "x.image_url", "x.miles", "x.drive_minutes", "x.walk_minutes", "x.drive_text", "x.walk_text")
 
 
 def route_quality(routes: DataFrame, stops: DataFrame) -> DataFrame:

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import MILES, haversine
-
 
 def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key by the given order, which must be total."""
@@ -29,21 +27,6 @@ def look_back(rows: DataFrame, key: str, ts: str, seconds: int, name: str, condi
     return rows.withColumn(name, F.when(F.col(key).isNull(), 0).otherwise(counted.over(w) - own))
 
 
-def look_back_distinct(rows: DataFrame, key: str, ts: str, seconds: int, value: str, name: str) -> DataFrame:
-    """Adds how many other values the key had within so many seconds."""
-    w = Window.partitionBy(key).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    seen = F.collect_set(value).over(w)
-    return rows.withColumn(name, F.size(F.array_except(seen, F.array(F.col(value)))))
-
-
-def segments(stops: DataFrame, route: str, order: list[str], lat: str = "lat", lng: str = "lng") -> DataFrame:
-    """Consecutive stops of a route: distance in miles (1 decimal), minutes at 28 mph, walking minutes at 3 mph up to 3 miles."""
-    w = Window.partitionBy(route).orderBy(*order)
-    pair = stops.withColumns({"to_lat": F.lead(lat).over(w), "to_lng": F.lead(lng).over(w), "to_stop": F.lead(order[-1]).over(w)}).where(F.col("to_stop").isNotNull())
-    pair = pair.withColumn("miles", F.round(haversine(lat, lng, "to_lat", "to_lng", MILES), 1))
-    return pair.withColumns({"drive_minutes": F.bround(F.col("miles") / 28 * 60).cast("long"), "walk_minutes": F.when(F.col("miles") <= 3, F.bround(F.col("miles") / 3 * 60).cast("long"))})
-
-
 def renumber(rows: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
     """Dense positions from 1 within each key."""
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))

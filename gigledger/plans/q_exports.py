@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import filters, published, rollups
 from ..sources import snapshots
-from ..sources.golden import shared_folder
+from ..sources.shared import shared_folder
 from .registry import register
 from .views import AS_OF
 

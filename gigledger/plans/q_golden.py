@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import upsert
-from ..sources.golden import GoldenTable, shared_folder
+from ..sources.golden import GoldenTable
+from ..sources.shared import shared_folder
 from .q_matching import EVENT_KEYS, EVENT_MATCHES, EVENT_ROWS, event_sides
 from .registry import register
 

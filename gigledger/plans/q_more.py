@@ -88,8 +88,6 @@ register("f23_audit_rollup", lambda v: rollups.metric_rows(rollups.audit_counts(
  from (select *, case when s >= 80 then 'blocked' when s >= 50 then 'high' when s >= 20 then 'medium' else 'low' end as l from (select *, case when user_id % 11 = 0 then 80 else 0 end + case when was_invalid then 80 else 0 end + case when value < 1 then 50 else 0 end as s from {v_attempt}))) on columns(*) into name metric value value)""")
 register("f25_rescue_summary", lambda v: scores.image_score(v("v_image")).groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("blocked")).alias("usable"), F.count_if("generic").alias("generic")), "select role, count(*) as n, count_if(not (clearance = 'blocked' or status = 'rejected' or url like '%logo%' or width < 720 or least(width, height) < 400))::bigint as usable, count_if(url like '%logo%')::bigint as generic from {v_image} group by 1")
 register("f27_provider_pipeline", lambda v: v("v_claim").groupBy("provider", "source_type").agg(F.count(F.lit(1)).alias("records"), F.countDistinct("event_id").alias("events"), F.round(F.avg("match_confidence"), 6).alias("confidence")), "select provider, source_type, count(*) as records, count(distinct event_id) as events, round(avg(match_confidence), 6) as confidence from {v_claim} group by 1, 2")
-register("f29_route_feed", lambda v: windows.renumber(v("v_poi").where("lat is not null and publish_status in ('approved', 'published')").withColumn("route", F.col("poi_id") % 40), ["route"], [F.col("poi_id")], "stop").join(windows.segments(v("v_poi").where("lat is not null and publish_status in ('approved', 'published')").withColumn("route", F.col("poi_id") % 40), "route", ["poi_id"]).select("poi_id", "to_stop"), "poi_id", "left").select("route", "stop", "poi_id", "city", "to_stop"),
-         "select poi_id % 40 as route, row_number() over (partition by poi_id % 40 order by poi_id) as stop, poi_id, city, lead(poi_id) over (partition by poi_id % 40 order by poi_id) as to_stop from {v_poi} where lat is not null and publish_status in ('approved', 'published')")
 register("i07_record_completeness", lambda v: v("v_claim").select("claim_id", sum((F.when(F.col(c).isNotNull(), 1).otherwise(0) for c in ("provider_event_id", "record_id", "provider", "seen_at")), F.lit(0)).alias("n"), "provider_event_id").select("claim_id", F.round(F.col("n") / 4, 4).alias("completeness"), F.when(F.col("n") == 4, "normalized").when(F.col("provider_event_id").isNotNull(), "partial").otherwise("failed").alias("status")),
          "select claim_id, round(n / 4, 4) as completeness, case when n = 4 then 'normalized' when provider_event_id is not null then 'partial' else 'failed' end as status from (select *, 2 + (provider_event_id is not null)::int + (record_id is not null)::int as n from {v_claim})")
 register("i19_source_rows", lambda v: v("v_attempt").select("attempt_id", F.when(F.col("attempt_id") % 4 > 0, "Org").alias("organization"), F.when(F.col("attempt_id") % 3 > 0, F.concat(F.lit("https://"), "domain")).otherwise(" ").alias("url"), F.when(F.col("attempt_id") % 5 > 0, F.col("email")).alias("email"), F.when(F.col("attempt_id") % 2 > 0, "Yes").otherwise("no").alias("confirmed"), F.when(F.col("attempt_id") % 7 == 0, "Sports").alias("category")).select("attempt_id", F.array_join(sheets.source_sheet_errors(category="category"), ",").alias("errors")),

@@ -46,15 +46,9 @@ register("f28_venue_feed", lambda v: windows.renumber(filters.event_feed(v("v_ev
 register("g01_latest_crawl", lambda v: windows.latest(v("v_crawl"), ["source_id"], [F.col("fetched_at").desc(), F.col("crawl_id").desc()]).select("source_id", "crawl_id", "status"),
          "select source_id, crawl_id, status from (select *, row_number() over (partition by source_id order by fetched_at desc, crawl_id desc) as n from {v_crawl}) where n = 1")
 register("g04_top_places_per_region", lambda v: windows.top(v("v_poi"), ["state"], [F.col("rating").desc(), F.col("poi_id")], 4).select("state", "rank", "poi_id"), "select state, rank, poi_id from (select state, poi_id, row_number() over (partition by state order by rating desc, poi_id)::int as rank from {v_poi}) where rank <= 4")
-register("g05_route_segments", lambda v: windows.segments(v("v_poi").where("lat is not null").withColumn("route", F.col("poi_id") % 40), "route", ["poi_id"]).select("route", "poi_id", "to_stop", F.round("miles", 0).alias("miles")),
-         "select route, poi_id, to_stop, round(round(7917.6 * atan2(sqrt(h), sqrt(1 - h)), 1), 0) as miles from (select route, poi_id, to_stop, pow(sin(radians(b - lat) / 2), 2) + cos(radians(lat)) * cos(radians(b)) * pow(sin(radians(d - lng) / 2), 2) as h from (select poi_id % 40 as route, poi_id, lat, lng, lead(lat) over w as b, lead(lng) over w as d, lead(poi_id) over w as to_stop from {v_poi} where lat is not null window w as (partition by poi_id % 40 order by poi_id)) where to_stop is not null)")
 register("g06_renumber", lambda v: windows.renumber(v("v_claim"), ["event_id"], [F.col("seen_at"), F.col("claim_id")], "position").select("event_id", "claim_id", "position"), "select event_id, claim_id, row_number() over (partition by event_id order by seen_at, claim_id) as position from {v_claim}")
 register("g07_first_seen", lambda v: windows.renumber(v("v_claim").where("provider_event_id is not null"), ["provider", "provider_event_id"], [F.col("claim_id")], "n").select("claim_id", F.when(F.col("n") == 1, "new").otherwise("duplicate_within_run").alias("status")),
          "select claim_id, case when row_number() over (partition by provider, provider_event_id order by claim_id) = 1 then 'new' else 'duplicate_within_run' end as status from {v_claim} where provider_event_id is not null")
-register("g08_look_back_counts", lambda v: windows.look_back(windows.look_back(v("v_attempt"), "email", "created_at", 86400, "email_day"), "ip_hash", "created_at", 3600, "ip_hour").select("attempt_id", F.col("email_day").cast("long").alias("email_day"), F.col("ip_hour").cast("long").alias("ip_hour")),
-         "select attempt_id, count(*) over (partition by email order by created_at range between interval 1 day preceding and current row) - 1 as email_day, count(*) over (partition by ip_hash order by created_at range between interval 1 hour preceding and current row) - 1 as ip_hour from {v_attempt}")
-register("g09_unrelated_domains", lambda v: windows.look_back_distinct(windows.look_back(v("v_attempt"), "ip_hash", "created_at", 3600, "invalid_hour", F.col("was_invalid")), "email", "created_at", 86400, "domain", "other_domains").select("attempt_id", F.col("other_domains").cast("long").alias("other_domains"), F.col("invalid_hour").cast("long").alias("invalid_hour")),
-         "select a.attempt_id, count(distinct case when b.email = a.email and b.created_at >= a.created_at - interval 1 day and b.domain <> a.domain then b.domain end) as other_domains, count(case when b.ip_hash = a.ip_hash and b.was_invalid and b.created_at >= a.created_at - interval 1 hour and b.attempt_id <> a.attempt_id then 1 end) as invalid_hour from {v_attempt} a join {v_attempt} b on (a.email = b.email or a.ip_hash = b.ip_hash) and b.created_at <= a.created_at and b.created_at >= a.created_at - interval 1 day group by 1")
 register("g13_yield_drops", lambda v: windows.yield_drops(v("v_crawl"), "source_id", "crawl_id", "candidates").select("source_id", "crawl_id", F.round("prior_average", 6).alias("prior_average")),
          "select source_id, crawl_id, round(p, 6) as prior_average from (select *, avg(candidates) over (partition by source_id order by crawl_id rows between unbounded preceding and 1 preceding) as p from {v_crawl}) where candidates = 0 and p > 0")
 register("g14_next_due", lambda v: windows.latest(v("v_claim"), ["source_id"], [F.col("seen_at").desc(), F.col("claim_id")]).select("source_id", windows.next_due(F.col("seen_at"), F.when(F.col("source_id") % 4 == 0, "manual").when(F.col("source_id") % 4 == 1, "daily").otherwise("monthly"), _NOW()).cast("string").alias("due")),

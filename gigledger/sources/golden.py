@@ -9,9 +9,6 @@ that failed half-way are never read, and a batch that runs again writes its own
 
 from __future__ import annotations
 
-import tempfile
-from uuid import uuid4
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
@@ -22,16 +19,6 @@ from ..operators.windows import latest
 _MANIFEST = "kind string, n long, bucket int"
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share, under spark.checkpoint.dir; a temporary one on a local master that names none."""
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-")
-    return f"{folder}/{name}-{uuid4().hex}"
-
-
 class GoldenTable:
     """One row per key under `folder`, merged by a policy per column (see merge_fields).
 
