@@ -70,10 +70,15 @@ def near_pairs(left: DataFrame, right: DataFrame, metres: float, left_id: str, r
 
 
 def nearest(left: DataFrame, right: DataFrame, metres: float, left_id: str, right_id: str) -> DataFrame:
-    """The nearest right row within the distance; ties to the smaller id."""
-    pairs = near_pairs(left, right, metres, left_id, right_id)
-    best = pairs.groupBy(left_id).agg(F.min(F.struct("distance", right_id)).alias("b"))
-    return best.select(left_id, F.col(f"b.{right_id}").alias(right_id), F.col("b.distance").alias("distance"))
+    """The nearest right row within the distance; ties to the smaller id.
+
+    Both sides meet by their distinct points: a point where thousands of rows lie is one row of the join.
+    """
+    points = right.groupBy("lat", "lng").agg(F.min(right_id).alias(right_id))
+    asked = left.where("lat is not null and lng is not null").select("lat", "lng").distinct().withColumn("_at", F.struct("lat", "lng"))
+    best = near_pairs(asked, points, metres, "_at", right_id).groupBy("_at").agg(F.min(F.struct("distance", right_id)).alias("b"))
+    best = best.select(F.col("_at.lat").alias("lat"), F.col("_at.lng").alias("lng"), F.col(f"b.{right_id}").alias(right_id), F.col("b.distance").alias("distance"))
+    return left.select(left_id, "lat", "lng").join(best, ["lat", "lng"]).select(left_id, right_id, "distance")
 
 
 def region_by_place(places: DataFrame, regions: DataFrame, place_id: str) -> DataFrame:
@@ -124,11 +129,55 @@ def poi_pairs(pois: DataFrame, medium: float = 50.0, weak: float = 100.0) -> Dat
     return met.select(F.col("a_poi_id").alias("a"), F.col("poi_id").alias("b"), confidence.alias("confidence"), "distance").where("confidence is not null")
 
 
-def similar_names(pairs: DataFrame, a: str, b: str, least: float = 0.82) -> DataFrame:
-    """Pairs whose place names contain one another or differ in at most 1 - least of the longer one's letters."""
-    x, y = place_name(a), place_name(b)
+def _similar(x: Column, y: Column, least: float) -> Column:
     close = 1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y), F.lit(1)) >= least
-    return pairs.where((x != "") & (y != "") & (x.contains(y) | y.contains(x) | close))
+    return (x != "") & (y != "") & (x.contains(y) | y.contains(x) | close)
+
+
+def _two_smallest(rows: DataFrame, keys: list[str], id_col: str) -> DataFrame:
+    """The two smallest distinct ids of each key: rows of their own, so that one may be left out and no group is gathered."""
+    order = Window.partitionBy(*keys).orderBy(id_col)
+    return rows.select(*keys, id_col).distinct().withColumn("_n", F.row_number().over(order)).where("_n <= 2").drop("_n")
+
+
+def similar_places(candidates: DataFrame, pois: DataFrame, id_col: str, poi_id: str, metres: float = 50.0, least: float = 0.82, same: bool = False) -> DataFrame:
+    """(id, poi_id, confidence, strategy): the place with the smallest id that has a similar name and is near (medium), or shares city, state and web domain or phone (weak).
+
+    Both have name, lat, lng, city, state, website, phone; places of the concert category don't
+    count where pois have a category. With same, a row never meets the row of its own id. Rows meet
+    as distinct names and points: names are compared once per pair that shares a neighbourhood, a
+    thousand rows of one name at one point are one row of the join, and per group the two smallest
+    ids are enough. Rows without a name meet nothing.
+    """
+    if "category" in pois.columns:
+        pois = pois.where(F.lower(F.coalesce("category", F.lit(""))) != "concert")
+    host = F.regexp_extract(F.lower(F.coalesce("website", F.lit(""))), r"^https?://(?:www\.)?([^/:?#]+)", 1)
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    side = lambda d, i, name: d.select(F.col(i).alias(name), place_name("name").alias("n"), "lat", "lng", low("city").alias("city"), low("state").alias("state"), F.nullif(host, F.lit("")).alias("domain"), clean("phone").alias("phone")).where("n <> ''")
+    left, right = side(candidates, id_col, "id"), side(pois, poi_id, "other")
+    size = geo.cell_size(metres, geo.METRES)
+
+    spots = left.where("lat is not null and lng is not null").select("n", "lat", "lng").distinct()
+    around = spots.select("n", "lat", "lng", F.explode(geo.neighbours("lat", "lng", size)).alias("c")).select("n", "lat", "lng", "c.cy", "c.cx")
+    there = _two_smallest(right.where("lat is not null and lng is not null"), ["n", "lat", "lng"], "other").withColumn("c", geo.cell("lat", "lng", size))
+    there = there.select(F.col("n").alias("y"), F.col("lat").alias("b_lat"), F.col("lng").alias("b_lng"), "other", "c.cy", "c.cx")
+    names = around.select("cy", "cx", "n").distinct().join(there.select("cy", "cx", "y").distinct(), ["cy", "cx"]).select("n", "y").distinct().where(_similar(F.col("n"), F.col("y"), least))
+    met = around.join(names, "n").join(there, ["cy", "cx", "y"]).where(geo.haversine("lat", "lng", "b_lat", "b_lng") <= metres)
+    near = left.join(_two_smallest(met, ["n", "lat", "lng"], "other"), ["n", "lat", "lng"]).select("id", "other", F.lit(0).alias("tier"))
+
+    parts = [near]
+    for tier, contact in ((1, "domain"), (2, "phone")):
+        key = ["city", "state", contact]
+        held = _two_smallest(right.where(F.col(contact).isNotNull()), [*key, "n"], "other").withColumnRenamed("n", "y")
+        asked = left.where(F.col(contact).isNotNull()).select(*key, "n").distinct()
+        known = asked.join(held.select(*key, "y").distinct(), key).where(_similar(F.col("n"), F.col("y"), least)).join(held, [*key, "y"])
+        parts.append(left.join(_two_smallest(known, [*key, "n"], "other"), [*key, "n"]).select("id", "other", F.lit(tier).alias("tier")))
+    found = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    if same:
+        found = found.where("id <> other")
+    best = found.groupBy("id").agg(F.min(F.struct("other", "tier")).alias("b"))
+    strategy = F.element_at(F.array(F.lit("similar_name_nearby_geo"), F.lit("same_name_city_state_domain"), F.lit("same_name_city_state_phone")), F.col("b.tier") + 1)
+    return best.select(F.col("id").alias(id_col), F.col("b.other").alias(poi_id), F.when(F.col("b.tier") == 0, "medium").otherwise("weak").alias("confidence"), strategy.alias("strategy"))
 
 
 def match_artists(claims: DataFrame, artists: DataFrame) -> DataFrame:
@@ -187,14 +236,19 @@ def listed(rows: DataFrame, entries: DataFrame, id_col: str, email: str = "email
 
 
 def path_matches(submitted: DataFrame, known: DataFrame, id_col: str, url_col: str) -> DataFrame:
-    """(id, known_id): for each submitted URL the smallest known one of its host at the same path or above it.
+    """(id, known_id): for each submitted URL the smallest known one of its host at the same path, above it or below it.
 
-    A path meets its own ancestors by equality, so a host with many URLs costs each of them its
-    depth only.
+    Both sides meet in one table of paths: a submitted path looks for its own ancestors among the
+    known paths, and every known path is entered, with its smallest id, under each of its ancestors.
+    A URL costs its depth on either side, whatever its host has.
     """
     url = lambda d: d.select(F.col(id_col).alias("id"), url_host(url_col).alias("host"), F.regexp_replace(F.regexp_extract(url_col, r"^[A-Za-z]+://[^/?#]*([^?#]*)", 1), "/+$", "").alias("path"))
+    above = lambda: F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/"))), lambda n: F.array_join(F.slice(F.split("path", "/"), F.lit(1), n), "/"))
     index = url(known).groupBy("host", "path").agg(F.min("id").alias("known_id"))
-    parts = F.split("path", "/")
-    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
-    met = url(submitted).select("id", "host", F.explode(above).alias("path")).join(index, ["host", "path"])
+    at = index.select("host", "path", "known_id", F.lit(False).alias("below"))
+    # an entry under an ancestor is met by the submitted path itself, one at its own path by all descendants
+    below = index.select("host", F.explode(above()).alias("path"), "known_id").groupBy("host", "path").agg(F.min("known_id").alias("known_id")).withColumn("below", F.lit(True))
+    asked = url(submitted).withColumn("steps", above())
+    asked = asked.select("id", "host", F.posexplode("steps").alias("depth", "step"), F.size("steps").alias("n")).select("id", "host", F.col("step").alias("path"), (F.col("depth") == F.col("n") - 1).alias("own"))
+    met = asked.join(at.unionByName(below), ["host", "path"]).where("own or not below")
     return met.groupBy("id").agg(F.min("known_id").alias("known_id")).withColumnRenamed("id", id_col)

@@ -58,8 +58,13 @@ register("d11_poi_matches", lambda v: (lambda k: matching.priority_join(v("v_poi
          "select poi_id, match_id, strategy from (select l.id as poi_id, r.id as match_id, l.strategy, row_number() over (partition by l.id order by l.rank, r.id) as n from {k} l join {k} r on l.strategy = r.strategy and l.key = r.key and l.id <> r.id) where n = 1", k=KEYS)
 register("d13_near_pairs", lambda v: matching.near_pairs(v("v_venue"), v("v_poi"), 60.0, "venue_id", "poi_id").select("venue_id", "poi_id", F.round("distance", 3).alias("distance")),
          f"select venue_id, poi_id, round(d, 3) as distance from (select venue_id, poi_id, {sql_haversine('v.lat', 'v.lng', 'p.lat', 'p.lng', geo.METRES)} as d from {{v_venue}} v join {{v_poi}} p on abs(v.lat - p.lat) < 0.01) where d <= 60")
-register("d12_similar_near_places", lambda v: matching.similar_names(matching.near_pairs(v("v_poi"), v("v_poi").withColumnRenamed("poi_id", "other_id"), 50.0, "poi_id", "other_id").where("poi_id <> other_id").join(v("v_poi").select("poi_id", F.col("name").alias("x")), "poi_id").join(v("v_poi").select(F.col("poi_id").alias("other_id"), F.col("name").alias("y")), "other_id"), "x", "y").groupBy("poi_id").agg(F.min("other_id").alias("match_id")),
-         f"select poi_id, min(other_id) as match_id from (select p.poi_id, o.poi_id as other_id, {sql_place('p.name')} as x, {sql_place('o.name')} as y, {sql_haversine('p.lat', 'p.lng', 'o.lat', 'o.lng', geo.METRES)} as d from {{v_poi}} p join {{v_poi}} o on p.poi_id <> o.poi_id and abs(p.lat - o.lat) < 0.01) where d <= 50 and x <> '' and y <> '' and (contains(x, y) or contains(y, x) or 1 - levenshtein(x, y)::double / greatest(len(x), len(y), 1) >= 0.82) group by 1")
+_SIMILAR = "x <> '' and y <> '' and (contains(x, y) or contains(y, x) or 1 - levenshtein(x, y)::double / greatest(len(x), len(y), 1) >= 0.82)"
+_NAMED = f"select poi_id, {sql_place('name')} as n, lat, lng, lower(city) as city, lower(state) as state, nullif(regexp_extract(lower(coalesce(website, '')), '^https?://(?:www[.])?([^/:?#]+)', 1), '') as domain, phone, category from {{v_poi}}"
+_TIERS = f"""select id, other, min(tier) as tier from (select p.poi_id as id, o.poi_id as other, p.n as x, o.n as y, 0 as tier from {{named}} p join {{named}} o on p.poi_id <> o.poi_id and abs(p.lat - o.lat) < 0.01 and o.category <> 'Concert' where {sql_haversine('p.lat', 'p.lng', 'o.lat', 'o.lng', geo.METRES)} <= 50
+union all select p.poi_id, o.poi_id, p.n, o.n, case when p.domain = o.domain then 1 else 2 end from {{named}} p join {{named}} o on p.poi_id <> o.poi_id and p.city = o.city and p.state = o.state and o.category <> 'Concert' where p.domain = o.domain or p.phone = o.phone) where {_SIMILAR} group by 1, 2"""
+register("d12_similar_near_places", lambda v: matching.similar_places(v("v_poi"), v("v_poi").withColumnRenamed("poi_id", "match_id"), "poi_id", "match_id", same=True),
+         "select id as poi_id, other as match_id, case tier when 0 then 'medium' else 'weak' end as confidence, case tier when 0 then 'similar_name_nearby_geo' when 1 then 'same_name_city_state_domain' else 'same_name_city_state_phone' end as strategy from {tiers} qualify row_number() over (partition by id order by other, tier) = 1",
+         named=_NAMED, tiers=_TIERS)
 _ARTISTS = f"select artist_id, {sql_artist('name')} as name_key, external_id, {sql_genre('genre_text')} as g from {{v_artist}}"
 
 

@@ -48,9 +48,11 @@ register("c16_suspicious_queue", lambda v: filters.suspicious(scores.risk(v("v_a
          "select attempt_id, case when was_invalid then 'blocked' when value < 1 then 'high' else 'low' end as risk_level, case when attempt_id % 9 = 0 then 'quarantined' else 'open' end as status from {v_attempt} where was_invalid or value < 1 or attempt_id % 9 = 0")
 register("d05_review_rows_with_candidates", lambda v: v("v_claim").select("claim_id", F.concat(F.when(F.col("source_type") == "api", "api:").otherwise("extracted:"), F.col("event_id").cast("string")).alias("k")).join(v("v_poi").select(F.concat(F.when(F.col("poi_id") % 2 == 0, "api:").otherwise("extracted:"), F.col("poi_id").cast("string")).alias("k"), "poi_id"), "k", "left").select("claim_id", "poi_id"),
          "select claim_id, poi_id from {v_claim} c left join {v_poi} p on p.poi_id = c.event_id and (p.poi_id % 2 = 0) = (c.source_type = 'api')")
-register("d16_prefix_matches", lambda v: matching.path_matches(v("v_event"), v("v_event").where("source_type = 'ics'").select("event_id", F.regexp_replace("source_url", "/e/.*$", F.when(F.col("event_id") % 2 == 0, "/e").otherwise("/e/7")).alias("source_url")), "event_id", "source_url"),
-         """select e.event_id, min(k.event_id) as known_id from (select event_id, lower(regexp_extract(source_url, '^https://([^/]*)', 1)) as h, rtrim(regexp_extract(source_url, '^https://[^/]*([^?]*)', 1), '/') as p from {v_event}) e
-join (select event_id, lower(regexp_extract(source_url, '^https://([^/]*)', 1)) as h, case when event_id % 2 = 0 then '/e' else '/e/7' end as p from {v_event} where source_type = 'ics') k on e.h = k.h and (e.p = k.p or starts_with(e.p, k.p || '/')) group by 1""")
+# known paths at, above and below the submitted ones
+_KNOWN = "case event_id % 4 when 0 then '/e' when 1 then '/e/7' when 2 then '/e/' || (event_id % 700)::varchar || '/more/deep' else '/events' end"
+register("d16_prefix_matches", lambda v: matching.path_matches(v("v_event"), v("v_event").where("source_type = 'ics' and event_id % 9 > 0").select("event_id", F.concat(F.regexp_extract("source_url", "^https://[^/]*", 0), F.when(F.col("event_id") % 4 == 0, "/e").when(F.col("event_id") % 4 == 1, "/e/7/?x=1").when(F.col("event_id") % 4 == 2, F.concat(F.lit("/e/"), (F.col("event_id") % 700).cast("string"), F.lit("/more/deep"))).otherwise("/events")).alias("source_url")), "event_id", "source_url"),
+         f"""select e.event_id, min(k.event_id) as known_id from (select event_id, lower(regexp_extract(source_url, '^https://([^/]*)', 1)) as h, rtrim(regexp_extract(source_url, '^https://[^/]*([^?]*)', 1), '/') as p from {{v_event}}) e
+join (select event_id, lower(regexp_extract(source_url, '^https://([^/]*)', 1)) as h, {_KNOWN} as p from {{v_event}} where source_type = 'ics' and event_id % 9 > 0) k on e.h = k.h and (e.p = k.p or starts_with(e.p, k.p || '/') or starts_with(k.p, e.p || '/')) group by 1""")
 register("d19_record_lineage", lambda v: v("v_claim").select("claim_id", "event_id", "provider").join(v("v_event").select("event_id", "publish_status"), "event_id", "left").join(v("v_image").groupBy("event_id").agg(F.count(F.lit(1)).alias("images")), "event_id", "left").select("claim_id", "provider", "publish_status", F.coalesce("images", F.lit(0)).alias("images")),
          "select claim_id, provider, publish_status, coalesce(images, 0) as images from (select c.claim_id, c.provider, e.publish_status, i.images from {v_claim} c left join {v_event} e using (event_id) left join (select event_id, count(*) as images from {v_image} group by 1) i using (event_id))")
 
