@@ -3,8 +3,8 @@
 Each part of a vector is coded by its nearest codebook entry. The entries of a part form a
 geometric near-neighbour access tree: a node has split points, every other entry belongs to its
 nearest one, and each split point stores the range of its distances to every child. A query's
-distance to one split point rules out all children whose range lies farther from it than the best
-distance; bounds are widened before they rule anything out, and exact whole-number distances decide.
+distances to the split points rule out all children of which one range lies farther from it than the
+best distance; bounds are widened before they rule anything out, and exact whole-number distances decide.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .util import written
-from .vectors import Totals, as_longs, entries_sha256, gathered, matrices, moved, narrow, roots, squared, totals_batch, whole_vectors
+from .vectors import Totals, as_longs, entries_sha256, exact_distances, gathered, matrices, moved, narrow, roots, squared, totals_batch, whole_vectors
 
 SPLITS = 8  # split points of a node
 LEAF = 8  # entries of a node without children
@@ -58,32 +58,35 @@ class Gnat:
         queries, entries = narrow(queries, self.entries)
         n = len(queries)
         best, least, radius = np.full(n, -1, np.int64), np.zeros(n, queries.dtype), np.full(n, np.inf)
+        distances = exact_distances(queries, entries)
         computed, todo = 0, [(self.root, np.arange(n), np.zeros(n))]
         while todo:
             node, rows, bound = todo.pop()
             rows = rows[bound <= radius[rows] * (1 + SLACK) + SLACK]  # what has been found meanwhile may rule more out
-            if not len(rows):
-                continue
             splits, inner = node["splits"], node["children"]
-            low = np.zeros((len(splits), len(rows)))  # lower bounds of each split point's subtree, itself included
-            for s, number in enumerate(splits):
-                some = np.flatnonzero(low[s] <= radius[rows] * (1 + SLACK) + SLACK)
-                own = rows[some]
-                found = squared(queries[own], entries[number])
-                computed += len(own)
-                better = ((best[own] < 0) | (found < least[own]) | ((found == least[own]) & (number < best[own]))).astype(bool)
-                to = own[better]
-                best[to], least[to] = number, found[better]
-                radius[to] = roots(least[to])
-                if inner:
-                    reach = roots(found)
-                    for c in range(len(splits)):
-                        near, far = node["near"][c, s], node["far"][c, s]
-                        low[c, some] = np.maximum(low[c, some], np.maximum(near - reach, reach - far) - SLACK * (reach + far))
-            for c in sorted(range(len(inner)), key=lambda c: -low[c].mean()):  # the child with the lowest bounds is opened first
-                keep = low[c] <= radius[rows] * (1 + SLACK) + SLACK  # strictly farther subtrees go
-                if inner[c] and keep.any():
-                    todo.append((inner[c], rows[keep], low[c][keep]))
+            if not len(rows) or not splits:
+                continue
+            found = distances(rows, splits)
+            computed += found.size
+            order = np.argsort(splits)  # among equal distances the lowest index comes first
+            at = found[:, order].argmin(axis=1)
+            number, nearest = np.asarray(splits)[order][at], found[np.arange(len(rows)), order[at]]
+            better = ((best[rows] < 0) | (nearest < least[rows]) | ((nearest == least[rows]) & (number < best[rows]))).astype(bool)
+            to = rows[better]
+            best[to], least[to] = number[better], nearest[better]
+            radius[to] = roots(least[to])
+            if not any(inner):
+                continue
+            reach = roots(found)
+            kept = []
+            for c, child in enumerate(inner):
+                if child:
+                    near, far = node["near"][c], node["far"][c]
+                    low = (np.maximum(near - reach, reach - far) - SLACK * (reach + far)).max(axis=1)
+                    keep = low <= radius[rows] * (1 + SLACK) + SLACK  # strictly farther subtrees go
+                    if keep.any():
+                        kept.append((float(low.mean()), c, child, rows[keep], low[keep]))
+            todo += [x[2:] for x in sorted(kept, key=lambda x: (-x[0], x[1]))]  # the one with the lowest bounds is opened first
         return best, least, computed
 
 

@@ -71,6 +71,20 @@ def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (d * d).sum(axis=-1)
 
 
+def exact_distances(queries: np.ndarray, entries: np.ndarray):
+    """A function (rows, numbers) -> exact squared distances of those queries (down) to those entries (across).
+
+    Where every product and sum is a whole number below 2**53, float64 holds them all exactly and a
+    matrix product gives them; else they are summed as whole numbers.
+    """
+    most = max([1, *(int(np.abs(a).max()) for a in (queries, entries) if a.size)])
+    if queries.dtype != object and (2 * most) ** 2 * queries.shape[1] < 2**53:
+        q, e = queries.astype(np.float64), entries.astype(np.float64)
+        qq, ee = (q * q).sum(axis=1), (e * e).sum(axis=1)
+        return lambda rows, numbers: (qq[rows, None] - 2 * (q[rows] @ e[numbers].T) + ee[numbers]).astype(np.int64)
+    return lambda rows, numbers: np.stack([squared(queries[rows], entries[k]) for k in numbers], axis=1)
+
+
 def roots(squares: np.ndarray) -> np.ndarray:
     return np.sqrt(squares.astype(np.float64))
 
