@@ -20,10 +20,135 @@ _TRAITS = (
 _SCORES = (("generic_score", 70.0, "generic provider image"), ("text_score", 90.0, "text graphic"), ("poster_score", 70.0, "poster or flyer score"), ("admat_score", 70.0, "admat score"))
 
 
-def reused(rows: DataFrame, least: int = 3) -> DataFrame:
-    """URLs shown by at least so many events of more than one venue: stock pictures."""
-    found = rows.groupBy("url").agg(F.countDistinct("event_id").alias("n_events"), F.countDistinct("venue_id").alias("n_venues"))
-    return found.where((F.col("n_events") >= least) & (F.col("n_venues") > 1))
+# Points of an image's role, of where it comes from, and clearances that settle or raise them.
+ROLE_POINTS = (
+    ("artist_live", 100), ("artist_press", 88), ("event_provider", 72), ("venue_live", 56), ("venue_exterior", 42), ("unknown", 24),
+    ("generic_crowd", 10), ("poster", 0), ("flyer", 0), ("admat", 0), ("logo", 0), ("stock_placeholder", 0),
+)
+OTHER_ROLE = 20
+PROVENANCE = (
+    ("partner_supplied", 94), ("official_artist_site", 88), ("official_venue_site", 82), ("press_kit", 84), ("manual", 78), ("upload", 72),
+    ("provider", 58), ("ticket_page", 74), ("spotify", 54), ("serpapi", 45), ("venue", 50), ("unknown", 25),
+)
+OTHER_SOURCE = 35
+RAISED = ("approved", "licensed", "partner_supplied")
+VENUE_ROLES = ("venue_live", "venue_exterior")
+#: Names that sources give to roles, and the role that is meant.
+ROLE_NAMES = (("headliner", "artist_live"), ("artist", "artist_live"), ("promo", "artist_press"), ("press", "artist_press"), ("event", "event_provider"), ("venue", "venue_live"), ("exterior", "venue_exterior"))
+KNOWN_ROLES = tuple(n for n, _ in ROLE_POINTS) + ("social_screenshot",)
+
+
+def normal_role(role) -> Column:
+    """The role that a source's name means; 'unknown' for any other."""
+    c = F.lower(F.trim(F.coalesce(role if isinstance(role, Column) else F.col(role), F.lit(""))))
+    out = F.when(c.isin(*KNOWN_ROLES), c).otherwise("unknown")
+    for name, meant in ROLE_NAMES:
+        out = F.when(c == name, meant).otherwise(out)
+    return out
+
+
+def _points(value: Column, table, other: float) -> Column:
+    out = F.lit(float(other))
+    for name, n in table:
+        out = F.when(value == name, float(n)).otherwise(out)
+    return out
+
+
+def role_points(role: Column) -> Column:
+    """Points of a normalised role."""
+    return _points(role, ROLE_POINTS, OTHER_ROLE)
+
+
+def candidate_scores(rows: DataFrame) -> DataFrame:
+    """Adds role_score, technical_score, subject_score, provenance_score, approval_score, image_score (0 to 100, two decimals) and score_flags of image candidates.
+
+    image_score is .28 role, .24 technical, .20 subject, .16 provenance and .12 approval, less what
+    text (14), a watermark (22), a poster (45), a stock picture (50), a generic one (45) and one
+    that can't be final (55) cost, plus 6 for a priority of 40 or less, less 18 from 160 on; 0 if the
+    clearance is rejected. Columns: role, source_type, status, clearance, width, height, content_type,
+    is_direct, is_social, is_accessible, shows_live, shows_artist, shows_venue, is_food,
+    is_unrelated_place, is_generic_crowd, has_text, has_watermark, is_poster, is_stock,
+    generic_score, can_be_final, priority. One that the rows lack, or that is null, tells nothing: a
+    picture is then direct and can be final, without dimensions and with a priority of 100.
+    """
+    have = set(rows.columns)
+    col = lambda c, default=None: F.coalesce(F.col(c), F.lit(default)) if c in have and default is not None else F.col(c) if c in have else F.lit(default)
+    yes = lambda c: col(c, False) if c in have else F.lit(False)
+    text = lambda c: F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))) if c in have else F.lit("")
+    width, height = (F.col(c) if c in have else F.lit(None).cast("int") for c in ("width", "height"))
+    ratio = width / height
+    lost = width.isNull() | height.isNull()
+    low = (width < 720) | (F.least(width, height) < 400)
+    odd = F.when((ratio >= 2.2), "panoramic").when(ratio < 0.85, "portrait")
+    rules = [
+        (~col("is_direct", True), "not direct image asset", 40),
+        (yes("is_social"), "social media image URL", 45),
+        (~col("is_accessible", True), "broken or inaccessible image", 55),
+        ((text("content_type") != "") & ~text("content_type").startswith("image/"), "content-type mismatch", 45),
+        (lost, "missing dimensions", 12),
+        (~lost & low, "low resolution image", 35),
+        (~lost & ~low & (width < 1200), "below preferred 1200px width", 10),
+        (~lost & (odd == "portrait"), "portrait image", 8),
+        (~lost & (odd == "panoramic"), "panoramic image", 8),
+    ]
+    cost = lambda pairs: sum((F.when(c, float(n)).otherwise(0.0) for c, _, n in pairs), F.lit(0.0))
+    technical = F.greatest(F.lit(0.0), 100 - cost(rules))
+    against = [(yes("is_food"), "food or drink image", 24), (yes("is_unrelated_place"), "unrelated place image", 36), (yes("is_generic_crowd"), "generic crowd image", 22)]
+    shown = cost([(yes("shows_live"), "", 30), (yes("shows_artist"), "", 26), (yes("shows_venue"), "", 18)])
+    subject = F.greatest(F.lit(0.0), F.least(F.lit(100.0), 40 + shown - cost(against)))
+    clearance, status = text("clearance"), text("status")
+    source = _points(text("source_type"), PROVENANCE, OTHER_SOURCE) + F.when(clearance.isin(*RAISED), 8.0).when(clearance == "provider_allowed", 4.0).otherwise(0.0)
+    provenance = F.when(clearance == "rejected", 0.0).otherwise(F.least(source, F.lit(100.0)))
+    approval = F.when((status == "rejected") | (clearance == "rejected"), 0.0).when(status == "accepted", 96.0).when(clearance.isin(*RAISED, "provider_allowed"), 86.0).when(clearance.isin("needs_approval", "unknown"), 74.0).otherwise(50.0)
+    role = _points(text("role"), ROLE_POINTS, OTHER_ROLE)
+    generic = (col("generic_score", 0.0) if "generic_score" in have else F.lit(0.0)) >= 70
+    less = [(yes("has_text"), "text-heavy image candidate", 14), (yes("has_watermark"), "watermark suspected", 22), (yes("is_poster"), "poster/flyer detected", 45), (yes("is_stock"), "stock_placeholder_candidate", 50), (generic, "generic_provider_image", 45), (~col("can_be_final", True), "not_final_image_eligible", 55)]
+    priority = col("priority", 100) if "priority" in have else F.lit(100)
+    score = role * 0.28 + technical * 0.24 + subject * 0.2 + provenance * 0.16 + approval * 0.12 - cost(less) + F.when(priority <= 40, 6.0).when(priority >= 160, -18.0).otherwise(0.0)
+    score = F.when(clearance == "rejected", 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)))
+    named = flags(*[(c, n) for c, n, _ in rules + against + less], (clearance == "needs_approval", "needs image approval"))
+    return rows.withColumns({
+        "role_score": role, "technical_score": technical, "subject_score": subject, "provenance_score": provenance, "approval_score": approval, "image_score": F.round(score, 2), "score_flags": F.array_sort(named),
+    })
+
+
+def same_picture(url) -> Column:
+    """What tells pictures apart: the address without query and fragment, lower case."""
+    return F.lower(F.trim(F.regexp_replace(url if isinstance(url, Column) else F.col(url), r"[?#].*$", "")))
+
+
+def reuse_reasons(candidates: DataFrame, events: DataFrame, least: int = 3) -> DataFrame:
+    """(image_id, reused_events, reasons): candidates whose picture other events use, and why that makes it a stock picture.
+
+    candidates: image_id, event_id, venue_id, url, role; events: event_id, headliner, title,
+    venue_id. A picture of different headliners, or of `least` events or more, is stock, but for one
+    of a venue's roles whose uses all belong to one venue. Counts are per picture, so one that
+    everybody shows is counted in partial aggregates; rows without an address have no reasons.
+    """
+    uses = candidates.where("url is not null").select("image_id", "event_id", "venue_id", "role", same_picture("url").alias("picture"))
+    who = F.lower(F.trim(F.coalesce(F.nullif("headliner", F.lit("")), F.col("title"))))
+    shown = uses.join(events.select("event_id", F.col("venue_id").alias("event_venue"), who.alias("who")), "event_id", "left")
+    counts = shown.groupBy("picture").agg(F.countDistinct("event_id").alias("reused_events"), F.countDistinct("who").alias("n_who"))
+    venues = shown.select("picture", F.explode(F.array("venue_id", "event_venue")).alias("v")).where("v is not null").groupBy("picture").agg(F.countDistinct("v").alias("n_venues"))
+    rows = uses.join(counts, "picture").join(venues, "picture", "left")
+    allowed = F.col("role").isin(*VENUE_ROLES) & F.coalesce(F.col("n_venues") == 1, F.lit(False))
+    reasons = flags(((F.col("n_who") > 1) & ~allowed, "reused across different headliners"), ((F.col("reused_events") >= least) & ~allowed, "reused across three or more events" if least == 3 else f"reused across {least} or more events"))
+    return rows.select("image_id", "reused_events", reasons.alias("reasons"))
+
+
+def gathered_candidates(parts: list[DataFrame]) -> DataFrame:
+    """One scored candidate per owner and picture from several sources: (owner, picture, url, role, source_type, priority, n, image_score).
+
+    Parts have owner, url, role, source_type, status, clearance, width, height, priority. Roles are
+    normalised; of several sources the one with the lowest priority counts, ties to the source's name.
+    """
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    rows = rows.where(~is_blank("url")).withColumns({"role": normal_role("role"), "picture": same_picture("url")})
+    held = ("url", "role", "source_type", "status", "clearance", "width", "height", "priority")
+    best = rows.groupBy("owner", "picture").agg(F.min_by(F.struct(*held), F.struct("priority", "source_type", "url", "role", "status", "clearance", "width", "height")).alias("b"), F.count(F.lit(1)).alias("n"))
+    return candidate_scores(best.select("owner", "picture", "n", "b.*")).select("owner", "picture", "url", "role", "source_type", "priority", "n", "image_score")
 
 
 def select_images(events: DataFrame, scored: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import flags, is_blank
 from .filters import DUPLICATE_EXCLUDED, PUBLISHABLE
+from .images import normal_role, role_points
 from .tickets import assess
 
 
@@ -201,21 +202,17 @@ def risk(rows: DataFrame, conditions: dict[str, Column]) -> DataFrame:
     return out.withColumn("risk_level", F.when(F.col("risk_score") >= 80, "blocked").when(F.col("risk_score") >= 50, "high").when(F.col("risk_score") >= 20, "medium").otherwise("low"))
 
 
-# Score of an image's role.
-IMAGE_ROLES = (("headliner", 100), ("event", 85), ("venue_live", 70), ("venue_exterior", 50), ("promo", 30), ("other", 20))
-
-
 def image_score(rows: DataFrame) -> DataFrame:
-    """Adds image_score (0 to 100, two decimals), blocked and generic.
+    """Adds image_score (0 to 100, two decimals), blocked and generic: a short form for sources that state little more than a size and a clearance.
+
+    images.candidate_scores is the full form. The points of the role are the same, the others are this form's own:
 
     role .28, technical .24, subject .20, provenance .16, approval .12 of scores of 0 to 100, less
     45 for provider graphics, 18 for a late priority (160 or more), plus 6 for an early one (40 or
     less); a rejected clearance scores 0. Columns: role, width, height, url, status, clearance,
     priority.
     """
-    role = F.lit(20.0)
-    for name, points in reversed(IMAGE_ROLES):
-        role = F.when(F.col("role") == name, float(points)).otherwise(role)
+    role = role_points(normal_role("role"))
     technical = F.when((F.col("width") >= 1200) & (F.col("height") >= 600), 100.0).when(F.col("width") >= 720, 70.0).when(F.col("width") >= 320, 40.0).otherwise(10.0)
     subject = F.when(F.col("role").isin("headliner", "event"), 90.0).when(F.col("role").startswith("venue"), 60.0).otherwise(30.0)
     provenance = F.when(F.lower("url").rlike("^https://"), 80.0).otherwise(40.0)

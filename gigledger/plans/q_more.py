@@ -27,10 +27,6 @@ SOURCES = (
 _SOURCE_ROWS = ", ".join(f"({i}, '{t}', '{k}')" for i, (t, k) in enumerate(SOURCES))
 register("b09_domain_taxonomy", lambda v: v("v_claim").select("claim_id", F.element_at(F.array(*[F.lit(t) for t, _ in SOURCES]), (F.col("claim_id") % len(SOURCES) + 1).cast("int")).alias("source")).select("claim_id", "source", taxonomy.source_key(F.col("source")).alias("source_key")),
          f"select claim_id, source, source_key from {{v_claim}} join (values {_SOURCE_ROWS}) s(i, source, source_key) on claim_id % {len(SOURCES)} = i")
-register("b11_vendor_classification", lambda v: v("v_event").select("event_id", F.try_parse_json(F.to_json(F.struct(F.array(F.struct(F.when(F.col("event_id") % 3 == 0, "Music").otherwise("Sports").alias("segment"), F.col("genre"))).alias("classifications")))).alias("j")).select("event_id", F.try_variant_get("j", "$.classifications[0].segment", "string").alias("segment"), genres.genre(F.try_variant_get("j", "$.classifications[0].genre", "string")).alias("genre_name")),
-         f"select event_id, case when event_id % 3 = 0 then 'Music' else 'Sports' end as segment, {sql_genre('genre')} as genre_name from {{v_event}}")
-register("b12_vendor_mapper", lambda v: v("v_event").select("event_id", F.to_json(F.struct(F.col("title").alias("name"), F.struct(F.col("location_text").alias("name")).alias("location"), F.array(F.struct(F.col("headliner").alias("name"), F.lit(True).alias("lead"))).alias("performer"), F.array(F.struct(F.lit("ticketingLinkPrimary").alias("category"), F.col("tickets_link").alias("url"))).alias("offers"))).alias("j")).select("event_id", F.get_json_object("j", "$.name").alias("title"), F.get_json_object("j", "$.location.name").alias("venue"), F.get_json_object("j", "$.performer[0].name").alias("headliner"), F.get_json_object("j", "$.offers[0].url").alias("ticket")),
-         "select event_id, title, location_text as venue, headliner, tickets_link as ticket from {v_event}")
 register("b17_split_urls", lambda v: v("v_poi").select("poi_id", F.posexplode(text.urls(F.concat_ws("$", "image_url", "website"))).alias("position", "url")).withColumn("position", F.col("position").cast("long")),
          "select poi_id, p - 1 as position, u[p] as url from (select poi_id, u, unnest(range(1, len(u) + 1)) as p from (select poi_id, list_filter([image_url, website], lambda x: x is not null) as u from {v_poi}))")
 # every rung of the ladder by a word that names it
@@ -65,8 +61,6 @@ register("e20_safe_update", lambda v: upsert.merge_fields(v("v_poi").select("poi
          "select poi_id, case when poi_id % 2 = 0 and phone is null then '555-0000' else phone end as phone, website, category, case when poi_id % 2 > 0 then 'kept' when phone is null then 'updated' else 'skipped' end as action from {v_poi}")
 register("e21_search_seeds", lambda v: v("v_poi").where("lat is not null").select(F.concat(F.lit("poi:"), F.col("poi_id").cast("string")).alias("seed_key"), "name").unionByName(v("v_region").select(F.concat(F.lit("region:"), F.col("region_id").cast("string")).alias("seed_key"), "name")),
          "select 'poi:' || poi_id::varchar as seed_key, name from {v_poi} where lat is not null union all select 'region:' || region_id::varchar, name from {v_region}")
-register("e23_image_candidates", lambda v: (lambda a: a.groupBy("owner", "url").agg(F.min("source").alias("source"), F.count(F.lit(1)).alias("n")))(v("v_event").where("image_url is not null").select(F.concat(F.lit("event:"), F.col("event_id").cast("string")).alias("owner"), F.col("image_url").alias("url"), F.lit("feed").alias("source")).unionByName(v("v_image").select(F.concat(F.lit("event:"), F.col("event_id").cast("string")).alias("owner"), "url", F.lit("extracted").alias("source")))),
-         "select owner, url, min(source) as source, count(*) as n from (select 'event:' || event_id::varchar as owner, image_url as url, 'feed' as source from {v_event} where image_url is not null union all select 'event:' || event_id::varchar, url, 'extracted' from {v_image}) group by 1, 2")
 register("e24_send_to_review", lambda v: v("v_event").where((F.col("dedupe_confidence") == "weak") & (F.col("duplicate_status") == "none")).select("event_id", F.lit("duplicate_candidate").alias("duplicate_status")), "select event_id, 'duplicate_candidate' as duplicate_status from {v_event} where dedupe_confidence = 'weak' and duplicate_status = 'none'")
 register("e25_region_upsert", lambda v: upsert.merge_fields(v("v_region").where("region_id < 20").select("region_key", "name", "radius_miles"), v("v_region").where("region_id > 10").select("region_key", F.upper("name").alias("name"), (F.col("radius_miles") + 5).alias("radius_miles")), "region_key", {"name": "fill", "radius_miles": "raise"}).select("region_key", "name", "radius_miles", "action"),
          "select region_key, case when region_id >= 20 then upper(name) else name end as name, case when region_id > 10 then radius_miles + 5 else radius_miles end as radius_miles, case when region_id >= 20 then 'created' when region_id > 10 then 'updated' else 'kept' end as action from {v_region}")

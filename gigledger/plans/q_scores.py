@@ -107,12 +107,10 @@ register("i06_music_relevance", lambda v: genres.relevance(v("v_event").join(v("
          "select event_id, greatest(0.0, least(100.0, 50.0 + case when event_id % 4 = 0 then 24 when event_id % 9 = 0 then -35 else 0 end + case when headliner is not null then 10 else -8 end + case when claim_count > 0 then 8 else 0 end + 8 + case when tickets_link is not null then 4 else 0 end - case when w.venue_id is null then 5 else 0 end))::double as relevance from {v_event} e left join {v_venue} w using (venue_id)")
 
 IMG = """select *, url like '%logo%' as generic, clearance = 'blocked' or status = 'rejected' or url like '%logo%' or width < 720 or least(width, height) < 400 as blocked,
- round(greatest(0.0, least(100.0, case role when 'headliner' then 100.0 when 'event' then 85.0 when 'venue_live' then 70.0 when 'venue_exterior' then 50.0 when 'promo' then 30.0 else 20.0 end::double * 0.28::double
+ round(greatest(0.0, least(100.0, case role when 'headliner' then 100.0 when 'event' then 72.0 when 'venue_live' then 56.0 when 'venue_exterior' then 42.0 when 'promo' then 88.0 else 24.0 end::double * 0.28::double
  + case when width >= 1200 and height >= 600 then 100.0 when width >= 720 then 70.0 when width >= 320 then 40.0 else 10.0 end::double * 0.24::double
  + case when role in ('headliner', 'event') then 90.0 when role like 'venue%' then 60.0 else 30.0 end::double * 0.2::double + 80.0::double * 0.16::double
  + case clearance when 'approved' then 100.0 when 'needs_review' then 50.0 else 0.0 end::double * 0.12::double - case when url like '%logo%' then 45.0 else 0.0 end + 6.0)), 2)::double as image_score from {v_image}"""
-register("i08_image_scores", lambda v: scores.image_score(v("v_image")).select("image_id", "image_score", "blocked", "generic"), "select image_id, image_score, blocked, generic from {img}", img=IMG)
-register("i09_image_reuse", lambda v: images.reused(v("v_image"), least=60).select("url", "n_events", "n_venues"), "select url, count(distinct event_id) as n_events, count(distinct venue_id) as n_venues from {v_image} group by 1 having count(distinct event_id) >= 60 and count(distinct venue_id) > 1")
 _PICK = "select * from (select *, row_number() over (partition by event_id order by case when status = 'accepted' and not blocked then 0 when not blocked and role in ('headliner', 'event') then 1 when not blocked and role in ('venue_live', 'venue_exterior') then 2 else 3 end, image_score desc, image_id) as n from {img}) where n = 1"
 register("i10_image_selection", lambda v: images.select_images(v("v_event").select("event_id"), scores.image_score(v("v_image"))).select("event_id", "image_id", "selection"),
          "select e.event_id, case when p.tier < 3 then image_id end as image_id, case when p.event_id is null then 'missing' when p.tier = 3 then 'needs_review' when p.tier = 2 then 'venue_fallback' when clearance = 'approved' then 'accepted' else 'selected_pending_approval' end as selection from {v_event} e left join (select *, case when status = 'accepted' and not blocked then 0 when not blocked and role in ('headliner', 'event') then 1 when not blocked and role in ('venue_live', 'venue_exterior') then 2 else 3 end as tier from {pick}) p using (event_id)", img=IMG, pick=_PICK)

@@ -201,3 +201,34 @@ def test_exports_are_told_apart_by_hashes_and_failures_stay_out(spark, tmp_path)
     assert newest == [("pois", "4", "poi", 3), ("venues", "5", "venue", 0)]
     assert {r.error is None for r in snapshots.read_manifest(spark, folder).where("status = 'failure'").collect()} == {False}
     assert sorted(spark.read.json(f"{folder}/feed/export_id=4").select("id", "name").collect()) == [(1, "a"), (2, "c"), (4, "d")]
+
+
+def test_vendor_rules_take_the_first_path_that_has_text(spark):
+    from gigledger.sources import vendors
+
+    full = '{"identifier":"e1","name":" ","x-customTitle":"T","image":[" ","i"],"performer":{"name":"Solo","genre":"Jazz"},"offers":[{"category":"x","url":"https://bit.ly/tickets1"},{"category":"ticketingLinkSecondary","url":"https://hall.example.com/calendar"},7],"location":{"geo":{"latitude":"north"},"address":{"addressRegion":"ST"}},"x-externalIdentifiers":[{"identifier":"9"},{"source":"s"}]}'
+    rows = spark.createDataFrame([(1, full), (2, "[1]"), (3, "{"), (4, None)], "key long, j string").withColumn("record", F.try_parse_json("j"))
+    got = {r.key: r for r in vendors.vendor_events(rows, "performer_feed").collect()}
+    r = got[1]
+    assert (r.event_name, r.headliner, r.supporting_artists, r.tickets_link, r.ticket_class, r.latitude, r.state, r.upstream_source, r.upstream_id) == ("T", "Solo", None, "https://bit.ly/tickets1", "redirect_or_handoff", None, None, "s", "9")
+    assert r.normalization_status == "failed" and r.completeness == 0.375 and sorted(got) == [1, 2, 3, 4] and got[4].completeness == 0.0
+    made = lambda j: spark.createDataFrame([(j,)], "j string").select(vendors.classification(F.try_parse_json("j")).alias("c")).first().c
+    c = made('{"classifications":[null,{"segment":{"segment":"MUSIC"},"genre":{"name":"Rock"},"subGenre":{"name":"Undefined"}}]}')
+    assert (c.segment, c.music_category, c.normalized_genre, c.relevance, c.flags) == ("MUSIC", "Music", "Rock", 94.0, ["music_segment"])
+    assert made("{}").relevance == made('{"classifications":[]}').relevance == 45.0 and made('{"segment":{"name":"Arts"}}').flags == ["non_music_segment", "low_event_relevance"]
+
+
+def test_image_scores_of_bare_and_rich_rows(spark):
+    bare = images.candidate_scores(spark.createDataFrame([(1, "artist_live"), (2, None)], "image_id long, role string")).orderBy("image_id").collect()
+    # 28 or 5.6 for the role, 88 technical, 40 subject, 35 provenance, 50 approval
+    assert [r.image_score for r in bare] == [round(28 + 21.12 + 8 + 5.6 + 6, 2), round(5.6 + 21.12 + 8 + 5.6 + 6, 2)] and bare[0].score_flags == ["missing dimensions"]
+    rich = spark.createDataFrame([("rejected", "manual", 1600, 800), ("approved", "partner_supplied", 3000, 500)], "clearance string, source_type string, width int, height int").withColumn("role", F.lit("venue_live"))
+    got = {r.clearance: (r.image_score, r.provenance_score, r.technical_score) for r in images.candidate_scores(rich).collect()}
+    assert got == {"rejected": (0.0, 0.0, 100.0), "approved": (round(56 * 0.28 + 92 * 0.24 + 8 + 16 + 86 * 0.12, 2), 100.0, 92.0)}
+    roles = spark.createDataFrame([(x,) for x in (" Headliner ", "press", "LOGO", "nonsense", None)], "r string").select(images.normal_role("r").alias("r")).collect()
+    assert [r.r for r in roles] == ["artist_live", "artist_press", "logo", "unknown", "unknown"]
+    uses = spark.createDataFrame([(1, 1, 7, "u?a", "venue_live"), (2, 2, 7, "U#b", "venue_live"), (3, 3, None, "u", "event"), (4, 9, None, "other", "event"), (5, None, None, None, "event")], "image_id long, event_id long, venue_id long, url string, role string")
+    events = spark.createDataFrame([(1, "A", "t", 7), (2, "", "B", 7), (3, "a ", "t", 7)], "event_id long, headliner string, title string, venue_id long")
+    got = {r.image_id: (r.reused_events, r.reasons) for r in images.reuse_reasons(uses, events).collect()}
+    stock = ["reused across different headliners", "reused across three or more events"]
+    assert got == {1: (3, []), 2: (3, []), 3: (3, stock), 4: (1, [])}
