@@ -180,25 +180,6 @@ def similar_places(candidates: DataFrame, pois: DataFrame, id_col: str, poi_id:
     return best.select(F.col("id").alias(id_col), F.col("b.other").alias(poi_id), F.when(F.col("b.tier") == 0, "medium").otherwise("weak").alias("confidence"), strategy.alias("strategy"))
 
 
-def match_artists(claims: DataFrame, artists: DataFrame) -> DataFrame:
-    """(claim_id, artist_id, score): by external id (.98), else by name with an overlapping genre (.82) or name alone (.72).
-
-    Claims have claim_id, name_key, external_id, genres; artists artist_id, name_key, external_id, genres.
-    """
-    ids = artists.where("external_id is not null").groupBy("external_id").agg(F.min("artist_id").alias("by_id"))
-    # the smallest artist per name and genre: a name that many artists share costs one row per genre
-    per_genre = artists.where("name_key <> ''").select("name_key", "artist_id", F.explode_outer("genres").alias("g")).groupBy("name_key", "g").agg(F.min("artist_id").alias("artist_id"))
-    any_of = per_genre.groupBy("name_key").agg(F.min("artist_id").alias("by_name"))
-    found = claims.join(ids, "external_id", "left")
-    mine = claims.select("claim_id", "name_key", F.explode_outer("genres").alias("g"))
-    shared = mine.join(per_genre, ["name_key", "g"]).groupBy("claim_id").agg(F.min("artist_id").alias("by_genre"))
-    named = claims.select("claim_id", "name_key").join(any_of, "name_key").join(shared, "claim_id", "left")
-    named = named.select("claim_id", F.struct(F.col("by_genre").isNull().alias("other"), F.coalesce("by_genre", "by_name").alias("artist_id")).alias("n"))
-    found = found.join(named, "claim_id", "left")
-    score = F.when(F.col("by_id").isNotNull(), 0.98).when(~F.col("n.other"), 0.82).when(F.col("n").isNotNull(), 0.72)
-    return found.select("claim_id", F.coalesce("by_id", "n.artist_id").alias("artist_id"), score.alias("score"))
-
-
 def match_events(candidates: DataFrame, events: DataFrame, claims: DataFrame) -> DataFrame:
     """(candidate_id, event_id, score, reason) in the order claim key 1.0, event key .96, title and day with venue .86, without venue .74, in conflict .58.
 

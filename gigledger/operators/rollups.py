@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank
@@ -173,3 +173,26 @@ def metric_rows(wide: DataFrame, keys: list[str]) -> DataFrame:
     """One row per metric of a wide row: keys, metric, value (double)."""
     metrics = [c for c in wide.columns if c not in keys]
     return wide.select(*keys, *[F.col(c).cast("double").alias(c) for c in metrics]).unpivot(keys, metrics, "metric", "value")
+
+
+def export_profile(rows: DataFrame, values: dict[str, tuple[Column | None, Column]], flags: dict[str, Column], top: dict[str, int]) -> DataFrame:
+    """(section, within, value, n): what an export holds, counted in one pass.
+
+    values names sections and, for each, a column to count within (or none) and the column whose
+    values are counted, blank as 'blank'; flags names conditions that are counted where they hold. A
+    section in `top` keeps its so many most frequent values (ties to the smaller one), cut per task
+    before they are compared. Every row is read once, however many sections there are.
+    """
+    text = lambda c: F.coalesce(F.nullif(F.trim(c.cast("string")), F.lit("")), F.lit("blank"))
+    cells = [F.struct(F.lit(name).alias("section"), (F.lit("") if within is None else text(within)).alias("within"), text(value).alias("value")) for name, (within, value) in values.items()]
+    cells += [F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit("flags").alias("section"), F.lit("").alias("within"), F.lit(name).alias("value"))) for name, c in flags.items()]
+    counted = rows.select(F.explode(F.array_compact(F.array(*cells))).alias("c")).groupBy("c.section", "c.within", "c.value").agg(F.count(F.lit(1)).alias("n"))
+    if not top:
+        return counted
+    limit = F.create_map(*[F.lit(x) for kv in top.items() for x in kv])[F.col("section")]
+    most = max(top.values())
+    ranks = F.col("section").isin(*top)
+    # values of the other sections are alone in their windows
+    order = Window.partitionBy("section", F.when(~ranks, F.col("within")), F.when(~ranks, F.col("value"))).orderBy(F.col("n").desc(), "value")
+    ranked = counted.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most)
+    return ranked.where(~ranks | (F.col("_r") <= limit)).drop("_r")

@@ -82,3 +82,47 @@ def search(index: DataFrame, queries: list[str], limit: int = 20, offset: int =
 def suggest(index: DataFrame, queries: list[str], limit: int = 8) -> DataFrame:
     found = search(index, queries, limit)
     return found.select("query", "rank", F.concat_ws(":", "entity_type", F.col("entity_id").cast("string")).alias("ref"), "name")
+
+
+# Words in a place's subcategory that make a seed's type, and types of regions that seeds keep.
+SEED_WORDS = (("festival", "festival"), ("airport", "airport"), ("stadium", "stadium"))
+REGION_SEEDS = ("city", "metro", "state", "country", "tourism_board")
+LAUNCHED = ("ready", "launched")
+
+
+def poi_seeds(pois: DataFrame) -> DataFrame:
+    """Search seeds of places: (seed_key, name, normalized_name, seed_type, region_id, lat, lng, priority, weight, popularity, app) of poi_id, name, category, subcategory, lat, lng, rating; app (shown in the app) is null, as an editor decides it."""
+    category, sub = (F.lower(F.trim(F.coalesce(c, F.lit("")))) for c in ("category", "subcategory"))
+    kind = F.when((category == "music site") & (sub == "venues"), "venue").otherwise("poi")
+    for word, name in reversed(SEED_WORDS):
+        hit = sub.contains(word) | category.contains(word) if word == "airport" else sub.contains(word)
+        kind = F.when(hit, name).otherwise(kind)
+    region = F.col("region_id").cast("long") if "region_id" in pois.columns else F.lit(None).cast("long")
+    return pois.select(
+        F.concat(F.lit("poi:"), F.col("poi_id").cast("string")).alias("seed_key"), "name", search_text("name").alias("normalized_name"), kind.alias("seed_type"), region.alias("region_id"), "lat", "lng",
+        F.when(kind == "venue", 30).otherwise(60).alias("priority"), F.when(kind == "venue", 1.5).otherwise(1.0).alias("weight"), F.coalesce(F.col("rating").cast("double"), F.lit(0.0)).alias("popularity"), F.lit(None).cast("boolean").alias("app"),
+    )
+
+
+def region_seeds(regions: DataFrame) -> DataFrame:
+    """Search seeds of regions in the same columns, of region_id, region_key, name, region_type, certified, launch_status, lat, lng; certified ones come first."""
+    kind = F.when(F.col("region_type").isin(*REGION_SEEDS), F.col("region_type")).otherwise("unknown")
+    sure = F.coalesce("certified", F.lit(False))
+    return regions.select(
+        F.concat(F.lit("region:"), "region_key").alias("seed_key"), "name", search_text("name").alias("normalized_name"), kind.alias("seed_type"), F.col("region_id").cast("long").alias("region_id"), "lat", "lng",
+        F.when(sure, 10).otherwise(20).alias("priority"), F.when(sure, 3.0).otherwise(2.0).alias("weight"), F.when(sure, 100.0).otherwise(50.0).alias("popularity"), F.coalesce(F.col("launch_status").isin(*LAUNCHED), F.lit(False)).alias("app"),
+    )
+
+
+def upsert_seeds(known: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The seed table after an update, with action: created, updated, or kept (no seed came for it).
+
+    A seed takes all values of the incoming one; where that leaves open whether the app shows it,
+    the known choice stays, and a new one is not shown. Keys must be unique on either side; the
+    same update again creates nothing.
+    """
+    columns = [c for c in seeds.columns if c != "seed_key"]
+    both = known.alias("k").join(seeds.alias("s"), "seed_key", "full")
+    new, old = F.col("k.name").isNull() & F.col("k.priority").isNull(), F.col("s.priority").isNull()
+    value = lambda c: F.coalesce(F.col("s.app"), F.col("k.app"), F.lit(False)) if c == "app" else F.when(old, F.col(f"k.{c}")).otherwise(F.col(f"s.{c}"))
+    return both.select("seed_key", *[value(c).alias(c) for c in columns], F.when(old, "kept").when(new, "created").otherwise("updated").alias("action"))

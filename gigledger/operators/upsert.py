@@ -206,3 +206,16 @@ def decide(rows: DataFrame, decisions: DataFrame, id_col: str, allowed: Column)
 def registry(rows: DataFrame, key: str, seen: str, risk: str, flags: str, submitter: str) -> DataFrame:
     """One row per key: first and last seen, the flags of the highest risk, how many submitters and submissions."""
     return rows.groupBy(key).agg(F.min(seen).alias("first_seen"), F.max(seen).alias("last_seen"), F.max(risk).alias("risk"), F.max_by(flags, F.struct(risk, flags)).alias("flags"), F.countDistinct(submitter).alias("submitters"), F.count(F.lit(1)).alias("submissions"))
+
+
+def new_candidates(rows: DataFrame, known: DataFrame, id_col: str) -> DataFrame:
+    """The candidates that are not known yet: (id, source_type, run_id, name_key, city, state), the smallest id of each.
+
+    Both have source_type, run_id, name, city, state. A candidate is the same as another of its
+    source, run, normalised name, city and state, blank and null alike; rows without a name are none.
+    """
+    low = lambda c: F.lower(F.trim(F.coalesce(c, F.lit("")))).alias(c)
+    keys = ["source_type", "run_id", "name_key", "city", "state"]
+    side = lambda d, *more: d.select(*more, F.coalesce("source_type", F.lit("")).alias("source_type"), F.coalesce(F.col("run_id").cast("string"), F.lit("")).alias("run_id"), place_name("name").alias("name_key"), low("city"), low("state")).where("name_key <> ''")
+    first = side(rows, id_col).groupBy(*keys).agg(F.min(id_col).alias(id_col))
+    return first.join(side(known).distinct(), keys, "left_anti").select(id_col, *keys)

@@ -65,19 +65,6 @@ union all select p.poi_id, o.poi_id, p.n, o.n, case when p.domain = o.domain the
 register("d12_similar_near_places", lambda v: matching.similar_places(v("v_poi"), v("v_poi").withColumnRenamed("poi_id", "match_id"), "poi_id", "match_id", same=True),
          "select id as poi_id, other as match_id, case tier when 0 then 'medium' else 'weak' end as confidence, case tier when 0 then 'similar_name_nearby_geo' when 1 then 'same_name_city_state_domain' else 'same_name_city_state_phone' end as strategy from {tiers} qualify row_number() over (partition by id order by other, tier) = 1",
          named=_NAMED, tiers=_TIERS)
-_ARTISTS = f"select artist_id, {sql_artist('name')} as name_key, external_id, {sql_genre('genre_text')} as g from {{v_artist}}"
-
-
-def _artist_sides(v):
-    side = v("v_artist").select("artist_id", text.artist_name("name").alias("name_key"), "external_id", F.array(genres.genre("genre_text")).alias("genres"))
-    golden = side.groupBy("name_key").agg(F.min_by(F.struct("artist_id", "external_id", "genres"), "artist_id").alias("g")).select("name_key", "g.*")
-    return side.select(F.col("artist_id").alias("claim_id"), "name_key", "external_id", "genres"), golden
-
-
-register("d14_artist_matches", lambda v: matching.match_artists(*_artist_sides(v)),
-         "select c.artist_id as claim_id, coalesce(i.artist_id, n.artist_id) as artist_id, case when i.artist_id is not null then 0.98 when n.same then 0.82 when n.artist_id is not null then 0.72 end::double as score from {a} c left join (select external_id, min(artist_id) as artist_id from {golden} where external_id is not null group by 1) i on i.external_id = c.external_id left join (select l.artist_id as claim_id, r.artist_id, l.g = r.g as same from {a} l join {golden} r on l.name_key = r.name_key and l.name_key <> '' qualify row_number() over (partition by l.artist_id order by (l.g <> r.g)::int, r.artist_id) = 1) n on n.claim_id = c.artist_id", a=_ARTISTS, golden="select * from {a} qualify row_number() over (partition by name_key order by artist_id) = 1")
-
-
 def event_sides(v):
     rows = upsert.event_keys(v("v_event")).select("event_id", "source_type", "event_key", F.coalesce(text.clean("headliner"), F.col("title")).alias("title"), "start_ts", F.when(F.col("event_id") % 6 > 0, F.col("location_text")).otherwise("").alias("venue"))
     claims = v("v_claim").where("source_type = 'ics' and match_confidence >= 0.1").select(F.col("provider_event_id").alias("claim_key"), (F.col("event_id") - F.col("event_id") % 4 + 1).alias("event_id"))
@@ -132,7 +119,6 @@ register("e09_duplicate_report", lambda v: upsert.first_pairs(upsert.poi_key(v("
          f"select confidence, count(*) as n from (select 'strong' as confidence from {{k}} group by poi_key having count(*) > 1 union all select confidence from (select case when d <= 50 then 'medium' when d <= 100 and (w1 = w2 or p1 = p2) then 'weak' end as confidence from (select {sql_haversine('x.lat', 'x.lng', 'y.lat', 'y.lng', geo.METRES)} as d, x.website as w1, y.website as w2, x.phone as p1, y.phone as p2 from {{k}} x join {{k}} y on x.n = y.n and x.n <> '' and x.city = y.city and x.state = y.state and x.poi_id < y.poi_id)) where confidence is not null) group by 1", k=POI_KEY)
 register("e10_key_index", lambda v: upsert.key_index(matching.keyed(v("v_poi"), "poi_id", matching.poi_keys())).groupBy("strategy").agg(F.count(F.lit(1)).alias("keys"), F.sum("refs").alias("refs"), F.count_if(F.col("refs") > 1).alias("collisions")),
          "select strategy, count(*) as keys, sum(refs)::bigint as refs, count_if(refs > 1)::bigint as collisions from (select strategy, key, count(*) as refs from {k} where key is not null group by 1, 2) group by 1", k=KEYS)
-register("e12_venue_upsert", lambda v: upsert.fold_latest(v("v_venue").withColumn("k", (F.col("venue_id") % 30)), "k", ["venue_id"], ["name", "address", "zip"]), "select venue_id % 30 as k, max_by(name, venue_id) filter (trim(name) <> '') as name, max_by(address, venue_id) filter (trim(address) <> '') as address, max_by(zip, venue_id) filter (zip is not null) as zip from {v_venue} group by 1")
 register("e13_registry", lambda v: upsert.registry(v("v_attempt").withColumn("risk", F.floor("value").cast("long")), "domain", "attempt_id", "risk", "kind", "email"),
          "select domain, min(attempt_id) as first_seen, max(attempt_id) as last_seen, max(floor(value)::bigint) as risk, max_by(kind, (floor(value)::bigint, kind)) as flags, count(distinct email) as submitters, count(*) as submissions from {v_attempt} group by 1")
 register("e15_artist_duplicates", lambda v: v("v_artist").select("artist_id", text.artist_name("name").alias("k")).where("k <> ''").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("artist_id").alias("first_id")).where("n > 1"), f"select {sql_artist('name')} as k, count(*) as n, min(artist_id) as first_id from {{v_artist}} where {sql_artist('name')} <> '' group by 1 having count(*) > 1")
@@ -141,5 +127,13 @@ register("e16_feed_status", lambda v: upsert.feed_status(v("v_claim"), "provider
 register("e18_staged_dedupe", lambda v: windows.latest(v("v_event").where("source_url is not null and start_ts is not null"), ["title", "start_ts", "source_url"], [F.col("event_id")]).select("event_id"), "select min(event_id) as event_id from {v_event} where start_ts is not null group by title, start_ts, source_url")
 register("e19_decisions", lambda v: upsert.decide(v("documents").select("doc_id", "n_chars"), v("labels").select("doc_id", F.when(F.col("quality") == 1, "approve").otherwise("reject").alias("decision")), "doc_id", F.col("n_chars") >= 500).groupBy("outcome").agg(F.count(F.lit(1)).alias("n")),
          "select case when quality is null then null when quality = 1 and n_chars < 500 then 'refused' when quality = 1 then 'approve' else 'reject' end as outcome, count(*) as n from {documents} left join {labels} using (doc_id) group by 1")
-register("e22_new_candidates", lambda v: v("v_event").select(text.place_name("location_text").alias("n"), "region_id").distinct().join(v("v_venue").select(text.place_name("name").alias("n")).union(v("v_event").where("price > 450000").select(text.place_name("location_text"))).distinct(), "n", "left_anti"),
-         f"select distinct {sql_place('location_text')} as n, region_id from {{v_event}} where {sql_place('location_text')} not in (select {sql_place('name')} from {{v_venue}} union select {sql_place('location_text')} from {{v_event}} where price > 450000)")
+# every event names its hall in its venue's town; the halls of dear events are known, and all of two runs
+_FOUND = f"select event_id, source_type, (event_id // 100 % 5)::varchar as run_id, {sql_place('location_text')} as name_key, lower(trim(coalesce(city, ''))) as city, lower(trim(coalesce(state, ''))) as state, price from {{v_event}} left join {{v_venue}} using (venue_id)"
+
+
+def _found(v):
+    return v("v_event").join(v("v_venue").select("venue_id", "city", "state"), "venue_id", "left").select("event_id", "source_type", (F.floor(F.col("event_id") / 100) % 5).alias("run_id"), F.col("location_text").alias("name"), "city", "state", "price")
+
+
+register("e22_new_candidates", lambda v: (lambda f: upsert.new_candidates(f, f.where("price > 300000 or run_id > 3"), "event_id"))(_found(v)),
+         "select min(event_id) as event_id, source_type, run_id, name_key, city, state from {f} f where name_key <> '' and not exists (select 1 from {f} k where (k.price > 300000 or k.run_id > '3') and k.source_type = f.source_type and k.run_id = f.run_id and k.name_key = f.name_key and k.city = f.city and k.state = f.state) group by all", f=_FOUND)

@@ -55,12 +55,8 @@ register("d19_record_lineage", lambda v: v("v_claim").select("claim_id", "event_
 
 register("e11_poi_import", lambda v: (lambda p: p.withColumn("n", F.row_number().over(Window.partitionBy("poi_key").orderBy("poi_id"))).select("poi_id", F.when(F.col("category") == "Concert", "skipped").when(F.col("poi_key_confidence") == "weak", "weak_key").when(F.col("n") > 1, "duplicate").otherwise("created").alias("action")))(upsert.poi_key(v("v_poi"))).groupBy("action").agg(F.count(F.lit(1)).alias("n")),
          f"select case when category = 'Concert' then 'skipped' when k like 'name_location:%' then 'weak_key' when n > 1 then 'duplicate' else 'created' end as action, count(*) as n from (select *, row_number() over (partition by k order by poi_id) as n from (select poi_id, category, case when {sql_place('name')} <> '' and lat is not null and lng is not null then 'name_geo:' || {sql_place('name')} || printf('%.5f', lat) || '|' || printf('%.5f', lng) when places_id is not null then 'places_id:' || places_id when export_id is not null then 'export_id:' || export_id else 'name_location:' || {sql_place('name')} || '|' || city || '|' || state || '|' || coalesce(address, '') end as k from {{v_poi}})) group by 1")
-register("e14_artist_registry", lambda v: v("v_claim").join(v("v_artist"), "artist_id").where("trim(name) <> ''").groupBy(text.artist_key("name").alias("artist_key")).agg(F.countDistinct("event_id").alias("events"), F.min("external_id").alias("external_id"), F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels")),
-         f"select 'artist:' || substr(sha256({sql_artist('name')}), 1, 16) as artist_key, count(distinct event_id) as events, min(external_id) as external_id, string_agg(distinct label, ',' order by label) as labels from {{v_claim}} join {{v_artist}} using (artist_id) where trim(name) <> '' group by 1")
 register("e20_safe_update", lambda v: upsert.merge_fields(v("v_poi").select("poi_id", "phone", "website", "category"), v("v_poi").where("poi_id % 2 = 0").select("poi_id", F.lit("555-0000").alias("phone"), F.lit("").alias("website"), F.lit("Cultural").alias("category")), "poi_id", {"phone": "fill", "website": "replace", "category": "keep"}).select("poi_id", "phone", "website", "category", "action"),
          "select poi_id, case when poi_id % 2 = 0 and phone is null then '555-0000' else phone end as phone, website, category, case when poi_id % 2 > 0 then 'kept' when phone is null then 'updated' else 'skipped' end as action from {v_poi}")
-register("e21_search_seeds", lambda v: v("v_poi").where("lat is not null").select(F.concat(F.lit("poi:"), F.col("poi_id").cast("string")).alias("seed_key"), "name").unionByName(v("v_region").select(F.concat(F.lit("region:"), F.col("region_id").cast("string")).alias("seed_key"), "name")),
-         "select 'poi:' || poi_id::varchar as seed_key, name from {v_poi} where lat is not null union all select 'region:' || region_id::varchar, name from {v_region}")
 register("e24_send_to_review", lambda v: v("v_event").where((F.col("dedupe_confidence") == "weak") & (F.col("duplicate_status") == "none")).select("event_id", F.lit("duplicate_candidate").alias("duplicate_status")), "select event_id, 'duplicate_candidate' as duplicate_status from {v_event} where dedupe_confidence = 'weak' and duplicate_status = 'none'")
 register("e25_region_upsert", lambda v: upsert.merge_fields(v("v_region").where("region_id < 20").select("region_key", "name", "radius_miles"), v("v_region").where("region_id > 10").select("region_key", F.upper("name").alias("name"), (F.col("radius_miles") + 5).alias("radius_miles")), "region_key", {"name": "fill", "radius_miles": "raise"}).select("region_key", "name", "radius_miles", "action"),
          "select region_key, case when region_id >= 20 then upper(name) else name end as name, case when region_id > 10 then radius_miles + 5 else radius_miles end as radius_miles, case when region_id >= 20 then 'created' when region_id > 10 then 'updated' else 'kept' end as action from {v_region}")
@@ -84,8 +80,6 @@ register("f23_audit_rollup", lambda v: rollups.metric_rows(rollups.audit_counts(
  from (select *, case when s >= 80 then 'blocked' when s >= 50 then 'high' when s >= 20 then 'medium' else 'low' end as l from (select *, case when user_id % 11 = 0 then 80 else 0 end + case when was_invalid then 80 else 0 end + case when value < 1 then 50 else 0 end as s from {v_attempt}))) on columns(*) into name metric value value)""")
 register("f25_rescue_summary", lambda v: scores.image_score(v("v_image")).groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("blocked")).alias("usable"), F.count_if("generic").alias("generic")), "select role, count(*) as n, count_if(not (clearance = 'blocked' or status = 'rejected' or url like '%logo%' or width < 720 or least(width, height) < 400))::bigint as usable, count_if(url like '%logo%')::bigint as generic from {v_image} group by 1")
 register("f27_provider_pipeline", lambda v: v("v_claim").groupBy("provider", "source_type").agg(F.count(F.lit(1)).alias("records"), F.countDistinct("event_id").alias("events"), F.round(F.avg("match_confidence"), 6).alias("confidence")), "select provider, source_type, count(*) as records, count(distinct event_id) as events, round(avg(match_confidence), 6) as confidence from {v_claim} group by 1, 2")
-register("i07_record_completeness", lambda v: v("v_claim").select("claim_id", sum((F.when(F.col(c).isNotNull(), 1).otherwise(0) for c in ("provider_event_id", "record_id", "provider", "seen_at")), F.lit(0)).alias("n"), "provider_event_id").select("claim_id", F.round(F.col("n") / 4, 4).alias("completeness"), F.when(F.col("n") == 4, "normalized").when(F.col("provider_event_id").isNotNull(), "partial").otherwise("failed").alias("status")),
-         "select claim_id, round(n / 4, 4) as completeness, case when n = 4 then 'normalized' when provider_event_id is not null then 'partial' else 'failed' end as status from (select *, 2 + (provider_event_id is not null)::int + (record_id is not null)::int as n from {v_claim})")
 register("i19_source_rows", lambda v: v("v_attempt").select("attempt_id", F.when(F.col("attempt_id") % 4 > 0, "Org").alias("organization"), F.when(F.col("attempt_id") % 3 > 0, F.concat(F.lit("https://"), "domain")).otherwise(" ").alias("url"), F.when(F.col("attempt_id") % 5 > 0, F.col("email")).alias("email"), F.when(F.col("attempt_id") % 2 > 0, "Yes").otherwise("no").alias("confirmed"), F.when(F.col("attempt_id") % 7 == 0, "Sports").alias("category")).select("attempt_id", F.array_join(sheets.source_sheet_errors(category="category"), ",").alias("errors")),
          "select attempt_id, " + sql_flags(("attempt_id % 4 = 0", "organization_name_missing"), ("attempt_id % 3 = 0", "calendar_url_missing"), ("attempt_id % 5 = 0", "contact_email_missing"), ("attempt_id % 2 = 0", "authorization_missing"), ("attempt_id % 7 = 0", "expected_category_not_concert"), sort=True) + " as errors from {v_attempt}")
 register("i21_preflight", lambda v: v("v_crawl").select("crawl_id", F.when(F.col("error").contains("timeout"), "timeout").when(F.col("status") == "failed", "unreachable").when(F.col("status") == "unsupported", "wrong_type").otherwise("ok").alias("preflight")), "select crawl_id, case when contains(error, 'timeout') then 'timeout' when status = 'failed' then 'unreachable' when status = 'unsupported' then 'wrong_type' else 'ok' end as preflight from {v_crawl}")

@@ -31,8 +31,6 @@ register("f13_facets", lambda v: v("v_poi").rollup("category", "subcategory").ag
          "select category, subcategory, grouping(category, subcategory)::bigint as level, count(*) as n, count_if(certified)::bigint as certified from {v_poi} group by rollup(category, subcategory)")
 register("f13_date_ranges", lambda v: rollups.metric_rows(rollups.conditional_counts(v("v_event"), [], {f"next_{d}": (F.col("start_ts") >= _NOW()) & (F.col("start_ts") < _NOW() + F.expr(f"interval {d} days")) for d in (7, 30, 90)}), []),
          "".join(("" if d == 7 else " union all ") + f"select 'next_{d}' as metric, count_if(start_ts >= {AS_OF} and start_ts < {AS_OF} + interval {d} days)::double as value from {{v_event}}" for d in (7, 30, 90)))
-register("f19_completeness", lambda v: rollups.metric_rows(v("v_poi").groupBy("category").agg(*[F.count_if(F.coalesce(F.trim(c), F.lit("")) == "").alias(c) for c in ("name", "address", "phone", "website")]), ["category"]).select("category", "metric", "value"),
-         " union all ".join(f"select category, '{c}' as metric, count_if(coalesce(trim({c}), '') = '')::double as value from {{v_poi}} group by 1" for c in ("name", "address", "phone", "website")))
 register("f22_top_and_weak_sources", lambda v: (lambda t: windows.top(t.select(F.lit("top").alias("kind"), "*"), ["kind"], [F.col("n").desc(), F.col("source_id")], 5).unionByName(windows.top(t.select(F.lit("weak").alias("kind"), "*"), ["kind"], [F.col("n"), F.col("source_id")], 5)))(v("v_claim").groupBy("source_id").agg(F.countDistinct("event_id").alias("n"))),
          "with t as (select source_id, count(distinct event_id) as n from c group by 1) select * from (select 'top' as kind, source_id, n, row_number() over (order by n desc, source_id)::int as rank from t) where rank <= 5 union all select * from (select 'weak' as kind, source_id, n, row_number() over (order by n, source_id)::int as rank from t) where rank <= 5".replace("with t as (select source_id, count(distinct event_id) as n from c group by 1) ", "").replace(" t)", " {t})"),
          t="select source_id, count(distinct event_id) as n from {v_claim} group by 1")

@@ -105,3 +105,13 @@ register(
  {sql_flags(("segment = 'Music'", "music_segment"), ("segment = 'Sports'", "non_music_segment"), ("segment = 'Sports'", "low_event_relevance"), ("segment is null", "segment_missing"))} as flags from {{c}}""",
     c=_SQL_CLASS,
 )
+_FILL = "round(((coalesce(event_name, '') <> '')::int + (headliner is not null)::int + (start_datetime is not null)::int + (venue_name is not null)::int + (city is not null)::int + (st is not null)::int + (link is not null)::int + (main_image_url is not null)::int) * 100 / 8.0, 2)::double"
+_WHOLE = f"select f.*, case f.vendor when 'performer_feed' then f.state when 'licensed_feed' then e.state end as st, e.city as city, k.tickets_link as link from (select * from ({_FIRST} union all {_SECOND} union all {_THIRD})) f join {{e}} e on e.event_id = f.key join {{links}} k on k.key = f.key and k.vendor = f.vendor"
+register(
+    "i07_record_completeness",
+    lambda v: _mapped(v).select("key", "vendor", "normalization_status", "completeness", "relevance", "dedupe_key"),
+    f"""select key, vendor, case when event_name is null or start_datetime is null then 'failed' when headliner is null or venue_name is null then 'partial' else 'normalized' end as normalization_status, {_FILL} as completeness,
+ case when regexp_matches(lower(coalesce(event_name, '')), 'concert|music|live|band|artist') then 90.0 else 72.0 end::double as relevance,
+ sha256(concat_ws('|', vendor, provider_event_id, lower(coalesce(event_name, '')), coalesce(start_datetime, ''), lower(coalesce(venue_name, '')), lower(coalesce(city, '')), lower(coalesce(st, '')))) as dedupe_key from {{whole}}""",
+    e=_E, links=_LINKS, whole=_WHOLE,
+)

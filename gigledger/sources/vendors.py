@@ -113,18 +113,30 @@ def compiled(vendor: str, v: Column) -> list[Column]:
 
 
 def vendor_events(records: DataFrame, vendor: str, key: str = "key", record: str = "record") -> DataFrame:
-    """(key, the common schema, normalization_status, completeness) of a table of variant records of one vendor.
+    """(key, the common schema, normalization_status, completeness, relevance, dedupe_key) of a table of variant records of one vendor.
 
     status is failed without a name or a start, partial without a headliner or a venue, else
-    normalized; completeness is the share of name, start, venue, headliner, ticket link, image,
-    place and genre that a record fills. A null record gives a row of nulls.
+    normalized; completeness is the percentage of COMPLETE that a record fills; relevance is 90 where
+    name or description speak of music, else 72; dedupe_key hashes vendor, id, name, start and place. A null
+    record gives a row without values.
     """
     out = records.select(key, *compiled(vendor, F.col(record)))
     has = lambda c: F.col(c).isNotNull()
-    filled = (has("event_name"), has("start_datetime"), has("venue_name"), has("headliner"), has("tickets_link"), has("main_image_url"), has("venue_address") | (has("latitude") & has("longitude")), has("provider_genre"))
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
     status = F.when(~has("event_name") | ~has("start_datetime"), "failed").when(~has("headliner") | ~has("venue_name"), "partial").otherwise("normalized")
-    return out.withColumns({"normalization_status": status, "completeness": F.round(sum((c.cast("int") for c in filled), F.lit(0)) / len(filled), 4)})
-
+    said = F.lower(F.concat_ws(" ", "event_name", "description"))
+    basis = F.concat_ws("|", F.lit(vendor), F.coalesce("provider_event_id", F.lit("")), low("event_name"), F.coalesce("start_datetime", F.lit("")), low("venue_name"), low("city"), low("state"))
+    return out.withColumns({
+        "normalization_status": status,
+        "completeness": F.round(sum((has(c).cast("int") for c in COMPLETE), F.lit(0)) * 100 / len(COMPLETE), 2),
+        "relevance": F.when(said.rlike("|".join(MUSIC_WORDS)), 90.0).otherwise(72.0),
+        "dedupe_key": F.sha2(basis, 256),
+    })
+
+
+# Fields that make a record complete, and words of music.
+COMPLETE = ("event_name", "headliner", "start_datetime", "venue_name", "city", "state", "tickets_link", "main_image_url")
+MUSIC_WORDS = ("concert", "music", "live", "band", "artist")
 
 # Genres that say nothing, and the relevance of a segment.
 NO_GENRE = ("undefined", "miscellaneous", "other")

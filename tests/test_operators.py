@@ -211,7 +211,7 @@ def test_vendor_rules_take_the_first_path_that_has_text(spark):
     got = {r.key: r for r in vendors.vendor_events(rows, "performer_feed").collect()}
     r = got[1]
     assert (r.event_name, r.headliner, r.supporting_artists, r.tickets_link, r.ticket_class, r.latitude, r.state, r.upstream_source, r.upstream_id) == ("T", "Solo", None, "https://bit.ly/tickets1", "redirect_or_handoff", None, None, "s", "9")
-    assert r.normalization_status == "failed" and r.completeness == 0.375 and sorted(got) == [1, 2, 3, 4] and got[4].completeness == 0.0
+    assert r.normalization_status == "failed" and r.completeness == 50.0 and sorted(got) == [1, 2, 3, 4] and got[4].completeness == 0.0
     made = lambda j: spark.createDataFrame([(j,)], "j string").select(vendors.classification(F.try_parse_json("j")).alias("c")).first().c
     c = made('{"classifications":[null,{"segment":{"segment":"MUSIC"},"genre":{"name":"Rock"},"subGenre":{"name":"Undefined"}}]}')
     assert (c.segment, c.music_category, c.normalized_genre, c.relevance, c.flags) == ("MUSIC", "Music", "Rock", 94.0, ["music_segment"])
