@@ -54,6 +54,23 @@ TEMPLATES = (
     ("artistic-2", "you may redistribute and modify this package under the terms of the artistic license 2 0", ("artistic license 2", "artistic license version 2")),
     ("ofl-1.1", "this font software is licensed under the sil open font license version 1 1", ("open font license",)),
     ("unlicense", "this is free and unencumbered software released into the public domain", ()),
+    ("mit", "licensed under the terms of the mit license", ("mit license",)),
+    ("apache-2", "licensed under the terms of the apache license version 2 0", ("apache license version 2", "apache license 2", "apache 2")),
+    ("bsd-2", "distributed under the terms of the bsd 2 clause license", ("bsd 2 clause",)),
+    ("bsd-3", "distributed under the terms of the bsd 3 clause license", ("bsd 3 clause",)),
+    ("mit", "spdx license identifier mit", ("identifier mit",)),
+    ("apache-2", "spdx license identifier apache 2 0", ("identifier apache 2",)),
+    ("bsd-2", "spdx license identifier bsd 2 clause", ("identifier bsd 2",)),
+    ("bsd-3", "spdx license identifier bsd 3 clause", ("identifier bsd 3",)),
+    ("isc", "spdx license identifier isc", ("identifier isc",)),
+    ("mpl-2", "spdx license identifier mpl 2 0", ("identifier mpl 2",)),
+    ("gpl-2", "spdx license identifier gpl 2 0", ("identifier gpl 2",)),
+    ("gpl-3", "spdx license identifier gpl 3 0", ("identifier gpl 3",)),
+    ("lgpl-2.1", "spdx license identifier lgpl 2 1", ("identifier lgpl 2",)),
+    ("lgpl-3", "spdx license identifier lgpl 3 0", ("identifier lgpl 3",)),
+    ("agpl-3", "spdx license identifier agpl 3 0", ("identifier agpl 3",)),
+    ("cc0", "spdx license identifier cc0 1 0", ("identifier cc0",)),
+    ("unlicense", "spdx license identifier unlicense", ("identifier unlicense",)),
     ("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies do what the fuck you want to public license", ("do what the fuck you want",)),
 )
 #: Lower-cases A-Z and turns every byte that is no word byte into a space.

@@ -59,6 +59,11 @@ def test_licenses_are_told_apart(spark):
         ("This work is licensed under the GNU General Public License, version 3.", "gpl-3"),
         ("This library is licensed under the GNU Lesser General Public License version 3", "lgpl-3"),
         ("released under the BSD license", ""),
+        ("Distributed under the terms of the BSD 3-Clause license.", "bsd-3"),
+        ("// SPDX-License-Identifier: Apache-2.0", "apache-2"),
+        ("# SPDX-License-Identifier: GPL-2.0-only", "gpl-2"),
+        ("SPDX-License-Identifier: MIT", "mit"),
+        ("SPDX-License-Identifier: none", ""),
         ("word " * 77 + "\n".join(" ".join(mit.split()[i : i + 4]) for i in range(0, 20, 4)) + " word" * 99, "mit"),
         ("the mit license " + "other " * 200 + "released under", ""),
     ]
