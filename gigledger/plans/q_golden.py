@@ -10,6 +10,7 @@ from ..sources.golden import GoldenTable
 from ..sources.shared import shared_folder
 from .q_matching import EVENT_KEYS, EVENT_MATCHES, EVENT_ROWS, event_sides
 from .registry import register
+from .views import VIEWS
 
 ACTION_POLICY = {"genre": "fill", "image_url": "fill", "tickets_link": "replace", "relevance": "raise"}
 
@@ -71,11 +72,13 @@ GOLDEN_POLICY = {"record_id": "fill", "provider": "replace", "amount": "raise"}
 
 def _golden(v):
     """The claims of three kinds of sources as three batches into one table, which is compacted between the last two."""
-    claims = v("v_claim")
-    spark = claims.sparkSession
+    lines = v("lineitem")
+    spark = lines.sparkSession
+    # some ids name several claims: the first in the file counts, as in SQL
+    claims = spark.sql(VIEWS["v_claim"].replace("varchar(9)", "string").replace("varchar(20)", "string").replace("\nfrom", ", file, place\nfrom"), lineitem=lines.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place")))
     golden = GoldenTable(spark, shared_folder(spark, "golden"), "event_id", GOLDEN_POLICY, "event_id long, record_id string, provider string, amount double", buckets=16)
     for n, kind in enumerate(("api", "ics", "file_upload")):
-        golden.upsert(claims.where(F.col("source_type") == kind).withColumn("amount", F.col("amount").cast("double")), n, ["claim_id"])
+        golden.upsert(claims.where(F.col("source_type") == kind).withColumn("amount", F.col("amount").cast("double")), n, ["claim_id"], ["file", "place"])
         if n == 1:
             golden.compact(n)
     return golden.rows()

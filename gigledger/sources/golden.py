@@ -81,9 +81,9 @@ class GoldenTable:
     def _bucket(self):
         return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
 
-    def upsert(self, batch: DataFrame, n: int, order: list[str]) -> None:
-        """Merge a batch; within it the last row per key by `order` counts. n numbers batches upwards; the same batch again gives the same files."""
-        last = latest(batch.where(F.col(self.key).isNotNull()), [self.key], [F.col(c).desc_nulls_last() for c in order]).select(self.key, *self.policy)
+    def upsert(self, batch: DataFrame, n: int, order: list[str], ties: list[str] | None = None) -> None:
+        """Merge a batch; within it the last row per key by `order` counts, of equal ones the first by `ties`. n numbers batches upwards; the same batch again gives the same files."""
+        last = latest(batch.where(F.col(self.key).isNotNull()), [self.key], [*[F.col(c).desc_nulls_last() for c in order], *[F.col(c).asc() for c in ties or []]]).select(self.key, *self.policy)
         last = last.persist()
         try:
             touched = [r.bucket for r in last.select(self._bucket().alias("bucket")).distinct().collect()]  # at most `buckets`
