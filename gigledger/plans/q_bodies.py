@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import bodies
+from ..sources.shared import spread
 from .q_search import _ics, _rss
 from .registry import register
 
@@ -29,7 +30,7 @@ def _ld_pages(v):
     one, n = _event_json(F.col), F.col("event_id")
     deep = F.when(n % 4 == 0, one).when(n % 4 == 1, F.concat(F.lit('{"@graph":[{"@type":"WebPage","name":"p"},'), one, F.lit("]}"))).when(n % 4 == 2, F.concat(F.lit('[[{"@type":["WebSite"],"@graph":[[{"@graph":['), one, F.lit("]}]]}]]"))).otherwise(F.concat(F.lit("[["), one, F.lit("],7,null]")))
     page = F.concat(F.lit('<html><script type="application/ld+json">{"broken":</script><script type="application/ld+json">'), deep, F.lit("</script><body>x</body></html>"))
-    return v("v_event").select(n.alias("key"), page.alias("body"), F.lit("https://www.example.com/shows/index.html?p=1").alias("url"))
+    return spread(v("v_event")).select(n.alias("key"), page.alias("body"), F.lit("https://www.example.com/shows/index.html?p=1").alias("url"))
 
 
 _TITLE = "nullif(trim(title), '')"
@@ -71,7 +72,7 @@ def _card_pages(v):
     card = F.concat(F.lit("<"), tag, F.when(n % 5 == 0, F.lit(' id="lineup-1" data-x="1">')).otherwise(F.lit(' class="row Event-Card">')), heading, when, F.lit('<span class="venue-name">'), F.col("location_text"), F.lit("</span><img src='/p.jpg'><img src='/spacer'></"), tag, F.lit(">"))
     rows = v("v_event").where("start_ts is not null and trim(title) <> ''").select(F.floor(n / 3).alias("key"), card.alias("card"))
     page = F.concat(F.lit('<html><body><div class="note">1 January 1999</div>'), F.array_join(F.collect_list("card"), "<p>and</p>"), F.lit("</body></html>"))
-    return rows.groupBy("key").agg(page.alias("body")).select("key", "body", F.lit("http://hall.example.com/a/b/list").alias("url"))
+    return spread(rows, "key").groupBy("key").agg(page.alias("body")).select("key", "body", F.lit("http://hall.example.com/a/b/list").alias("url"))
 
 
 register(

@@ -24,6 +24,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{_checkpoint_dir(spark)}/{name}-{uuid4().hex}"
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """The rows dealt evenly, or by columns, over as many tasks as a shuffle has: for work per row that is heavy against the bytes it is read from, as small files are read by few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows in a reliable checkpoint, which outlives any executor."""
     _checkpoint_dir(df.sparkSession)
