@@ -15,7 +15,8 @@ _NOW = lambda: F.expr(AS_OF)
 
 def records(v):
     """Claims as vendor records, with states and flags that follow from their own columns."""
-    c = _links(v).withColumn("a", tickets.assess(F.col("link")))
+    # a row each: filters on the class do not compute it again
+    c = _links(v).select("*", F.explode_outer(F.array(tickets.link_class(F.col("link")))).alias("a"))
     m = F.col("match_confidence")
     review = F.when(m < 0.02, "pending_review").when(m < 0.04, "held").when(m < 0.06, "needs_enrichment").when(m < 0.08, "approved").otherwise("rejected")
     return c.select(
