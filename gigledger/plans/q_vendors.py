@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import vendors
+from ..sources.shared import spread
 from .q_columns import sql_flags
 from .registry import register
 
@@ -52,7 +53,7 @@ VENDORS = (("performer_feed", _performer_feed), ("licensed_feed", _licensed_feed
 
 
 def _mapped(v):
-    rows = _rows(v)
+    rows = spread(_rows(v))
     out = None
     for vendor, make in VENDORS:
         records = rows.select(F.col("event_id").alias("key"), F.try_parse_json(make()).alias("record"))
@@ -92,7 +93,7 @@ def _classified(v):
     segment = F.when(n % 3 == 0, s(F.lit("KZ").alias("id"), F.lit("Music").alias("name"))).when(n % 3 == 1, s(F.lit("KS").alias("id"), F.lit("Sports").alias("name")))
     one = s(segment.alias("segment"), s(pick(1).alias("name")).alias("genre"), s(pick(5).alias("name")).alias("subGenre"))
     shape = F.when(n % 4 == 0, F.to_json(s(F.array(one).alias("classifications")))).when(n % 4 == 1, F.to_json(s(one.alias("classifications")))).when(n % 4 == 2, F.to_json(one)).otherwise(F.concat(F.lit('{"classifications":[7,"x",'), F.to_json(one), F.lit("]}")))
-    return v("v_event").select("event_id", F.try_parse_json(shape).alias("record"))
+    return spread(v("v_event")).select("event_id", F.try_parse_json(shape).alias("record"))
 
 
 _G = "['" + "', '".join(_GENRES) + "']"

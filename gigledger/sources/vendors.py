@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean, flags, price_text
-from ..operators.tickets import assess
+from ..functions.text import bind, flags, price_text, trimmed
+from ..operators.tickets import is_usable, link_class
 
 #: The common schema: field and type.
 FIELDS = (
@@ -26,7 +26,7 @@ RULES = {
         "timezone": ('$.location.address["x-timezone"]',), "doors_time": ("$.doorTime",), "headliner": "lead", "supporting_artists": "support", "provider_artist_id": "lead_id", "provider_genre": ("$.performer[].genre[0]",),
         "venue_name": ("$.location.name",), "venue_address": ("$.location.address.streetAddress",), "city": ("$.location.address.addressLocality",), "state": ("$.location.address.addressRegion.alternateName", "$.location.address.addressRegion.identifier", "$.location.address.addressRegion.name"),
         "zip_code": ("$.location.address.postalCode",), "country": ("$.location.address.addressCountry.identifier", "$.location.address.addressCountry.alternateName", "$.location.address.addressCountry.name"), "latitude": ("$.location.geo.latitude", "$.location.geo.lat"), "longitude": ("$.location.geo.longitude", "$.location.geo.lng"),
-        "provider_venue_id": ("$.location.identifier",), "event_url": ("$.url",), "tickets_link": "offers", "price": "offer_price", "main_image_url": ("$.image", "$.image[0]", '$["x-promoImage"]'), "upstream_source": ('$["x-externalIdentifiers"][].source',), "upstream_id": ('$["x-externalIdentifiers"][].identifier',),
+        "provider_venue_id": ("$.location.identifier",), "event_url": ("$.url",), "tickets_link": "offers", "price": "offer_price", "main_image_url": ("$.image", "$.image[]", '$["x-promoImage"]'), "upstream_source": ('$["x-externalIdentifiers"][].source',), "upstream_id": ('$["x-externalIdentifiers"][].identifier',),
     },
     "licensed_feed": {
         "provider_event_id": ("$.eventId",), "event_name": ("$.name",), "description": ("$.description", "$.summary"), "start_datetime": ("$.instances[].start", "$.start"), "end_datetime": ("$.instances[].end", "$.end"), "all_day": ("$.allDay",),
@@ -50,8 +50,7 @@ def _list(v: Column, path: str) -> Column:
 
 def _scalar(v: Column, path: str) -> Column:
     """The text at a path; an object or a list is no text."""
-    text = clean(F.try_variant_get(v, path, "string"))
-    return F.when(~text.rlike(r"^[\[{]"), text)
+    return F.get(F.regexp_extract_all(F.try_variant_get(v, path, "string"), F.lit(r"(?s)\A *([^\[{ ](?:.*[^ ])?) *\z"), F.lit(1)), 0)
 
 
 def path_text(v: Column, path: str) -> Column:
@@ -61,31 +60,37 @@ def path_text(v: Column, path: str) -> Column:
 
 
 def _link(candidates: Column) -> Column:
-    """The best of (url, priority): the first that is usable, else the first there is."""
-    ranked = F.array_sort(F.transform(F.filter(candidates, lambda c: c["url"].isNotNull()), lambda c: F.struct((~assess(c["url"])["usable"]).alias("worse"), c["priority"].alias("priority"), c["url"].alias("url"))))
-    return F.get(ranked, 0)["url"]
+    """The best of (url, priority), as (worse, priority, url, category): the first that is usable, else the first there is."""
+    classed = lambda c: bind(link_class(c["url"]), lambda a: F.struct((~is_usable(a["category"], a["repair"])).alias("worse"), c["priority"].alias("priority"), c["url"].alias("url"), a["category"].alias("category")))
+    return F.get(F.array_sort(F.transform(F.filter(candidates, lambda c: c["url"].isNotNull()), classed)), 0)
+
+
+def _lineup(v: Column) -> Column:
+    """Struct (lead, lead_id, support) of the performers that have a name; the first marked one leads, else the first."""
+    people = F.transform(_list(v, "$.performer"), lambda p: F.struct(_scalar(p, "$.name").alias("name"), _scalar(p, "$.identifier").alias("id"), F.coalesce(F.try_variant_get(p, '$["x-isHeadliner"]', "boolean"), F.lit(False)).alias("marked")))
+
+    def lineup(named: Column) -> Column:
+        others = lambda lead: trimmed(F.array_join(F.transform(F.filter(named, lambda p: p["name"] != lead["name"]), lambda p: p["name"]), ", "))
+        return bind(F.coalesce(F.get(F.filter(named, lambda p: p["marked"]), 0), F.get(named, 0)), lambda lead: F.struct(lead["name"].alias("lead"), lead["id"].alias("lead_id"), others(lead).alias("support")))
+
+    return bind(F.filter(people, lambda p: p["name"].isNotNull()), lineup)
 
 
 def _special(v: Column, kind: str) -> Column:
-    performers = _list(v, "$.performer")
-    name = lambda p: _scalar(p, "$.name")
-    leads = F.filter(performers, lambda p: F.coalesce(F.try_variant_get(p, '$["x-isHeadliner"]', "boolean"), F.lit(False)) & name(p).isNotNull())
-    lead = F.coalesce(F.get(leads, 0), F.get(F.filter(performers, lambda p: name(p).isNotNull()), 0))
+    """What a rule of its own kind reads; offers and links are those of _link."""
     offers = _list(v, "$.offers")
-    price = lambda o, at: price_text(F.try_variant_get(o, f"{at}.minPrice", "double"), F.try_variant_get(o, f"{at}.maxPrice", "double"), _scalar(o, f"{at}.priceCurrency"))
-    if kind == "lead":
-        return name(lead)
-    if kind == "lead_id":
-        return _scalar(lead, "$.identifier")
-    if kind == "support":
-        return clean(F.array_join(F.filter(F.transform(performers, name), lambda n: n.isNotNull() & (n != name(lead))), ", "))
+
+    def price(o: Column, at: str) -> Column:
+        parts = F.struct(F.try_variant_get(o, f"{at}.minPrice", "double").alias("low"), F.try_variant_get(o, f"{at}.maxPrice", "double").alias("high"), _scalar(o, f"{at}.priceCurrency").alias("currency"))
+        return trimmed(bind(parts, lambda p: price_text(p["low"], p["high"], p["currency"])))
+
     if kind == "offers":
-        rank = lambda o, i: F.when(_scalar(o, "$.category") == "ticketingLinkPrimary", i).when(_scalar(o, "$.category") == "ticketingLinkSecondary", i + 100).otherwise(i + 10)
+        rank = lambda o, i: bind(_scalar(o, "$.category"), lambda k: F.when(k == "ticketingLinkPrimary", i).when(k == "ticketingLinkSecondary", i + 100).otherwise(i + 10))
         return _link(F.transform(offers, lambda o, i: F.struct(_scalar(o, "$.url").alias("url"), rank(o, i).alias("priority"))))
     if kind == "offer_price":
-        return F.get(F.filter(F.transform(offers, lambda o: clean(price(o, "$.priceSpecification"))), lambda p: p.isNotNull()), 0)
+        return F.get(F.filter(F.transform(offers, lambda o: price(o, "$.priceSpecification")), lambda p: p.isNotNull()), 0)
     if kind == "own_price":
-        return clean(price(v, "$.price"))
+        return price(v, "$.price")
     if kind == "links":
         more = F.filter(_list(v, "$.links"), lambda x: F.lower(F.coalesce(_scalar(x, "$.linkType"), F.lit(""))).contains("ticket"))
         more = F.transform(more, lambda x, i: F.struct(_scalar(x, "$.linkUrl").alias("url"), (i + 1).alias("priority")))
@@ -95,21 +100,25 @@ def _special(v: Column, kind: str) -> Column:
     raise ValueError(f"no rule of the kind {kind}")
 
 
-def compiled(vendor: str, v: Column) -> list[Column]:
-    """The columns of the common schema for one vendor's records; a field without a rule is null."""
-    rules = RULES[vendor]
+def compiled(records: DataFrame, vendor: str, key: str, record: str) -> DataFrame:
+    """(key, the common schema) of one vendor's records; a field without a rule is null. What several fields are read from is a column first, computed once."""
+    rules, v = RULES[vendor], F.col(record)
+    ranked = rules["tickets_link"] in ("offers", "links")
+    held = records.select(key, record, _lineup(v).alias("_lineup"), _special(v, rules["tickets_link"]).alias("_ticket"))
+    link, kind_of_link = (F.col("_ticket.url"), F.coalesce("_ticket.category", F.lit("blank"))) if ranked else (F.col("_ticket"), link_class(F.col("_ticket"))["category"])
     made = []
     for field, kind in FIELDS:
         rule = rules.get(field)
-        if field == "ticket_class":
-            link = _special(v, rules["tickets_link"])
-            made.append(assess(F.coalesce(link, F.lit("")))["category"].alias(field))
+        if field in ("ticket_class", "tickets_link"):
+            made.append((link if field == "tickets_link" else kind_of_link).alias(field))
         elif rule is None:
             made.append(F.lit(None).cast(kind).alias(field))
+        elif rule in ("lead", "lead_id", "support"):
+            made.append(F.col(f"_lineup.{rule}").alias(field))
         else:
             value = _special(v, rule) if isinstance(rule, str) else F.coalesce(*[path_text(v, p) for p in rule])
             made.append((value.try_cast(kind) if kind != "string" else value).alias(field))
-    return made
+    return held.select(key, *made)
 
 
 def vendor_events(records: DataFrame, vendor: str, key: str = "key", record: str = "record") -> DataFrame:
@@ -120,7 +129,7 @@ def vendor_events(records: DataFrame, vendor: str, key: str = "key", record: str
     name or description speak of music, else 72; dedupe_key hashes vendor, id, name, start and place. A null
     record gives a row without values.
     """
-    out = records.select(key, *compiled(vendor, F.col(record)))
+    out = compiled(records, vendor, key, record)
     has = lambda c: F.col(c).isNotNull()
     low = lambda c: F.lower(F.coalesce(c, F.lit("")))
     status = F.when(~has("event_name") | ~has("start_datetime"), "failed").when(~has("headliner") | ~has("venue_name"), "partial").otherwise("normalized")
@@ -151,9 +160,12 @@ def classification(v: Column) -> Column:
     normalised genre, unless it says nothing, then the genre.
     """
     listed = F.filter(_list(v, "$.classifications"), lambda x: F.coalesce(F.try_variant_get(x, "$", "string").startswith("{"), F.lit(False)))
-    first = F.coalesce(F.get(listed, 0), v)
-    node = lambda key: F.coalesce(*[_scalar(first, f"$.{key}.{n}") for n in ("name", "segment", "genre", "subgenre", "subGenre")])
-    segment, genre, sub = node("segment"), node("genre"), F.coalesce(node("subGenre"), node("subgenre"))
+    node = lambda first, key: F.coalesce(*[_scalar(first, f"$.{key}.{n}") for n in ("name", "segment", "genre", "subgenre", "subGenre")])
+    nodes = lambda first: F.struct(node(first, "segment").alias("segment"), node(first, "genre").alias("genre"), F.coalesce(node(first, "subGenre"), node(first, "subgenre")).alias("sub"))
+    return bind(bind(F.coalesce(F.get(listed, 0), v), nodes), lambda n: _classified(n["segment"], n["genre"], n["sub"]))
+
+
+def _classified(segment: Column, genre: Column, sub: Column) -> Column:
     music = F.lower(segment) == "music"
     points = dict(RELEVANCE)
     useful = lambda c: F.when(~F.lower(c).isin(*NO_GENRE), c)
