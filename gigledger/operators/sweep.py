@@ -15,13 +15,18 @@ from pyspark.sql import functions as F
 from ..sources.shared import cut
 
 PART = "_part"
+# rows of one range: what a task sorts does not grow with the table
+RANGE = 500_000
 
 
 def ranged(rows: DataFrame, keys: list[str], order: list[str], parts: int | None = None) -> DataFrame:
-    """The rows with their range as a column, in a checkpoint, so that every later use sees the same ranges. Rows with equal keys and order lie in one range."""
-    by = [F.col(c) for c in (*keys, *order)]
-    dealt = rows.repartitionByRange(parts, *by) if parts else rows.repartitionByRange(*by)
-    return cut(dealt.withColumn(PART, F.spark_partition_id()))
+    """The rows with their range as a column, in a checkpoint, so that every later use sees the same ranges. Rows with equal keys and order lie in one range.
+
+    There are as many ranges, and tasks that work through them, as the rows need at RANGE rows each.
+    """
+    parts = parts or max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // RANGE))
+    dealt = rows.repartitionByRange(parts, *[F.col(c) for c in (*keys, *order)])
+    return cut(dealt.withColumn(PART, F.spark_partition_id())).repartition(parts, PART, *keys)
 
 
 def running_sums(dealt: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column], ties: bool = False) -> DataFrame:
@@ -50,7 +55,7 @@ def with_next(dealt: DataFrame, keys: list[str], order: list[str], columns: dict
 
 
 def _meet(rows: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
-    """Left join with at most one row per range: few enough to broadcast, as there are as many ranges as shuffle partitions. Keys may be null."""
+    """Left join with at most one row per range: few enough to broadcast, as there is one range for RANGE rows. Keys may be null."""
     names = {c: f"_k_{c}" for c in (PART, *keys)}
     edges = edges.withColumnsRenamed(names)
     same = [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]
