@@ -115,7 +115,7 @@ register("e06_duplicate_groups", lambda v: upsert.duplicate_groups(upsert.event_
          "select weak_key, event_id, case when event_id = min(event_id) over w then 'possible_primary' else 'duplicate_candidate' end as role from {keys} where start_ts is not null window w as (partition by weak_key) qualify count(*) over w > 1", keys=EVENT_KEYS)
 POI_KEY = f"select *, case when n <> '' and lat is not null and lng is not null then 'name_geo:' || n || '|lat:' || printf('%.5f', lat) || '|lng:' || printf('%.5f', lng) when places_id is not null then 'places_id:' || lower(places_id) when export_id is not null then 'export_id:' || lower(export_id) else 'name_location:' || n || '|' || lower(city) || '|' || lower(state) || '|' || coalesce({sql_place('address')}, '') end as poi_key from (select *, {sql_place('name')} as n from {{v_poi}})"
 register("e08_poi_keys", lambda v: upsert.poi_key(v("v_poi")).select("poi_id", "poi_key", "poi_key_confidence"), "select poi_id, poi_key, case when poi_key like 'name_location:%' then 'weak' else 'strong' end as poi_key_confidence from {k}", k=POI_KEY)
-register("e09_duplicate_report", lambda v: upsert.first_pairs(upsert.poi_key(v("v_poi")), "poi_key", "poi_id").select(F.lit("strong").alias("confidence")).unionByName(matching.poi_pairs(v("v_poi")).select("confidence")).groupBy("confidence").agg(F.count(F.lit(1)).alias("n")),
+register("e09_duplicate_report", lambda v: upsert.first_pairs(upsert.poi_key(v("v_poi")), "poi_key", "poi_id").agg(F.lit("strong").alias("confidence"), F.count(F.lit(1)).alias("n")).where("n > 0").unionByName(matching.poi_pair_counts(v("v_poi")).select("confidence", "n")),
          f"select confidence, count(*) as n from (select 'strong' as confidence from {{k}} group by poi_key having count(*) > 1 union all select confidence from (select case when d <= 50 then 'medium' when d <= 100 and (w1 = w2 or p1 = p2) then 'weak' end as confidence from (select {sql_haversine('x.lat', 'x.lng', 'y.lat', 'y.lng', geo.METRES)} as d, x.website as w1, y.website as w2, x.phone as p1, y.phone as p2 from {{k}} x join {{k}} y on x.n = y.n and x.n <> '' and x.city = y.city and x.state = y.state and x.poi_id < y.poi_id)) where confidence is not null) group by 1", k=POI_KEY)
 register("e10_key_index", lambda v: upsert.key_index(matching.keyed(v("v_poi"), "poi_id", matching.poi_keys())).groupBy("strategy").agg(F.count(F.lit(1)).alias("keys"), F.sum("refs").alias("refs"), F.count_if(F.col("refs") > 1).alias("collisions")),
          "select strategy, count(*) as keys, sum(refs)::bigint as refs, count_if(refs > 1)::bigint as collisions from (select strategy, key, count(*) as refs from {k} where key is not null group by 1, 2) group by 1", k=KEYS)
