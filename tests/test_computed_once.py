@@ -26,3 +26,8 @@ def test_a_lineup_is_read_once(spark):
 
 def test_filters_on_a_link_class_do_not_compute_it_again(spark):
     assert _plan(spark, "c07_record_filter").count("boxoffice") <= 4
+
+
+def test_an_event_is_judged_before_it_meets_its_claims(spark):
+    met = [line for line in _plan(spark, "i15_source_trust").splitlines() if "Project [source_id" in line]
+    assert met and not any("tickets_link" in line for line in met)
