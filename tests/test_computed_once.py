@@ -31,3 +31,7 @@ def test_filters_on_a_link_class_do_not_compute_it_again(spark):
 def test_an_event_is_judged_before_it_meets_its_claims(spark):
     met = [line for line in _plan(spark, "i15_source_trust").splitlines() if "Project [source_id" in line]
     assert met and not any("tickets_link" in line for line in met)
+
+
+def test_a_candidate_is_held_once_while_the_best_is_sought(spark):
+    assert "min_by(" not in _plan(spark, "e23_image_candidates")
