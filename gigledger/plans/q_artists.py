@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import artists, genres
+from ..sources.shared import tasks_for
 from .q_columns import sql_artist, sql_genre
 from .registry import register
 
@@ -42,8 +43,9 @@ register("d14_artist_matches", lambda v: artists.match_artists(*_sides(v)), _D14
 
 def _event_claims(v):
     """Every claim names its artist for its event."""
-    first = v("v_claim").groupBy("claim_id").agg(*[F.min(c).alias(c) for c in ("event_id", "artist_id", "source_type", "source_id")])
-    rows = first.join(_named(v), "artist_id").drop("artist_id")
+    parts = tasks_for(v("v_claim"), artists.CLAIMS)
+    first = v("v_claim").repartition(parts, "claim_id").groupBy("claim_id").agg(*[F.min(c).alias(c) for c in ("event_id", "artist_id", "source_type", "source_id")])
+    rows = first.repartition(parts, "artist_id").join(_named(v), "artist_id").drop("artist_id")
     n = F.col("claim_id")
     return rows.select(
         "claim_id", "event_id", "name", "name_key", "genres", "source_type", F.concat(F.lit("s"), (F.col("source_id") % 5).cast("string")).alias("source_url"), F.when(n % 10 == 1, "headliner").otherwise("supporting").alias("role"),

@@ -29,6 +29,11 @@ def spread(df: DataFrame, *by: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
+def tasks_for(df: DataFrame, rows: int) -> int:
+    """How many tasks hold a table at so many rows each; not fewer than run at once."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows in a reliable checkpoint, which outlives any executor."""
     _checkpoint_dir(df.sparkSession)
