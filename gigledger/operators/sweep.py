@@ -94,17 +94,20 @@ def look_backs(rows: DataFrame, id_col: str, ts: str, measures: list[LookBack])
     ])
     asked = base.where("_at is not null").select("_id", "_at", F.explode(F.array_compact(F.array(*[f"_m{i}" for i in range(len(measures))]))).alias("x")).select("_id", "_at", "x.*")
     distinct = [i for i, m in enumerate(measures) if m.value]
+    n = rows.count()  # of the rows alone: their steps are not made only to be counted
+    ranges = lambda each: max(rows.sparkSession.sparkContext.defaultParallelism, -(-n * each // RANGE))
     plain = asked.where(~F.col("m").isin(distinct)) if distinct else asked
     ends = plain.withColumn("_end", F.col("_at") + F.col("width") + 1)
     if distinct:
-        valued = ranged(asked.where(F.col("m").isin(distinct)), ["m", "k", "v"], ["_at", "_id"])
+        valued = ranged(asked.where(F.col("m").isin(distinct)), ["m", "k", "v"], ["_at", "_id"], ranges(len(distinct)))
         valued = with_next(valued, ["m", "k", "v"], ["_at", "_id"], {"_again": "_at"}).drop(PART)
         valued = valued.withColumn("counts", F.col("counts") & F.col("v").isNotNull())
-        ends = ends.unionByName(valued.withColumn("_end", F.least(F.col("_at") + F.col("width") + 1, F.coalesce("_again", F.lit(2**63 - 1)))).drop("_again"))
+        # in a checkpoint, as ranges are first sampled and then dealt: the next rows are found once
+        ends = ends.unionByName(cut(valued.withColumn("_end", F.least(F.col("_at") + F.col("width") + 1, F.coalesce("_again", F.lit(2**63 - 1)))).drop("_again")))
     up = F.struct(F.col("_at").alias("at"), F.col("counts").cast("long").alias("step"), F.col("_id").alias("id"), F.lit(True).alias("asks"))
     down = F.struct(F.col("_end").alias("at"), F.lit(-1).cast("long").alias("step"), F.col("_id").alias("id"), F.lit(False).alias("asks"))
     steps = ends.select("m", "k", "counts", F.explode(F.when(F.col("counts"), F.array(up, down)).otherwise(F.array(up))).alias("s")).select("m", "k", "counts", "s.*")
-    swept = running_sums(ranged(steps, ["m", "k"], ["at"]), ["m", "k"], ["at"], {"n": F.col("step")}, ties=True).where("asks")
+    swept = running_sums(ranged(steps, ["m", "k"], ["at"], ranges(2 * len(measures))), ["m", "k"], ["at"], {"n": F.col("step")}, ties=True).where("asks")
     own = F.col("n") - F.col("counts").cast("long")
     found = swept.groupBy(F.col("id").alias("_id")).agg(*[F.max(F.when(F.col("m") == i, own)).alias(m.name) for i, m in enumerate(measures)])
     out = rows.select(F.col(id_col)).join(found, F.col(id_col) == F.col("_id"), "left")
