@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import WordEncoder, default_vocabulary
+from .tokens import default_vocabulary, ids_of_texts
 from .util import cut
 
 Genome = dict[tuple[int, ...], int]
@@ -236,13 +236,13 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, end
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 
     def run(batches):
-        words, task = WordEncoder(vocabulary), TaskContext.get().partitionId()
+        task = TaskContext.get().partitionId()
         seen: Counter = Counter()
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = words.ids(text.as_py()) + end
+            for doc, ids in zip(batch.column(0).to_pylist(), ids_of_texts(batch.column(1), vocabulary)):
+                ids += end
                 total = len(ids) // 4
                 first = total % capacity or capacity
                 at = 0

@@ -5,11 +5,12 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 from tokenizers import Tokenizer
 
-from gigledger.llm import packing
+from gigledger.llm import packing, tokens
 from gigledger.llm.packing import best_fit, crossover, fitness, fullest, mutate, pack_documents, pack_lengths, refill
-from gigledger.llm.tokens import WordEncoder, default_vocabulary
+from gigledger.llm.tokens import WordEncoder, default_vocabulary, ids_of_texts
 
 
 def contents(genome):
@@ -31,6 +32,30 @@ def test_word_ids_equal_the_tokenizer():
         assert np.frombuffer(words.ids(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_ids_of_many_texts_equal_the_tokenizer():
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    r = random.Random(5)
+    parts = [" ", " ", " ", "  ", "\n", "\t", "\x0b", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "\u200b", "\0", "a", "the", "É", "ñandú", "12", "'s", "!!", "日本", "🙂", "<|endoftext|>", "<|", "x" * 80]
+    texts = [None, "", " ", "  ", "\n", " a", "a ", "a\n", "a  b", "a \nb", "a\n b", "a b", "b a", "a", "<|endoftext|>", "a <|endoftext|> b", "<|endoftext"]
+    texts += ["".join(r.choice(parts) for _ in range(r.randint(1, 20))) for _ in range(2000)] + [" ".join(r.choice(parts[14:22]) for _ in range(r.randint(1, 30))) for _ in range(1000)]
+    want = [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    path = default_vocabulary()
+    for kind in (pa.string(), pa.large_string()):
+        for together in (1, 300, 1 << 20):
+            assert [np.frombuffer(x, "<u4").tolist() for x in ids_of_texts(pa.array(texts, kind), path, together)] == want
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids_of_texts(pa.array(texts).slice(7, 900), path)] == want[7:907]
+    assert list(ids_of_texts(pa.array([], pa.string()), path)) == [] and list(ids_of_texts(pa.array([None], pa.string()), path)) == [b""]
+
+
+def test_different_words_are_encoded_in_one_call(monkeypatch):
+    calls, real = [], tokens.encoder
+    monkeypatch.setattr(tokens, "encoder", lambda path: lambda text: calls.append(text) or real(path)(text))
+    texts = ["the " + " ".join(f"w{i}x{j}" for j in range(500)) for i in range(20)]
+    got = list(ids_of_texts(pa.array(texts + texts), default_vocabulary()))
+    assert len(calls) == 2 and sum(map(len, calls)) < 1.1 * sum(map(len, texts))  # first words, all others
+    assert got == [np.array(real(default_vocabulary())(t), "<u4").tobytes() for t in texts + texts]
+
+
 def test_operators_keep_every_item_and_improve():
     r = random.Random(1)
     items = {s: r.randint(1, 9) for s in r.sample(range(1, 1025), 500)}
