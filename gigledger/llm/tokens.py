@@ -19,7 +19,8 @@ SPECIAL = {"<|endoftext|>": 50256}
 _SPECIAL = re.compile("(" + "|".join(map(re.escape, SPECIAL)) + ")")
 _AFTER_SPACE = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
-TOGETHER = 8 << 20  # bytes of text whose different words are encoded in one call
+TOGETHER = 8 << 20  # bytes of text whose different words are encoded once
+STRETCH = 1 << 20  # characters that one call encodes, up to the next word's end
 _SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"  # white space as Python and the pattern know it
 _UNEVEN = rf"^ |{_SPACE} |{_SPACE}$|^$"  # some space of the text does not lie between two words
 
@@ -49,17 +50,26 @@ def token_bytes(path: str) -> np.ndarray:
     return np.array([sizes.get(i, 0) for i in range(max(sizes) + 1)], np.int64)
 
 
+def _encoded(text: str, encode) -> np.ndarray:
+    """Ids of a text without special tokens; a long one is encoded in stretches, as each call makes a list of numbers."""
+    out, at = [], 0
+    while cut := _CUT.search(text, at + STRETCH):
+        out.append(np.array(encode(text[at : cut.start()]), "<u4"))
+        at = cut.start()
+    return np.concatenate([*out, np.array(encode(text[at:]), "<u4")])
+
+
 def _whole_ids(text: str, encode) -> bytes:
-    return b"".join(np.array([SPECIAL[part]] if part in SPECIAL else encode(part), "<u4").tobytes() for part in _SPECIAL.split(text))
+    return b"".join((np.array([SPECIAL[part]], "<u4") if part in SPECIAL else _encoded(part, encode)).tobytes() for part in _SPECIAL.split(text))
 
 
 def _word_ids(texts: pa.Array, path: str) -> Iterator[bytes]:
-    """Ids of texts whose words lie one space apart: each different word is encoded once, all in one call, and its ids go where it stands."""
+    """Ids of texts whose words lie one space apart: each different word is encoded once, many in one call, and its ids go where it stands."""
     encode = encoder(path)
     split = pc.split_pattern(texts, " ")
     at, words = split.offsets.to_numpy(), split.values.dictionary_encode()
     joined = " " + pc.binary_join(pa.ListArray.from_arrays([0, len(words.dictionary)], words.dictionary), pa.scalar(" ", texts.type))[0].as_py()
-    ids = np.array(encode(joined), "<u4")
+    ids = _encoded(joined, encode)
     word_ends = np.cumsum(pc.binary_length(words.dictionary).to_numpy().astype(np.int64) + 1)
     ends = np.searchsorted(np.cumsum(token_bytes(path)[ids]), word_ends) + 1  # no token crosses a word's end
     # A text's first word has no space before it and so has ids of its own.

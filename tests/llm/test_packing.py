@@ -47,6 +47,17 @@ def test_ids_of_many_texts_equal_the_tokenizer():
     assert list(ids_of_texts(pa.array([], pa.string()), path)) == [] and list(ids_of_texts(pa.array([None], pa.string()), path)) == [b""]
 
 
+def test_long_texts_are_encoded_in_stretches(monkeypatch):
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    monkeypatch.setattr(tokens, "STRETCH", 50)
+    r = random.Random(6)
+    parts = ["a", "the", "ñandú", "12", "'s", "日本", "🙂", "!!", "\n", "\u3000", "x" * 60]
+    texts = ["".join(r.choice(parts) + r.choice(["", " ", " ", " ", "  ", "\n "]) for _ in range(r.randint(1, 120))) for _ in range(300)] + [" ".join(r.choices(parts[:8], k=200)) for _ in range(50)]
+    texts += ["x" * 500, " " * 500, "x" * 49 + "  " + "y" * 60 + " z <|endoftext|>" + " w" * 60]
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids_of_texts(pa.array(texts), default_vocabulary())] == want
+
+
 def test_different_words_are_encoded_in_one_call(monkeypatch):
     calls, real = [], tokens.encoder
     monkeypatch.setattr(tokens, "encoder", lambda path: lambda text: calls.append(text) or real(path)(text))
